@@ -88,3 +88,309 @@ def q_top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = td.sales_rows(spark, sf_dir)
     out = summaries.top_entities(rows, "l_extendedprice", 7, "n_name", "c_mktsegment", "row_idx")
     return _round_doubles(out)
+
+
+# ------------------------------------------------------------------ typed read, NaN
+
+NAN_EVENTS_SQL = """events_nan AS (
+  SELECT event_id, user_id, event_type,
+    CASE WHEN event_id % 50 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value, props
+  FROM events)"""
+
+
+def _events_nan(spark, sf_dir):
+    ev = td.table(spark, sf_dir, "events")
+    return ev.select(
+        "event_id", "user_id", "event_type",
+        F.when(F.col("event_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+        "props",
+    )
+
+
+@register("raw_scan", "WITH " + NAN_EVENTS_SQL + """
+SELECT event_id, user_id, event_type, CASE WHEN isnan(value) THEN NULL ELSE value END AS value, props
+FROM events_nan""")
+def q_raw_scan(spark, sf_dir):
+    return clean.nan_to_null(_events_nan(spark, sf_dir))
+
+
+@register("nan_to_null", "WITH " + NAN_EVENTS_SQL + """
+SELECT event_id, isnan(value) AS was_nan, CASE WHEN isnan(value) THEN NULL ELSE value END AS value
+FROM events_nan""")
+def q_nan_to_null(spark, sf_dir):
+    from ledgerfold.functions.numbers import nan_to_null
+
+    ev = _events_nan(spark, sf_dir)
+    return ev.select("event_id", F.isnan("value").alias("was_nan"), nan_to_null("value").alias("value"))
+
+
+# ------------------------------------------------------------------ forward fill
+
+FILL_BLOCK_ROWS = 256  # small blocks so the cross-block carry path is exercised
+
+
+def _events_blank(spark, sf_dir, markers: bool = False):
+    ev = td.table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    etype = F.when(eid % 3 != 0, F.lit(None).cast("string")).otherwise(F.col("event_type"))
+    if markers:
+        mk = F.when((eid / 17).cast("long") % 3 == 0, "SubTotal").when((eid / 17).cast("long") % 3 == 1, "count").otherwise("TOTAL")
+        etype = F.when(eid % 17 == 0, mk).otherwise(etype)
+    return ev.select(
+        eid,
+        F.expr("event_id div 1000").alias("file"),
+        etype.alias("event_type"),
+        F.when(eid % 5 != 0, F.lit(None).cast("long")).otherwise(F.col("user_id")).alias("user_id"),
+    )
+
+
+EVENTS_BLANK_SQL = """ev AS (
+  SELECT event_id, event_id // 1000 AS file,
+    CASE WHEN event_id % 3 <> 0 THEN NULL ELSE event_type END AS event_type,
+    CASE WHEN event_id % 5 <> 0 THEN NULL ELSE user_id END AS user_id
+  FROM events)"""
+
+EVENTS_MARKED_SQL = """ev AS (
+  SELECT event_id, event_id // 1000 AS file,
+    CASE WHEN event_id % 17 = 0 THEN (CASE (event_id // 17) % 3 WHEN 0 THEN 'SubTotal' WHEN 1 THEN 'count' ELSE 'TOTAL' END)
+         WHEN event_id % 3 <> 0 THEN NULL ELSE event_type END AS event_type,
+    CASE WHEN event_id % 5 <> 0 THEN NULL ELSE user_id END AS user_id
+  FROM events)"""
+
+
+@register("forward_fill", "WITH " + EVENTS_BLANK_SQL + f"""
+SELECT event_id, file, {td.forward_fill_sql('event_type', 'file', 'event_id')} AS event_type FROM ev""")
+def q_forward_fill(spark, sf_dir):
+    ev = _events_blank(spark, sf_dir).select("event_id", "file", "event_type")
+    return clean.forward_fill(ev, ["event_type"], "file", "event_id", block_rows=FILL_BLOCK_ROWS)
+
+
+@register("forward_fill_multi", "WITH " + EVENTS_BLANK_SQL + f"""
+SELECT event_id, file, {td.forward_fill_sql('event_type', 'file', 'event_id')} AS event_type,
+  {td.forward_fill_sql('user_id', 'file', 'event_id')} AS user_id FROM ev""")
+def q_forward_fill_multi(spark, sf_dir):
+    ev = _events_blank(spark, sf_dir)
+    return clean.forward_fill(ev, ["event_type", "user_id"], "file", "event_id", block_rows=FILL_BLOCK_ROWS)
+
+
+@register("drop_summary", "WITH " + EVENTS_MARKED_SQL + f""",
+f AS (SELECT event_id, file, {td.forward_fill_sql('event_type', 'file', 'event_id')} AS event_type,
+  {td.forward_fill_sql('user_id', 'file', 'event_id')} AS user_id FROM ev)
+SELECT * FROM f WHERE event_type IS NOT NULL AND upper(event_type) NOT IN ('SUBTOTAL', 'COUNT', 'TOTAL')""")
+def q_drop_summary(spark, sf_dir):
+    ev = _events_blank(spark, sf_dir, markers=True)
+    filled = clean.forward_fill(ev, ["event_type", "user_id"], "file", "event_id", block_rows=FILL_BLOCK_ROWS)
+    return clean.drop_summary_rows(filled, "event_type", ("SUBTOTAL", "COUNT", "TOTAL"), "upper")
+
+
+@register("drop_subtotal", "WITH " + EVENTS_MARKED_SQL + f""",
+f AS (SELECT event_id, file, {td.forward_fill_sql('event_type', 'file', 'event_id')} AS event_type FROM ev)
+SELECT * FROM f WHERE event_type IS NOT NULL AND event_type <> 'SubTotal'""")
+def q_drop_subtotal(spark, sf_dir):
+    ev = _events_blank(spark, sf_dir, markers=True).select("event_id", "file", "event_type")
+    filled = clean.forward_fill(ev, ["event_type"], "file", "event_id", block_rows=FILL_BLOCK_ROWS)
+    return clean.drop_summary_rows(filled, "event_type", ("SubTotal",), "exact")
+
+
+# ------------------------------------------------------------------ numbers
+
+
+@register("accounting_parse", "WITH " + td.LINEITEM_ROWS_SQL + f""",
+t AS (SELECT row_idx, {td.money_text_sql('l_extendedprice', 'row_idx % 5')} AS amount_text FROM lineitem_rows)
+SELECT row_idx, amount_text, {td.accounting_parse_sql('amount_text')} AS amount FROM t""")
+def q_accounting_parse(spark, sf_dir):
+    from ledgerfold.functions.numbers import accounting_number
+
+    li = td.lineitem_rows(spark, sf_dir)
+    t = li.select("row_idx", td.money_text(F.col("l_extendedprice"), F.col("row_idx") % 5).alias("amount_text"))
+    return t.select("row_idx", "amount_text", accounting_number("amount_text").alias("amount"))
+
+
+LENIENT_TEXT_SQL = """CASE row_idx % 6
+  WHEN 0 THEN CAST(l_quantity AS VARCHAR)
+  WHEN 1 THEN '  ' || CAST(l_extendedprice AS VARCHAR) || ' '
+  WHEN 2 THEN format('{:,.2f}', l_extendedprice)
+  WHEN 3 THEN 'abc'
+  WHEN 4 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || 'e1'
+  ELSE 'nan' END"""
+
+
+@register("lenient_float", "WITH " + td.LINEITEM_ROWS_SQL + f""",
+t AS (SELECT row_idx, {LENIENT_TEXT_SQL} AS txt FROM lineitem_rows)
+SELECT row_idx, txt, {td.lenient_float_sql('txt')} AS value FROM t""")
+def q_lenient_float(spark, sf_dir):
+    from ledgerfold.functions.numbers import lenient_float
+
+    li = td.lineitem_rows(spark, sf_dir)
+    k = F.col("row_idx") % 6
+    txt = (
+        F.when(k == 0, F.col("l_quantity").cast("string"))
+        .when(k == 1, F.concat(F.lit("  "), F.col("l_extendedprice").cast("string"), F.lit(" ")))
+        .when(k == 2, F.format_number("l_extendedprice", 2))
+        .when(k == 3, F.lit("abc"))
+        .when(k == 4, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("e1")))
+        .otherwise(F.lit("nan"))
+    )
+    t = li.select("row_idx", txt.alias("txt"))
+    return t.select("row_idx", "txt", lenient_float("txt").alias("value"))
+
+
+# ------------------------------------------------------------------ first value
+
+
+@register("first_in_group", """
+SELECT o_custkey, arg_min_null(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END, o_orderkey) AS first_priority,
+  count(*) AS n_orders
+FROM orders GROUP BY o_custkey""")
+def q_first_in_group(spark, sf_dir):
+    o = td.table(spark, sf_dir, "orders")
+    o = o.select(
+        "o_custkey", "o_orderkey",
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("p"),
+    )
+    return o.groupBy("o_custkey").agg(
+        F.min_by("p", "o_orderkey").alias("first_priority"), F.count(F.lit(1)).alias("n_orders")
+    )
+
+
+# ------------------------------------------------------------------ entity key
+
+ENTITY_SRC_SQL = """src AS (
+  SELECT c_custkey,
+    CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN ' ' || n_name || ' ' ELSE n_name END AS cap,
+    CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS cli
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@register("entity_key", "WITH " + ENTITY_SRC_SQL + """
+SELECT c_custkey, CASE WHEN trim(coalesce(cli, '')) <> '' THEN trim(coalesce(cap, '')) || ' | ' || trim(coalesce(cli, ''))
+  ELSE trim(coalesce(cap, '')) END AS entity FROM src""")
+def q_entity_key(spark, sf_dir):
+    from ledgerfold.functions.text import entity_key
+
+    c = td.table(spark, sf_dir, "customer")
+    n = F.broadcast(td.table(spark, sf_dir, "nation"))
+    k = F.col("c_custkey")
+    src = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        k,
+        F.when(k % 9 == 0, F.lit(None).cast("string"))
+        .when(k % 4 == 0, F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")))
+        .otherwise(F.col("n_name")).alias("cap"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 7 == 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("cli"),
+    )
+    return src.select(k, entity_key("cap", "cli").alias("entity"))
+
+
+# ------------------------------------------------------------------ charts
+
+ENTITY_LABEL_SQL = "CASE WHEN trim(c_mktsegment) <> '' THEN trim(n_name) || ' | ' || trim(c_mktsegment) ELSE trim(n_name) END"
+
+
+@register("top_entities_first", "WITH " + td.SALES_ROWS_SQL + f""",
+v AS (SELECT {ENTITY_LABEL_SQL} AS label, CASE WHEN row_idx % 4 = 1 THEN NULL ELSE l_quantity END AS q, row_idx FROM sales_rows),
+ent AS (SELECT label, arg_min(q, row_idx) AS value, min(row_idx) AS first_row FROM v WHERE label <> '' AND q IS NOT NULL GROUP BY label)
+SELECT CAST(row_number() OVER (ORDER BY value DESC, first_row) AS INTEGER) AS rank, label, value
+FROM ent ORDER BY value DESC, first_row LIMIT 5""")
+def q_top_entities_first(spark, sf_dir):
+    rows = td.sales_rows(spark, sf_dir).withColumn(
+        "units", F.when(F.col("row_idx") % 4 == 1, F.lit(None).cast("double")).otherwise(F.col("l_quantity"))
+    )
+    return summaries.top_entities(rows, "units", 5, "n_name", "c_mktsegment", "row_idx", take_first=True)
+
+
+ORDERS_NATION_SQL = """onat AS (
+  SELECT o.*, n_name, c_mktsegment, c_nationkey FROM orders o JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _orders_nation(spark, sf_dir):
+    o = td.table(spark, sf_dir, "orders")
+    c = td.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name")
+    n = F.broadcast(td.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+@register("top_n_others", "WITH " + ORDERS_NATION_SQL + """,
+ent AS (SELECT trim(n_name) AS label, sum(o_totalprice) AS value, min(o_orderkey) AS first_row
+  FROM onat WHERE trim(n_name) <> '' GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY value DESC, first_row) AS rn FROM ent),
+tot AS (SELECT sum(value) AS total, sum(value) FILTER (WHERE rn > 4) AS rest FROM ranked),
+slices AS (
+  SELECT CAST(rn AS INTEGER) AS rank, label, value FROM ranked WHERE rn <= 4
+  UNION ALL SELECT 5, 'Others', rest FROM tot WHERE rest > 0)
+SELECT rank, label, round(value, 2) AS value, round(100.0 * value / total, 2) AS percent
+FROM slices, tot WHERE total <> 0""")
+def q_top_n_others(spark, sf_dir):
+    rows = _orders_nation(spark, sf_dir)
+    out = summaries.top_n_others(rows, "o_totalprice", 4, "n_name", None, "o_orderkey")
+    return out.select("rank", "label", F.round("value", 2).alias("value"), "percent")
+
+
+@register("share_of_two", """
+WITH t AS (SELECT coalesce(sum(l_tax), 0.0) AS a, coalesce(sum(l_discount), 0.0) AS b FROM lineitem)
+SELECT 1 AS rank, 'l_tax' AS label, round(a, 2) AS value,
+  CASE WHEN a + b = 0 THEN 0.0 ELSE round(100.0 * a / (a + b), 2) END AS percent FROM t
+UNION ALL
+SELECT 2, 'l_discount', round(b, 2), CASE WHEN a + b = 0 THEN 0.0 ELSE round(100.0 * b / (a + b), 2) END FROM t""")
+def q_share_of_two(spark, sf_dir):
+    li = td.table(spark, sf_dir, "lineitem")
+    out = summaries.share_of_two(li, "l_tax", "l_discount")
+    return out.select("rank", "label", F.round("value", 2).alias("value"), "percent")
+
+
+@register("monthly_totals", """
+WITH t AS (SELECT month(o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+months AS (SELECT CAST(range + 1 AS INTEGER) AS month_idx FROM range(12))
+SELECT month_idx, monthname(make_date(2000, month_idx, 1)) AS month, round(coalesce(v, 0.0), 2) AS value
+FROM months LEFT JOIN t ON t.m = months.month_idx""")
+def q_monthly_totals(spark, sf_dir):
+    from ledgerfold.spec import COMMISSION_COMMISSION
+
+    o = td.table(spark, sf_dir, "orders")
+    wide = o.select(
+        *[F.when(F.month("o_orderdate") == i, F.col("o_totalprice")).alias(c) for i, c in enumerate(COMMISSION_COMMISSION, 1)]
+    )
+    out = summaries.monthly_totals(wide, COMMISSION_COMMISSION)
+    return out.select("month_idx", "month", F.round("value", 2).alias("value"))
+
+
+# ------------------------------------------------------------------ merge
+
+MERGE_SQL = "WITH " + td.SALES_ROWS_SQL + """,
+l AS (SELECT n_name AS captive, c_mktsegment AS client, sum(l_extendedprice) AS rlip, sum(l_tax) AS gwp,
+        arg_min_null(l_quantity, row_idx) AS units
+      FROM sales_rows WHERE l_returnflag = 'R' AND c_nationkey % 4 <> 0 GROUP BY 1, 2),
+r AS (SELECT n_name AS captive, c_mktsegment AS client, sum(l_extendedprice) AS rap, sum(l_tax) AS gwp,
+        arg_min_null(l_quantity, row_idx) AS units, sum(l_quantity) AS enrolled
+      FROM sales_rows WHERE l_returnflag = 'A' AND c_nationkey % 4 <> 1 GROUP BY 1, 2)
+SELECT captive AS captive_name_captive_name, client AS captive_name_client,
+  round(coalesce(l.rlip, 0.0), 2) AS popic_fee_rlip,
+  round(coalesce(l.gwp, 0.0) + coalesce(r.gwp, 0.0), 2) AS gross_written_premium,
+  round(coalesce(l.units, r.units, 0.0), 2) AS total_available_units,
+  round(coalesce(r.rap, 0.0), 2) AS popic_fee_rap,
+  round(coalesce(r.enrolled, 0.0), 2) AS enrolled_units
+FROM l FULL JOIN r USING (captive, client)"""
+
+
+def _half_report(rows: DataFrame, flag: str, nation_mod: int, measures: dict) -> DataFrame:
+    from ledgerfold.spec import CAPTIVE_CLIENT, CAPTIVE_KEY
+
+    src = rows.filter((F.col("l_returnflag") == flag) & (F.col("c_nationkey") % 4 != nation_mod)).select(
+        F.lit("all").alias("file"), "row_idx",
+        F.col("n_name").alias(CAPTIVE_KEY), F.col("c_mktsegment").alias(CAPTIVE_CLIENT),
+        *[F.col(src).alias(dst) for dst, src in measures.items()],
+    )
+    cleaned = clean.clean_measures(src, CAPTIVE_SPEC)
+    return cons.group_rows(cleaned, CAPTIVE_SPEC, file_col="file", per_file=False, sort=False)
+
+
+@register("merge_reports", MERGE_SQL)
+def q_merge_reports(spark, sf_dir):
+    from ledgerfold.operators.merge import merge_reports
+
+    rows = td.sales_rows(spark, sf_dir)
+    left = _half_report(rows, "R", 0, {"POPIC Fee RLIP": "l_extendedprice", "Gross Written Premium": "l_tax",
+                                        "Total Available Units": "l_quantity"})
+    right = _half_report(rows, "A", 1, {"POPIC Fee RAP": "l_extendedprice", "Gross Written Premium": "l_tax",
+                                         "Total Available Units": "l_quantity", "Enrolled Units": "l_quantity"})
+    return _round_doubles(_snake_all(merge_reports(left, right)))

@@ -160,3 +160,79 @@ def forward_fill_sql(col: str, part: str, order: str) -> str:
         f"last_value({col} IGNORE NULLS) OVER (PARTITION BY {part} ORDER BY {order} "
         f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
+
+
+# ---------------------------------------------------------------- SQL mirrors of
+# the period and month expressions (oracle side; generated from the same fixed
+# month list the Spark expressions use).
+
+from ledgerfold.spec import MONTH_NAMES  # noqa: E402
+from ledgerfold.functions.periods import SHORT_MONTHS  # noqa: E402
+
+NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _sql_int_extract(s: str, pattern: str, group: int) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({s}, '{pattern}', {group}), '') AS INTEGER)"
+
+
+def _sql_period(y: str, m: str) -> str:
+    return f"CASE WHEN ({y}) IS NOT NULL AND ({m}) IS NOT NULL THEN struct_pack(year := CAST({y} AS INTEGER), month := CAST({m} AS INTEGER)) END"
+
+
+def _sql_pivot(y: str) -> str:
+    return f"CASE WHEN {y} < 50 THEN {y} + 2000 WHEN {y} < 100 THEN {y} + 1900 ELSE {y} END"
+
+
+def period_from_filename_sql(x: str) -> str:
+    base = f"regexp_replace({x}, '\\.[^.]*$', '')"
+    cands = []
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        y = _sql_int_extract(base, rf"(?i)(?:^|[\s_\-]){m.lower()}\s*(\d{{4}}|\d{{2}})\b", 1)
+        cands.append(_sql_period(_sql_pivot(y), str(i)))
+    short_pat = r"(?i)\b(" + "|".join(SHORT_MONTHS) + r")\s*[.\s-]*(\d{4}|\d{2})\b"
+    sm = f"nullif(list_position([{', '.join(repr(s) for s in SHORT_MONTHS)}], lower(regexp_extract({base}, '{short_pat}', 1))), 0)"
+    sy = _sql_pivot(_sql_int_extract(base, short_pat, 2))
+    cands.append(_sql_period(sy, sm))
+    ym = r"(20\d{2})[-_](\d{1,2})\b"
+    y = _sql_int_extract(base, ym, 1)
+    mm = _sql_int_extract(base, ym, 2)
+    cands.append(_sql_period(y, f"CASE WHEN {mm} BETWEEN 1 AND 12 THEN {mm} END"))
+    return f"CASE WHEN {x} IS NOT NULL AND {x} <> '' THEN coalesce({', '.join(cands)}) END"
+
+
+def period_from_title_sql(x: str) -> str:
+    s = f"trim({x})"
+    cands = []
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        y = _sql_int_extract(s, rf"(?i)^{m.lower()}\s+(\d{{4}})$", 1)
+        cands.append(_sql_period(y, str(i)))
+    ym = r"(20\d{2})[-/](\d{1,2})"
+    y = _sql_int_extract(s, ym, 1)
+    mm = _sql_int_extract(s, ym, 2)
+    cands.append(_sql_period(y, f"CASE WHEN {mm} BETWEEN 1 AND 12 THEN {mm} END"))
+    return f"coalesce({', '.join(cands)})"
+
+
+def month_number_sql(x: str) -> str:
+    s = f"lower(trim({x}))"
+    branches = " ".join(
+        f"WHEN starts_with('{m.lower()}', {s}) OR starts_with({s}, '{m.lower()}') OR {s} = '{i}' THEN {i}"
+        for i, m in enumerate(MONTH_NAMES, start=1)
+    )
+    num = f"(CASE WHEN regexp_matches({s}, '{NUMBER_RE}') THEN TRY_CAST({s} AS DOUBLE) END)"
+    fallback = f"coalesce(CASE WHEN abs({num}) < 2147483648 THEN CAST(trunc({num}) AS INTEGER) END, 0)"
+    return f"(CASE WHEN {s} IS NULL OR {s} = '' THEN NULL {branches} ELSE {fallback} END)"
+
+
+def year_number_sql(x: str) -> str:
+    t = f"trim(CAST({x} AS VARCHAR))"
+    return f"(CASE WHEN regexp_matches({t}, '^[+-]?[0-9]{{1,9}}$') THEN TRY_CAST({t} AS INTEGER) END)"
+
+
+def format_period_sql(y: str, m: str) -> str:
+    names = "[" + ", ".join(repr(n) for n in MONTH_NAMES) + "]"
+    return (
+        f"CASE WHEN {y} IS NULL OR {m} IS NULL THEN NULL WHEN {m} BETWEEN 1 AND 12 "
+        f"THEN {names}[{m}] || ' ' || CAST({y} AS VARCHAR) ELSE CAST({y} AS VARCHAR) || '-' || CAST({m} AS VARCHAR) END"
+    )
