@@ -39,45 +39,100 @@ def strip_extension(name) -> Column:
     return F.regexp_replace(_col(name), r"\.[^.]*$", "")
 
 
+def _filename_candidates(base: Column) -> list[tuple[str, Column]]:
+    """Year-text extracts of the file-name forms, in priority order."""
+    out = []
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        out.append((f"m{i}", F.regexp_extract(base, rf"(?i)(?:^|[\s_\-]){m.lower()}\s*(\d{{4}}|\d{{2}})\b", 1)))
+    short_pat = r"(?i)\b(" + "|".join(SHORT_MONTHS) + r")\s*[.\s-]*(\d{4}|\d{2})\b"
+    out.append(("sname", F.lower(F.regexp_extract(base, short_pat, 1))))
+    out.append(("syear", F.regexp_extract(base, short_pat, 2)))
+    ym_pat = r"(20\d{2})[-_](\d{1,2})\b"
+    out.append(("ymy", F.regexp_extract(base, ym_pat, 1)))
+    out.append(("ymm", F.regexp_extract(base, ym_pat, 2)))
+    return out
+
+
+def _filename_period_from_parts(get) -> Column:
+    """Combine the extracts (``get(name)`` gives each as a column) into a period."""
+    cands = []
+    for i in range(1, 13):
+        y = F.nullif(get(f"m{i}"), F.lit("")).try_cast("int")
+        cands.append(period(_pivot_two_digit(y), F.lit(i)))
+    short_month = F.array_position(F.array(*[F.lit(s) for s in SHORT_MONTHS]), get("sname"))
+    short_year = _pivot_two_digit(F.nullif(get("syear"), F.lit("")).try_cast("int"))
+    cands.append(period(short_year, F.when(short_month > 0, short_month)))
+    y = F.nullif(get("ymy"), F.lit("")).try_cast("int")
+    m = F.nullif(get("ymm"), F.lit("")).try_cast("int")
+    cands.append(period(y, F.when((m >= 1) & (m <= 12), m)))
+    return F.coalesce(*cands)
+
+
 def period_from_filename(name) -> Column:
     """Period named in a file name: full month + year (calendar order), then a
-    three-letter month + year, then ``20YY-MM`` / ``20YY_MM``; first hit wins."""
+    three-letter month + year, then ``20YY-MM`` / ``20YY_MM``; first hit wins.
+
+    As one expression this is large; on big inputs prefer
+    :func:`with_filename_period`, which stages it in three projections."""
     base = strip_extension(name)
-    candidates = []
+    parts = dict(_filename_candidates(base))
+    return F.when(_col(name).isNotNull() & (_col(name) != ""), _filename_period_from_parts(parts.__getitem__))
+
+
+def with_filename_period(df, name_col: str, out_col: str):
+    """``df`` plus ``out_col``: the file-name period, computed in stages so each
+    generated method stays small (the single expression repeats the extension
+    strip in every candidate)."""
+    tmp = "__fnp_base"
+    d = df.withColumn(tmp, strip_extension(name_col))
+    parts = _filename_candidates(F.col(tmp))
+    d = d.select("*", *[c.alias(f"__fnp_{n}") for n, c in parts])
+    res = F.when(
+        F.col(name_col).isNotNull() & (F.col(name_col) != ""),
+        _filename_period_from_parts(lambda n: F.col(f"__fnp_{n}")),
+    )
+    d = d.withColumn(out_col, res)
+    return d.drop(tmp, *[f"__fnp_{n}" for n, _ in parts])
+
+
+def _title_candidates(s: Column) -> list[tuple[str, Column]]:
+    out = []
     for i, m in enumerate(MONTH_NAMES, start=1):
-        y = _extract_int(base, rf"(?i)(?:^|[\s_\-]){m.lower()}\s*(\d{{4}}|\d{{2}})\b", 1)
-        candidates.append(period(_pivot_two_digit(y), F.lit(i)))
-    short_pat = r"(?i)\b(" + "|".join(SHORT_MONTHS) + r")\s*[.\s-]*(\d{4}|\d{2})\b"
-    short_name = F.lower(F.regexp_extract(base, short_pat, 1))
-    short_year = _pivot_two_digit(_extract_int(base, short_pat, 2))
-    short_month = F.array_position(F.array(*[F.lit(s) for s in SHORT_MONTHS]), short_name)
-    candidates.append(period(short_year, F.when(short_month > 0, short_month)))
-    ym_pat = r"(20\d{2})[-_](\d{1,2})\b"
-    y = _extract_int(base, ym_pat, 1)
-    m = _extract_int(base, ym_pat, 2)
-    candidates.append(period(y, F.when((m >= 1) & (m <= 12), m)))
-    return F.when(_col(name).isNotNull() & (_col(name) != ""), F.coalesce(*candidates))
+        out.append((f"m{i}", F.regexp_extract(s, rf"(?i)^{m.lower()}\s+(\d{{4}})$", 1)))
+    ym_pat = r"(20\d{2})[-/](\d{1,2})"
+    out.append(("ymy", F.regexp_extract(s, ym_pat, 1)))
+    out.append(("ymm", F.regexp_extract(s, ym_pat, 2)))
+    return out
+
+
+def _title_period_from_parts(get) -> Column:
+    cands = []
+    for i in range(1, 13):
+        cands.append(period(F.nullif(get(f"m{i}"), F.lit("")).try_cast("int"), F.lit(i)))
+    y = F.nullif(get("ymy"), F.lit("")).try_cast("int")
+    m = F.nullif(get("ymm"), F.lit("")).try_cast("int")
+    cands.append(period(y, F.when((m >= 1) & (m <= 12), m)))
+    return F.coalesce(*cands)
 
 
 def period_from_title_text(value) -> Column:
     """Period in one title cell: ``^Month YYYY$`` (any case), else ``20YY-MM`` or
-    ``20YY/MM`` anywhere with month 1-12."""
-    s = F.trim(_col(value))
-    candidates = []
-    for i, m in enumerate(MONTH_NAMES, start=1):
-        y = _extract_int(s, rf"(?i)^{m.lower()}\s+(\d{{4}})$", 1)
-        candidates.append(period(y, F.lit(i)))
-    ym_pat = r"(20\d{2})[-/](\d{1,2})"
-    y = _extract_int(s, ym_pat, 1)
-    m = _extract_int(s, ym_pat, 2)
-    candidates.append(period(y, F.when((m >= 1) & (m <= 12), m)))
-    return F.coalesce(*candidates)
+    ``20YY/MM`` anywhere with month 1-12.  See :func:`with_title_period` for the
+    staged form used on large inputs."""
+    parts = dict(_title_candidates(F.trim(_col(value))))
+    return _title_period_from_parts(parts.__getitem__)
 
 
-def month_number(text) -> Column:
-    """Month text -> 1..12 by prefix either way or the number text; else int(float);
-    else 0.  Empty text is treated as missing (null), not January."""
-    s = F.lower(F.trim(_col(text)))
+def with_title_period(df, value_col: str, out_col: str):
+    """``df`` plus ``out_col``: the title-cell period, computed in stages."""
+    d = df.withColumn("__tp_s", F.trim(F.col(value_col)))
+    parts = _title_candidates(F.col("__tp_s"))
+    d = d.select("*", *[c.alias(f"__tp_{n}") for n, c in parts])
+    d = d.withColumn(out_col, _title_period_from_parts(lambda n: F.col(f"__tp_{n}")))
+    return d.drop("__tp_s", *[f"__tp_{n}" for n, _ in parts])
+
+
+def _month_number_normalized(s: Column) -> Column:
     branches = None
     for i, m in enumerate(MONTH_NAMES, start=1):
         lm = F.lit(m.lower())
@@ -85,12 +140,24 @@ def month_number(text) -> Column:
         branches = F.when(cond, F.lit(i)) if branches is None else branches.when(cond, F.lit(i))
     as_num = F.when(
         s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"),
-        F.try_cast(s, "double"),
+        s.try_cast("double"),
     )
     fallback = F.coalesce(F.when(F.abs(as_num) < 2147483648, as_num.cast("int")), F.lit(0))
     return F.when(s.isNull() | (s == ""), F.lit(None).cast("int")).otherwise(branches.otherwise(fallback))
 
 
+def month_number(text) -> Column:
+    """Month text -> 1..12 by prefix either way or the number text; else int(float);
+    else 0.  Empty text is treated as missing (null), not January."""
+    return _month_number_normalized(F.lower(F.trim(_col(text))))
+
+
+def with_month_number(df, text_col: str, out_col: str):
+    """``df`` plus ``out_col`` = month_number(text_col), normalising the text once."""
+    d = df.withColumn("__mn_s", F.lower(F.trim(F.col(text_col))))
+    return d.withColumn(out_col, _month_number_normalized(F.col("__mn_s"))).drop("__mn_s")
+
+
 def year_number(value, is_numeric: bool = False) -> Column:
     """Year cell -> int: numbers are truncated; text must be an integer ("2025.0" fails)."""
     v = _col(value)

@@ -16,19 +16,22 @@ from ledgerfold.functions import periods as P
 
 
 def _first_period(df: DataFrame, file_col: str, period: Column, position: Column, name: str) -> DataFrame:
+    # No filter on the period: a filter would be pushed below the projection and
+    # inline the whole period expression a second time.  ``min_by`` skips rows
+    # whose ordering value is null, which drops the rows without a period.
     return (
         df.select(F.col(file_col), period.alias("__p"), position.alias("__pos"))
-        .filter(F.col("__p").isNotNull())
         .groupBy(file_col)
-        .agg(F.min_by("__p", "__pos").alias(name))
+        .agg(F.min_by("__p", F.when(F.col("__p").isNotNull(), F.col("__pos"))).alias(name))
+        .filter(F.col(name).isNotNull())
     )
 
 
 def period_from_title(cells: DataFrame, file_col: str = "file", row_col: str = "row_idx",
                       col_col: str = "col_idx", value_col: str = "value", name: str = "period_from_header") -> DataFrame:
     """First title cell (row-major) holding a period -> ``(file, period)``."""
-    return _first_period(cells, file_col, P.period_from_title_text(value_col),
-                         F.struct(F.col(row_col), F.col(col_col)), name)
+    staged = P.with_title_period(cells.select(file_col, row_col, col_col, value_col), value_col, "__title_p")
+    return _first_period(staged, file_col, F.col("__title_p"), F.struct(F.col(row_col), F.col(col_col)), name)
 
 
 def period_from_table(
@@ -42,7 +45,11 @@ def period_from_table(
     """First row with a valid month (1-12) and year (1900-2100) -> ``(file, period)``."""
     kinds = dict(df.dtypes)
     numeric = lambda c: kinds[c] not in ("string",)
-    m = (F.col(month_col).cast("int") if numeric(month_col) else P.month_number(month_col))
+    if not numeric(month_col):
+        df = P.with_month_number(df, month_col, "__month_n")
+        m = F.col("__month_n")
+    else:
+        m = F.col(month_col).cast("int")
     y = P.year_number(year_col, is_numeric=numeric(year_col))
     ok = m.between(1, 12) & y.between(1900, 2100)
     return _first_period(df, file_col, F.when(ok, P.period(y, m)), F.col(order_col), name)

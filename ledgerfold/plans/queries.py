@@ -394,3 +394,221 @@ def q_merge_reports(spark, sf_dir):
     right = _half_report(rows, "A", 1, {"POPIC Fee RAP": "l_extendedprice", "Gross Written Premium": "l_tax",
                                          "Total Available Units": "l_quantity", "Enrolled Units": "l_quantity"})
     return _round_doubles(_snake_all(merge_reports(left, right)))
+
+
+# ------------------------------------------------------------------ periods
+
+
+def _orders_dates(spark, sf_dir):
+    o = td.table(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey", "o_custkey", "o_orderdate",
+        F.date_format("o_orderdate", "MMMM").alias("mname"),
+        F.date_format("o_orderdate", "MMM").alias("mshort"),
+        F.year("o_orderdate").alias("yy"),
+        F.month("o_orderdate").alias("mm"),
+    )
+
+
+ORDERS_DATES_SQL = """od AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, monthname(o_orderdate) AS mname, strftime(o_orderdate, '%b') AS mshort,
+    year(o_orderdate) AS yy, month(o_orderdate) AS mm
+  FROM orders)"""
+
+FILENAME_SQL = """CASE o_orderkey % 8
+  WHEN 0 THEN 'Report_' || mname || ' ' || CAST(yy AS VARCHAR) || '.xlsx'
+  WHEN 1 THEN 'Summary ' || mshort || ' ' || right(CAST(yy AS VARCHAR), 2) || '.csv'
+  WHEN 2 THEN 'data_' || CAST(yy + 25 AS VARCHAR) || '-' || CAST(mm AS VARCHAR) || '.xlsx'
+  WHEN 3 THEN 'Report_' || mshort || ' ' || CAST(yy AS VARCHAR) || '.xlsx'
+  WHEN 4 THEN 'x_' || CAST(yy + 25 AS VARCHAR) || '_' || CAST(mm AS VARCHAR) || '_30'
+  WHEN 5 THEN upper(mname) || CAST(yy AS VARCHAR)
+  WHEN 6 THEN 'RLIP ' || lower(mname) || ' ' || right(CAST(yy AS VARCHAR), 2) || '.v2.xlsx'
+  ELSE 'random_file.xlsx' END"""
+
+
+def _filename(d: DataFrame):
+    k = F.col("o_orderkey") % 8
+    y = F.col("yy").cast("string")
+    y2 = F.substring(y, -2, 2)
+    return (
+        F.when(k == 0, F.concat(F.lit("Report_"), "mname", F.lit(" "), y, F.lit(".xlsx")))
+        .when(k == 1, F.concat(F.lit("Summary "), "mshort", F.lit(" "), y2, F.lit(".csv")))
+        .when(k == 2, F.concat(F.lit("data_"), (F.col("yy") + 25).cast("string"), F.lit("-"), F.col("mm").cast("string"), F.lit(".xlsx")))
+        .when(k == 3, F.concat(F.lit("Report_"), "mshort", F.lit(" "), y, F.lit(".xlsx")))
+        .when(k == 4, F.concat(F.lit("x_"), (F.col("yy") + 25).cast("string"), F.lit("_"), F.col("mm").cast("string"), F.lit("_30")))
+        .when(k == 5, F.concat(F.upper("mname"), y))
+        .when(k == 6, F.concat(F.lit("RLIP "), F.lower("mname"), F.lit(" "), y2, F.lit(".v2.xlsx")))
+        .otherwise(F.lit("random_file.xlsx"))
+    )
+
+
+@register("period_from_name", "WITH " + ORDERS_DATES_SQL + f""",
+f AS (SELECT o_orderkey, {FILENAME_SQL} AS filename FROM od),
+p AS (SELECT o_orderkey, filename, {td.period_from_filename_sql('filename')} AS per FROM f)
+SELECT o_orderkey, filename, per.year AS year, per.month AS month FROM p""")
+def q_period_from_name(spark, sf_dir):
+    from ledgerfold.functions.periods import with_filename_period
+
+    d = _orders_dates(spark, sf_dir)
+    f = d.select("o_orderkey", _filename(d).alias("filename"))
+    p = with_filename_period(f, "filename", "per")
+    return p.select("o_orderkey", "filename", F.col("per.year").alias("year"), F.col("per.month").alias("month"))
+
+
+TITLE_SQL = """CASE o_orderkey % 5
+  WHEN 0 THEN mname || ' ' || CAST(yy AS VARCHAR)
+  WHEN 1 THEN 'Report period: ' || CAST(yy + 25 AS VARCHAR) || '/' || CAST(mm AS VARCHAR)
+  WHEN 2 THEN 'Generated ' || mname || ' ' || CAST(yy AS VARCHAR)
+  WHEN 3 THEN ' ' || upper(mname) || '  ' || CAST(yy AS VARCHAR)
+  ELSE 'Printed ' || CAST(yy AS VARCHAR) || '-' || CAST(mm AS VARCHAR) END"""
+
+
+def _title_text(d: DataFrame):
+    k = F.col("o_orderkey") % 5
+    y = F.col("yy").cast("string")
+    return (
+        F.when(k == 0, F.concat("mname", F.lit(" "), y))
+        .when(k == 1, F.concat(F.lit("Report period: "), (F.col("yy") + 25).cast("string"), F.lit("/"), F.col("mm").cast("string")))
+        .when(k == 2, F.concat(F.lit("Generated "), "mname", F.lit(" "), y))
+        .when(k == 3, F.concat(F.lit(" "), F.upper("mname"), F.lit("  "), y))
+        .otherwise(F.concat(F.lit("Printed "), y, F.lit("-"), F.col("mm").cast("string")))
+    )
+
+
+@register("period_from_title", "WITH " + ORDERS_DATES_SQL + f""",
+c AS (SELECT o_custkey AS file, o_orderkey AS row_idx, 0 AS col_idx, {TITLE_SQL} AS value FROM od),
+p AS (SELECT file, row_idx, col_idx, {td.period_from_title_sql('value')} AS per FROM c)
+SELECT file, arg_min(per, (row_idx, col_idx)).year AS year, arg_min(per, (row_idx, col_idx)).month AS month
+FROM p WHERE per IS NOT NULL GROUP BY file""")
+def q_period_from_title(spark, sf_dir):
+    from ledgerfold.operators.periods import period_from_title
+
+    d = _orders_dates(spark, sf_dir)
+    cells = d.select(
+        F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("row_idx"), F.lit(0).alias("col_idx"),
+        _title_text(d).alias("value"),
+    )
+    p = period_from_title(cells)
+    return p.select("file", F.col("period_from_header.year").alias("year"), F.col("period_from_header.month").alias("month"))
+
+
+MONTH_TEXT_SQL = """CASE o_orderkey % 9
+  WHEN 0 THEN mname WHEN 1 THEN mshort WHEN 2 THEN lower(substr(mname, 1, 2))
+  WHEN 3 THEN CAST(mm AS VARCHAR) WHEN 4 THEN lpad(CAST(mm AS VARCHAR), 2, '0') WHEN 5 THEN ''
+  WHEN 6 THEN 'x' WHEN 7 THEN upper(mname) ELSE CAST(mm AS VARCHAR) || '.0' END"""
+
+
+def _month_text(d: DataFrame):
+    k = F.col("o_orderkey") % 9
+    m = F.col("mm").cast("string")
+    return (
+        F.when(k == 0, F.col("mname")).when(k == 1, F.col("mshort")).when(k == 2, F.lower(F.substring("mname", 1, 2)))
+        .when(k == 3, m).when(k == 4, F.lpad(m, 2, "0")).when(k == 5, F.lit(""))
+        .when(k == 6, F.lit("x")).when(k == 7, F.upper("mname")).otherwise(F.concat(m, F.lit(".0")))
+    )
+
+
+@register("month_number", "WITH " + ORDERS_DATES_SQL + f"""
+SELECT o_orderkey, {MONTH_TEXT_SQL} AS month_text, {td.month_number_sql(MONTH_TEXT_SQL)} AS month_num FROM od""")
+def q_month_number(spark, sf_dir):
+    from ledgerfold.functions.periods import with_month_number
+
+    d = _orders_dates(spark, sf_dir)
+    t = d.select("o_orderkey", _month_text(d).alias("month_text"))
+    return with_month_number(t, "month_text", "month_num")
+
+
+YEAR_TEXT_SQL = """CASE o_orderkey % 4 WHEN 0 THEN CAST(yy AS VARCHAR) WHEN 1 THEN NULL
+  WHEN 2 THEN CAST(yy AS VARCHAR) || '.0' ELSE '  ' || CAST(yy AS VARCHAR) || ' ' END"""
+
+
+def _year_text(d: DataFrame):
+    k = F.col("o_orderkey") % 4
+    y = F.col("yy").cast("string")
+    return (
+        F.when(k == 0, y).when(k == 1, F.lit(None).cast("string")).when(k == 2, F.concat(y, F.lit(".0")))
+        .otherwise(F.concat(F.lit("  "), y, F.lit(" ")))
+    )
+
+
+@register("period_from_table", "WITH " + ORDERS_DATES_SQL + f""",
+t AS (SELECT o_custkey AS file, o_orderkey AS row_idx, {td.month_number_sql(MONTH_TEXT_SQL)} AS m,
+        {td.year_number_sql(YEAR_TEXT_SQL)} AS y FROM od),
+v AS (SELECT * FROM t WHERE m BETWEEN 1 AND 12 AND y BETWEEN 1900 AND 2100)
+SELECT file, arg_min(y, row_idx) AS year, arg_min(m, row_idx) AS month FROM v GROUP BY file""")
+def q_period_from_table(spark, sf_dir):
+    from ledgerfold.operators.periods import period_from_table
+
+    d = _orders_dates(spark, sf_dir)
+    t = d.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("row_idx"),
+                 _month_text(d).alias("Month"), _year_text(d).alias("Year"))
+    p = period_from_table(t, "Month", "Year")
+    return p.select("file", F.col("canonical_period.year").alias("year"), F.col("canonical_period.month").alias("month"))
+
+
+@register("period_from_year", "WITH " + ORDERS_DATES_SQL + f""",
+t AS (SELECT o_custkey AS file, o_orderkey AS row_idx, {td.year_number_sql(YEAR_TEXT_SQL)} AS y FROM od)
+SELECT file, arg_min(y, row_idx) AS year, 1 AS month FROM t WHERE y BETWEEN 1900 AND 2100 GROUP BY file""")
+def q_period_from_year(spark, sf_dir):
+    from ledgerfold.operators.periods import period_from_year
+
+    d = _orders_dates(spark, sf_dir)
+    t = d.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("row_idx"), _year_text(d).alias("Year"))
+    p = period_from_year(t, "Year")
+    return p.select("file", F.col("canonical_period.year").alias("year"), F.col("canonical_period.month").alias("month"))
+
+
+@register("format_period", "WITH " + ORDERS_DATES_SQL + f"""
+SELECT o_orderkey, CAST(yy AS INTEGER) AS year, CAST(o_orderkey % 14 AS INTEGER) AS month,
+  {td.format_period_sql('yy', 'CAST(o_orderkey % 14 AS INTEGER)')} AS period_text FROM od""")
+def q_format_period(spark, sf_dir):
+    from ledgerfold.functions.periods import format_period, period
+
+    d = _orders_dates(spark, sf_dir)
+    t = d.select("o_orderkey", F.col("yy").cast("int").alias("year"), (F.col("o_orderkey") % 14).cast("int").alias("month"))
+    return t.select("o_orderkey", "year", "month", format_period(period(F.col("year"), F.col("month"))).alias("period_text"))
+
+
+NOTES_SQL = "WITH " + ORDERS_DATES_SQL + f""",
+per AS (
+  SELECT o_custkey AS file,
+    CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE arg_min(struct_pack(year := CAST(yy AS INTEGER), month := CAST(mm AS INTEGER)), o_orderkey) END AS tp,
+    CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE arg_max(struct_pack(year := CAST(yy AS INTEGER), month := CAST(mm AS INTEGER)), o_orderdate) END AS fp,
+    CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE arg_min(struct_pack(year := CAST(yy AS INTEGER), month := CAST(mm AS INTEGER)), o_orderdate) END AS hp
+  FROM od GROUP BY o_custkey),
+fmt AS (
+  SELECT file, tp, fp, hp,
+    {td.format_period_sql('tp.year', 'tp.month')} AS ts,
+    {td.format_period_sql('fp.year', 'fp.month')} AS fs,
+    {td.format_period_sql('hp.year', 'hp.month')} AS hs
+  FROM per),
+n AS (
+  SELECT file,
+    CASE WHEN tp IS NOT NULL AND fp IS NOT NULL AND fp IS DISTINCT FROM tp THEN 'Filename suggests ' || fs || '; table period is ' || ts || '.' END AS n1,
+    CASE WHEN tp IS NOT NULL AND hp IS NOT NULL AND hp IS DISTINCT FROM tp THEN 'Header suggests ' || hs || '; table period is ' || ts || '.' END AS n2,
+    CASE WHEN tp IS NOT NULL AND fp IS NOT NULL AND hp IS NOT NULL AND fp IS DISTINCT FROM hp THEN 'Filename suggests ' || fs || '; header suggests ' || hs || '.' END AS n3
+  FROM fmt)
+SELECT file, CAST((n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT + (n3 IS NOT NULL)::INT AS INTEGER) AS n_notes,
+  concat_ws(' / ', n1, n2, n3) AS notes FROM n"""
+
+
+@register("discrepancy_notes", NOTES_SQL)
+def q_discrepancy_notes(spark, sf_dir):
+    from ledgerfold.functions.periods import discrepancy_notes, period
+
+    d = _orders_dates(spark, sf_dir)
+    p = period(F.col("yy"), F.col("mm"))
+    per = d.groupBy(F.col("o_custkey").alias("file")).agg(
+        F.min_by(p, "o_orderkey").alias("tp"),
+        F.max_by(p, "o_orderdate").alias("fp"),
+        F.min_by(p, "o_orderdate").alias("hp"),
+    )
+    f = F.col("file")
+    per = per.select(
+        "file",
+        F.when(f % 10 == 0, F.lit(None)).otherwise(F.col("tp")).alias("tp"),
+        F.when(f % 7 == 0, F.lit(None)).otherwise(F.col("fp")).alias("fp"),
+        F.when(f % 5 == 0, F.lit(None)).otherwise(F.col("hp")).alias("hp"),
+    )
+    notes = per.select("file", discrepancy_notes("tp", "fp", "hp").alias("notes"))
+    return notes.select("file", F.size("notes").cast("int").alias("n_notes"), F.array_join("notes", " / ").alias("notes"))
