@@ -612,3 +612,258 @@ def q_discrepancy_notes(spark, sf_dir):
     )
     notes = per.select("file", discrepancy_notes("tp", "fp", "hp").alias("notes"))
     return notes.select("file", F.size("notes").cast("int").alias("n_notes"), F.array_join("notes", " / ").alias("notes"))
+
+
+# ------------------------------------------------------------------ explore view
+
+JS_TEXT_SQL = "regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+
+
+def _js_sql(x: str) -> str:
+    return "coalesce(" + JS_TEXT_SQL.format(x=x) + ", '')"
+
+
+def _customer(spark, sf_dir):
+    return td.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+
+
+SEARCH_SQL = f"""
+SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer
+WHERE contains(lower({_js_sql('c_custkey')}), '12') OR contains(lower(coalesce(c_name, '')), '12')
+   OR contains(lower({_js_sql('c_acctbal')}), '12') OR contains(lower(coalesce(c_mktsegment, '')), '12')"""
+
+
+@register("search_rows", SEARCH_SQL)
+def q_search_rows(spark, sf_dir):
+    from ledgerfold.operators.explore import search_rows
+
+    c = _customer(spark, sf_dir).drop("c_nationkey")
+    return search_rows(c, " 12 ")
+
+
+@register("facet_filter", """
+SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
+WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def q_facet_filter(spark, sf_dir):
+    from ledgerfold.operators.explore import facet_filter
+
+    o = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return facet_filter(o, {"o_orderstatus": ["F", " O"], "o_orderpriority": ["1-URGENT", "2-HIGH "], "o_orderkey": []})
+
+
+SORT_SRC_SQL = """s AS (
+  SELECT o_orderkey, o_orderstatus,
+    CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS amount
+  FROM orders)"""
+
+
+def _sort_src(spark, sf_dir):
+    o = td.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 10
+    return o.select(
+        "o_orderkey", "o_orderstatus",
+        F.when(k == 0, F.lit(None).cast("double")).when(k == 1, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("amount"),
+    )
+
+
+@register("user_sort", "WITH " + SORT_SRC_SQL + """
+SELECT o_orderkey, o_orderstatus, amount,
+  CAST(row_number() OVER (PARTITION BY o_orderstatus
+    ORDER BY isnan(coalesce(amount, 0.0)), coalesce(amount, 0.0) DESC, o_orderkey) AS INTEGER) AS rank
+FROM s""")
+def q_user_sort(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ledgerfold.operators.explore import sort_keys
+
+    s = _sort_src(spark, sf_dir)
+    keys = sort_keys(s, "amount", "desc", numeric=True, order_col="o_orderkey")
+    w = Window.partitionBy("o_orderstatus").orderBy(*keys)
+    return s.select("o_orderkey", "o_orderstatus", "amount", F.row_number().over(w).cast("int").alias("rank"))
+
+
+@register("user_sort_text", """
+WITH s AS (SELECT c_custkey, c_nationkey,
+  CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment WHEN 2 THEN NULL
+    ELSE lower(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) END AS seg FROM customer)
+SELECT c_custkey, c_nationkey, seg,
+  CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(coalesce(seg, '')), c_custkey) AS INTEGER) AS rank
+FROM s""")
+def q_user_sort_text(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ledgerfold.operators.explore import sort_keys
+
+    c = _customer(spark, sf_dir)
+    k = F.col("c_custkey") % 4
+    seg = (
+        F.when(k == 0, F.lower("c_mktsegment")).when(k == 1, F.col("c_mktsegment")).when(k == 2, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lower(F.substring("c_mktsegment", 1, 1)), F.expr("substring(c_mktsegment, 2)")))
+    )
+    s = c.select("c_custkey", "c_nationkey", seg.alias("seg"))
+    keys = sort_keys(s, "seg", "asc", numeric=False, order_col="c_custkey")
+    w = Window.partitionBy("c_nationkey").orderBy(*keys)
+    return s.select("c_custkey", "c_nationkey", "seg", F.row_number().over(w).cast("int").alias("rank"))
+
+
+@register("page_slice", """
+WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn,
+  count(*) OVER () AS n FROM orders),
+p AS (SELECT least(999999, greatest(0, CAST(ceil(max(n) / 25.0) AS BIGINT) - 1)) * 25 AS off FROM r)
+SELECT o_orderkey, o_totalprice FROM r, p WHERE rn > off AND rn <= off + 25""")
+def q_page_slice(spark, sf_dir):
+    from ledgerfold.operators.explore import page_slice
+
+    o = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return page_slice(o.orderBy(F.col("o_totalprice").desc(), "o_orderkey"), 999999, 25)
+
+
+@register("page_info", """
+WITH f AS (SELECT * FROM customer WHERE contains(lower(coalesce(c_mktsegment, '')), 'ma')),
+n AS (SELECT count(*) AS total_rows, CAST(ceil(count(*) / 25.0) AS BIGINT) AS page_count FROM f),
+i AS (SELECT total_rows, page_count, CAST(least(greatest(0, 7), greatest(0, page_count - 1)) AS BIGINT) AS page_index FROM n)
+SELECT total_rows, page_count, page_index,
+  CAST(CASE WHEN total_rows = 0 THEN 0 ELSE page_index * 25 + 1 END AS BIGINT) AS range_start,
+  CAST(least(page_index * 25 + 25, total_rows) AS BIGINT) AS range_end FROM i""")
+def q_page_info(spark, sf_dir):
+    from ledgerfold.operators.explore import page_info, search_rows
+
+    c = _customer(spark, sf_dir)
+    return page_info(search_rows(c, "MA", ["c_mktsegment"]), 7, 25)
+
+
+@register("explore_table", f"""
+WITH f AS (
+  SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer
+  WHERE (contains(lower({_js_sql('c_custkey')}), '1') OR contains(lower(coalesce(c_name, '')), '1')
+     OR contains(lower({_js_sql('c_acctbal')}), '1') OR contains(lower(coalesce(c_mktsegment, '')), '1'))
+    AND c_mktsegment IN ('BUILDING', 'MACHINERY')),
+r AS (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM f)
+SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM r WHERE rn > 20 AND rn <= 30""")
+def q_explore_table(spark, sf_dir):
+    from ledgerfold.operators.explore import explore
+
+    c = _customer(spark, sf_dir).drop("c_nationkey")
+    return explore(c, search=" 1", facets={"c_mktsegment": ["BUILDING", "MACHINERY"]}, sort_column="c_acctbal",
+                   direction="desc", order_col="c_custkey", page_index=2, page_size=10)
+
+
+DISTINCT_SRC_SQL = """s AS (SELECT CASE c_custkey % 5 WHEN 0 THEN ' ' || c_mktsegment || ' ' WHEN 1 THEN lower(c_mktsegment)
+  WHEN 2 THEN c_mktsegment WHEN 3 THEN NULL ELSE '' END AS seg FROM customer)"""
+
+
+def _distinct_src(spark, sf_dir):
+    c = _customer(spark, sf_dir)
+    k = F.col("c_custkey") % 5
+    seg = (
+        F.when(k == 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(" "))).when(k == 1, F.lower("c_mktsegment"))
+        .when(k == 2, F.col("c_mktsegment")).when(k == 3, F.lit(None).cast("string")).otherwise(F.lit(""))
+    )
+    return c.select(seg.alias("seg"))
+
+
+@register("distinct_values", "WITH " + DISTINCT_SRC_SQL + """
+SELECT DISTINCT trim(seg) AS value FROM s WHERE seg IS NOT NULL AND seg <> ''""")
+def q_distinct_values(spark, sf_dir):
+    from ledgerfold.operators.explore import distinct_values
+
+    return distinct_values(_distinct_src(spark, sf_dir), "seg")
+
+
+@register("distinct_values_search", "WITH " + DISTINCT_SRC_SQL + """
+SELECT DISTINCT trim(seg) AS value FROM s WHERE seg IS NOT NULL AND seg <> '' AND contains(lower(trim(seg)), 'ing')""")
+def q_distinct_values_search(spark, sf_dir):
+    from ledgerfold.operators.explore import distinct_values
+
+    return distinct_values(_distinct_src(spark, sf_dir), "seg", search=" ING ")
+
+
+PROFILE_SRC_SQL = """s AS (SELECT event_id, event_type, props,
+  CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN NULL ELSE CAST(value AS VARCHAR) END AS value_text,
+  CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS user_text FROM events)"""
+
+
+def _num_sql(c: str) -> str:
+    return (f"coalesce(bool_and(NOT ({c} IS NOT NULL AND {c} <> '' AND "
+            f"({td.lenient_float_sql(c)}) IS NULL)), true)")
+
+
+@register("profile_numeric", "WITH " + PROFILE_SRC_SQL + f"""
+SELECT 'event_id' AS column_name, true AS is_numeric
+UNION ALL SELECT 'event_type', {_num_sql('event_type')} FROM s
+UNION ALL SELECT 'props', {_num_sql('props')} FROM s
+UNION ALL SELECT 'value_text', {_num_sql('value_text')} FROM s
+UNION ALL SELECT 'user_text', {_num_sql('user_text')} FROM s""")
+def q_profile_numeric(spark, sf_dir):
+    from ledgerfold.operators.explore import profile_numeric
+
+    ev = td.table(spark, sf_dir, "events")
+    k = F.col("event_id") % 4
+    s = ev.select(
+        "event_id", "event_type", "props",
+        F.when(k == 0, F.lit("")).when(k == 1, F.lit(None).cast("string")).otherwise(F.col("value").cast("string")).alias("value_text"),
+        F.when(F.col("event_id") % 97 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string")).alias("user_text"),
+    )
+    return profile_numeric(s)
+
+
+def _fmt2_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(format('{{:,.2f}}', round({x}, 2)), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+
+
+@register("format_values", f"""
+SELECT l.row_idx, {_fmt2_sql('l_extendedprice')} AS amount_text,
+  {_fmt2_sql('l_discount * 100')} || '%' AS discount_text,
+  '$' || format('{{:,.2f}}', l_extendedprice) AS money_text,
+  regexp_replace(CAST(CAST(year(l_shipdate) AS DOUBLE) AS VARCHAR), '\\.0$', '') AS year_text
+FROM ({td.LINEITEM_ROWS_SQL.replace('lineitem_rows AS (', '', 1)[:-1]}) l""")
+def q_format_values(spark, sf_dir):
+    from ledgerfold.functions.text import currency_display, number_display, percent_display
+
+    li = td.lineitem_rows(spark, sf_dir)
+    return li.select(
+        "row_idx",
+        number_display("l_extendedprice").alias("amount_text"),
+        percent_display("l_discount").alias("discount_text"),
+        currency_display("l_extendedprice").alias("money_text"),
+        js_text_col(F.year("l_shipdate")).alias("year_text"),
+    )
+
+
+def js_text_col(c):
+    from ledgerfold.functions.numbers import js_text
+
+    return js_text(c.cast("double"))
+
+
+@register("truncate_label", """
+WITH s AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS label FROM part)
+SELECT p_partkey, CASE WHEN length(label) > 20 THEN left(label, 8) || '…' || right(label, 8) ELSE label END AS short_label,
+  CASE WHEN length(label) > 26 THEN left(label, 11) || '...' || right(label, 11) ELSE label END AS file_label
+FROM s""")
+def q_truncate_label(spark, sf_dir):
+    from ledgerfold.functions.text import truncate_middle
+
+    p = td.table(spark, sf_dir, "part")
+    s = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("label"))
+    return s.select("p_partkey", truncate_middle("label", 20).alias("short_label"),
+                    truncate_middle("label", 26, "...").alias("file_label"))
+
+
+@register("shuffle_points", TOP_ENTITIES_SQL)
+def q_shuffle_points(spark, sf_dir):
+    return summaries.shuffle_points(q_top_entities(spark, sf_dir), seed=11)
+
+
+ENVELOPE_COLUMNS = ("file,captive_name_captive_name,captive_name_client,gross_written_premium,taxes,"
+                    "popic_fee_rlip,total_available_units")
+
+
+@register("envelope", CONSOLIDATE_SQL.replace(
+    "SELECT file, captive AS captive_name_captive_name", "SELECT count(*) AS total_rows, '" + ENVELOPE_COLUMNS
+    + "' AS columns FROM (SELECT file, captive AS captive_name_captive_name", 1) + ") t")
+def q_envelope(spark, sf_dir):
+    data = q_consolidate(spark, sf_dir)
+    return data.agg(F.count(F.lit(1)).alias("total_rows")).select(
+        "total_rows", F.lit(",".join(data.columns)).alias("columns")
+    )
