@@ -867,3 +867,308 @@ def q_envelope(spark, sf_dir):
     return data.agg(F.count(F.lit(1)).alias("total_rows")).select(
         "total_rows", F.lit(",".join(data.columns)).alias("columns")
     )
+
+
+# ------------------------------------------------------------------ headers
+
+
+def _part(spark, sf_dir):
+    return td.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+
+
+CLEAN_SRC_SQL = """CASE p_partkey % 4 WHEN 0 THEN p_name || ' ↑' WHEN 1 THEN '  ' || p_name || '↑ '
+  WHEN 2 THEN p_type ELSE ' ' || p_brand || ' ' END"""
+
+
+@register("header_clean", f"""
+SELECT p_partkey, {CLEAN_SRC_SQL} AS raw, trim(replace({CLEAN_SRC_SQL}, '↑', '')) AS cleaned FROM part""")
+def q_header_clean(spark, sf_dir):
+    from ledgerfold.functions.text import clean_header
+
+    p = _part(spark, sf_dir)
+    k = F.col("p_partkey") % 4
+    raw = (
+        F.when(k == 0, F.concat("p_name", F.lit(" ↑"))).when(k == 1, F.concat(F.lit("  "), "p_name", F.lit("↑ ")))
+        .when(k == 2, F.col("p_type")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(" ")))
+    )
+    t = p.select("p_partkey", raw.alias("raw"))
+    return t.select("p_partkey", "raw", clean_header("raw").alias("cleaned"))
+
+
+NORM_SRC_SQL = """CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || ' #!' WHEN 1 THEN p_name || ':  ' || p_type
+  WHEN 2 THEN '  ' || p_brand WHEN 3 THEN replace(p_name, ' ', '   ') || '?' ELSE '%%' END"""
+
+
+def _norm_sql(x: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))")
+
+
+@register("header_normalize", f"""
+SELECT p_partkey, {NORM_SRC_SQL} AS raw, {_norm_sql(NORM_SRC_SQL)} AS normalized FROM part""")
+def q_header_normalize(spark, sf_dir):
+    from ledgerfold.functions.text import normalize_header
+
+    p = _part(spark, sf_dir)
+    k = F.col("p_partkey") % 5
+    raw = (
+        F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" #!"))).when(k == 1, F.concat("p_name", F.lit(":  "), "p_type"))
+        .when(k == 2, F.concat(F.lit("  "), "p_brand")).when(k == 3, F.concat(F.regexp_replace("p_name", " ", "   "), F.lit("?")))
+        .otherwise(F.lit("%%"))
+    )
+    t = p.select("p_partkey", raw.alias("raw"))
+    return t.select("p_partkey", "raw", normalize_header("raw").alias("normalized"))
+
+
+TOKEN_SRC_SQL = """CASE p_partkey % 6 WHEN 0 THEN 'Captive Name ' || p_name WHEN 1 THEN 'captiev nme ' || p_type
+  WHEN 2 THEN 'Client ' || p_brand WHEN 3 THEN 'cliant' WHEN 4 THEN 'Sales Person ' || p_name ELSE 'Referrer ' || p_type END"""
+
+
+def _any_sql(n: str, toks) -> str:
+    return "(" + " OR ".join(f"contains({n}, '{t}')" for t in toks) + ")"
+
+
+def _tokens_sql() -> str:
+    from ledgerfold.operators.headers import (CAPTIVE_TOKENS, CLIENT_TOKENS, NAME_TOKENS, SALESPERSON_TOKENS,
+                                              VENDOR_TOKENS)
+
+    n = "n"
+    return (f"({n} <> '' AND {_any_sql(n, CAPTIVE_TOKENS)} AND {_any_sql(n, NAME_TOKENS)}) AS captive_rule, "
+            f"({n} <> '' AND {_any_sql(n, CLIENT_TOKENS)}) AS client_rule, "
+            f"({n} <> '' AND {_any_sql(n, SALESPERSON_TOKENS)}) AS salesperson_rule, "
+            f"({n} <> '' AND {_any_sql(n, VENDOR_TOKENS)}) AS vendor_rule")
+
+
+@register("header_tokens", f"""
+WITH s AS (SELECT p_partkey, {TOKEN_SRC_SQL} AS raw FROM part),
+t AS (SELECT p_partkey, raw, {_norm_sql('raw')} AS n FROM s)
+SELECT p_partkey, raw, {_tokens_sql()} FROM t""")
+def q_header_tokens(spark, sf_dir):
+    from ledgerfold.functions.text import normalize_header
+    from ledgerfold.operators.headers import tokens_match
+
+    p = _part(spark, sf_dir)
+    k = F.col("p_partkey") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.lit("Captive Name "), "p_name")).when(k == 1, F.concat(F.lit("captiev nme "), "p_type"))
+        .when(k == 2, F.concat(F.lit("Client "), "p_brand")).when(k == 3, F.lit("cliant"))
+        .when(k == 4, F.concat(F.lit("Sales Person "), "p_name")).otherwise(F.concat(F.lit("Referrer "), "p_type"))
+    )
+    t = p.select("p_partkey", raw.alias("raw")).withColumn("n", normalize_header("raw"))
+    return t.select(
+        "p_partkey", "raw",
+        *[tokens_match(F.lit(r), F.col("n")).alias(f"{r}_rule") for r in ("captive", "client", "salesperson", "vendor")],
+    )
+
+
+UNIQ_SQL = """WITH h AS (SELECT CAST(p_partkey // 20 AS VARCHAR) AS file, CAST(p_partkey % 20 AS INTEGER) AS col_idx,
+    CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE p_type END AS header FROM part),
+b AS (SELECT *, CASE WHEN trim(coalesce(header, '')) = '' THEN 'column' ELSE trim(header) END AS base FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, base ORDER BY col_idx) AS k FROM b)
+SELECT file, col_idx, header, CASE WHEN k > 1 THEN base || '_' || CAST(k AS VARCHAR) ELSE base END AS name FROM r"""
+
+
+def _part_header_table(spark, sf_dir, header):
+    p = _part(spark, sf_dir)
+    return p.select(
+        F.expr("p_partkey div 20").cast("string").alias("file"), (F.col("p_partkey") % 20).cast("int").alias("col_idx"),
+        header.alias("header"),
+    )
+
+
+@register("uniquify_headers", UNIQ_SQL)
+def q_uniquify_headers(spark, sf_dir):
+    from ledgerfold.operators.headers import uniquify_headers
+
+    k = F.col("p_partkey") % 7
+    h = _part_header_table(spark, sf_dir, F.when(k == 0, F.lit("")).when(k == 1, F.lit("  ")).otherwise(F.col("p_type")))
+    return uniquify_headers(h)
+
+
+ISSUES_SQL = """WITH h AS (SELECT CAST(p_partkey // 20 AS VARCHAR) AS file, CAST(p_partkey % 20 AS INTEGER) AS col_idx,
+    CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'Unnamed' WHEN 3 THEN 'NULL' WHEN 4 THEN p_type || ' ↑'
+      ELSE p_type END AS header FROM part),
+c AS (SELECT *, coalesce(trim(replace(header, '↑', '')), '') AS name FROM h),
+n AS (SELECT *, (name = '' OR regexp_matches(name, '^[A-Za-z]$') OR lower(name) IN ('unnamed', 'column', 'null', 'none')) AS nuisance FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, name, nuisance ORDER BY col_idx) AS k FROM n),
+i AS (SELECT file, col_idx, CASE WHEN nuisance THEN 'Omitted nuisance column at index ' || CAST(col_idx AS VARCHAR) || ': ''' || name || ''''
+     WHEN k > 1 THEN 'Omitted duplicate column at index ' || CAST(col_idx AS VARCHAR) || ': ''' || name || '''' END AS issue FROM r)
+SELECT file, count(*) AS n_issues, string_agg(issue, ' | ' ORDER BY col_idx) AS header_issues
+FROM i WHERE issue IS NOT NULL GROUP BY file"""
+
+
+@register("header_issues", ISSUES_SQL)
+def q_header_issues(spark, sf_dir):
+    from ledgerfold.operators.headers import header_issues, issues_per_file
+
+    k = F.col("p_partkey") % 9
+    hdr = (
+        F.when(k == 0, F.lit("")).when(k == 1, F.lit("x")).when(k == 2, F.lit("Unnamed")).when(k == 3, F.lit("NULL"))
+        .when(k == 4, F.concat("p_type", F.lit(" ↑"))).otherwise(F.col("p_type"))
+    )
+    per = issues_per_file(header_issues(_part_header_table(spark, sf_dir, hdr)))
+    return per.select("file", "n_issues", F.array_join("header_issues", " | ").alias("header_issues"))
+
+
+def _perturbed_canonical(spark, sf_dir, names, width: int):
+    """Observed headers made from canonical names with typos, case, symbols and
+    sort arrows; files of ``width`` columns cut from the part table."""
+    p = _part(spark, sf_dir)
+    n = len(names)
+    arr = F.array(*[F.lit(x) for x in names])
+    name = F.element_at(arr, (F.col("p_partkey") % n + 1).cast("int"))
+    kind = (F.col("p_partkey") / n).cast("long") % 5
+    pos = (F.col("p_partkey") % 7 + 2).cast("int")
+    typo = F.concat(F.substring(name, F.lit(1), pos - 1), F.substring(name, pos + 1, F.lit(1000)))
+    hdr = (
+        F.when(kind == 0, name).when(kind == 1, F.concat(F.lower(name), F.lit(" #")))
+        .when(kind == 2, typo).when(kind == 3, F.concat(F.upper(name), F.lit(" ↑")))
+        .otherwise(F.concat(F.lit("  "), name))
+    )
+    return p.select(
+        F.expr(f"p_partkey div {width}").cast("string").alias("file"),
+        (F.col("p_partkey") % width).cast("int").alias("col_idx"),
+        hdr.alias("header"),
+    )
+
+
+@register("header_similarity")
+def q_header_similarity(spark, sf_dir):
+    from ledgerfold.operators.headers import match_pairs
+
+    h = _perturbed_canonical(spark, sf_dir, CAPTIVE_SPEC.canonical, 31)
+    return match_pairs(h, CAPTIVE_SPEC.canonical).select("header", "canonical", "exact", "ratio")
+
+
+@register("header_match")
+def q_header_match(spark, sf_dir):
+    from ledgerfold.operators.headers import match_pairs
+
+    h = _perturbed_canonical(spark, sf_dir, CAPTIVE_SPEC.canonical, 31)
+    return match_pairs(h, CAPTIVE_SPEC.canonical).filter("matched").select("header", "canonical", "ratio")
+
+
+@register("header_mapping")
+def q_header_mapping(spark, sf_dir):
+    from ledgerfold.operators.headers import prepare_headers, resolve_mapping
+
+    h = _perturbed_canonical(spark, sf_dir, CAPTIVE_SPEC.canonical, 31)
+    return resolve_mapping(prepare_headers(h, CAPTIVE_SPEC), CAPTIVE_SPEC.canonical, "best")
+
+
+@register("header_mapping_first")
+def q_header_mapping_first(spark, sf_dir):
+    from ledgerfold.operators.headers import prepare_headers, resolve_mapping
+
+    h = _perturbed_canonical(spark, sf_dir, CAPTIVE_SPEC.canonical, 31)
+    return resolve_mapping(prepare_headers(h, CAPTIVE_SPEC), CAPTIVE_SPEC.canonical, "first")
+
+
+# ------------------------------------------------------------------ file gates
+
+
+def _page_headers(spark, sf_dir):
+    from ledgerfold.spec import CAPTIVE_KEY, CAPTIVE_TARGETS
+
+    pg = td.table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("n_html"))
+    pid = F.col("page_id")
+    targets = F.array(*[F.lit(t) for t in CAPTIVE_TARGETS])
+    cols = F.concat(
+        F.when(pid % 7 != 0, F.array(F.lit(CAPTIVE_KEY))).otherwise(F.array().cast("array<string>")),
+        F.slice(targets, 1, (pid % 15).cast("int")),
+        F.when(pid % 3 != 0, F.array(F.lit("POPIC Fee RLIP"))).otherwise(F.array().cast("array<string>")),
+        F.when(pid % 3 != 1, F.array(F.lit("POPIC Fee RAP"))).otherwise(F.array().cast("array<string>")),
+    )
+    return pg.select(F.concat(F.lit("page_"), pid.cast("string")).alias("file"), "page_id", "url", "n_html",
+                     F.array_distinct(cols).alias("cols"))
+
+
+def _page_headers_sql() -> str:
+    from ledgerfold.spec import CAPTIVE_KEY, CAPTIVE_TARGETS
+
+    targets = "[" + ", ".join("'" + t + "'" for t in CAPTIVE_TARGETS) + "]"
+    return f"""ph AS (
+  SELECT 'page_' || CAST(page_id AS VARCHAR) AS file, page_id, url, length(html) AS n_html,
+    list_distinct(list_concat(
+      CASE WHEN page_id % 7 <> 0 THEN ['{CAPTIVE_KEY}'] ELSE [] END,
+      list_slice({targets}, 1, page_id % 15),
+      CASE WHEN page_id % 3 <> 0 THEN ['POPIC Fee RLIP'] ELSE [] END,
+      CASE WHEN page_id % 3 <> 1 THEN ['POPIC Fee RAP'] ELSE [] END)) AS cols
+  FROM pages),
+mapped AS (SELECT file, unnest(cols) AS canonical FROM ph)"""
+
+
+@register("detect_type", "WITH " + _page_headers_sql() + """,
+t AS (SELECT file, bool_or(contains(canonical, 'RLIP')) AS l, bool_or(contains(canonical, 'RAP')) AS r FROM mapped GROUP BY file),
+rc AS (SELECT file, CASE WHEN page_id % 11 = 0 THEN 0 ELSE n_html END AS n_rows FROM ph)
+SELECT t.file, CASE WHEN l AND coalesce(n_rows, 0) > 0 AND NOT (r AND coalesce(n_rows, 0) > 0) THEN 'RLIP-only'
+  WHEN r AND coalesce(n_rows, 0) > 0 AND NOT (l AND coalesce(n_rows, 0) > 0) THEN 'RAP-only' ELSE 'combined' END AS file_type
+FROM t LEFT JOIN rc USING (file)""")
+def q_detect_type(spark, sf_dir):
+    from ledgerfold.operators.headers import detect_type
+
+    ph = _page_headers(spark, sf_dir)
+    mapped = ph.select("file", F.explode("cols").alias("canonical"))
+    rc = ph.select("file", F.when(F.col("page_id") % 11 == 0, F.lit(0)).otherwise(F.col("n_html")).alias("n_rows"))
+    return detect_type(mapped, rc)
+
+
+VALIDATE_SQL = "WITH " + _page_headers_sql() + """,
+per AS (SELECT file, count(DISTINCT canonical) FILTER (WHERE canonical IN ({targets})) AS n_targets,
+        bool_or(canonical = 'Captive Name: Captive Name') AS req FROM mapped GROUP BY file),
+v AS (SELECT ph.file, CAST(coalesce(n_targets, 0) AS BIGINT) AS n_targets, coalesce(req, false) AS has_required FROM ph LEFT JOIN per USING (file))
+SELECT file, n_targets, has_required, (has_required AND n_targets >= 9) AS ok,
+  CASE WHEN NOT has_required THEN 'Missing required columns.' WHEN n_targets < 9 THEN 'Upload a valid Salesforce Captive Report file.' END AS error
+FROM v"""
+
+
+def _validate_sql():
+    from ledgerfold.spec import CAPTIVE_TARGETS
+
+    return VALIDATE_SQL.replace("{targets}", ", ".join("'" + t + "'" for t in CAPTIVE_TARGETS))
+
+
+@register("validate_files", _validate_sql())
+def q_validate_files(spark, sf_dir):
+    from ledgerfold.operators.headers import validate_files
+
+    ph = _page_headers(spark, sf_dir)
+    mapped = ph.select("file", F.explode("cols").alias("canonical"))
+    return validate_files(mapped, CAPTIVE_SPEC, ph.select("file"))
+
+
+ADMISSION_SQL = """adm AS (
+  SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.XLS' WHEN 2 THEN '.csv' WHEN 3 THEN '.pdf'
+    ELSE '.Xlsx' END AS path FROM pages),
+a AS (SELECT page_id, path, regexp_matches(lower(path), '\\.(xlsx|xls|csv)$') AS admitted, page_id // 3 AS batch FROM adm),
+b AS (SELECT batch, bool_and(admitted) AND count(*) <= 3 AS batch_ok FROM a GROUP BY batch)"""
+
+
+def _admission(spark, sf_dir):
+    from ledgerfold.sources.files import admit_files
+
+    pg = td.table(spark, sf_dir, "pages")
+    k = F.col("page_id") % 5
+    ext = F.when(k == 0, ".xlsx").when(k == 1, ".XLS").when(k == 2, ".csv").when(k == 3, ".pdf").otherwise(".Xlsx")
+    files = pg.select("page_id", F.concat("url", ext).alias("path"), F.expr("page_id div 3").alias("batch"))
+    return admit_files(files, path_col="path", batch_col="batch", max_files=3)
+
+
+@register("file_admission", "WITH " + ADMISSION_SQL + """
+SELECT page_id, path, admitted, batch_ok FROM a JOIN b USING (batch)""")
+def q_file_admission(spark, sf_dir):
+    return _admission(spark, sf_dir).select("page_id", "path", "admitted", "batch_ok")
+
+
+@register("ingest_status", "WITH " + ADMISSION_SQL + ", " + _validate_sql()[5:].replace(
+    "SELECT file, n_targets, has_required, (has_required AND n_targets >= 9) AS ok,",
+    ", vv AS (SELECT file, (has_required AND n_targets >= 9) AS ok,") + """ )
+SELECT 'page_' || CAST(a.page_id AS VARCHAR) AS file,
+  CASE WHEN NOT b.batch_ok THEN 'rejected' WHEN vv.ok THEN 'ok' ELSE 'error' END AS status,
+  CASE WHEN NOT b.batch_ok THEN 'Batch rejected: unsupported file type or too many files.' ELSE vv.error END AS error
+FROM a JOIN b USING (batch) JOIN vv ON vv.file = 'page_' || CAST(a.page_id AS VARCHAR)""")
+def q_ingest_status(spark, sf_dir):
+    from ledgerfold.sources.files import ingest_status
+
+    adm = _admission(spark, sf_dir).select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file"), "batch_ok")
+    val = q_validate_files(spark, sf_dir)
+    return ingest_status(adm, val)

@@ -111,12 +111,13 @@ class ReportSpec:
     period_from: str = "month_year"  # month_year | year
     parse_firsts: bool = False  # captive cleans its first-value measures too
     per_file: bool = True  # consolidate each file on its own (group by file + keys)
+    match_order: tuple[str, ...] = ()  # canonical names in header-matching order
 
     @property
     def canonical(self) -> tuple[str, ...]:
         """All canonical names in matching order (keys, measures, extras)."""
         seen: list[str] = []
-        for c in self.keys + self.sums + self.firsts + self.extra_canonical:
+        for c in self.match_order + self.keys + self.sums + self.firsts + self.extra_canonical:
             if c not in seen:
                 seen.append(c)
         return tuple(seen)
@@ -151,6 +152,7 @@ CAPTIVE_SPEC = ReportSpec(
     year_columns=YEAR_COLUMN_CANDIDATES,
     period_from="month_year",
     parse_firsts=True,
+    match_order=(CAPTIVE_KEY, CAPTIVE_CLIENT) + CAPTIVE_TARGETS + MONTH_COLUMN_CANDIDATES + YEAR_COLUMN_CANDIDATES,
 )
 
 COMMISSION_SPEC = ReportSpec(
@@ -170,6 +172,7 @@ COMMISSION_SPEC = ReportSpec(
     drop_nuisance_headers=False,
     year_columns=("Year",),
     period_from="year",
+    match_order=(SALESPERSON, CAPTIVE_NAME, CLIENT_NAME) + COMMISSION_SUMS + COMMISSION_FIRSTS,
 )
 
 REFERRAL_SPEC = ReportSpec(
@@ -191,6 +194,7 @@ REFERRAL_SPEC = ReportSpec(
     uniquify_headers=True,
     year_columns=("Year",),
     period_from="year",
+    match_order=(VENDOR, CAPTIVE_NAME, CLIENT_NAME, "Year", "Referral Fee %") + REFERRAL_SUMS,
 )
 
 SPECS = {s.name: s for s in (CAPTIVE_SPEC, COMMISSION_SPEC, REFERRAL_SPEC)}
