@@ -107,12 +107,13 @@ def clean_measures(df: DataFrame, spec: ReportSpec) -> DataFrame:
     kinds = dict(df.dtypes)
     exprs = []
     for c in df.columns:
-        if c in spec.keys:
+        canon = spec.canonical_of(c) or c
+        if canon in spec.keys:
             e = F.col(c).cast("string")
-            if c not in spec.fill_keys or c in spec.optional_keys:
+            if canon not in spec.fill_keys or canon in spec.optional_keys:
                 e = F.coalesce(e, F.lit(""))
             exprs.append(e.alias(c))
-        elif c in spec.sums or (spec.parse_firsts and c in spec.firsts):
+        elif canon in spec.sums or (spec.parse_firsts and canon in spec.firsts):
             exprs.append(measure_to_double(c, kinds[c] == "string").alias(c))
         else:
             exprs.append(F.col(c))

@@ -64,8 +64,10 @@ def group_rows(
     order: Column = F.col(order_col)
     if file_col and not per_file:
         order = F.struct(F.col(file_col), F.col(order_col))
-    sums = [c for c in spec.sums if c in df.columns and c not in spec.firsts]
-    firsts = [c for c in spec.firsts if c in df.columns]
+    names = spec.column_names
+    cols = set(df.columns)
+    sums = [names.get(c, c) for c in spec.sums if names.get(c, c) in cols and c not in spec.firsts]
+    firsts = [names.get(c, c) for c in spec.firsts if names.get(c, c) in cols]
     grouped = df.groupBy(*group_cols).agg(
         *[F.sum(c).alias(c) for c in sums],
         *[F.min_by(F.col(c), order).alias(c) for c in firsts],

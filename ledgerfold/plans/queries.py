@@ -1172,3 +1172,47 @@ def q_ingest_status(spark, sf_dir):
     adm = _admission(spark, sf_dir).select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file"), "batch_ok")
     val = q_validate_files(spark, sf_dir)
     return ingest_status(adm, val)
+
+
+# ------------------------------------------------------------------ report files end to end
+
+
+def _report(spark, sf_dir, family: str):
+    from ledgerfold.plans import layouts
+    from ledgerfold.plans.reports import ingest
+    from ledgerfold.spec import SPECS
+
+    spec = SPECS[family]
+    layout = layouts.LAYOUTS[family]()
+    rows = layouts.build_rows(spark, sf_dir, layout)
+    return ingest(rows, spec, block_rows=1 << 12), layout, spec
+
+
+def _report_data(spark, sf_dir, family: str):
+    from ledgerfold.plans import layouts
+
+    res, layout, spec = _report(spark, sf_dir, family)
+    cols = ["file"] + layouts.output_columns(layout, spec)
+    return _round_doubles(_snake_all(res.data.select(*cols)))
+
+
+def _report_sql(family: str) -> str:
+    from ledgerfold.plans import layouts
+    from ledgerfold.spec import SPECS
+
+    return layouts.consolidate_sql(layouts.LAYOUTS[family](), SPECS[family], snake)
+
+
+@register("captive_report", _report_sql("captive"))
+def q_captive_report(spark, sf_dir):
+    return _report_data(spark, sf_dir, "captive")
+
+
+@register("commission_report", _report_sql("commission"))
+def q_commission_report(spark, sf_dir):
+    return _report_data(spark, sf_dir, "commission")
+
+
+@register("referral_report", _report_sql("referral"))
+def q_referral_report(spark, sf_dir):
+    return _report_data(spark, sf_dir, "referral")

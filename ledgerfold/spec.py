@@ -122,6 +122,26 @@ class ReportSpec:
                 seen.append(c)
         return tuple(seen)
 
+    @property
+    def column_names(self) -> dict[str, str]:
+        """Canonical name -> DataFrame column name.  Spark resolves names without
+        regard to case by default, so a later name equal to an earlier one up to
+        case (``Retained at Property``) gets a `` (2)`` suffix."""
+        out: dict[str, str] = {}
+        seen: dict[str, int] = {}
+        for c in self.canonical:
+            n = seen.get(c.lower(), 0) + 1
+            seen[c.lower()] = n
+            out[c] = c if n == 1 else f"{c} ({n})"
+        return out
+
+    def canonical_of(self, column: str) -> str | None:
+        """Inverse of :attr:`column_names` (None for other columns)."""
+        for c, n in self.column_names.items():
+            if n == column:
+                return c
+        return None
+
     @property
     def measures(self) -> tuple[str, ...]:
         return tuple(c for c in self.sums if c not in self.firsts) + self.firsts
