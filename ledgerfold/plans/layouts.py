@@ -253,8 +253,12 @@ def base_sql(layout: Layout) -> str:
 
 def consolidate_sql(layout: Layout, spec: ReportSpec, snake) -> str:
     """Oracle of ``ingest(...).data`` for the layout: fill, filter, parse, group."""
-    canon = [c.canonical for c in layout.columns if c.canonical]
-    present = list(dict.fromkeys(canon))
+    present = list(dict.fromkeys(c.canonical for c in layout.columns if c.canonical))
+    return consolidate_sql_from_base(base_sql(layout), present, spec, snake)
+
+
+def consolidate_sql_from_base(base_cte: str, present, spec: ReportSpec, snake) -> str:
+    """SQL consolidation of a CTE ``base(file, row_idx, <canonical columns>)``."""
     fills = ", ".join(
         f'{td.forward_fill_sql(chr(34) + k + chr(34), "file", "row_idx")} AS "{k}__f"' for k in spec.fill_keys if k in present
     )
@@ -293,11 +297,28 @@ def consolidate_sql(layout: Layout, spec: ReportSpec, snake) -> str:
     keys_out = ", ".join(f'"{k}" AS {snake(k)}' for k in spec.keys)
     group = ", ".join(f'"{k}"' for k in spec.keys)
     return (
-        "WITH " + base_sql(layout) + f", filled AS (SELECT *, {fills} FROM base), " + kept
+        "WITH " + base_cte + f", filled AS (SELECT *, {fills} FROM base), " + kept
         + f" SELECT file, {keys_out}, {', '.join(aggs)} FROM kept GROUP BY file, {group}"
     )
 
 
+def rows_sql(layout: Layout) -> str:
+    """CTE ``rows(file, row_idx, values)``: the layout's workbooks in SQL."""
+    t = "n_nationkey % 4"
+    fname = file_name_sql(layout.file_prefix)
+    title = (
+        f"SELECT {fname} AS file, 0 AS row_idx, ['Report Summary', NULL] AS values FROM nation WHERE {t} > 0 "
+        f"UNION ALL SELECT {fname}, 1, [NULL, 'Report period: 2025/' || CAST((n_nationkey + 3) % 12 + 1 AS VARCHAR)] FROM nation WHERE {t} > 1 "
+        f"UNION ALL SELECT {fname}, 2, ['Prepared for ' || n_name, '  '] FROM nation WHERE {t} > 2"
+    )
+    header = f"SELECT {fname}, {t}, [{', '.join(c.header_sql for c in layout.columns)}] FROM nation"
+    data = (
+        f"SELECT {fname}, {t} + 1 + {_rec_sql(layout.source)}, "
+        f"[{', '.join('CAST(' + c.value_sql + ' AS VARCHAR)' for c in layout.columns)}] FROM {_source_sql(layout.source)}"
+    )
+    return f"rows AS ({title} UNION ALL {header} UNION ALL {data})"
+
+
 def output_columns(layout: Layout, spec: ReportSpec) -> list[str]:
     """Canonical columns the layout's files have, in the report's output order."""
     present = [c.canonical for c in layout.columns if c.canonical]

@@ -1216,3 +1216,267 @@ def q_commission_report(spark, sf_dir):
 @register("referral_report", _report_sql("referral"))
 def q_referral_report(spark, sf_dir):
     return _report_data(spark, sf_dir, "referral")
+
+
+# ------------------------------------------------------------------ table discovery on the captive workbooks
+
+
+def _captive_rows(spark, sf_dir):
+    from ledgerfold.plans import layouts
+
+    return layouts.build_rows(spark, sf_dir, layouts.captive_layout())
+
+
+def _layout_sql(name):
+    from ledgerfold.plans import layouts
+
+    return layouts.LAYOUTS[name]()
+
+
+@register("table_start", f"""
+SELECT {__import__('ledgerfold.plans.layouts', fromlist=['x']).file_name_sql('captive/')} AS file,
+  CAST(n_nationkey % 4 AS BIGINT) AS start FROM nation""")
+def q_table_start(spark, sf_dir):
+    from ledgerfold.sources.tables import table_start
+    from ledgerfold.spec import CAPTIVE_SPEC as spec
+
+    return table_start(_captive_rows(spark, sf_dir), spec)
+
+
+def _title_cells_sql():
+    from ledgerfold.plans import layouts
+
+    return "WITH " + layouts.rows_sql(layouts.captive_layout()) + """,
+cells AS (SELECT file, row_idx, unnest(generate_series(0, len(values) - 1)) AS col_idx, unnest(values) AS value
+          FROM rows WHERE row_idx < n_start),
+x AS (SELECT 1)
+SELECT file, CAST(row_idx AS BIGINT) AS row_idx, CAST(col_idx AS INTEGER) AS col_idx, trim(value) AS value
+FROM cells WHERE value IS NOT NULL AND trim(value) <> ''"""
+
+
+@register("title_cells", _title_cells_sql().replace(
+    "FROM rows WHERE row_idx < n_start", "FROM rows JOIN (SELECT " + __import__('ledgerfold.plans.layouts', fromlist=['x'])
+    .file_name_sql('captive/') + " AS f, n_nationkey % 4 AS n_start FROM nation) s ON s.f = rows.file WHERE row_idx < n_start"))
+def q_title_cells(spark, sf_dir):
+    from ledgerfold.sources.tables import table_start, title_cells
+    from ledgerfold.spec import CAPTIVE_SPEC as spec
+
+    rows = _captive_rows(spark, sf_dir)
+    return title_cells(rows, table_start(rows, spec))
+
+
+def _promote_sql():
+    from ledgerfold.plans import layouts
+
+    lay = layouts.captive_layout()
+    seen = []
+    for c in lay.columns:
+        if c.canonical and c.canonical not in seen:
+            seen.append(c.canonical)
+    return "WITH " + layouts.base_sql(lay) + " SELECT file, CAST(row_idx AS BIGINT) AS row_idx, " + ", ".join(
+        f'"{c}" AS {snake(c)}' for c in seen) + " FROM base"
+
+
+@register("promote_header", _promote_sql())
+def q_promote_header(spark, sf_dir):
+    from ledgerfold.operators.headers import prepare_headers, resolve_mapping
+    from ledgerfold.plans import layouts
+    from ledgerfold.sources.tables import header_table, promote, table_start
+    from ledgerfold.spec import CAPTIVE_SPEC as spec
+
+    lay = layouts.captive_layout()
+    rows = _captive_rows(spark, sf_dir)
+    starts = table_start(rows, spec)
+    mapping = resolve_mapping(prepare_headers(header_table(rows, starts), spec), spec.canonical, "best")
+    wide = promote(rows, starts, mapping, spec.canonical, names=spec.column_names)
+    present = list(dict.fromkeys(c.canonical for c in lay.columns if c.canonical))
+    return wide.select("file", "row_idx", *[F.col(c).alias(snake(c)) for c in present])
+
+
+# ------------------------------------------------------------------ report metadata
+
+
+def _notes_sql(tp: str, fp: str, hp: str) -> str:
+    ts = td.format_period_sql(f"{tp}.year", f"{tp}.month")
+    fs = td.format_period_sql(f"{fp}.year", f"{fp}.month")
+    hs = td.format_period_sql(f"{hp}.year", f"{hp}.month")
+    return (
+        f"CASE WHEN {tp} IS NULL THEN [] ELSE list_filter(["
+        f"CASE WHEN {fp} IS NOT NULL AND {fp} IS DISTINCT FROM {tp} THEN 'Filename suggests ' || {fs} || '; table period is ' || {ts} || '.' END, "
+        f"CASE WHEN {hp} IS NOT NULL AND {hp} IS DISTINCT FROM {tp} THEN 'Header suggests ' || {hs} || '; table period is ' || {ts} || '.' END, "
+        f"CASE WHEN {fp} IS NOT NULL AND {hp} IS NOT NULL AND {fp} IS DISTINCT FROM {hp} THEN 'Filename suggests ' || {fs} || '; header suggests ' || {hs} || '.' END"
+        f"], lambda x: x IS NOT NULL) END"
+    )
+
+
+def _report_metadata_sql() -> str:
+    from ledgerfold.plans import layouts
+
+    lay = layouts.captive_layout()
+    fname = layouts.file_name_sql("captive/")
+    base = layouts.base_sql(lay)
+    ff = td.forward_fill_sql('"Captive Name: Captive Name"', "file", "row_idx")
+    return f"""WITH {base},
+filled AS (SELECT file, row_idx, {ff} AS cap, "Month" AS m, "Year" AS y FROM base),
+kept AS (SELECT * FROM filled WHERE cap IS NOT NULL AND cap <> 'Subtotal'),
+tbl AS (SELECT file, arg_min(struct_pack(year := {td.year_number_sql('y')}, month := {td.month_number_sql('m')}), row_idx) AS tp
+        FROM kept WHERE {td.month_number_sql('m')} BETWEEN 1 AND 12 AND {td.year_number_sql('y')} BETWEEN 1900 AND 2100 GROUP BY file),
+files AS (SELECT {fname} AS file, regexp_extract({fname}, '([^/\\\\]*)$', 1) AS filename,
+          CASE WHEN n_nationkey % 4 > 1 THEN struct_pack(year := 2025, month := CAST((n_nationkey + 3) % 12 + 1 AS INTEGER)) END AS hp
+          FROM nation),
+p AS (SELECT f.file, f.filename, t.tp, {td.period_from_filename_sql('f.filename')} AS fp, f.hp FROM files f LEFT JOIN tbl t USING (file)),
+n AS (SELECT *, {_notes_sql('tp', 'fp', 'hp')} AS notes FROM p)
+SELECT file, filename, {td.format_period_sql('tp.year', 'tp.month')} AS canonical_period,
+  {td.format_period_sql('fp.year', 'fp.month')} AS period_from_filename,
+  {td.format_period_sql('hp.year', 'hp.month')} AS period_from_header,
+  CAST(len(notes) AS INTEGER) AS n_notes, array_to_string(notes, ' / ') AS notes,
+  'RLIP-only' AS file_type,
+  'Omitted nuisance column at index 13: '''' | Omitted duplicate column at index 14: ''Taxes''' AS header_issues
+FROM n"""
+
+
+@register("report_metadata", _report_metadata_sql())
+def q_report_metadata(spark, sf_dir):
+    res, _, _ = _report(spark, sf_dir, "captive")
+    m = res.metadata
+    return m.select(
+        "file", "filename", "canonical_period", "period_from_filename", "period_from_header",
+        F.size("discrepancy_notes").cast("int").alias("n_notes"),
+        F.array_join("discrepancy_notes", " / ").alias("notes"),
+        "file_type",
+        F.array_join("header_issues", " | ").alias("header_issues"),
+    )
+
+
+# ------------------------------------------------------------------ three-key consolidation on lineitem
+
+
+def _supplier_rows(spark, sf_dir):
+    from ledgerfold.spec import MONTH_NAMES
+
+    li = td.lineitem_rows(spark, sf_dir)
+    sup = td.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    part = td.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    nation = F.broadcast(td.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    j = (li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+         .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    k = F.col("row_idx")
+    month = F.month("l_shipdate")
+    cols = [
+        F.concat(F.lit("file_"), F.expr("l_orderkey div 100").cast("string")).alias("file"), k,
+        F.when(k % 3 == 1, F.lit(None)).when(k % 41 == 0, F.lit("Subtotal")).otherwise(F.col("s_name")).alias("Salesperson"),
+        F.when(k % 5 == 2, F.lit(None)).otherwise(F.col("n_name")).alias("Captive Name"),
+        F.col("p_brand").alias("Client Name (in POPIC)"),
+    ]
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        cols.append(F.when(month == i, td.money_text(F.col("l_extendedprice"), k % 5)).alias(f"{m} P&L"))
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        cols.append(F.when(month == i, F.col("l_quantity").cast("string")).alias(f"{m} Commission"))
+    cols += [
+        td.signed_money_text(F.col("l_extendedprice") * F.when(k % 2 == 0, 1).otherwise(-1)).alias("Total"),
+        F.year("l_shipdate").cast("string").alias("Year"),
+        F.col("l_returnflag").alias("Income Type"),
+        F.col("l_discount").cast("string").alias("Commission Rate"),
+        F.col("p_name").alias("Account Name"),
+    ]
+    return j.select(*cols)
+
+
+def _supplier_base_sql() -> str:
+    from ledgerfold.spec import MONTH_NAMES
+
+    cols = [
+        "'file_' || CAST(l_orderkey // 100 AS VARCHAR) AS file", "row_idx",
+        "CASE WHEN row_idx % 3 = 1 THEN NULL WHEN row_idx % 41 = 0 THEN 'Subtotal' ELSE s_name END AS \"Salesperson\"",
+        "CASE WHEN row_idx % 5 = 2 THEN NULL ELSE n_name END AS \"Captive Name\"",
+        "p_brand AS \"Client Name (in POPIC)\"",
+    ]
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        cols.append(f"CASE WHEN month(l_shipdate) = {i} THEN {td.money_text_sql('l_extendedprice', 'row_idx % 5')} END AS \"{m} P&L\"")
+    for i, m in enumerate(MONTH_NAMES, start=1):
+        cols.append(f"CASE WHEN month(l_shipdate) = {i} THEN CAST(l_quantity AS VARCHAR) END AS \"{m} Commission\"")
+    cols += [
+        td.signed_money_text_sql("(l_extendedprice * CASE WHEN row_idx % 2 = 0 THEN 1 ELSE -1 END)") + ' AS "Total"',
+        'CAST(year(l_shipdate) AS VARCHAR) AS "Year"', 'l_returnflag AS "Income Type"',
+        'CAST(l_discount AS VARCHAR) AS "Commission Rate"', 'p_name AS "Account Name"',
+    ]
+    return (td.LINEITEM_ROWS_SQL + ", base AS (SELECT " + ", ".join(cols) + " FROM lineitem_rows "
+            "JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)")
+
+
+def _consolidate_3key_sql() -> str:
+    from ledgerfold.plans import layouts
+    from ledgerfold.spec import COMMISSION_SPEC
+
+    present = list(COMMISSION_SPEC.keys) + list(COMMISSION_SPEC.sums) + list(COMMISSION_SPEC.firsts)
+    return layouts.consolidate_sql_from_base(_supplier_base_sql(), present, COMMISSION_SPEC, snake)
+
+
+@register("consolidate_3key", _consolidate_3key_sql())
+def q_consolidate_3key(spark, sf_dir):
+    from ledgerfold.spec import COMMISSION_SPEC
+
+    out = cons.consolidate(_supplier_rows(spark, sf_dir), COMMISSION_SPEC)
+    return _round_doubles(_snake_all(out))
+
+
+# ------------------------------------------------------------------ merge metadata
+
+
+def _side_meta(spark, sf_dir, status: str, tag: str):
+    from ledgerfold.functions.periods import discrepancy_notes, format_period, period
+
+    d = _orders_dates(spark, sf_dir).join(
+        td.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey"
+    ).filter(F.col("o_orderstatus") == status)
+    p = period(F.col("yy"), F.col("mm"))
+    per = d.groupBy("o_custkey").agg(
+        F.min_by(p, "o_orderkey").alias("tp"), F.max_by(p, "o_orderdate").alias("fp"), F.min_by(p, "o_orderdate").alias("hp"),
+    )
+    hp = F.when(F.col("o_custkey") % 3 == 0, F.lit(None)).otherwise(F.col("hp"))
+    per = per.select("o_custkey", "tp", "fp", hp.alias("hp"))
+    return per.select(
+        "o_custkey",
+        format_period("tp").alias("canonical_period"),
+        format_period("fp").alias("period_from_filename"),
+        format_period("hp").alias("period_from_header"),
+        discrepancy_notes("tp", "fp", "hp").alias("discrepancy_notes"),
+        F.concat(F.lit("cust_"), F.col("o_custkey").cast("string"), F.lit(f"_{tag}.xlsx")).alias("filename"),
+    )
+
+
+def _side_meta_sql(status: str, tag: str, name: str) -> str:
+    per = (f"SELECT od.o_custkey, arg_min(struct_pack(year := CAST(yy AS INTEGER), month := CAST(mm AS INTEGER)), o_orderkey) AS tp, "
+           f"arg_max(struct_pack(year := CAST(yy AS INTEGER), month := CAST(mm AS INTEGER)), o_orderdate) AS fp, "
+           f"arg_min(struct_pack(year := CAST(yy AS INTEGER), month := CAST(mm AS INTEGER)), o_orderdate) AS hp0 "
+           f"FROM od JOIN (SELECT o_orderkey AS ok2, o_orderstatus FROM orders) o ON o.ok2 = od.o_orderkey WHERE o.o_orderstatus = '{status}' GROUP BY od.o_custkey")
+    return (f"{name}_p AS (SELECT o_custkey, tp, fp, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE hp0 END AS hp FROM ({per})), "
+            f"{name} AS (SELECT o_custkey, {td.format_period_sql('tp.year', 'tp.month')} AS canonical_period, "
+            f"{td.format_period_sql('fp.year', 'fp.month')} AS period_from_filename, "
+            f"{td.format_period_sql('hp.year', 'hp.month')} AS period_from_header, "
+            f"{_notes_sql('tp', 'fp', 'hp')} AS notes, 'cust_' || CAST(o_custkey AS VARCHAR) || '_{tag}.xlsx' AS filename FROM {name}_p)")
+
+
+MERGE_META_SQL = ("WITH " + ORDERS_DATES_SQL + ", " + _side_meta_sql("F", "RLIP", "l") + ", " + _side_meta_sql("O", "RAP", "r") + """
+SELECT o_custkey, l.canonical_period AS canonical_period,
+  coalesce(l.period_from_filename, r.period_from_filename) AS period_from_filename,
+  coalesce(l.period_from_header, r.period_from_header) AS period_from_header,
+  array_to_string(list_concat(coalesce(l.notes, []), coalesce(r.notes, [])), ' / ') AS notes,
+  'merged' AS file_type,
+  array_to_string(list_filter([l.filename, r.filename], lambda x: x IS NOT NULL), ',') AS filenames
+FROM l FULL JOIN r USING (o_custkey)""")
+
+
+@register("merge_metadata", MERGE_META_SQL)
+def q_merge_metadata(spark, sf_dir):
+    from ledgerfold.operators.merge import merge_metadata
+
+    left = _side_meta(spark, sf_dir, "F", "RLIP")
+    right = _side_meta(spark, sf_dir, "O", "RAP")
+    m = merge_metadata(left, right, ["o_custkey"])
+    return m.select(
+        "o_custkey", "canonical_period", "period_from_filename", "period_from_header",
+        F.array_join("discrepancy_notes", " / ").alias("notes"), "file_type",
+        F.array_join("filenames", ",").alias("filenames"),
+    )
