@@ -25,10 +25,13 @@ from ledgerfold.spec import MONTH_NAMES, ReportSpec
 
 @dataclass(frozen=True)
 class Col:
-    header_spark: Column
+    """One workbook column.  Spark parts are zero-argument callables so that the
+    SQL side (the oracle) can be built without a running Spark session."""
+
+    header_spark: object  # () -> Column
     header_sql: str
     canonical: str | None  # intended mapping; None for dropped columns
-    value_spark: Column
+    value_spark: object  # () -> Column
     value_sql: str
 
 
@@ -40,20 +43,21 @@ class Layout:
     file_prefix: str
 
 
-def _nat_case(spark_opts, sql_opts, mod):
+def _nat_case(opts, mod):
     """Header text chosen by nation key modulo ``mod``."""
-    k = F.col("n_nationkey") % mod
-    e = None
-    for i, v in enumerate(spark_opts):
-        e = F.when(k == i, F.lit(v)) if e is None else e.when(k == i, F.lit(v))
-    sql = "CASE n_nationkey % {m} {w} END".format(
-        m=mod, w=" ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(sql_opts))
-    )
-    return e, sql
+    def spark():
+        k = F.col("n_nationkey") % mod
+        e = None
+        for i, v in enumerate(opts):
+            e = F.when(k == i, F.lit(v)) if e is None else e.when(k == i, F.lit(v))
+        return e
+
+    sql = "CASE n_nationkey % {m} {w} END".format(m=mod, w=" ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(opts)))
+    return spark, sql
 
 
 def _lit(h):
-    return F.lit(h), f"'{h}'"
+    return (lambda: F.lit(h)), f"'{h}'"
 
 
 def _month_text_spark(m: Column) -> Column:
@@ -64,40 +68,51 @@ def _month_text_sql(m: str) -> str:
     return "[" + ", ".join(f"'{x}'" for x in MONTH_NAMES) + f"][{m}]"
 
 
+def _c(name):
+    return F.col(name)
+
+
 # ------------------------------------------------------------------ captive
 
 
 def captive_layout() -> Layout:
-    k = F.col("c_custkey")
-    cap_h, cap_hs = _nat_case(["Captive Name: Captive Name", "captive Name: captive name", "Captiev Name: Captive Name #!"],
-                              ["Captive Name: Captive Name", "captive Name: captive name", "Captiev Name: Captive Name #!"], 3)
+    def k():
+        return F.col("c_custkey")
+
     cols = [
-        Col(cap_h, cap_hs, "Captive Name: Captive Name",
-            F.when(k % 6 == 1, F.lit(None)).when(k % 37 == 0, F.lit("Subtotal")).otherwise(F.col("c_mktsegment")),
+        Col(*_nat_case(["Captive Name: Captive Name", "captive Name: captive name", "Captiev Name: Captive Name #!"], 3),
+            "Captive Name: Captive Name",
+            lambda: F.when(k() % 6 == 1, F.lit(None)).when(k() % 37 == 0, F.lit("Subtotal")).otherwise(_c("c_mktsegment")),
             "CASE WHEN c_custkey % 6 = 1 THEN NULL WHEN c_custkey % 37 = 0 THEN 'Subtotal' ELSE c_mktsegment END"),
         Col(*_lit("Captive Name: Client"), "Captive Name: Client",
-            F.when(k % 4 == 0, F.lit("Client A")).when(k % 4 == 1, F.lit("Client B")).when(k % 4 == 2, F.lit(None)).otherwise(F.lit("Client C")),
+            lambda: F.when(k() % 4 == 0, F.lit("Client A")).when(k() % 4 == 1, F.lit("Client B"))
+            .when(k() % 4 == 2, F.lit(None)).otherwise(F.lit("Client C")),
             "CASE c_custkey % 4 WHEN 0 THEN 'Client A' WHEN 1 THEN 'Client B' WHEN 2 THEN NULL ELSE 'Client C' END"),
         Col(*_lit("Gross Written Premium ↑"), "Gross Written Premium",
-            td.money_text(F.col("c_acctbal"), k % 5), td.money_text_sql("c_acctbal", "c_custkey % 5")),
-        Col(*_lit("Taxes"), "Taxes", (k % 100).cast("string"), "CAST(c_custkey % 100 AS VARCHAR)"),
-        Col(*_lit("ADDITIONAL RENT"), "Additional Rent", td.signed_money_text(F.col("c_acctbal")), td.signed_money_text_sql("c_acctbal")),
-        Col(*_lit("Retained At Property"), "Retained At Property", F.col("c_nationkey").cast("string"), "CAST(c_nationkey AS VARCHAR)"),
-        Col(*_lit("Credit Card Fees"), "Credit Card Fees", F.concat((k % 7).cast("string"), F.lit(".25")),
+            lambda: td.money_text(_c("c_acctbal"), k() % 5), td.money_text_sql("c_acctbal", "c_custkey % 5")),
+        Col(*_lit("Taxes"), "Taxes", lambda: (k() % 100).cast("string"), "CAST(c_custkey % 100 AS VARCHAR)"),
+        Col(*_lit("ADDITIONAL RENT"), "Additional Rent", lambda: td.signed_money_text(_c("c_acctbal")),
+            td.signed_money_text_sql("c_acctbal")),
+        Col(*_lit("Retained At Property"), "Retained At Property", lambda: _c("c_nationkey").cast("string"),
+            "CAST(c_nationkey AS VARCHAR)"),
+        Col(*_lit("Credit Card Fees"), "Credit Card Fees", lambda: F.concat((k() % 7).cast("string"), F.lit(".25")),
             "CAST(c_custkey % 7 AS VARCHAR) || '.25'"),
-        Col(*_lit("Administrative  Fees"), "Administrative Fees", F.concat(F.lit("($"), (k % 13).cast("string"), F.lit(")")),
+        Col(*_lit("Administrative  Fees"), "Administrative Fees",
+            lambda: F.concat(F.lit("($"), (k() % 13).cast("string"), F.lit(")")),
             "'($' || CAST(c_custkey % 13 AS VARCHAR) || ')'"),
-        Col(*_lit("Net Income"), "Net Income", F.when(k % 2 == 0, F.lit("12%")).otherwise(F.col("c_acctbal").cast("string")),
+        Col(*_lit("Net Income"), "Net Income",
+            lambda: F.when(k() % 2 == 0, F.lit("12%")).otherwise(_c("c_acctbal").cast("string")),
             "CASE WHEN c_custkey % 2 = 0 THEN '12%' ELSE CAST(c_acctbal AS VARCHAR) END"),
         Col(*_lit("Total Available Units"), "Total Available Units",
-            F.when(k % 10 == 3, F.lit(None)).otherwise((k % 50).cast("string")),
+            lambda: F.when(k() % 10 == 3, F.lit(None)).otherwise((k() % 50).cast("string")),
             "CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE CAST(c_custkey % 50 AS VARCHAR) END"),
-        Col(*_lit("POPIC Fee RLIP"), "POPIC Fee RLIP", td.money_text(F.col("c_acctbal"), (k / 5).cast("long") % 5),
+        Col(*_lit("POPIC Fee RLIP"), "POPIC Fee RLIP",
+            lambda: td.money_text(_c("c_acctbal"), (k() / 5).cast("long") % 5),
             td.money_text_sql("c_acctbal", "(c_custkey // 5) % 5")),
-        Col(*_lit("Month"), "Month", _month_text_spark(k % 12 + 1), _month_text_sql("c_custkey % 12 + 1")),
-        Col(*_lit("Year"), "Year", F.lit("2025"), "'2025'"),
-        Col(*_lit(""), None, F.lit("junk"), "'junk'"),
-        Col(*_lit("Taxes"), None, F.lit("999"), "'999'"),
+        Col(*_lit("Month"), "Month", lambda: _month_text_spark(k() % 12 + 1), _month_text_sql("c_custkey % 12 + 1")),
+        Col(*_lit("Year"), "Year", lambda: F.lit("2025"), "'2025'"),
+        Col(*_lit(""), None, lambda: F.lit("junk"), "'junk'"),
+        Col(*_lit("Taxes"), None, lambda: F.lit("999"), "'999'"),
     ]
     return Layout("captive", "customer", tuple(cols), "captive/")
 
@@ -106,61 +121,68 @@ def captive_layout() -> Layout:
 
 
 def commission_layout() -> Layout:
-    k = F.col("o_orderkey")
-    month = F.month("o_orderdate")
-    sp_h, sp_hs = _nat_case(["Salesperson", "Sales Person", "salesperson ↑"], ["Salesperson", "Sales Person", "salesperson ↑"], 3)
-    cl_h, cl_hs = _nat_case(["Client Name (in POPIC)", "Client Name", "client name (in popic)"],
-                            ["Client Name (in POPIC)", "Client Name", "client name (in popic)"], 3)
+    def k():
+        return F.col("o_orderkey")
+
+    def month():
+        return F.month("o_orderdate")
+
     cols = [
-        Col(sp_h, sp_hs, "Salesperson",
-            F.when(k % 4 == 1, F.lit(None)).when(k % 31 == 0, F.lit("SUBTOTAL")).when(k % 43 == 0, F.lit("Total"))
-            .otherwise(F.concat(F.lit("Rep "), (F.col("o_custkey") % 9).cast("string"))),
+        Col(*_nat_case(["Salesperson", "Sales Person", "salesperson ↑"], 3), "Salesperson",
+            lambda: F.when(k() % 4 == 1, F.lit(None)).when(k() % 31 == 0, F.lit("SUBTOTAL")).when(k() % 43 == 0, F.lit("Total"))
+            .otherwise(F.concat(F.lit("Rep "), (_c("o_custkey") % 9).cast("string"))),
             "CASE WHEN o_orderkey % 4 = 1 THEN NULL WHEN o_orderkey % 31 = 0 THEN 'SUBTOTAL' WHEN o_orderkey % 43 = 0 THEN 'Total' "
             "ELSE 'Rep ' || CAST(o_custkey % 9 AS VARCHAR) END"),
         Col(*_lit("Captive Name"), "Captive Name",
-            F.when(k % 5 == 2, F.lit(None)).otherwise(F.col("c_mktsegment")),
+            lambda: F.when(k() % 5 == 2, F.lit(None)).otherwise(_c("c_mktsegment")),
             "CASE WHEN o_orderkey % 5 = 2 THEN NULL ELSE c_mktsegment END"),
-        Col(cl_h, cl_hs, "Client Name (in POPIC)", F.col("o_orderpriority"), "o_orderpriority"),
+        Col(*_nat_case(["Client Name (in POPIC)", "Client Name", "client name (in popic)"], 3), "Client Name (in POPIC)",
+            lambda: _c("o_orderpriority"), "o_orderpriority"),
     ]
     for i, m in enumerate(MONTH_NAMES, start=1):
         cols.append(Col(*_lit(f"{m} P&L"), f"{m} P&L",
-                        F.when(month == i, td.signed_money_text(F.col("o_totalprice"))),
+                        lambda i=i: F.when(month() == i, td.signed_money_text(_c("o_totalprice"))),
                         f"CASE WHEN month(o_orderdate) = {i} THEN {td.signed_money_text_sql('o_totalprice')} END"))
     for i, m in enumerate(MONTH_NAMES, start=1):
         cols.append(Col(*_lit(f"{m} Commission"), f"{m} Commission",
-                        F.when(month == i, (F.col("o_custkey") % 100).cast("string")),
+                        lambda i=i: F.when(month() == i, (_c("o_custkey") % 100).cast("string")),
                         f"CASE WHEN month(o_orderdate) = {i} THEN CAST(o_custkey % 100 AS VARCHAR) END"))
     cols += [
-        Col(*_lit("Total"), "Total", td.money_text(F.col("o_totalprice"), k % 5), td.money_text_sql("o_totalprice", "o_orderkey % 5")),
-        Col(*_lit("Year"), "Year", F.when(k % 3 == 0, F.lit(None)).otherwise(F.year("o_orderdate").cast("string")),
+        Col(*_lit("Total"), "Total", lambda: td.money_text(_c("o_totalprice"), k() % 5),
+            td.money_text_sql("o_totalprice", "o_orderkey % 5")),
+        Col(*_lit("Year"), "Year", lambda: F.when(k() % 3 == 0, F.lit(None)).otherwise(F.year("o_orderdate").cast("string")),
             "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS VARCHAR) END"),
-        Col(*_lit("Income Type"), "Income Type", F.col("o_orderstatus"), "o_orderstatus"),
-        Col(*_lit("Commission Rate"), "Commission Rate", F.lit("5%"), "'5%'"),
-        Col(*_lit("Account Name"), "Account Name", F.col("c_name"), "c_name"),
+        Col(*_lit("Income Type"), "Income Type", lambda: _c("o_orderstatus"), "o_orderstatus"),
+        Col(*_lit("Commission Rate"), "Commission Rate", lambda: F.lit("5%"), "'5%'"),
+        Col(*_lit("Account Name"), "Account Name", lambda: _c("c_name"), "c_name"),
     ]
     return Layout("commission", "orders", tuple(cols), "commission/")
 
 
 def referral_layout() -> Layout:
-    k = F.col("o_orderkey")
-    month = F.month("o_orderdate")
+    def k():
+        return F.col("o_orderkey")
+
+    def month():
+        return F.month("o_orderdate")
+
     cols = [
         Col(*_lit("Vendor Name"), "Vendor",
-            F.when(k % 3 == 1, F.lit(None)).when(k % 29 == 0, F.lit("count"))
-            .otherwise(F.concat(F.lit("Vendor "), (F.col("o_custkey") % 7).cast("string"))),
+            lambda: F.when(k() % 3 == 1, F.lit(None)).when(k() % 29 == 0, F.lit("count"))
+            .otherwise(F.concat(F.lit("Vendor "), (_c("o_custkey") % 7).cast("string"))),
             "CASE WHEN o_orderkey % 3 = 1 THEN NULL WHEN o_orderkey % 29 = 0 THEN 'count' "
             "ELSE 'Vendor ' || CAST(o_custkey % 7 AS VARCHAR) END"),
         Col(*_lit("Captive Name"), "Captive Name",
-            F.when(k % 7 == 2, F.lit(None)).otherwise(F.col("c_mktsegment")),
+            lambda: F.when(k() % 7 == 2, F.lit(None)).otherwise(_c("c_mktsegment")),
             "CASE WHEN o_orderkey % 7 = 2 THEN NULL ELSE c_mktsegment END"),
     ]
     for i, m in enumerate(MONTH_NAMES, start=1):
-        cols.append(Col(*_lit(m), m, F.when(month == i, td.money_text(F.col("o_totalprice"), k % 5)),
+        cols.append(Col(*_lit(m), m, lambda i=i: F.when(month() == i, td.money_text(_c("o_totalprice"), k() % 5)),
                         f"CASE WHEN month(o_orderdate) = {i} THEN {td.money_text_sql('o_totalprice', 'o_orderkey % 5')} END"))
     cols += [
-        Col(*_lit("POPIC Fee"), "POPIC Fee", (F.col("o_custkey") % 100).cast("string"), "CAST(o_custkey % 100 AS VARCHAR)"),
-        Col(*_lit("Year"), "Year", F.year("o_orderdate").cast("string"), "CAST(year(o_orderdate) AS VARCHAR)"),
-        Col(*_lit("Referral Fee %"), "Referral Fee %", F.lit("10%"), "'10%'"),
+        Col(*_lit("POPIC Fee"), "POPIC Fee", lambda: (_c("o_custkey") % 100).cast("string"), "CAST(o_custkey % 100 AS VARCHAR)"),
+        Col(*_lit("Year"), "Year", lambda: F.year("o_orderdate").cast("string"), "CAST(year(o_orderdate) AS VARCHAR)"),
+        Col(*_lit("Referral Fee %"), "Referral Fee %", lambda: F.lit("10%"), "'10%'"),
     ]
     return Layout("referral", "orders", tuple(cols), "referral/")
 
@@ -213,12 +235,12 @@ def build_rows(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
     t = (F.col("n_nationkey") % 4).cast("long")
     header = nation.select(
         file_name_spark(layout.file_prefix).alias("file"), t.alias("row_idx"),
-        F.array(*[c.header_spark for c in layout.columns]).alias("values"),
+        F.array(*[c.header_spark() for c in layout.columns]).alias("values"),
     )
     src = _source(spark, sf_dir, layout.source)
     data = src.select(
         file_name_spark(layout.file_prefix).alias("file"), (t + 1 + F.col("rec")).alias("row_idx"),
-        F.array(*[c.value_spark.cast("string") for c in layout.columns]).alias("values"),
+        F.array(*[c.value_spark().cast("string") for c in layout.columns]).alias("values"),
     )
     return title_rows(nation, layout.file_prefix).unionByName(header).unionByName(data)
 
