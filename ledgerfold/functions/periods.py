@@ -82,17 +82,16 @@ def period_from_filename(name) -> Column:
 def with_filename_period(df, name_col: str, out_col: str):
     """``df`` plus ``out_col``: the file-name period, computed in stages so each
     generated method stays small (the single expression repeats the extension
-    strip in every candidate)."""
-    tmp = "__fnp_base"
-    d = df.withColumn(tmp, strip_extension(name_col))
-    parts = _filename_candidates(F.col(tmp))
-    d = d.select("*", *[c.alias(f"__fnp_{n}") for n, c in parts])
-    res = F.when(
-        F.col(name_col).isNotNull() & (F.col(name_col) != ""),
-        _filename_period_from_parts(lambda n: F.col(f"__fnp_{n}")),
-    )
-    d = d.withColumn(out_col, res)
-    return d.drop(tmp, *[f"__fnp_{n}" for n, _ in parts])
+    strip in every candidate).  Built from SQL text: a few JVM calls in all."""
+    from ledgerfold.functions import sqltext as S
+
+    d = df.withColumn("__fnp_base", strip_extension(name_col))
+    parts = S.filename_parts("__fnp_base")
+    d = d.selectExpr("*", *[f"{e} AS __fnp_{n}" for n, e in parts])
+    name = S.q(name_col)
+    res = f"CASE WHEN {name} IS NOT NULL AND {name} <> '' THEN {S.filename_period(lambda n: '__fnp_' + n)} END"
+    d = d.selectExpr("*", f"{res} AS {S.q(out_col)}")
+    return d.drop("__fnp_base", *[f"__fnp_{n}" for n, _ in parts])
 
 
 def _title_candidates(s: Column) -> list[tuple[str, Column]]:
@@ -125,10 +124,12 @@ def period_from_title_text(value) -> Column:
 
 def with_title_period(df, value_col: str, out_col: str):
     """``df`` plus ``out_col``: the title-cell period, computed in stages."""
+    from ledgerfold.functions import sqltext as S
+
     d = df.withColumn("__tp_s", F.trim(F.col(value_col)))
-    parts = _title_candidates(F.col("__tp_s"))
-    d = d.select("*", *[c.alias(f"__tp_{n}") for n, c in parts])
-    d = d.withColumn(out_col, _title_period_from_parts(lambda n: F.col(f"__tp_{n}")))
+    parts = S.title_parts("__tp_s")
+    d = d.selectExpr("*", *[f"{e} AS __tp_{n}" for n, e in parts])
+    d = d.selectExpr("*", f"{S.title_period(lambda n: '__tp_' + n)} AS {S.q(out_col)}")
     return d.drop("__tp_s", *[f"__tp_{n}" for n, _ in parts])
 
 
@@ -154,8 +155,10 @@ def month_number(text) -> Column:
 
 def with_month_number(df, text_col: str, out_col: str):
     """``df`` plus ``out_col`` = month_number(text_col), normalising the text once."""
+    from ledgerfold.functions import sqltext as S
+
     d = df.withColumn("__mn_s", F.lower(F.trim(F.col(text_col))))
-    return d.withColumn(out_col, _month_number_normalized(F.col("__mn_s"))).drop("__mn_s")
+    return d.selectExpr("*", f"{S.month_number_normalized('__mn_s')} AS {S.q(out_col)}").drop("__mn_s")
 
 
 def year_number(value, is_numeric: bool = False) -> Column:

@@ -5,12 +5,15 @@ puts a whole file on one task; a single file may hold a third of all rows, so th
 fill here runs in two steps over fixed-size blocks of the row index:
 
 1. fill inside each ``(file, block)`` with ``last(ignorenulls)``;
-2. take the last non-null value of every block (a tiny table, one row per
-   block), carry it forward across blocks with a window partitioned by file,
-   and patch the rows still null at the head of each block.
-
-The big side is shuffled once, on ``(file, block)``; the block table and its
-join back are small and reuse that partitioning.
+2. take the last non-null value of every block (a narrow aggregate, one row
+   per block), carry it forward across blocks with a window partitioned by
+   file over that small table, and patch the rows still null at the head of
+   each block by a join on ``(file, block)``.
+
+The big side is shuffled once, on ``(file, block)``, and the join back reuses
+that partitioning; the block table is small.  The input is read twice: once in
+full for the fill, once narrow (file, row index, filled columns) for the
+block tails.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.functions.numbers import measure_to_double, nan_to_null as _nan_to_null
+from ledgerfold.functions import sqltext as S
+from ledgerfold.functions.numbers import nan_to_null as _nan_to_null
 from ledgerfold.spec import ReportSpec
 
 DEFAULT_BLOCK_ROWS = 1 << 16
@@ -51,9 +55,13 @@ def forward_fill(
         *[c for c in d.columns if c not in columns],
         *[F.last(c, ignorenulls=True).over(w_local).alias(c) for c in columns],
     )
-    # Last non-null value of each block: the local fill at the block's last row.
-    tails = local.groupBy(*part, blk).agg(
-        *[F.max_by(F.col(c), F.col(order_col)).alias(f"__tail_{i}") for i, c in enumerate(columns)]
+    # Last non-null value of each block, straight from the input: a narrow
+    # aggregate (partial before its shuffle), one row per block.
+    tails = d.groupBy(*part, blk).agg(
+        *[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"__tail_{i}")
+            for i, c in enumerate(columns)
+        ]
     )
     w_blocks = (
         Window.partitionBy(*part)
@@ -105,16 +113,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def clean_measures(df: DataFrame, spec: ReportSpec) -> DataFrame:
     """Keys to string, optional keys null -> '', measures to double (one projection)."""
     kinds = dict(df.dtypes)
+    inverse = {v: k for k, v in spec.column_names.items()}
     exprs = []
     for c in df.columns:
-        canon = spec.canonical_of(c) or c
+        canon = inverse.get(c, c)
         if canon in spec.keys:
-            e = F.col(c).cast("string")
+            e = f"CAST({S.q(c)} AS STRING)"
             if canon not in spec.fill_keys or canon in spec.optional_keys:
-                e = F.coalesce(e, F.lit(""))
-            exprs.append(e.alias(c))
+                e = f"coalesce({e}, '')"
+            exprs.append(f"{e} AS {S.q(c)}")
         elif canon in spec.sums or (spec.parse_firsts and canon in spec.firsts):
-            exprs.append(measure_to_double(c, kinds[c] == "string").alias(c))
+            exprs.append(f"{S.measure_to_double(c, kinds[c] == 'string')} AS {S.q(c)}")
         else:
-            exprs.append(F.col(c))
-    return df.select(*exprs)
+            exprs.append(S.q(c))
+    # One SQL string per column: one JVM call each, however wide the report.
+    return df.selectExpr(*exprs)

@@ -9,7 +9,7 @@ hot key costs one row per map task on the wire, not one row per input row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.operators.clean import (
@@ -18,6 +18,7 @@ from ledgerfold.operators.clean import (
     drop_summary_rows,
     forward_fill,
 )
+from ledgerfold.functions import sqltext as S
 from ledgerfold.spec import ReportSpec
 
 
@@ -61,16 +62,14 @@ def group_rows(
     for the rest; output keys, sums (spec order), firsts."""
     per_file = spec.per_file if per_file is None else per_file
     group_cols = ([file_col] if (per_file and file_col) else []) + list(spec.keys)
-    order: Column = F.col(order_col)
-    if file_col and not per_file:
-        order = F.struct(F.col(file_col), F.col(order_col))
     names = spec.column_names
     cols = set(df.columns)
     sums = [names.get(c, c) for c in spec.sums if names.get(c, c) in cols and c not in spec.firsts]
     firsts = [names.get(c, c) for c in spec.firsts if names.get(c, c) in cols]
+    order_sql = S.q(order_col) if not (file_col and not per_file) else f"struct({S.q(file_col)}, {S.q(order_col)})"
     grouped = df.groupBy(*group_cols).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.min_by(F.col(c), order).alias(c) for c in firsts],
+        *[F.expr(f"sum({S.q(c)})").alias(c) for c in sums],
+        *[F.expr(f"min_by({S.q(c)}, {order_sql})").alias(c) for c in firsts],
     )
     if spec.output_order:
         ordered = [c for c in spec.output_order if c in grouped.columns]

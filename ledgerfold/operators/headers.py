@@ -91,15 +91,16 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def canonical_table(canonical: Sequence[str]) -> Column:
     """Literal array of (canon_pos, canonical, n_can, rule) to explode."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("canon_pos"), F.lit(c).alias("canonical"),
-                F.lit(_normalize_py(c)).alias("n_can"), F.lit(token_rule(c)).cast("string").alias("rule"),
-            )
-            for i, c in enumerate(canonical)
-        ]
-    )
+    from ledgerfold.functions.sqltext import lit
+
+    items = []
+    for i, c in enumerate(canonical):
+        rule = token_rule(c)
+        items.append(
+            f"named_struct('canon_pos', {i}, 'canonical', {lit(c)}, 'n_can', {lit(_normalize_py(c))}, "
+            f"'rule', {lit(rule) if rule else 'CAST(NULL AS STRING)'})"
+        )
+    return F.expr("array(" + ", ".join(items) + ")")
 
 
 def match_pairs(headers: DataFrame, canonical: Sequence[str], header_col: str = "header") -> DataFrame:

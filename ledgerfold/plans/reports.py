@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import sqltext as S
 from ledgerfold.functions.periods import discrepancy_notes, format_period, with_filename_period
 from ledgerfold.operators import consolidate as cons
 from ledgerfold.operators import headers as H
@@ -122,12 +123,13 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
 def _null_absent(data: DataFrame, present: DataFrame, spec: ReportSpec) -> DataFrame:
     """Measures a file does not have are null for that file (not 0).  All files
     share one wide schema; ``present`` is one small row per file."""
-    canon = {c: spec.canonical_of(c) for c in data.columns}
+    inverse = {v: k for k, v in spec.column_names.items()}
+    canon = {c: inverse.get(c) for c in data.columns}
     measures = [c for c in data.columns if canon[c] and (canon[c] in spec.sums or canon[c] in spec.firsts)]
     j = data.join(present, "file", "left")
-    return j.select(
+    return j.selectExpr(
         *[
-            F.when(F.array_contains(F.col("__present"), canon[c]), F.col(c)).alias(c) if c in measures else F.col(c)
+            f"CASE WHEN array_contains(__present, {S.lit(canon[c])}) THEN {S.q(c)} END AS {S.q(c)}" if c in measures else S.q(c)
             for c in data.columns
         ]
     )

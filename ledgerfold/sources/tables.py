@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import sqltext as S
 from ledgerfold.operators.headers import match_pairs
 from ledgerfold.sources.workbook import rows_to_cells
 from ledgerfold.spec import (
@@ -84,7 +85,7 @@ def _positions(mapping: DataFrame, canonical: Sequence[str], groups: dict[str, S
     """One row per file: the column index of each canonical name (null when not
     mapped), plus the first mapped member of each candidate group."""
     per = mapping.groupBy("file").agg(
-        *[F.min(F.when(F.col("canonical") == c, F.col("col_idx"))).alias(f"__i{i}") for i, c in enumerate(canonical)]
+        *[F.expr(f"min(CASE WHEN canonical = {S.lit(c)} THEN col_idx END)").alias(f"__i{i}") for i, c in enumerate(canonical)]
     )
     extra = []
     for gname, members in groups.items():
@@ -105,9 +106,9 @@ def promote(rows: DataFrame, starts: DataFrame, mapping: DataFrame, canonical: S
     names = names or {}
     pos = starts.join(_positions(mapping, canonical, groups), "file", "left")
     j = rows.join(pos, "file").filter(F.col("row_idx") > F.col("start"))
-    cols = [F.col("file"), F.col("row_idx")]
+    cols = ["file", "row_idx"]
     for i, c in enumerate(canonical):
-        cols.append(F.when(F.col(f"__i{i}").isNotNull(), F.try_element_at("values", F.col(f"__i{i}") + 1)).alias(names.get(c, c)))
+        cols.append(f"try_element_at(`values`, __i{i} + 1) AS {S.q(names.get(c, c))}")
     for gname in groups:
-        cols.append(F.when(F.col(f"__g_{gname}").isNotNull(), F.try_element_at("values", F.col(f"__g_{gname}") + 1)).alias(gname))
-    return j.select(*cols)
+        cols.append(f"try_element_at(`values`, __g_{gname} + 1) AS {S.q(gname)}")
+    return j.selectExpr(*cols)

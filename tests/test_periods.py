@@ -48,3 +48,14 @@ def test_format_and_notes(spark):
     assert out[2].n == ["Header suggests September 2025; table period is November 2025."]
     assert out[3].n == []
     assert out[4].ft == "2025-13"
+
+
+def test_sql_text_forms_equal_column_forms(spark):
+    vals = ["", "ma", "11", "03", "x", "June", "12.0", None, "November 2025", "Report period: 2025/09", " may   2024 "]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    a = [r.m for r in df.select(P.month_number("v").alias("m")).collect()]
+    b = [r.m for r in P.with_month_number(df, "v", "m").select("m").collect()]
+    assert a == b
+    a = [r.p for r in df.select(P.period_from_title_text("v").alias("p")).collect()]
+    b = [r.p for r in P.with_title_period(df, "v", "p").select("p").collect()]
+    assert a == b
