@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,11 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder.
+    """Cut lineage by writing ``df`` as a parquet table in the shared checkpoint
+    folder and reading it back.
 
-    Used where one consolidated table feeds several summaries (the chart cache
-    of the reference).  A reliable checkpoint survives the loss of executors,
-    unlike a local checkpoint or an in-memory cache.
+    Used for small intermediate tables that feed several branches (table
+    starts, header rows, header mappings) and for the consolidated table that
+    several summaries read (the chart cache of the reference).  The written
+    table survives the loss of executors, unlike a local checkpoint or an
+    in-memory cache, and it is computed once (an RDD checkpoint of an
+    uncached plan computes it twice).
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
