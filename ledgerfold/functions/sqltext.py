@@ -31,16 +31,18 @@ def guarded_double(expr: str) -> str:
 
 
 def accounting_number(expr: str, replace_all: bool = True) -> str:
-    """Accounting text -> double (see ``numbers.accounting_number``); a plain
-    number takes a fast path that skips the rewrites (same result)."""
+    """Accounting text -> double (see ``numbers.accounting_number``).
+
+    The regex rewrite of ``(x)`` runs only when the text holds a ``(``, and
+    ``$``/``,`` are removed with ``translate`` (a character map, no regex); the
+    only regex on every value is the number guard."""
     if replace_all:
-        neg = f"regexp_replace({expr}, {lit(r'\((.*)\)')}, '-$1')"
+        rew = f"regexp_replace({expr}, {lit(r'\((.*)\)')}, '-$1')"
     else:
-        neg = f"regexp_replace({expr}, {lit(r'(?s)^(.*?)\(((?-s:.*))\)')}, '$1-$2')"
-    slow = f"coalesce({guarded_double(f'regexp_replace({neg}, {lit(r'[$,]')}, {lit('')})')}, 0D)"
-    t = f"trim({expr})"
-    return (f"(CASE WHEN {expr} IS NULL THEN 0D WHEN {t} RLIKE {NUM} THEN coalesce(try_cast({t} AS DOUBLE), 0D) "
-            f"ELSE {slow} END)")
+        rew = f"regexp_replace({expr}, {lit(r'(?s)^(.*?)\(((?-s:.*))\)')}, '$1-$2')"
+    neg = f"(CASE WHEN instr({expr}, '(') > 0 THEN {rew} ELSE {expr} END)"
+    stripped = f"translate({neg}, '$,', '')"
+    return f"coalesce({guarded_double(stripped)}, 0D)"
 
 
 def measure_to_double(name: str, is_string: bool) -> str:

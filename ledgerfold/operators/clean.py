@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +37,24 @@ def forward_fill(
     partition_col: str | None = "file",
     order_col: str = "row_idx",
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    persist_input: bool = False,
 ) -> DataFrame:
     """Fill nulls with the last non-null value above, per ``partition_col`` in
     ``order_col`` order (an integral, unique row index).  Empty text is a value,
-    not a gap.  Each column is filled on its own."""
+    not a gap.  Each column is filled on its own.
+
+    The input is read twice (full, and narrow for the block tails).  When it
+    is expensive to compute (joins, decoding), ``persist_input`` caches it
+    (memory and disk) so it is computed once; the caller may unpersist it
+    after the action."""
     columns = list(columns)
     if not columns:
         return df
     part = [partition_col] if partition_col else []
     blk = "__ff_block"
     d = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_rows)).cast("long"))
+    if persist_input:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)
     w_local = (
         Window.partitionBy(*part, blk)
         .orderBy(order_col)

@@ -39,13 +39,15 @@ def prepare_rows(
     file_col: str | None = "file",
     order_col: str = "row_idx",
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    persist_input: bool = False,
 ) -> DataFrame:
     """Fill -> drop summary rows -> clean measures: the row-level half of the
     consolidation (the fill runs before the filter, so blanks under a summary row
     inherit the marker and go with it)."""
     df = ensure_keys(df, spec)
     fill = [k for k in spec.fill_keys if k in df.columns]
-    df = forward_fill(df, fill, partition_col=file_col, order_col=order_col, block_rows=block_rows)
+    df = forward_fill(df, fill, partition_col=file_col, order_col=order_col, block_rows=block_rows,
+                      persist_input=persist_input)
     df = drop_summary_rows(df, spec.keys[0], spec.markers, spec.marker_mode)
     return clean_measures(df, spec)
 
@@ -89,10 +91,11 @@ def consolidate(
     per_file: bool | None = None,
     sort: bool = False,
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    persist_input: bool = False,
 ) -> DataFrame:
     """Rows with canonical column names (plus ``file`` and ``row_idx``) -> one
     row per key (per file unless ``per_file=False``)."""
-    rows = prepare_rows(df, spec, file_col, order_col, block_rows)
+    rows = prepare_rows(df, spec, file_col, order_col, block_rows, persist_input)
     return group_rows(rows, spec, file_col, order_col, per_file, sort)
 
 

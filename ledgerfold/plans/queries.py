@@ -1480,3 +1480,18 @@ def q_merge_metadata(spark, sf_dir):
         F.array_join("discrepancy_notes", " / ").alias("notes"), "file_type",
         F.array_join("filenames", ",").alias("filenames"),
     )
+
+
+@register("merge_period_check", "WITH " + ORDERS_DATES_SQL + ", " + _side_meta_sql("F", "RLIP", "l") + ", "
+          + _side_meta_sql("O", "RAP", "r") + """
+SELECT o_custkey, (l.canonical_period IS NOT DISTINCT FROM r.canonical_period) AS ok,
+  CASE WHEN l.canonical_period IS DISTINCT FROM r.canonical_period THEN
+    'Cannot merge: RLIP file period is ' || coalesce(l.canonical_period, 'None') || ', RAP file period is '
+    || coalesce(r.canonical_period, 'None') || '. Table month/year must match.' END AS error
+FROM l FULL JOIN r USING (o_custkey)""")
+def q_merge_period_check(spark, sf_dir):
+    from ledgerfold.operators.merge import periods_match
+
+    left = _side_meta(spark, sf_dir, "F", "RLIP")
+    right = _side_meta(spark, sf_dir, "O", "RAP")
+    return periods_match(left, right, on=["o_custkey"])

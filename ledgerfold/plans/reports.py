@@ -62,7 +62,10 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     header_raw = materialize(tables.header_table(rows, starts))
     issues = H.header_issues(header_raw) if spec.drop_nuisance_headers else None
     headers = H.prepare_headers(header_raw, spec)
-    mapping = materialize(H.resolve_mapping(headers, spec.canonical, strategy))
+    mapping = H.resolve_mapping(headers, spec.canonical, strategy)
+    if spec.blank_header_as:
+        mapping = _blank_header_fallback(header_raw, mapping, spec.blank_header_as)
+    mapping = materialize(mapping)
 
     files = starts.select("file")
     validation = H.validate_files(mapping.select("file", "canonical"), spec, files)
@@ -133,3 +136,19 @@ def _null_absent(data: DataFrame, present: DataFrame, spec: ReportSpec) -> DataF
             for c in data.columns
         ]
     )
+
+
+def _blank_header_fallback(header_raw: DataFrame, mapping: DataFrame, target: str) -> DataFrame:
+    """Stated intent of the reference (R14): in files where ``target`` is not
+    mapped, the first blank header column takes that name."""
+    from ledgerfold.functions.text import clean_header
+
+    blanks = (
+        header_raw.filter(clean_header("header") == "")
+        .groupBy("file").agg(F.min("col_idx").alias("col_idx"))
+    )
+    has = mapping.filter(F.col("canonical") == target).select("file")
+    extra = blanks.join(has, "file", "left_anti").select(
+        "file", F.col("col_idx").cast("int"), F.lit("").alias("header"), F.lit(target).alias("canonical")
+    )
+    return mapping.unionByName(extra)

@@ -141,3 +141,13 @@ def test_truncate(spark):
     df = spark.createDataFrame([("abcdefghijklmnopqrstu",), ("short",)], "s string")
     got = [r.t for r in df.select(truncate_middle("s", 20).alias("t")).collect()]
     assert got == ["abcdefgh…nopqrstu", "short"]
+
+
+def test_sql_text_accounting_equals_column_form(spark):
+    from ledgerfold.functions import sqltext as S
+
+    vals = ["($1,234.50)", "$ (12)", "  7 ", "", "12%", "(-5)", "1e3", None, "1_000", "nan", "(1)\n(2)", "$-3.25", "1,2,3"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    a = [r.x for r in df.select(accounting_number("v").alias("x")).collect()]
+    b = [r.x for r in df.selectExpr(f"{S.accounting_number('v')} AS x").collect()]
+    assert a == b

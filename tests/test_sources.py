@@ -96,3 +96,17 @@ def test_csv_scan(spark):
         f.write("x,y\n1,\n,2\n")
     got = [(r.row_idx, r["values"]) for r in read_report_files(spark, d).orderBy("row_idx").collect()]
     assert got == [(0, ["x", "y"]), (1, ["1", None]), (2, [None, "2"])]
+
+
+def test_blank_header_as_client(spark):
+    from ledgerfold.spec import CAPTIVE_CLIENT
+
+    hdr = ["Captive Name: Captive Name", None] + list(CAPTIVE_TARGETS[:10])
+    d = tempfile.mkdtemp(prefix="ledgerfold-blank-")
+    row = ["Cap A", "C9"] + [None] * 10
+    write_xlsx(os.path.join(d, "a.xlsx"), [hdr, row])
+    rows = read_report_files(spark, d).filter("row_idx >= 0")
+    plain = ingest(rows, CAPTIVE_SPEC).data.collect()
+    assert [r[CAPTIVE_CLIENT] for r in plain] == [""]
+    fixed = ingest(rows, CAPTIVE_SPEC.with_(blank_header_as=CAPTIVE_CLIENT)).data.collect()
+    assert [r[CAPTIVE_CLIENT] for r in fixed] == ["C9"]
