@@ -1185,7 +1185,8 @@ def _report(spark, sf_dir, family: str):
     spec = SPECS[family]
     layout = layouts.LAYOUTS[family]()
     rows = layouts.build_rows(spark, sf_dir, layout)
-    return ingest(rows, spec, block_rows=1 << 12), layout, spec
+    # The rows come from joins and feed four branches: stage them once.
+    return ingest(rows, spec, block_rows=1 << 12, stage_rows=True), layout, spec
 
 
 def _report_data(spark, sf_dir, family: str):
@@ -1495,3 +1496,41 @@ def q_merge_period_check(spark, sf_dir):
     left = _side_meta(spark, sf_dir, "F", "RLIP")
     right = _side_meta(spark, sf_dir, "O", "RAP")
     return periods_match(left, right, on=["o_custkey"])
+
+
+# ------------------------------------------------------------------ charts over consolidated reports
+
+
+@register("report_top_rent", "WITH d AS (" + _report_sql("captive") + """),
+e AS (SELECT CASE WHEN trim(captive_name_client) <> '' THEN trim(captive_name_captive_name) || ' | ' || trim(captive_name_client)
+               ELSE trim(captive_name_captive_name) END AS label,
+        sum(additional_rent) AS value, min((file, captive_name_captive_name, captive_name_client)) AS first_row
+      FROM d WHERE additional_rent IS NOT NULL GROUP BY 1 HAVING label <> '')
+SELECT CAST(row_number() OVER (ORDER BY value DESC, first_row) AS INTEGER) AS rank, label, round(value, 2) AS value
+FROM e ORDER BY value DESC, first_row LIMIT 7""")
+def q_report_top_rent(spark, sf_dir):
+    from ledgerfold.spec import CAPTIVE_CLIENT, CAPTIVE_KEY
+
+    res, _, _ = _report(spark, sf_dir, "captive")
+    data = res.data.withColumn("ord", F.struct("file", CAPTIVE_KEY, CAPTIVE_CLIENT))
+    out = summaries.top_entities(data, "Additional Rent", 7, CAPTIVE_KEY, CAPTIVE_CLIENT, "ord")
+    return out.select("rank", "label", F.round("value", 2).alias("value"))
+
+
+def _monthly_pnl_sql() -> str:
+    from ledgerfold.spec import COMMISSION_PNL, MONTH_NAMES
+
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS month_idx, '{MONTH_NAMES[i - 1]}' AS month, round(coalesce(sum({snake(c)}), 0.0), 2) AS value FROM d"
+        for i, c in enumerate(COMMISSION_PNL, start=1)
+    )
+    return "WITH d AS (" + _report_sql("commission") + ") " + parts
+
+
+@register("report_monthly_pnl", _monthly_pnl_sql())
+def q_report_monthly_pnl(spark, sf_dir):
+    from ledgerfold.spec import COMMISSION_PNL
+
+    res, _, _ = _report(spark, sf_dir, "commission")
+    out = summaries.monthly_totals(res.data, COMMISSION_PNL)
+    return out.select("month_idx", "month", F.round("value", 2).alias("value"))
