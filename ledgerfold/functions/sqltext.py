@@ -72,9 +72,14 @@ def _pivot(y: str) -> str:
 
 
 def filename_parts(base: str) -> list[tuple[str, str]]:
+    """Year-text extracts of the file-name forms.  Each month pattern runs only
+    when the lower-cased name contains that month's name (a plain substring
+    test, far cheaper than the regex; the result is the same)."""
     out = []
+    low = f"lower({base})"
     for i, m in enumerate(MONTH_NAMES, start=1):
-        out.append((f"m{i}", f"regexp_extract({base}, {lit(rf'(?i)(?:^|[\s_\-]){m.lower()}\s*(\d{{4}}|\d{{2}})\b')}, 1)"))
+        rx = f"regexp_extract({base}, {lit(rf'(?i)(?:^|[\s_\-]){m.lower()}\s*(\d{{4}}|\d{{2}})\b')}, 1)"
+        out.append((f"m{i}", f"(CASE WHEN contains({low}, {lit(m.lower())}) THEN {rx} ELSE '' END)"))
     short_pat = r"(?i)\b(" + "|".join(SHORT_MONTHS) + r")\s*[.\s-]*(\d{4}|\d{2})\b"
     out.append(("sname", f"lower(regexp_extract({base}, {lit(short_pat)}, 1))"))
     out.append(("syear", f"regexp_extract({base}, {lit(short_pat)}, 2)"))

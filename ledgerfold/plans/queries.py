@@ -68,7 +68,8 @@ FROM kept GROUP BY file, captive, client"""
 @register("consolidate", CONSOLIDATE_SQL)
 def q_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = td.captive_rows(spark, sf_dir)
-    out = cons.consolidate(rows, CAPTIVE_SPEC)
+    # The derived rows come from joins; the fill reads them twice, so cache them.
+    out = cons.consolidate(rows, CAPTIVE_SPEC, persist_input=True)
     return _round_doubles(_snake_all(out))
 
 
@@ -1418,7 +1419,7 @@ def _consolidate_3key_sql() -> str:
 def q_consolidate_3key(spark, sf_dir):
     from ledgerfold.spec import COMMISSION_SPEC
 
-    out = cons.consolidate(_supplier_rows(spark, sf_dir), COMMISSION_SPEC)
+    out = cons.consolidate(_supplier_rows(spark, sf_dir), COMMISSION_SPEC, persist_input=True)
     return _round_doubles(_snake_all(out))
 
 
