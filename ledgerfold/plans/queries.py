@@ -360,10 +360,10 @@ def q_monthly_totals(spark, sf_dir):
 MERGE_SQL = "WITH " + td.SALES_ROWS_SQL + """,
 l AS (SELECT n_name AS captive, c_mktsegment AS client, sum(l_extendedprice) AS rlip, sum(l_tax) AS gwp,
         arg_min_null(l_quantity, row_idx) AS units
-      FROM sales_rows WHERE l_returnflag = 'R' AND c_nationkey % 4 <> 0 GROUP BY 1, 2),
+      FROM sales_rows WHERE l_returnflag = 'R' AND n_regionkey <> 0 GROUP BY 1, 2),
 r AS (SELECT n_name AS captive, c_mktsegment AS client, sum(l_extendedprice) AS rap, sum(l_tax) AS gwp,
         arg_min_null(l_quantity, row_idx) AS units, sum(l_quantity) AS enrolled
-      FROM sales_rows WHERE l_returnflag = 'A' AND c_nationkey % 4 <> 1 GROUP BY 1, 2)
+      FROM sales_rows WHERE l_returnflag = 'A' AND n_regionkey <> 1 GROUP BY 1, 2)
 SELECT captive AS captive_name_captive_name, client AS captive_name_client,
   round(coalesce(l.rlip, 0.0), 2) AS popic_fee_rlip,
   round(coalesce(l.gwp, 0.0) + coalesce(r.gwp, 0.0), 2) AS gross_written_premium,
@@ -373,10 +373,12 @@ SELECT captive AS captive_name_captive_name, client AS captive_name_client,
 FROM l FULL JOIN r USING (captive, client)"""
 
 
-def _half_report(rows: DataFrame, flag: str, nation_mod: int, measures: dict) -> DataFrame:
+def _half_report(rows: DataFrame, flag: str, skip_region: int, measures: dict) -> DataFrame:
+    """One half-report: lines with one return flag, customers outside one region
+    (so each side has keys the other lacks)."""
     from ledgerfold.spec import CAPTIVE_CLIENT, CAPTIVE_KEY
 
-    src = rows.filter((F.col("l_returnflag") == flag) & (F.col("c_nationkey") % 4 != nation_mod)).select(
+    src = rows.filter((F.col("l_returnflag") == flag) & (F.col("n_regionkey") != skip_region)).select(
         F.lit("all").alias("file"), "row_idx",
         F.col("n_name").alias(CAPTIVE_KEY), F.col("c_mktsegment").alias(CAPTIVE_CLIENT),
         *[F.col(src).alias(dst) for dst, src in measures.items()],

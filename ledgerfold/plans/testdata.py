@@ -87,7 +87,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal", "c_name")
     # nation has 25 rows by definition of the schema: a proven bound.
-    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     return (
         li.join(orders, li.l_orderkey == orders.o_orderkey)
         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
@@ -98,7 +98,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES_ROWS_SQL = LINEITEM_ROWS_SQL + """,
 sales_rows AS (
   SELECT li.*, o.o_custkey, o.o_orderdate, o.o_totalprice,
-         c.c_custkey, c.c_nationkey, c.c_mktsegment, c.c_acctbal, c.c_name, n.n_name
+         c.c_custkey, c.c_nationkey, c.c_mktsegment, c.c_acctbal, c.c_name, n.n_name, n.n_regionkey
   FROM lineitem_rows li
   JOIN orders o ON li.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey

@@ -66,8 +66,14 @@ def table_start(rows: DataFrame, spec: ReportSpec) -> DataFrame:
     return files.join(firsts, "file", "left").select("file", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"))
 
 
-def title_cells(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """Non-blank trimmed cells above the table start, ``(file, row_idx, col_idx, value)``."""
+def title_cells(rows: DataFrame, starts: DataFrame, max_row: int | None = None) -> DataFrame:
+    """Non-blank trimmed cells above the table start, ``(file, row_idx, col_idx, value)``.
+
+    ``max_row`` (the spec's scan limit; every start lies below it) filters the
+    rows before the join, so only the top of each file is joined (and, on a
+    parquet source, read)."""
+    if max_row is not None:
+        rows = rows.filter(F.col("row_idx") < max_row)
     r = rows.join(starts, "file").filter(F.col("row_idx") < F.col("start")).drop("start")
     cells = rows_to_cells(r)
     return cells.select("file", "row_idx", "col_idx", F.trim("value").alias("value")).filter(
@@ -75,8 +81,11 @@ def title_cells(rows: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def header_table(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """The header row of each file as ``(file, col_idx, header)``."""
+def header_table(rows: DataFrame, starts: DataFrame, max_row: int | None = None) -> DataFrame:
+    """The header row of each file as ``(file, col_idx, header)`` (``max_row`` as
+    in :func:`title_cells`)."""
+    if max_row is not None:
+        rows = rows.filter(F.col("row_idx") < max_row)
     r = rows.join(starts, "file").filter(F.col("row_idx") == F.col("start")).drop("start")
     return rows_to_cells(r).select("file", "col_idx", F.col("value").alias("header"))
 
