@@ -43,13 +43,17 @@ def prepare_rows(
 ) -> DataFrame:
     """Fill -> drop summary rows -> clean measures: the row-level half of the
     consolidation (the fill runs before the filter, so blanks under a summary row
-    inherit the marker and go with it)."""
+    inherit the marker and go with it).
+
+    The measure parse is row-local and independent of both, so it runs first,
+    before the fill's shuffle: the rows then travel with doubles instead of
+    text."""
     df = ensure_keys(df, spec)
+    df = clean_measures(df, spec)
     fill = [k for k in spec.fill_keys if k in df.columns]
     df = forward_fill(df, fill, partition_col=file_col, order_col=order_col, block_rows=block_rows,
                       persist_input=persist_input)
-    df = drop_summary_rows(df, spec.keys[0], spec.markers, spec.marker_mode)
-    return clean_measures(df, spec)
+    return drop_summary_rows(df, spec.keys[0], spec.markers, spec.marker_mode)
 
 
 def group_rows(
