@@ -123,3 +123,21 @@ def month_number_normalized(s: str) -> str:
     num = f"(CASE WHEN {s} RLIKE {NUM} THEN try_cast({s} AS DOUBLE) END)"
     fallback = f"coalesce(CASE WHEN abs({num}) < 2147483648 THEN CAST({num} AS INT) END, 0)"
     return f"(CASE WHEN {s} IS NULL OR {s} = '' THEN CAST(NULL AS INT) {branches} ELSE {fallback} END)"
+
+
+def format_period(p: str) -> str:
+    """``November 2025``; month outside 1-12 -> ``2025-13``; null -> null."""
+    names = "array(" + ", ".join(lit(m) for m in MONTH_NAMES) + ")"
+    y, m = f"CAST({p}.year AS STRING)", f"{p}.month"
+    return (f"(CASE WHEN {p} IS NULL THEN CAST(NULL AS STRING) WHEN {m} BETWEEN 1 AND 12 "
+            f"THEN concat_ws(' ', element_at({names}, {m}), {y}) ELSE concat({y}, '-', CAST({m} AS STRING)) END)")
+
+
+def discrepancy_notes(t: str, f: str, h: str) -> str:
+    """Notes when the file-name or title period disagrees with the table period."""
+    ts, fs, hs = format_period(t), format_period(f), format_period(h)
+    n1 = f"CASE WHEN {f} IS NOT NULL AND NOT ({f} <=> {t}) THEN concat('Filename suggests ', {fs}, '; table period is ', {ts}, '.') END"
+    n2 = f"CASE WHEN {h} IS NOT NULL AND NOT ({h} <=> {t}) THEN concat('Header suggests ', {hs}, '; table period is ', {ts}, '.') END"
+    n3 = (f"CASE WHEN {f} IS NOT NULL AND {h} IS NOT NULL AND NOT ({f} <=> {h}) "
+          f"THEN concat('Filename suggests ', {fs}, '; header suggests ', {hs}, '.') END")
+    return f"(CASE WHEN {t} IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE array_compact(array({n1}, {n2}, {n3})) END)"

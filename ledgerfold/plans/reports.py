@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import sqltext as S
-from ledgerfold.functions.periods import discrepancy_notes, format_period, with_filename_period
+from ledgerfold.functions.periods import with_filename_period
 from ledgerfold.operators import consolidate as cons
 from ledgerfold.operators import headers as H
 from ledgerfold.operators import periods as OP
@@ -105,17 +105,17 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     )
     cols = [
         "file", "filename",
-        format_period("canonical_period").alias("canonical_period"),
-        format_period("period_from_filename").alias("period_from_filename"),
-        format_period("period_from_header").alias("period_from_header"),
-        discrepancy_notes("canonical_period", "period_from_filename", "period_from_header").alias("discrepancy_notes"),
-        F.coalesce(F.col("file_type"), F.lit("combined")).alias("file_type"),
-        F.when(F.col("filename").isNotNull(), F.array("filename")).otherwise(F.array().cast("array<string>")).alias("filenames"),
+        f"{S.format_period('canonical_period')} AS canonical_period",
+        f"{S.format_period('period_from_filename')} AS period_from_filename",
+        f"{S.format_period('period_from_header')} AS period_from_header",
+        f"{S.discrepancy_notes('canonical_period', 'period_from_filename', 'period_from_header')} AS discrepancy_notes",
+        "coalesce(file_type, 'combined') AS file_type",
+        "CASE WHEN filename IS NOT NULL THEN array(filename) ELSE CAST(array() AS ARRAY<STRING>) END AS filenames",
     ]
     if issues is not None:
         meta = meta.join(H.issues_per_file(issues).select("file", "header_issues"), "file", "left")
-        cols.append(F.coalesce(F.col("header_issues"), F.array().cast("array<string>")).alias("header_issues"))
-    metadata = meta.select(*cols)
+        cols.append("coalesce(header_issues, CAST(array() AS ARRAY<STRING>)) AS header_issues")
+    metadata = meta.selectExpr(*cols)
     metadata = metadata.join(good, "file", "left_semi")
     status = validation.select(
         "file", F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error"

@@ -59,3 +59,15 @@ def test_sql_text_forms_equal_column_forms(spark):
     a = [r.p for r in df.select(P.period_from_title_text("v").alias("p")).collect()]
     b = [r.p for r in P.with_title_period(df, "v", "p").select("p").collect()]
     assert a == b
+
+
+def test_sql_text_notes_equal_column_form(spark):
+    from ledgerfold.functions import sqltext as S
+
+    df = spark.createDataFrame(
+        [((2025, 11), (2025, 11), (2025, 11)), ((2025, 11), (2024, 8), None), ((2025, 11), None, (2025, 9)),
+         (None, (2024, 8), (2025, 9)), ((2025, 13), (2025, 1), (2024, 1))],
+        "t struct<year:int,month:int>, f struct<year:int,month:int>, h struct<year:int,month:int>")
+    a = df.select(P.format_period("t").alias("x"), P.discrepancy_notes("t", "f", "h").alias("n")).collect()
+    b = df.selectExpr(f"{S.format_period('t')} AS x", f"{S.discrepancy_notes('t', 'f', 'h')} AS n").collect()
+    assert a == b
