@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.numbers import lenient_float
@@ -64,14 +64,25 @@ def top_entities(
 ) -> DataFrame:
     """Top ``n`` entities by value, ties in first-seen order -> (rank, label, value)."""
     ent = aggregate_by_entity(df, value_col, captive_col, client_col, order_col, take_first)
+    return _ranked_top(ent, n)
+
+
+def _ranked_top(ent: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best entities (value desc, first row asc), numbered 1..n.
+
+    ``orderBy().limit(n)`` keeps n rows per task (TakeOrderedAndProject); the
+    numbering then sorts those n rows inside one aggregate row (a bounded
+    ``collect_list``), so no window moves data to a single partition."""
     top = ent.orderBy(F.col("value").desc(), F.col("first_row").asc()).limit(n)
-    # ``top`` is at most n rows in one partition (TakeOrderedAndProject), so the
-    # unpartitioned window below numbers n rows, never the data.
-    w = Window.orderBy(F.col("value").desc(), F.col("first_row").asc())
-    return top.select(
-        F.row_number().over(w).cast("int").alias("rank"),
-        F.col("entity").alias("label"),
-        F.col("value"),
+    ordered = top.agg(
+        F.array_sort(
+            F.collect_list(F.struct(F.col("value"), F.col("first_row"), F.col("entity"))),
+            lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1)
+            .when(a["first_row"] < b["first_row"], -1).when(a["first_row"] > b["first_row"], 1).otherwise(0),
+        ).alias("top")
+    )
+    return ordered.select(F.posexplode("top").alias("pos", "t")).select(
+        (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.entity").alias("label"), F.col("t.value").alias("value")
     )
 
 
@@ -86,13 +97,9 @@ def top_n_others(
     """Top ``n`` slices plus ``Others`` (only when the rest is positive), with
     percent of the total rounded to 2; a zero total gives no slices."""
     ent = aggregate_by_entity(df, value_col, captive_col, client_col, order_col)
-    top = ent.orderBy(F.col("value").desc(), F.col("first_row").asc()).limit(n)
-    w = Window.orderBy(F.col("value").desc(), F.col("first_row").asc())
-    top_ranked = top.select(
-        F.row_number().over(w).cast("int").alias("rank"), F.col("entity").alias("label"), "value"
-    )
-    # ``top`` holds at most n rows: a proven bound, so broadcasting it is safe.
-    flags = F.broadcast(top.select(F.col("entity"), F.lit(True).alias("is_top")))
+    top_ranked = _ranked_top(ent, n)
+    # The top holds at most n rows: a proven bound, so broadcasting it is safe.
+    flags = F.broadcast(top_ranked.select(F.col("label").alias("entity"), F.lit(True).alias("is_top")))
     totals = (
         ent.join(flags, "entity", "left")
         .agg(
