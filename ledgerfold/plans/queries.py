@@ -1288,10 +1288,15 @@ def q_promote_header(spark, sf_dir):
     from ledgerfold.sources.tables import header_table, promote, table_start
     from ledgerfold.spec import CAPTIVE_SPEC as spec
 
+    from ledgerfold.session import materialize
+
     lay = layouts.captive_layout()
-    rows = _captive_rows(spark, sf_dir)
-    starts = table_start(rows, spec)
-    mapping = resolve_mapping(prepare_headers(header_table(rows, starts), spec), spec.canonical, "best")
+    # Derived rows and the small header-side tables feed several branches:
+    # write each once (as ingest does).
+    rows = materialize(_captive_rows(spark, sf_dir))
+    starts = materialize(table_start(rows, spec))
+    mapping = materialize(resolve_mapping(prepare_headers(header_table(rows, starts, spec.scan_rows), spec),
+                                          spec.canonical, "best"))
     wide = promote(rows, starts, mapping, spec.canonical, names=spec.column_names)
     present = list(dict.fromkeys(c.canonical for c in lay.columns if c.canonical))
     return wide.select("file", "row_idx", *[F.col(c).alias(snake(c)) for c in present])
