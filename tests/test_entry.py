@@ -33,10 +33,17 @@ def test_some_oracles_small(spark, sf_small):
 
 
 def test_scan_prunes_columns(spark, sf_small):
-    """The top-entities plan reads only the columns it needs from lineitem."""
-    plan = E.queries()["top_entities"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
-    assert "l_comment" not in plan
-    assert "ReadSchema" in plan or "FileScan" in plan
+    """first_in_group reads three order columns, not the whole table."""
+    plan = E.queries()["first_in_group"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema"):].split("\n")[0]
+    assert "o_orderpriority" in schema and "o_totalprice" not in schema and "o_orderdate" not in schema
+
+
+def test_filter_pushed_to_scan(spark, sf_small):
+    """Facet selections reach the orders scan as pushed filters."""
+    plan = E.queries()["facet_filter"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("\n")[0]
+    assert "o_orderstatus" in pushed and "o_orderpriority" in pushed
 
 
 def test_forward_fill_has_no_global_window(spark):
