@@ -49,7 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current is not None:
         return current
-    # Only reached in local runs where the cluster named no folder.
+    if not sc.master.startswith("local"):
+        # A machine-local folder would not survive the loss of an executor.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (cluster runs need one)")
+    # Only reached in local runs (tests) where no folder is named.
     local_dir = tempfile.mkdtemp(prefix="ledgerfold-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)
