@@ -58,8 +58,9 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     # The header side is small (a row per file, a row per column per file) but
     # feeds several branches; a reliable checkpoint computes it once and keeps
     # the Python matching out of every later branch.
-    starts = materialize(tables.table_start(rows, spec))
-    header_raw = materialize(tables.header_table(rows, starts, max(spec.scan_rows, 1)))
+    top = materialize(tables.top_cells(rows, spec))
+    starts = materialize(tables.table_start_from_cells(top, spec, rows.select("file").distinct()))
+    header_raw = tables.header_from(top, starts)
     issues = H.header_issues(header_raw) if spec.drop_nuisance_headers else None
     headers = H.prepare_headers(header_raw, spec)
     mapping = H.resolve_mapping(headers, spec.canonical, strategy)
@@ -89,7 +90,7 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
         table_p = OP.period_from_table(prepared, "__month", "__year")
     else:
         table_p = OP.period_from_year(wide, "__year")
-    title_p = OP.period_from_title(tables.title_cells(rows, starts, max(spec.scan_rows, 1)))
+    title_p = OP.period_from_title(tables.title_cells_from(top, starts))
     names = filenames if filenames is not None else files.select("file", _basename("file").alias("filename"))
     name_p = with_filename_period(names, "filename", "period_from_filename").select("file", "filename", "period_from_filename")
 

@@ -39,22 +39,25 @@ START_NAMES = {
 }
 
 
-def _row_flags(rows: DataFrame, spec: ReportSpec) -> DataFrame:
+def _row_flags(cells: DataFrame, spec: ReportSpec) -> DataFrame:
     names = START_NAMES[spec.start_rule]
-    cells = rows_to_cells(rows, spec.scan_rows).filter(F.col("value").isNotNull())
-    texts = cells.select(F.trim(F.col("value")).alias("header")) if spec.start_rule != "captive" else \
-        cells.select(F.col("value").alias("header"))
-    hits = match_pairs(texts, names).filter("matched").select("header", "canonical")
-    key = F.trim("value") if spec.start_rule != "captive" else F.col("value")
-    found = cells.withColumn("header", key).join(hits, "header")
+    cells = cells.filter(F.col("value").isNotNull())
+    hits = match_pairs(cells.select(F.trim("value").alias("header")), names).filter("matched").select("header", "canonical")
+    found = cells.withColumn("header", F.trim("value")).join(hits, "header")
     return found.groupBy("file", "row_idx").agg(
         *[F.bool_or(F.col("canonical") == n).alias(f"h{i}") for i, n in enumerate(names)]
     )
 
 
-def table_start(rows: DataFrame, spec: ReportSpec) -> DataFrame:
-    """``(file, start)`` for every file in ``rows``."""
-    flags = _row_flags(rows, spec)
+def top_cells(rows: DataFrame, spec: ReportSpec) -> DataFrame:
+    """Cells of the first ``scan_rows`` rows of each file: all the header-side
+    steps need (the filter reaches a parquet scan as a pushed filter)."""
+    return rows_to_cells(rows, max(spec.scan_rows, 1))
+
+
+def table_start_from_cells(cells: DataFrame, spec: ReportSpec, files: DataFrame | None = None) -> DataFrame:
+    """``(file, start)`` from the top cells; files without a match start at 0."""
+    flags = _row_flags(cells, spec)
     if spec.start_rule == "captive":
         ok = F.col("h0")
     elif spec.start_rule == "commission":  # captive AND (salesperson OR client)
@@ -62,10 +65,29 @@ def table_start(rows: DataFrame, spec: ReportSpec) -> DataFrame:
     else:  # (vendor AND (captive OR client)) OR (captive AND client)
         ok = (F.col("h0") & (F.col("h1") | F.col("h2"))) | (F.col("h1") & F.col("h2"))
     firsts = flags.filter(ok).groupBy("file").agg(F.min("row_idx").alias("start"))
-    files = rows.select("file").distinct()
+    files = files if files is not None else cells.select("file").distinct()
     return files.join(firsts, "file", "left").select("file", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"))
 
 
+def table_start(rows: DataFrame, spec: ReportSpec) -> DataFrame:
+    """``(file, start)`` for every file in ``rows``."""
+    return table_start_from_cells(top_cells(rows, spec), spec, rows.select("file").distinct())
+
+
+def title_cells_from(cells: DataFrame, starts: DataFrame) -> DataFrame:
+    """Non-blank trimmed cells above the table start, from the top cells."""
+    c = cells.join(starts, "file").filter(F.col("row_idx") < F.col("start"))
+    return c.select("file", "row_idx", "col_idx", F.trim("value").alias("value")).filter(
+        F.col("value").isNotNull() & (F.col("value") != "")
+    )
+
+
+def header_from(cells: DataFrame, starts: DataFrame) -> DataFrame:
+    """The header row ``(file, col_idx, header)``, from the top cells."""
+    c = cells.join(starts, "file").filter(F.col("row_idx") == F.col("start"))
+    return c.select("file", "col_idx", F.col("value").alias("header"))
+
+
 def title_cells(rows: DataFrame, starts: DataFrame, max_row: int | None = None) -> DataFrame:
     """Non-blank trimmed cells above the table start, ``(file, row_idx, col_idx, value)``.
 
@@ -74,11 +96,7 @@ def title_cells(rows: DataFrame, starts: DataFrame, max_row: int | None = None)
     parquet source, read)."""
     if max_row is not None:
         rows = rows.filter(F.col("row_idx") < max_row)
-    r = rows.join(starts, "file").filter(F.col("row_idx") < F.col("start")).drop("start")
-    cells = rows_to_cells(r)
-    return cells.select("file", "row_idx", "col_idx", F.trim("value").alias("value")).filter(
-        F.col("value").isNotNull() & (F.col("value") != "")
-    )
+    return title_cells_from(rows_to_cells(rows), starts)
 
 
 def header_table(rows: DataFrame, starts: DataFrame, max_row: int | None = None) -> DataFrame:
@@ -86,8 +104,7 @@ def header_table(rows: DataFrame, starts: DataFrame, max_row: int | None = None)
     in :func:`title_cells`)."""
     if max_row is not None:
         rows = rows.filter(F.col("row_idx") < max_row)
-    r = rows.join(starts, "file").filter(F.col("row_idx") == F.col("start")).drop("start")
-    return rows_to_cells(r).select("file", "col_idx", F.col("value").alias("header"))
+    return header_from(rows_to_cells(rows), starts)
 
 
 def _positions(mapping: DataFrame, canonical: Sequence[str], groups: dict[str, Sequence[str]]) -> DataFrame:
