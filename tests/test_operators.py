@@ -151,3 +151,23 @@ def test_sql_text_accounting_equals_column_form(spark):
     a = [r.x for r in df.select(accounting_number("v").alias("x")).collect()]
     b = [r.x for r in df.selectExpr(f"{S.accounting_number('v')} AS x").collect()]
     assert a == b
+
+
+def test_periods_match_and_period_join(spark):
+    one = lambda v: spark.createDataFrame([(v,)], "canonical_period string")
+    assert M.periods_match(one(None), one(None)).first().ok
+    r = M.periods_match(one("November 2025"), one("October 2025")).first()
+    assert not r.ok and r.error.startswith("Cannot merge: RLIP file period is November 2025, RAP file period is October 2025")
+    cols = "`Captive Name: Captive Name` string, `Captive Name: Client` string, p string, `POPIC Fee RLIP` double"
+    left = spark.createDataFrame([("A", "", "2025-11", 1.0), ("A", "", "2025-12", 2.0)], cols)
+    right = spark.createDataFrame([("A", "", "2025-11", 5.0)], cols.replace("RLIP", "RAP"))
+    out = {r.p: (r["POPIC Fee RLIP"], r["POPIC Fee RAP"]) for r in M.merge_reports(left, right, period_col="p").collect()}
+    assert out == {"2025-11": (1.0, 5.0), "2025-12": (2.0, 0.0)}
+
+
+def test_page_size_and_distinct_order(spark):
+    rows = spark.range(40).withColumnRenamed("id", "i")
+    assert X.page_slice(rows.orderBy("i"), 0, 30).count() == 25  # size not offered: keep 25
+    df = spark.createDataFrame([(v,) for v in ["b", " A", "a", "", None, "B "]], "v string")
+    assert [r.value for r in X.distinct_values(df, "v").collect()] in (["A", "a", "b", "B"], ["a", "A", "b", "B"],
+                                                                       ["A", "a", "B", "b"], ["a", "A", "B", "b"])
