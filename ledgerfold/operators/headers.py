@@ -133,28 +133,30 @@ def match_pairs(headers: DataFrame, canonical: Sequence[str], header_col: str =
 
 
 def _assign(strategy: str):
+    """Per-file one-to-one assignment over plain arrays (one file's pairs)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken_cols: set = set()
-        taken_canon: set = set()
-        rows = []
         if strategy == "first":
-            for pos, grp in pdf.sort_values(["canon_pos", "col_idx"]).groupby("canon_pos", sort=True):
-                for r in grp.itertuples():
-                    if r.col_idx not in taken_cols:
-                        taken_cols.add(r.col_idx)
-                        rows.append((r.file, r.col_idx, r.header, r.canonical))
-                        break
+            order = pdf.sort_values(["canon_pos", "col_idx"], kind="stable")
         else:
-            ordered = pdf.assign(_e=~pdf["exact"]).sort_values(
-                ["_e", "ratio", "canon_pos", "col_idx"], ascending=[True, False, True, True]
+            order = pdf.assign(_e=~pdf["exact"]).sort_values(
+                ["_e", "ratio", "canon_pos", "col_idx"], ascending=[True, False, True, True], kind="stable"
             )
-            for r in ordered.itertuples():
-                if r.col_idx in taken_cols or r.canonical in taken_canon:
-                    continue
-                taken_cols.add(r.col_idx)
-                taken_canon.add(r.canonical)
-                rows.append((r.file, r.col_idx, r.header, r.canonical))
-        return pd.DataFrame(rows, columns=["file", "col_idx", "header", "canonical"])
+        cols = order["col_idx"].to_numpy()
+        canon = order["canonical"].to_numpy()
+        taken_cols: set = set()
+        taken_canon: set = set()
+        keep = []
+        for i in range(len(order)):
+            # "first": each name (in list order) takes its first free column;
+            # "best": pairs in score order, each column and name used once.
+            if cols[i] in taken_cols or canon[i] in taken_canon:
+                continue
+            taken_cols.add(cols[i])
+            taken_canon.add(canon[i])
+            keep.append(i)
+        out = order.iloc[keep]
+        return out[["file", "col_idx", "header", "canonical"]]
 
     return run
 
