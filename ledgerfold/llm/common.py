@@ -53,3 +53,46 @@ def texts_of(col: pa.Array) -> list[str]:
     """Python strings of a text column; null counts as empty."""
     return [t or "" for t in col.to_pylist()]
 
+
+
+def map_sorted_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of every key (integers, never null).
+
+    Rows are dealt out and sorted by the keys; a task then reads its rows batch
+    by batch and holds one group at a time.  Callers bound the groups' size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.array([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(key[:, a].tolist())
+                if held and now != last:
+                    yield fn(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+        if held:
+            yield fn(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of a list column of equal length as a double matrix."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(col), dim)
+
+
+def usable(vector: Column | str) -> Column:
+    """Whether a vector takes part: not null, without null or non-finite
+    components, and not all zero."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & good & F.exists(v, lambda x: x != 0), F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import table
+from ledgerfold.llm.common import LOWER, UPPER, crc_mod, table
 
 #: Vocabulary of op7: a file of the installed public tokenizers.
 BPE_FILE = "word_bpe_49k.json"
@@ -21,6 +21,25 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.learned_partitions import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.ngram_join import link_classes
+
+    return link_classes(table(spark, sf_dir, "documents"), k=4, threshold=85).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm import secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.scan(docs, secrets.fit(docs)))
+
+
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.mixing import mix
 
@@ -40,12 +59,33 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_replaced")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.bpe import round_trip_digests
 
     return round_trip_digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.cap_filters import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.pitman_yor import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.url_reputation import judge, outcomes_from_labels
 
@@ -55,6 +95,94 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_temperature_mixing, op5_pii_pseudonyms, op7_rank_array_bpe, op10_url_reputation)
+    for f in (
+        op1_learned_partitions, op2_ngram_jaccard, op3_secret_scan, op4_temperature_mixing, op5_pii_pseudonyms,
+        op6_toxicity, op7_rank_array_bpe, op8_cap_filters, op9_pitman_yor, op10_url_reputation,
+    )
 }
-ORACLES: dict[str, str] = {}
+
+_CLASSES = """
+, reach AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+, class AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+"""
+
+_OP2 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+, shingles AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+                          ELSE [array_to_string(w, ' ')] END) AS sh FROM words WHERE len(w) > 0))
+, sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)
+, common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM shingles x JOIN shingles y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL)
+, links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * m >= 85 * (s.n + t.n - m))
+{_CLASSES}
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN class c ON c.a = d.doc_id
+"""
+
+_OP8 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, e -> e <> 0)) > 0)
+, links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.98)
+{_CLASSES}
+, degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN class c ON c.a = e.vec_id LEFT JOIN degree g ON g.a = e.vec_id
+"""
+
+
+def _strength_sql(groups: str) -> str:
+    """Strength of a level's beta prior, as url_reputation computes it."""
+    return f"""(SELECT CASE WHEN n = 0 OR n IS NULL OR g < 2 OR m * (1 - m) <= 0 OR n - n2 / n - (g - 1) <= 0 THEN 10.0
+      WHEN ((s - n * m * m) / (m * (1 - m)) - (g - 1)) <= 0 THEN 1e5
+      ELSE least(1e5, greatest(0.5, (n - n2 / n - (g - 1)) / ((s - n * m * m) / (m * (1 - m)) - (g - 1)) - 1)) END
+      FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE / nullif(sum(n), 0) AS m, count(*)::DOUBLE AS g, sum(n * n)::DOUBLE AS n2, sum(bad * bad / n::DOUBLE) AS s
+            FROM {groups} WHERE n > 0))"""
+
+
+def _op10() -> str:
+    from ledgerfold.llm.url_reputation import RULES, TWO_LABEL_SUFFIXES
+
+    rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
+    wide = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+, u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut)
+, outcome AS (
+  SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id)
+, host AS (SELECT host, sum(coalesce(n, 0)) AS n, sum(coalesce(bad, 0)) AS bad, string_split(host, '.') AS part FROM u LEFT JOIN outcome USING (page_id) GROUP BY host)
+, placed AS (
+  SELECT *, array_to_string(part[greatest(1, len(part) - 1):], '.') IN ({wide}) AS wide FROM host)
+, h AS (
+  SELECT host, n, bad, array_to_string(part[greatest(1, len(part) - CASE WHEN wide THEN 2 ELSE 1 END):], '.') AS domain,
+         CASE WHEN wide THEN array_to_string(part[greatest(1, len(part) - 1):], '.') ELSE part[-1] END AS suffix FROM placed)
+, d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL)
+, s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL)
+, k AS (SELECT {_strength_sql('h')} AS kh, {_strength_sql('d')} AS kd, {_strength_sql('s')} AS ks, (SELECT (coalesce(sum(bad), 0) + 0.2) / (coalesce(sum(n), 0) + 2.0) FROM s) AS root)
+, rate AS (
+  SELECT h.host, h.n + kh AS w, (h.bad + kh * (d.bad + kd * (s.bad + ks * root) / (s.n + ks)) / (d.n + kd)) / (h.n + kh) AS m
+  FROM h JOIN d USING (domain, suffix) JOIN s USING (suffix), k)
+, rule AS (SELECT * FROM (VALUES {rules}) AS t(action, rhost, rpath))
+, fit AS (
+  SELECT page_id, rhost || rpath AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost) + length(rpath) DESC) AS place
+  FROM u JOIN rule ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.action, CASE WHEN m - 1.64 * sqrt(m * (1 - m) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fit f ON f.page_id = u.page_id AND f.place = 1 LEFT JOIN rate r ON r.host = u.host
+"""
+
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op8_cap_filters": _OP8, "op10_url_reputation": _op10()}
