@@ -53,7 +53,7 @@ PATTERNS = ("insult", "insult_aimed", "insult_denied", "insult_reported", "threa
 #: Arc weights before any label is seen; training pulls away from them.
 PRIOR = np.array([3.0, 4.0, 0.5, 0.5, 3.0, 0.5, 0.5])
 PRIOR_BIAS = -3.0
-STEM_LENGTHS = (3, 4, 5, 6)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CLAUSE_END = re.compile(r"[.!?;:\n|…]")
 
@@ -183,10 +183,11 @@ def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: st
     return rows.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("text", "toxic")
 
 
-def learn_lexicon(rows: DataFrame, most: int = 2_000, least_share: float = 0.01, precision: float = 0.95) -> tuple[tuple[str, ...], tuple[str, ...]]:
+def learn_lexicon(rows: DataFrame, most: int = 2_000, least_share: float = 0.005, precision: float = 0.95, strong_share: float = 0.03) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """(words, stems) found in toxic rows: counted once per row, kept when at
     least ``least_share`` of the toxic rows hold them (3 at least) and rows that
-    hold them are toxic with ``precision``; at most ``most`` of either."""
+    hold them are toxic with ``precision``; at most ``most`` of either, and only
+    those that are frequent or needed."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, list[int]] = {}
@@ -209,14 +210,44 @@ def learn_lexicon(rows: DataFrame, most: int = 2_000, least_share: float = 0.01,
     found = {r["mark"]: r["pos"] for r in good.orderBy(F.desc("pos"), "mark").limit(most).collect()}
     stems: list[str] = []
     for s in sorted((m for m in found if not m.endswith("$")), key=lambda m: (len(m), m)):
-        # Nothing but one word of the same count: the whole word says it better.
-        if any(s.startswith(t) for t in stems):
+        if any(s.startswith(t[:3]) and t.startswith(s) or s.startswith(t) for t in stems):
             continue
-        if any(m.endswith("$") and m[:-1].startswith(s) and found[m] >= 0.9 * found[s] for m in found):
-            continue
-        stems.append(s)
+        # The longest beginning that says the same, or the one word behind it.
+        longer = [m for m in found if m.startswith(s) and found[m] >= 0.95 * found[s]]
+        best = max(longer, key=lambda m: (len(m.rstrip("$")), m))
+        if not best.endswith("$"):
+            stems.append(best)
     words = [m[:-1] for m in found if m.endswith("$") and not any(m.startswith(s) for s in stems)]
-    return tuple(sorted({*words, *SEED_INSULTS})), tuple(stems)
+    return _needed(rows.where("toxic = 1"), found, words, stems, max(8, math.ceil(strong_share * toxic)))
+
+
+def _needed(rows: DataFrame, found: dict[str, int], words: list[str], stems: list[str], strong: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Of the words and stems those that ``strong`` rows hold, or that explain at
+    least two rows which more frequent ones don't: words that merely stand next
+    to insults in copies of one text explain none."""
+    marks = sorted([w + "$" for w in words] + stems, key=lambda m: (-found[m], m))
+    place = {m: i for i, m in enumerate(marks)}
+    lengths = sorted({len(s) for s in stems})
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t in texts_of(batch.column(0)):
+            ws = set(_WORD.findall(t.lower()))
+            out.append(sorted({place[k] for w in ws for k in (w + "$", *(w[:n] for n in lengths)) if k in place}))
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["marks"])
+
+    held: dict[int, list[int]] = {}
+    for row, r in enumerate(map_batches(rows.select("text"), run, "marks array<int>").collect()):
+        for m in r["marks"]:
+            held.setdefault(m, []).append(row)
+    covered: set[int] = set()
+    kept = set()
+    for i, m in enumerate(marks):
+        new = [r for r in held.get(i, []) if r not in covered]
+        if found[m] >= strong or len(new) >= 2:
+            kept.add(m)
+            covered.update(new)
+    return tuple(sorted({*(m[:-1] for m in kept if m.endswith("$")), *SEED_INSULTS})), tuple(sorted(m for m in kept if not m.endswith("$")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
