@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Unicode white space, as text stripping removes it.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # Plain decimal number, optional sign and exponent.  Guards the cast so that
 # Spark-only forms ("1d", "5f") and DuckDB/Python-only forms ("1_000") are
 # rejected alike, and "nan"/"inf" text gives null.
@@ -15,9 +18,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Drop white space of any kind at both ends (``trim`` drops blanks only)."""
+    return F.btrim(_col(c), F.lit(SPACES))
+
+
 def guarded_double(text) -> Column:
-    """Cast trimmed text to double when it is a plain number, else null."""
-    t = F.trim(_col(text))
+    """Cast stripped text to double when it is a plain number, else null."""
+    t = strip(text)
     return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
 
 
@@ -36,15 +44,7 @@ def accounting_number(text, replace_all: bool = True) -> Column:
     else:
         # Anchored lazy prefix: only the leftmost "(...)" on a line is rewritten.
         neg = F.regexp_replace(c, r"(?s)^(.*?)\(((?-s:.*))\)", "$1-$2")
-    stripped = F.trim(F.regexp_replace(neg, r"[$,]", ""))
-    return F.coalesce(guarded_double(stripped), F.lit(0.0))
-
-
-def measure_to_double(c, is_string: bool) -> Column:
-    """Clean one measure column: text via the accounting parse, numbers null -> 0.0."""
-    if is_string:
-        return accounting_number(c)
-    return F.coalesce(_col(c).cast("double"), F.lit(0.0))
+    return F.coalesce(guarded_double(F.regexp_replace(neg, r"[$,]", "")), F.lit(0.0))
 
 
 def lenient_float(c) -> Column:
@@ -58,12 +58,13 @@ def nan_to_null(c) -> Column:
 
 
 def js_text(c) -> Column:
-    """Text of a number as a browser prints it: ``100`` not ``100.0``, no exponent
-    for ordinary magnitudes."""
+    """Text of a number as a browser prints it: ``100`` not ``100.0``, plain
+    digits from 1e-6 up to 1e21, beyond that ``1e+30`` and ``1e-7``."""
     col = _col(c)
     s = col.cast("string")
     plain = F.regexp_replace(s, r"\.0$", "")
-    as_dec = F.regexp_replace(
-        F.regexp_replace(col.cast("decimal(38,10)").cast("string"), r"0+$", ""), r"\.$", ""
-    )
-    return F.when(col.isNull(), F.lit(None)).when(s.contains("E"), as_dec).otherwise(plain)
+    digits = F.regexp_replace(F.regexp_replace(col.try_cast("decimal(38,16)").cast("string"), r"0+$", ""), r"\.$", "")
+    short = F.regexp_replace(s, r"\.0E", "E")
+    power = F.when(short.contains("E-"), F.lower(short)).otherwise(F.regexp_replace(short, "E", "e+"))
+    size = F.abs(col)
+    return F.when(col.isNull(), F.lit(None)).when(~s.contains("E"), plain).when((size >= 1e21) | (size < 1e-6), power).otherwise(digits)

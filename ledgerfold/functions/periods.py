@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.numbers import strip
+
 from ledgerfold.spec import MONTH_NAMES
 
 # Three-letter month forms accepted in file names.
@@ -118,7 +120,7 @@ def period_from_title_text(value) -> Column:
     """Period in one title cell: ``^Month YYYY$`` (any case), else ``20YY-MM`` or
     ``20YY/MM`` anywhere with month 1-12.  See :func:`with_title_period` for the
     staged form used on large inputs."""
-    parts = dict(_title_candidates(F.trim(_col(value))))
+    parts = dict(_title_candidates(strip(_col(value))))
     return _title_period_from_parts(parts.__getitem__)
 
 
@@ -126,7 +128,7 @@ def with_title_period(df, value_col: str, out_col: str):
     """``df`` plus ``out_col``: the title-cell period, computed in stages."""
     from ledgerfold.functions import sqltext as S
 
-    d = df.withColumn("__tp_s", F.trim(F.col(value_col)))
+    d = df.withColumn("__tp_s", strip(F.col(value_col)))
     parts = S.title_parts("__tp_s")
     d = d.selectExpr("*", *[f"{e} AS __tp_{n}" for n, e in parts])
     d = d.selectExpr("*", f"{S.title_period(lambda n: '__tp_' + n)} AS {S.q(out_col)}")
@@ -150,14 +152,14 @@ def _month_number_normalized(s: Column) -> Column:
 def month_number(text) -> Column:
     """Month text -> 1..12 by prefix either way or the number text; else int(float);
     else 0.  Empty text is treated as missing (null), not January."""
-    return _month_number_normalized(F.lower(F.trim(_col(text))))
+    return _month_number_normalized(F.lower(strip(_col(text))))
 
 
 def with_month_number(df, text_col: str, out_col: str):
     """``df`` plus ``out_col`` = month_number(text_col), normalising the text once."""
     from ledgerfold.functions import sqltext as S
 
-    d = df.withColumn("__mn_s", F.lower(F.trim(F.col(text_col))))
+    d = df.withColumn("__mn_s", F.lower(strip(F.col(text_col))))
     return d.selectExpr("*", f"{S.month_number_normalized('__mn_s')} AS {S.q(out_col)}").drop("__mn_s")
 
 
@@ -167,7 +169,7 @@ def year_number(value, is_numeric: bool = False) -> Column:
     if is_numeric:
         d = v.cast("double")
         return F.when(~F.isnan(d) & (F.abs(d) < 2147483648), d.cast("int"))
-    t = F.trim(v.cast("string"))
+    t = strip(v.cast("string"))
     return F.when(t.rlike(r"^[+-]?[0-9]{1,9}$"), t.try_cast("int"))
 
 

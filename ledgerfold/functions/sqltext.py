@@ -9,7 +9,7 @@ for wide reports.  The semantics equal the Column forms in the sibling modules
 
 from __future__ import annotations
 
-from ledgerfold.functions.numbers import NUMBER_PATTERN
+from ledgerfold.functions.numbers import NUMBER_PATTERN, SPACES
 
 
 def q(name: str) -> str:
@@ -25,8 +25,12 @@ def lit(s: str) -> str:
 NUM = lit(NUMBER_PATTERN)
 
 
+def strip(expr: str) -> str:
+    return f"btrim({expr}, {lit(SPACES)})"
+
+
 def guarded_double(expr: str) -> str:
-    t = f"trim({expr})"
+    t = strip(expr)
     return f"(CASE WHEN {t} RLIKE {NUM} THEN try_cast({t} AS DOUBLE) END)"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerfold.functions.numbers import strip
+
 # Placeholder header names treated as nuisance columns.
 NUISANCE_HEADERS = ("unnamed", "column", "null", "none")
 SORT_ARROW = "↑"
@@ -16,20 +18,20 @@ def _col(c) -> Column:
 
 def clean_header(h) -> Column:
     """Drop sort arrows and trim; null -> ''."""
-    return F.coalesce(F.trim(F.regexp_replace(_col(h), SORT_ARROW, "")), F.lit(""))
+    return F.coalesce(strip(F.regexp_replace(_col(h), SORT_ARROW, "")), F.lit(""))
 
 
 def normalize_header(h) -> Column:
     """strip, lower, delete [^a-z0-9 whitespace], collapse whitespace, strip."""
-    s = F.lower(F.trim(_col(h)))
-    s = F.regexp_replace(s, r"[^a-z0-9\s]", "")
-    s = F.regexp_replace(s, r"\s+", " ")
+    s = F.lower(strip(_col(h)))
+    s = F.regexp_replace(s, r"(?U)[^a-z0-9\s]", "")
+    s = F.regexp_replace(s, r"(?U)\s+", " ")
     return F.coalesce(F.trim(s), F.lit(""))
 
 
 def is_nuisance_header(h) -> Column:
     """Blank, a single letter, or a placeholder name (any case)."""
-    s = F.trim(_col(h))
+    s = strip(_col(h))
     return (
         s.isNull()
         | (s == "")
@@ -40,10 +42,10 @@ def is_nuisance_header(h) -> Column:
 
 def entity_key(captive, client=None) -> Column:
     """trim(captive), plus `` | `` + trim(client) when the client is non-empty."""
-    cap = F.coalesce(F.trim(_col(captive).cast("string")), F.lit(""))
+    cap = F.coalesce(strip(_col(captive).cast("string")), F.lit(""))
     if client is None:
         return cap
-    cli = F.coalesce(F.trim(_col(client).cast("string")), F.lit(""))
+    cli = F.coalesce(strip(_col(client).cast("string")), F.lit(""))
     return F.when(cli != "", F.concat(cap, F.lit(" | "), cli)).otherwise(cap)
 
 

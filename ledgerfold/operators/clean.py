@@ -5,22 +5,18 @@ puts a whole file on one task; a single file may hold a third of all rows, so th
 fill here runs in two steps over fixed-size blocks of the row index:
 
 1. fill inside each ``(file, block)`` with ``last(ignorenulls)``;
-2. take the last non-null value of every block (a narrow aggregate, one row
-   per block), carry it forward across blocks with a window partitioned by
+2. take the last value of every block (a narrow aggregate, one row per block), carry it forward across blocks with a window partitioned by
    file over that small table, and patch the rows still null at the head of
    each block by a join on ``(file, block)``.
 
 The big side is shuffled once, on ``(file, block)``, and the join back reuses
-that partitioning; the block table is small.  The input is read twice: once in
-full for the fill, once narrow (file, row index, filled columns) for the
-block tails.
+that partitioning; the block table is small.  Nothing is cached.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +33,20 @@ def forward_fill(
     partition_col: str | None = "file",
     order_col: str = "row_idx",
     block_rows: int = DEFAULT_BLOCK_ROWS,
-    persist_input: bool = False,
 ) -> DataFrame:
     """Fill nulls with the last non-null value above, per ``partition_col`` in
     ``order_col`` order (an integral, unique row index).  Empty text is a value,
     not a gap.  Each column is filled on its own.
 
-    The input is read twice (full, and narrow for the block tails).  When it
-    is expensive to compute (joins, decoding), ``persist_input`` caches it
-    (memory and disk) so it is computed once; the caller may unpersist it
-    after the action."""
+    The input is read twice: in full for the fill, and narrow (file, row index,
+    filled columns) for the block tails; an input that is expensive to compute
+    is best written to a table first."""
     columns = list(columns)
     if not columns:
         return df
     part = [partition_col] if partition_col else []
     blk = "__ff_block"
     d = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_rows)).cast("long"))
-    if persist_input:
-        d = d.persist(StorageLevel.MEMORY_AND_DISK)
     w_local = (
         Window.partitionBy(*part, blk)
         .orderBy(order_col)
@@ -64,13 +56,9 @@ def forward_fill(
         *[c for c in d.columns if c not in columns],
         *[F.last(c, ignorenulls=True).over(w_local).alias(c) for c in columns],
     )
-    # Last non-null value of each block, straight from the input: a narrow
-    # aggregate (partial before its shuffle), one row per block.
-    tails = d.groupBy(*part, blk).agg(
-        *[
-            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"__tail_{i}")
-            for i, c in enumerate(columns)
-        ]
+    # The block's last row holds the last non-null value of every column.
+    tails = local.groupBy(*part, blk).agg(
+        *[F.max_by(F.col(c), F.col(order_col)).alias(f"__tail_{i}") for i, c in enumerate(columns)]
     )
     w_blocks = (
         Window.partitionBy(*part)

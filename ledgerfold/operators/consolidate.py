@@ -33,13 +33,21 @@ def ensure_keys(df: DataFrame, spec: ReportSpec) -> DataFrame:
     return df
 
 
+def keep_rows(df: DataFrame, spec: ReportSpec, file_col: str | None = "file", order_col: str = "row_idx",
+              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Fill the keys and drop summary rows; measures stay as they are."""
+    df = ensure_keys(df, spec)
+    fill = [k for k in spec.fill_keys if k in df.columns]
+    df = forward_fill(df, fill, partition_col=file_col, order_col=order_col, block_rows=block_rows)
+    return drop_summary_rows(df, spec.keys[0], spec.markers, spec.marker_mode)
+
+
 def prepare_rows(
     df: DataFrame,
     spec: ReportSpec,
     file_col: str | None = "file",
     order_col: str = "row_idx",
     block_rows: int = DEFAULT_BLOCK_ROWS,
-    persist_input: bool = False,
 ) -> DataFrame:
     """Fill -> drop summary rows -> clean measures: the row-level half of the
     consolidation (the fill runs before the filter, so blanks under a summary row
@@ -48,12 +56,7 @@ def prepare_rows(
     The measure parse is row-local and independent of both, so it runs first,
     before the fill's shuffle: the rows then travel with doubles instead of
     text."""
-    df = ensure_keys(df, spec)
-    df = clean_measures(df, spec)
-    fill = [k for k in spec.fill_keys if k in df.columns]
-    df = forward_fill(df, fill, partition_col=file_col, order_col=order_col, block_rows=block_rows,
-                      persist_input=persist_input)
-    return drop_summary_rows(df, spec.keys[0], spec.markers, spec.marker_mode)
+    return keep_rows(clean_measures(ensure_keys(df, spec), spec), spec, file_col, order_col, block_rows)
 
 
 def group_rows(
@@ -95,11 +98,10 @@ def consolidate(
     per_file: bool | None = None,
     sort: bool = False,
     block_rows: int = DEFAULT_BLOCK_ROWS,
-    persist_input: bool = False,
 ) -> DataFrame:
     """Rows with canonical column names (plus ``file`` and ``row_idx``) -> one
     row per key (per file unless ``per_file=False``)."""
-    rows = prepare_rows(df, spec, file_col, order_col, block_rows, persist_input)
+    rows = prepare_rows(df, spec, file_col, order_col, block_rows)
     return group_rows(rows, spec, file_col, order_col, per_file, sort)
 
 

@@ -2,9 +2,9 @@
 
 The reference does this in the browser on one thread; here each step is a
 DataFrame expression.  Search and facets are filters (pushed to the scan where
-possible), sorting is a distributed range sort, and a page is
-``orderBy().offset().limit()`` (each task keeps only ``offset + size`` rows) --
-never a global ``row_number`` that would pull every row into one task.
+possible), sorting is a distributed range sort, and ranks and deep pages come from
+the sorted partitions' sizes (:mod:`ledgerfold.operators.ranks`): no task ever
+holds the rows before a page.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from ledgerfold.functions.numbers import guarded_double, js_text
+from ledgerfold.functions.numbers import guarded_double, js_text, strip
+from ledgerfold.operators.ranks import Ranked
 
 PAGE_SIZES = (10, 25, 50, 100)
 DEFAULT_PAGE_SIZE = 25
@@ -54,11 +56,15 @@ def facet_filter(df: DataFrame, selections: Mapping[str, Sequence[str]]) -> Data
     return df
 
 
+def is_number_type(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, NumericType)
+
+
 def is_numeric_column(df: DataFrame, col: str) -> Column:
-    """Aggregate: every non-empty value parses as a number (empty column -> true)."""
-    kind = dict(df.dtypes)[col]
-    if kind != "string":
-        return F.lit(True)
+    """Aggregate: every non-empty value of a text column parses as a number (empty
+    column -> true); of other types only the numeric ones are numeric."""
+    if dict(df.dtypes)[col] != "string":
+        return F.lit(is_number_type(df, col))
     v = F.col(col)
     bad = v.isNotNull() & (v != "") & guarded_double(v).isNull()
     return F.coalesce(F.bool_and(~bad), F.lit(True))
@@ -80,9 +86,9 @@ def sort_keys(df: DataFrame, column: str, direction: str = "asc", numeric: bool
     keep the original order (``order_col``)."""
     desc = direction == "desc"
     kind = dict(df.dtypes)[column]
-    if numeric:
+    if numeric and (kind == "string" or is_number_type(df, column)):
         if kind == "string":
-            v = F.when(F.trim(F.col(column)) == "", F.lit(0.0)).otherwise(guarded_double(column))
+            v = F.when(strip(column) == "", F.lit(0.0)).otherwise(guarded_double(column))
             v = F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(F.coalesce(v, F.lit(float("nan"))))
         else:
             v = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
@@ -112,16 +118,26 @@ def page_bounds(total_rows: int, page_index: int, page_size: int) -> tuple[int,
     return idx, idx * page_size
 
 
-def page_slice(sorted_df: DataFrame, page_index: int, page_size: int = DEFAULT_PAGE_SIZE,
-               total_rows: int | None = None, current_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page of an ordered DataFrame.  A size outside the allowed list keeps
-    the current size; the index is clamped to the last page (this needs the row
-    count, one scalar action unless ``total_rows`` is given)."""
+def sort_rank(df: DataFrame, column: str, direction: str = "asc", numeric: bool | None = None, order_col: str | None = None,
+              name: str = "rank") -> DataFrame:
+    """``df`` with each row's place in the user sort; ``order_col`` must tell
+    rows apart."""
+    if numeric is None:
+        numeric = bool(df.agg(is_numeric_column(df, column)).first()[0])
+    return Ranked(df, sort_keys(df, column, direction, numeric, order_col)).with_rank(name)
+
+
+def page_slice(df: DataFrame, keys: Sequence[Column], page_index: int, page_size: int = DEFAULT_PAGE_SIZE,
+               current_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """One page of ``df`` in the order of ``keys``, which must tell rows apart.  A
+    size outside the allowed list keeps the current size; the index is clamped
+    to the last page.  The first page is a top-k of one page; deeper ones come
+    from :class:`Ranked`, which never gathers the rows before them."""
     size = page_size if page_size in PAGE_SIZES else current_size
-    if page_index > 0 and total_rows is None:
-        total_rows = sorted_df.count()
-    idx, offset = page_bounds(total_rows or 0, page_index, size) if page_index > 0 else (0, 0)
-    return sorted_df.offset(offset).limit(size)
+    if page_index <= 0:
+        return df.orderBy(*keys).limit(size)
+    ranked = Ranked(df, keys)
+    return ranked.slice(page_bounds(ranked.total, page_index, size)[1], size)
 
 
 def page_info(df: DataFrame, page_index: int, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
@@ -145,7 +161,7 @@ def distinct_values(df: DataFrame, col: str, search: str | None = None) -> DataF
     """Distinct trimmed values (null and '' skipped), case-insensitive order;
     optionally only those containing the lower-cased search term."""
     v = F.col(col).cast("string")
-    out = df.filter(v.isNotNull() & (v != "")).select(F.trim(v).alias("value")).distinct()
+    out = df.filter(v.isNotNull() & (v != "")).select(strip(v).alias("value")).distinct()
     term = (search or "").strip().lower()
     if term:
         out = out.filter(F.lower("value").contains(term))
@@ -159,7 +175,9 @@ def explore(df: DataFrame, search: str = "", columns: Sequence[str] | None = Non
     """Search -> facets -> sort -> page, in this order."""
     rows = search_rows(df, search, columns)
     rows = facet_filter(rows, facets or {})
-    if numeric is None and sort_column:
-        numeric = bool(df.agg(is_numeric_column(df, sort_column)).first()[0])
-    rows = user_sort(rows, sort_column, direction, numeric, order_col)
-    return page_slice(rows, page_index, page_size)
+    if sort_column and direction in ("asc", "desc"):
+        if numeric is None:
+            numeric = bool(df.agg(is_numeric_column(df, sort_column)).first()[0])
+        return page_slice(rows, sort_keys(df, sort_column, direction, numeric, order_col), page_index, page_size)
+    keys = [F.col(order_col)] if order_col else [F.monotonically_increasing_id()]
+    return page_slice(rows, keys, page_index, page_size)

@@ -3,14 +3,15 @@
 Input is a small table of observed headers ``(file, col_idx, header)`` -- one row
 per column of each file, never per data row.  Matching runs on *distinct*
 header texts times the spec's canonical list (a fixed, bounded list exploded
-from literals, not a join), so its cost grows with the header vocabulary, not
-with the data.  The similarity ratio is the only Python in the path: an
-Arrow-batched pandas UDF evaluated only on pairs that can still reach the
-0.40 threshold (a ratio never exceeds ``2*min(la,lb)/(la+lb)``).
+from literals, not a join).  The similarity ratio is the only Python in the
+path: an Arrow-batched pandas UDF, evaluated only on pairs that can still match.
+A bound from the letters that both texts share (JVM-side) must reach 0.72, or
+0.40 where the key-token rule holds; so data cells, which the table search also
+compares, practically never reach Python.
 
 The one-to-one assignment of headers to canonical names is sequential by
-nature, so it runs per file with ``applyInPandas`` over that file's matched
-pairs (at most columns x canonical names rows per group).
+nature, so it runs with ``applyInPandas`` once for every distinct list of
+headers (at most columns x canonical names rows per group).
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerfold.functions.numbers import strip
 from ledgerfold.functions.text import clean_header, is_nuisance_header, normalize_header
-from ledgerfold.spec import ReportSpec
+from ledgerfold.spec import KEY_RULES, ReportSpec
 
 # Typo-tolerant key tokens for the key columns.
 CAPTIVE_TOKENS = ("captive", "captiev", "captve", "captiv")
@@ -40,21 +42,6 @@ HEADER_SCHEMA = "file string, col_idx int, header string"
 MAPPING_SCHEMA = "file string, col_idx int, header string, canonical string"
 
 
-def token_rule(canonical: str) -> str | None:
-    """Which key-token rule a canonical name uses (decided from the name itself)."""
-    if "Captive Name: Captive Name" in canonical:
-        return "captive"
-    if "Client" in canonical:
-        return "client"
-    if canonical == "Captive Name":
-        return "captive"
-    if canonical == "Salesperson":
-        return "salesperson"
-    if canonical == "Vendor":
-        return "vendor"
-    return None
-
-
 def _any_token(n: Column, tokens: Sequence[str]) -> Column:
     out = None
     for t in tokens:
@@ -64,7 +51,7 @@ def _any_token(n: Column, tokens: Sequence[str]) -> Column:
 
 
 def tokens_match(rule: Column, n_act: Column) -> Column:
-    """Key-token rule on a normalised header (``rule`` from :func:`token_rule`)."""
+    """Key-token rule on a normalised header (``rule`` from ``spec.KEY_RULES``)."""
     nonempty = n_act != ""
     return nonempty & (
         F.when(rule == "captive", _any_token(n_act, CAPTIVE_TOKENS) & _any_token(n_act, NAME_TOKENS))
@@ -75,14 +62,6 @@ def tokens_match(rule: Column, n_act: Column) -> Column:
     )
 
 
-def _normalize_py(s: str) -> str:
-    import re
-
-    s = s.strip().lower()
-    s = re.sub(r"[^a-z0-9\s]", "", s)
-    return re.sub(r"\s+", " ", s).strip()
-
-
 @F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of (canonical, actual), as ``difflib`` computes it."""
@@ -90,46 +69,79 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def canonical_table(canonical: Sequence[str]) -> Column:
-    """Literal array of (canon_pos, canonical, n_can, rule) to explode."""
+    """Literal array of (canon_pos, canonical, rule) to explode."""
     from ledgerfold.functions.sqltext import lit
 
-    items = []
-    for i, c in enumerate(canonical):
-        rule = token_rule(c)
-        items.append(
-            f"named_struct('canon_pos', {i}, 'canonical', {lit(c)}, 'n_can', {lit(_normalize_py(c))}, "
-            f"'rule', {lit(rule) if rule else 'CAST(NULL AS STRING)'})"
-        )
+    items = [
+        f"named_struct('canon_pos', {i}, 'canonical', {lit(c)}, 'rule', {lit(KEY_RULES[c]) if c in KEY_RULES else 'CAST(NULL AS STRING)'})"
+        for i, c in enumerate(canonical)
+    ]
     return F.expr("array(" + ", ".join(items) + ")")
 
 
-def match_pairs(headers: DataFrame, canonical: Sequence[str], header_col: str = "header") -> DataFrame:
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def shared_letters(a: Column, b: Column) -> Column:
+    """Letters that two normalised texts share, counted with repeats: no
+    similarity ratio exceeds twice this over the sum of their lengths."""
+
+    def times(text: Column, letter: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, letter))
+
+    return F.aggregate(
+        F.array(*[F.lit(c) for c in LETTERS]), F.lit(0), lambda total, c: total + F.least(times(a, c), times(b, c))
+    )
+
+
+def candidate_pairs(headers: DataFrame, canonical: Sequence[str], header_col: str = "header") -> DataFrame:
+    """Distinct headers x canonical names with ``exact`` and ``may_match``: only
+    pairs that may match need a similarity ratio.  JVM-side."""
+    distinct = headers.select(F.col(header_col).alias("header")).distinct()
+    pairs = distinct.select("header", normalize_header("header").alias("n_act"), F.inline(canonical_table(canonical)))
+    pairs = pairs.withColumn("n_can", normalize_header("canonical"))
+    return pairs.withColumns({
+        "exact": (F.col("n_can") == F.col("n_act")) & (F.col("n_act") != ""),
+        "token": F.coalesce(tokens_match(F.col("rule"), F.col("n_act")), F.lit(False)),
+        "may_match": _fits(F.col("n_act"), F.struct(F.col("n_can").alias("n"), F.col("rule").alias("rule"))),
+    })
+
+
+def may_match_any(header_col: str, canonical: Sequence[str]) -> Column:
+    """Whether a text can match any of a few canonical names (see
+    :func:`candidate_pairs`), as one expression on the row."""
+    n = normalize_header(header_col)
+    one = F.transform(F.array(n), lambda act: F.exists(
+        F.array(*[F.struct(normalize_header(F.lit(c)).alias("n"), F.lit(KEY_RULES.get(c)).cast("string").alias("rule")) for c in canonical]),
+        lambda can: _fits(act, can),
+    ))
+    return F.coalesce(F.element_at(one, 1), F.lit(False))
+
+
+def _fits(act: Column, can: Column) -> Column:
+    a, c = F.length(act), F.length(can["n"])
+    need = F.when(F.coalesce(tokens_match(can["rule"], act), F.lit(False)), TOKEN_RATIO).otherwise(EXACT_RATIO)
+    return (a > 0) & (2.0 * F.least(a, c) / (a + c) >= need) & (shared_letters(act, can["n"]) * 2.0 / (a + c) >= need)
+
+
+def match_pairs(headers: DataFrame, canonical: Sequence[str], header_col: str = "header", score_all: bool = False) -> DataFrame:
     """Distinct headers x canonical names with ``exact``, ``ratio`` and ``matched``.
 
     ``matched``: equal after normalising, or ratio >= 0.72, or ratio >= 0.40 and
-    the key-token rule holds; an empty header never matches."""
-    distinct = headers.select(F.col(header_col).alias("header")).distinct()
-    pairs = distinct.select(
-        "header", normalize_header("header").alias("n_act"), F.inline(canonical_table(canonical))
-    )
-    la, lb = F.length("n_can"), F.length("n_act")
-    bound = 2.0 * F.least(la, lb) / (la + lb)
-    exact = (F.col("n_can") == F.col("n_act")) & (F.col("n_act") != "")
-    pairs = pairs.withColumn("exact", exact).withColumn(
-        "need_ratio", ~F.col("exact") & (F.col("n_act") != "") & (bound >= TOKEN_RATIO)
-    )
-    # The UDF runs only on the pairs that can still match (a filter, not a CASE:
-    # Spark evaluates Python UDFs on every row of the node that holds them).
-    ratios = (
-        pairs.filter("need_ratio").select("n_can", "n_act").distinct()
-        .withColumn("ratio", similarity_ratio("n_can", "n_act"))
-    )
+    the key-token rule holds; an empty header never matches.  Pairs that can't
+    match are not scored and have a null ratio; ``score_all`` scores them too."""
+    pairs = candidate_pairs(headers, canonical, header_col)
+    # The UDF runs only on pairs that need it (a filter, not a CASE: Spark
+    # evaluates Python UDFs on every row of the node that holds them).
+    wanted = pairs if score_all else pairs.filter("may_match AND NOT exact")
+    ratios = wanted.select("n_can", "n_act").distinct().withColumn("ratio", similarity_ratio("n_can", "n_act"))
     out = pairs.join(ratios, ["n_can", "n_act"], "left")
-    ratio = F.coalesce(F.col("ratio"), F.when(F.col("exact"), F.lit(1.0)), F.lit(0.0))
-    matched = (F.coalesce(F.col("header"), F.lit("")) != "") & (
-        F.col("exact") | (ratio >= EXACT_RATIO) | ((ratio >= TOKEN_RATIO) & tokens_match(F.col("rule"), F.col("n_act")))
+    ratio = F.coalesce(F.col("ratio"), F.when(F.col("exact"), F.lit(1.0)))
+    known = F.coalesce(ratio, F.lit(0.0))
+    matched = (F.coalesce(F.col("header"), F.lit("")) != "") & F.col("may_match") & (
+        F.col("exact") | (known >= EXACT_RATIO) | ((known >= TOKEN_RATIO) & F.col("token"))
     )
-    return out.select("header", "canon_pos", "canonical", "n_act", "exact", ratio.alias("ratio"), matched.alias("matched"))
+    return out.select("header", "canon_pos", "canonical", "n_act", "exact", ratio.alias("ratio"), F.coalesce(matched, F.lit(False)).alias("matched"))
 
 
 def _assign(strategy: str):
@@ -168,10 +180,17 @@ def resolve_mapping(headers: DataFrame, canonical: Sequence[str], strategy: str
     ``first``: canonical names in list order each take the first matching header
     not yet taken (the reference's greedy rule, which can shift columns when a
     name is missing).  ``best``: exact matches first, then by highest ratio."""
-    pairs = match_pairs(headers, canonical).filter("matched")
-    cand = headers.select("file", "col_idx", "header").join(pairs, "header")
-    cand = cand.select("file", "col_idx", "header", "canonical", "canon_pos", "exact", "ratio")
-    return cand.groupBy("file").applyInPandas(_assign(strategy), MAPPING_SCHEMA)
+    # One assignment for each distinct list of headers: files that carry the
+    # same headers share it.
+    lists = (
+        headers.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("col_idx", "header"))).alias("cols"))
+        .withColumn("sig", F.sha2(F.to_json("cols"), 256))
+    )
+    columns = lists.groupBy("sig").agg(F.any_value("cols").alias("cols")).select(F.col("sig").alias("file"), F.inline("cols"))
+    pairs = match_pairs(columns, canonical).filter("matched")
+    cand = columns.join(pairs, "header").select("file", "col_idx", "header", "canonical", "canon_pos", "exact", "ratio")
+    mapped = cand.groupBy("file").applyInPandas(_assign(strategy), MAPPING_SCHEMA).withColumnRenamed("file", "sig")
+    return lists.select("file", "sig").join(mapped, "sig").select("file", "col_idx", "header", "canonical")
 
 
 # ------------------------------------------------------------------ header hygiene
@@ -212,9 +231,7 @@ def issues_per_file(issues: DataFrame) -> DataFrame:
 
 def uniquify_headers(headers: DataFrame) -> DataFrame:
     """Blank -> ``column``; the k-th repeat of a name (k >= 2) -> ``name_k``."""
-    base = F.when(F.trim(F.coalesce(F.col("header"), F.lit(""))) == "", F.lit("column")).otherwise(
-        F.trim(F.col("header"))
-    )
+    base = F.when(strip(F.coalesce(F.col("header"), F.lit(""))) == "", F.lit("column")).otherwise(strip("header"))
     h = headers.withColumn("base", base)
     k = F.row_number().over(Window.partitionBy("file", "base").orderBy("col_idx"))
     return h.select(

@@ -58,25 +58,13 @@ def merge_reports(
     return res.orderBy(*keys) if sort else res
 
 
-def periods_match(left_period: DataFrame, right_period: DataFrame, col: str = "canonical_period",
-                  on: Sequence[str] | None = None) -> DataFrame:
-    """``ok`` when the two formatted table periods are equal (null = null passes)
-    and the error text otherwise -- checked before a merge.
-
-    Without ``on`` both sides are one-row metadata tables (one pair of files);
-    with ``on`` many pairs are checked at once by a full outer join on the pair
-    keys (a pair missing on one side compares with null)."""
-    if on:
-        l = left_period.select(*on, F.col(col).alias("l"))
-        r = right_period.select(*on, F.col(col).alias("r"))
-        both = l.join(r, list(on), "full_outer")
-        keys = list(on)
-    else:
-        l = left_period.select(F.col(col).alias("l"))
-        r = right_period.select(F.col(col).alias("r"))
-        # Both sides are one-row metadata tables: a proven bound.
-        both = l.withColumn("_k", F.lit(1)).join(F.broadcast(r.withColumn("_k", F.lit(1))), "_k")
-        keys = []
+def periods_match(left_period: DataFrame, right_period: DataFrame, on: Sequence[str], col: str = "canonical_period") -> DataFrame:
+    """``ok`` when the two formatted table periods of a pair are equal (null =
+    null passes) and the error text otherwise -- checked before a merge.  The
+    pairs meet by a full outer join on their keys ``on`` (a pair missing on one
+    side compares with null)."""
+    keys = list(on)
+    both = left_period.select(*keys, F.col(col).alias("l")).join(right_period.select(*keys, F.col(col).alias("r")), keys, "full_outer")
     same = F.col("l").eqNullSafe(F.col("r"))
     return both.select(
         *keys,

@@ -34,6 +34,23 @@ def period_from_title(cells: DataFrame, file_col: str = "file", row_col: str = "
     return _first_period(staged, file_col, F.col("__title_p"), F.struct(F.col(row_col), F.col(col_col)), name)
 
 
+def month_year_period(df: DataFrame, month_col: str, year_col: str):
+    """Text month and year columns -> the row's period, or null when invalid."""
+    y = P.year_number(year_col, is_numeric=dict(df.dtypes)[year_col] != "string")
+    m = P.month_number(month_col) if dict(df.dtypes)[month_col] == "string" else F.col(month_col).cast("int")
+    return F.when(m.between(1, 12) & y.between(1900, 2100), P.period(y, m))
+
+
+def period_and_rows(df: DataFrame, period=None, file_col: str = "file", order_col: str = "row_idx") -> DataFrame:
+    """``(file, canonical_period, n_rows)``: the first row with a period, and the
+    number of rows, in one aggregation."""
+    p = F.lit(None).cast("struct<year:int,month:int>") if period is None else period
+    staged = df.select(file_col, order_col, p.alias("__p"))
+    return staged.groupBy(file_col).agg(
+        F.min_by("__p", F.when(F.col("__p").isNotNull(), F.col(order_col))).alias("canonical_period"), F.count("*").alias("n_rows")
+    )
+
+
 def period_from_table(
     df: DataFrame,
     month_col: str,
@@ -66,7 +83,3 @@ def period_from_year(
     kinds = dict(df.dtypes)
     y = P.year_number(year_col, is_numeric=kinds[year_col] != "string")
     return _first_period(df, file_col, F.when(y.between(1900, 2100), P.period(y, F.lit(1))), F.col(order_col), name)
-
-
-def first_present(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
-    return next((c for c in candidates if c in columns), None)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.operators import clean, consolidate as cons, summaries
 from ledgerfold.plans import testdata as td
-from ledgerfold.spec import CAPTIVE_SPEC
+from ledgerfold.spec import CAPTIVE_SPEC, COMMISSION_COMMISSION, COMMISSION_PNL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,8 +68,7 @@ FROM kept GROUP BY file, captive, client"""
 @register("consolidate", CONSOLIDATE_SQL)
 def q_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = td.captive_rows(spark, sf_dir)
-    # The derived rows come from joins; the fill reads them twice, so cache them.
-    out = cons.consolidate(rows, CAPTIVE_SPEC, persist_input=True)
+    out = cons.consolidate(rows, CAPTIVE_SPEC)
     return _round_doubles(_snake_all(out))
 
 
@@ -109,20 +108,23 @@ def _events_nan(spark, sf_dir):
 
 
 @register("raw_scan", "WITH " + NAN_EVENTS_SQL + """
-SELECT event_id, user_id, event_type, CASE WHEN isnan(value) THEN NULL ELSE value END AS value, props
+SELECT event_id, user_id, event_type, CASE WHEN isnan(value) THEN NULL ELSE value END AS value, props,
+  (value IS NULL OR isnan(value)) AS value_is_null
 FROM events_nan""")
 def q_raw_scan(spark, sf_dir):
-    return clean.nan_to_null(_events_nan(spark, sf_dir))
+    return clean.nan_to_null(_events_nan(spark, sf_dir)).withColumn("value_is_null", F.col("value").isNull())
 
 
 @register("nan_to_null", "WITH " + NAN_EVENTS_SQL + """
-SELECT event_id, isnan(value) AS was_nan, CASE WHEN isnan(value) THEN NULL ELSE value END AS value
+SELECT event_id, isnan(value) AS was_nan, CASE WHEN isnan(value) THEN NULL ELSE value END AS value,
+  (value IS NULL OR isnan(value)) AS value_is_null
 FROM events_nan""")
 def q_nan_to_null(spark, sf_dir):
     from ledgerfold.functions.numbers import nan_to_null
 
     ev = _events_nan(spark, sf_dir)
-    return ev.select("event_id", F.isnan("value").alias("was_nan"), nan_to_null("value").alias("value"))
+    out = ev.select("event_id", F.isnan("value").alias("was_nan"), nan_to_null("value").alias("value"))
+    return out.withColumn("value_is_null", F.col("value").isNull())
 
 
 # ------------------------------------------------------------------ forward fill
@@ -196,14 +198,23 @@ def q_drop_subtotal(spark, sf_dir):
 # ------------------------------------------------------------------ numbers
 
 
+# Every seventh text ends in white space that is no blank: tab, no-break space, line feed.
+ODD_SPACE_SQL = "({x} || CASE {k} % 28 WHEN 0 THEN chr(9) WHEN 7 THEN chr(160) WHEN 14 THEN chr(10) WHEN 21 THEN chr(8195) ELSE '' END)"
+
+
+def _odd_space(text, k):
+    k = k % 28
+    return F.concat(text, F.when(k == 0, "\t").when(k == 7, "\u00a0").when(k == 14, "\n").when(k == 21, "\u2003").otherwise(""))
+
+
 @register("accounting_parse", "WITH " + td.LINEITEM_ROWS_SQL + f""",
-t AS (SELECT row_idx, {td.money_text_sql('l_extendedprice', 'row_idx % 5')} AS amount_text FROM lineitem_rows)
+t AS (SELECT row_idx, {ODD_SPACE_SQL.format(x=td.money_text_sql('l_extendedprice', 'row_idx % 5'), k='row_idx')} AS amount_text FROM lineitem_rows)
 SELECT row_idx, amount_text, {td.accounting_parse_sql('amount_text')} AS amount FROM t""")
 def q_accounting_parse(spark, sf_dir):
     from ledgerfold.functions.numbers import accounting_number
 
     li = td.lineitem_rows(spark, sf_dir)
-    t = li.select("row_idx", td.money_text(F.col("l_extendedprice"), F.col("row_idx") % 5).alias("amount_text"))
+    t = li.select("row_idx", _odd_space(td.money_text(F.col("l_extendedprice"), F.col("row_idx") % 5), F.col("row_idx")).alias("amount_text"))
     return t.select("row_idx", "amount_text", accounting_number("amount_text").alias("amount"))
 
 
@@ -217,7 +228,7 @@ LENIENT_TEXT_SQL = """CASE row_idx % 6
 
 
 @register("lenient_float", "WITH " + td.LINEITEM_ROWS_SQL + f""",
-t AS (SELECT row_idx, {LENIENT_TEXT_SQL} AS txt FROM lineitem_rows)
+t AS (SELECT row_idx, {ODD_SPACE_SQL.format(x='(' + LENIENT_TEXT_SQL + ')', k='row_idx')} AS txt FROM lineitem_rows)
 SELECT row_idx, txt, {td.lenient_float_sql('txt')} AS value FROM t""")
 def q_lenient_float(spark, sf_dir):
     from ledgerfold.functions.numbers import lenient_float
@@ -232,7 +243,7 @@ def q_lenient_float(spark, sf_dir):
         .when(k == 4, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("e1")))
         .otherwise(F.lit("nan"))
     )
-    t = li.select("row_idx", txt.alias("txt"))
+    t = li.select("row_idx", _odd_space(txt, F.col("row_idx")).alias("txt"))
     return t.select("row_idx", "txt", lenient_float("txt").alias("value"))
 
 
@@ -631,9 +642,10 @@ def _customer(spark, sf_dir):
 
 
 SEARCH_SQL = f"""
-SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer
+SELECT c_custkey, c_name, c_acctbal, c_mktsegment, CASE WHEN c_custkey % 9 = 0 THEN 1e30 ELSE 0.5 END AS huge FROM customer
 WHERE contains(lower({_js_sql('c_custkey')}), '12') OR contains(lower(coalesce(c_name, '')), '12')
-   OR contains(lower({_js_sql('c_acctbal')}), '12') OR contains(lower(coalesce(c_mktsegment, '')), '12')"""
+   OR contains(lower({_js_sql('c_acctbal')}), '12') OR contains(lower(coalesce(c_mktsegment, '')), '12')
+   OR contains(CASE WHEN c_custkey % 9 = 0 THEN '1e+30' ELSE '0.5' END, '12')"""
 
 
 @register("search_rows", SEARCH_SQL)
@@ -641,7 +653,8 @@ def q_search_rows(spark, sf_dir):
     from ledgerfold.operators.explore import search_rows
 
     c = _customer(spark, sf_dir).drop("c_nationkey")
-    return search_rows(c, " 12 ")
+    huge = F.when(F.col("c_custkey") % 9 == 0, F.lit(1e30)).otherwise(F.lit(0.5))
+    return search_rows(c.withColumn("huge", huge), " 12 ")
 
 
 @register("facet_filter", """
@@ -671,18 +684,22 @@ def _sort_src(spark, sf_dir):
 
 @register("user_sort", "WITH " + SORT_SRC_SQL + """
 SELECT o_orderkey, o_orderstatus, amount,
-  CAST(row_number() OVER (PARTITION BY o_orderstatus
-    ORDER BY isnan(coalesce(amount, 0.0)), coalesce(amount, 0.0) DESC, o_orderkey) AS INTEGER) AS rank
+  row_number() OVER (ORDER BY isnan(coalesce(amount, 0.0)), coalesce(amount, 0.0) DESC, o_orderkey) AS rank
 FROM s""")
 def q_user_sort(spark, sf_dir):
-    from pyspark.sql import Window
+    from ledgerfold.operators.explore import sort_rank
 
-    from ledgerfold.operators.explore import sort_keys
+    return sort_rank(_sort_src(spark, sf_dir), "amount", "desc", order_col="o_orderkey")
 
-    s = _sort_src(spark, sf_dir)
-    keys = sort_keys(s, "amount", "desc", numeric=True, order_col="o_orderkey")
-    w = Window.partitionBy("o_orderstatus").orderBy(*keys)
-    return s.select("o_orderkey", "o_orderstatus", "amount", F.row_number().over(w).cast("int").alias("rank"))
+
+@register("user_sort_date", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) AS rank FROM orders""")
+def q_user_sort_date(spark, sf_dir):
+    from ledgerfold.operators.explore import sort_rank
+
+    o = td.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    ranked = sort_rank(o, "o_orderdate", "asc", order_col="o_orderkey")
+    return ranked.select("o_orderkey", F.col("o_orderdate").cast("string").alias("day"), "rank")
 
 
 @register("user_sort_text", """
@@ -690,12 +707,10 @@ WITH s AS (SELECT c_custkey, c_nationkey,
   CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN c_mktsegment WHEN 2 THEN NULL
     ELSE lower(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) END AS seg FROM customer)
 SELECT c_custkey, c_nationkey, seg,
-  CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(coalesce(seg, '')), c_custkey) AS INTEGER) AS rank
+  row_number() OVER (ORDER BY lower(coalesce(seg, '')), c_custkey) AS rank
 FROM s""")
 def q_user_sort_text(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from ledgerfold.operators.explore import sort_keys
+    from ledgerfold.operators.explore import sort_rank
 
     c = _customer(spark, sf_dir)
     k = F.col("c_custkey") % 4
@@ -704,9 +719,7 @@ def q_user_sort_text(spark, sf_dir):
         .otherwise(F.concat(F.lower(F.substring("c_mktsegment", 1, 1)), F.expr("substring(c_mktsegment, 2)")))
     )
     s = c.select("c_custkey", "c_nationkey", seg.alias("seg"))
-    keys = sort_keys(s, "seg", "asc", numeric=False, order_col="c_custkey")
-    w = Window.partitionBy("c_nationkey").orderBy(*keys)
-    return s.select("c_custkey", "c_nationkey", "seg", F.row_number().over(w).cast("int").alias("rank"))
+    return sort_rank(s, "seg", "asc", order_col="c_custkey")
 
 
 @register("page_slice", """
@@ -718,7 +731,7 @@ def q_page_slice(spark, sf_dir):
     from ledgerfold.operators.explore import page_slice
 
     o = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return page_slice(o.orderBy(F.col("o_totalprice").desc(), "o_orderkey"), 999999, 25)
+    return page_slice(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 999999, 25)
 
 
 @register("page_info", """
@@ -796,7 +809,8 @@ SELECT 'event_id' AS column_name, true AS is_numeric
 UNION ALL SELECT 'event_type', {_num_sql('event_type')} FROM s
 UNION ALL SELECT 'props', {_num_sql('props')} FROM s
 UNION ALL SELECT 'value_text', {_num_sql('value_text')} FROM s
-UNION ALL SELECT 'user_text', {_num_sql('user_text')} FROM s""")
+UNION ALL SELECT 'user_text', {_num_sql('user_text')} FROM s
+UNION ALL SELECT 'day', false""")
 def q_profile_numeric(spark, sf_dir):
     from ledgerfold.operators.explore import profile_numeric
 
@@ -806,6 +820,7 @@ def q_profile_numeric(spark, sf_dir):
         "event_id", "event_type", "props",
         F.when(k == 0, F.lit("")).when(k == 1, F.lit(None).cast("string")).otherwise(F.col("value").cast("string")).alias("value_text"),
         F.when(F.col("event_id") % 97 == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string")).alias("user_text"),
+        F.lit("2025-01-31").cast("date").alias("day"),
     )
     return profile_numeric(s)
 
@@ -899,11 +914,12 @@ def q_header_clean(spark, sf_dir):
 
 
 NORM_SRC_SQL = """CASE p_partkey % 5 WHEN 0 THEN upper(p_name) || ' #!' WHEN 1 THEN p_name || ':  ' || p_type
-  WHEN 2 THEN '  ' || p_brand WHEN 3 THEN replace(p_name, ' ', '   ') || '?' ELSE '%%' END"""
+  WHEN 2 THEN '  ' || p_brand || chr(9) WHEN 3 THEN replace(p_name, ' ', ' ' || chr(160) || ' ') || '?' ELSE '%%' END"""
 
 
 def _norm_sql(x: str) -> str:
-    return (f"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))")
+    spaces = "".join(chr(c) for c in td.SPACE_CODES if c > 32)
+    return (f"trim(regexp_replace(regexp_replace(lower({td.strip_sql(x)}), '[^a-z0-9\\s\\x1c-\\x1f{spaces}]', '', 'g'), '[\\s\\x0b\\x1c-\\x1f{spaces}]+', ' ', 'g'))")
 
 
 @register("header_normalize", f"""
@@ -915,7 +931,7 @@ def q_header_normalize(spark, sf_dir):
     k = F.col("p_partkey") % 5
     raw = (
         F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" #!"))).when(k == 1, F.concat("p_name", F.lit(":  "), "p_type"))
-        .when(k == 2, F.concat(F.lit("  "), "p_brand")).when(k == 3, F.concat(F.regexp_replace("p_name", " ", "   "), F.lit("?")))
+        .when(k == 2, F.concat(F.lit("  "), "p_brand", F.lit("\t"))).when(k == 3, F.concat(F.regexp_replace("p_name", " ", " \u00a0 "), F.lit("?")))
         .otherwise(F.lit("%%"))
     )
     t = p.select("p_partkey", raw.alias("raw"))
@@ -1167,13 +1183,14 @@ def q_file_admission(spark, sf_dir):
     ", vv AS (SELECT file, (has_required AND n_targets >= 9) AS ok,") + """ )
 SELECT 'page_' || CAST(a.page_id AS VARCHAR) AS file,
   CASE WHEN NOT b.batch_ok THEN 'rejected' WHEN vv.ok THEN 'ok' ELSE 'error' END AS status,
-  CASE WHEN NOT b.batch_ok THEN 'Batch rejected: unsupported file type or too many files.' ELSE vv.error END AS error
-FROM a JOIN b USING (batch) JOIN vv ON vv.file = 'page_' || CAST(a.page_id AS VARCHAR)""")
+  CASE WHEN NOT b.batch_ok THEN 'Batch rejected: unsupported file type or too many files.' WHEN vv.ok IS NULL THEN 'The file was not read.' ELSE vv.error END AS error
+FROM a JOIN b USING (batch) LEFT JOIN (SELECT * FROM vv WHERE substr(file, length(file)) <> '3') vv ON vv.file = 'page_' || CAST(a.page_id AS VARCHAR)""")
 def q_ingest_status(spark, sf_dir):
     from ledgerfold.sources.files import ingest_status
 
     adm = _admission(spark, sf_dir).select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("file"), "batch_ok")
-    val = q_validate_files(spark, sf_dir)
+    # Some files have no validation row: they were never read.
+    val = q_validate_files(spark, sf_dir).filter(~F.col("file").endswith("3"))
     return ingest_status(adm, val)
 
 
@@ -1237,14 +1254,20 @@ def _layout_sql(name):
     return layouts.LAYOUTS[name]()
 
 
+def _low_rows(spark, sf_dir):
+    """The captive workbooks; in every fifth file the table starts 300 rows lower."""
+    rows = _captive_rows(spark, sf_dir)
+    return rows.withColumn("row_idx", F.when(F.length("file") % 5 == 0, F.col("row_idx") + 300).otherwise(F.col("row_idx")))
+
+
 @register("table_start", f"""
 SELECT {__import__('ledgerfold.plans.layouts', fromlist=['x']).file_name_sql('captive/')} AS file,
-  CAST(n_nationkey % 4 AS BIGINT) AS start FROM nation""")
+  CAST(n_nationkey % 4 + CASE WHEN length({__import__('ledgerfold.plans.layouts', fromlist=['x']).file_name_sql('captive/')}) % 5 = 0 THEN 300 ELSE 0 END AS BIGINT) AS start FROM nation""")
 def q_table_start(spark, sf_dir):
     from ledgerfold.sources.tables import table_start
     from ledgerfold.spec import CAPTIVE_SPEC as spec
 
-    return table_start(_captive_rows(spark, sf_dir), spec)
+    return table_start(_low_rows(spark, sf_dir), spec).select("file", "start")
 
 
 def _title_cells_sql():
@@ -1426,7 +1449,7 @@ def _consolidate_3key_sql() -> str:
 def q_consolidate_3key(spark, sf_dir):
     from ledgerfold.spec import COMMISSION_SPEC
 
-    out = cons.consolidate(_supplier_rows(spark, sf_dir), COMMISSION_SPEC, persist_input=True)
+    out = cons.consolidate(_supplier_rows(spark, sf_dir), COMMISSION_SPEC)
     return _round_doubles(_snake_all(out))
 
 
@@ -1506,39 +1529,189 @@ def q_merge_period_check(spark, sf_dir):
     return periods_match(left, right, on=["o_custkey"])
 
 
+# ------------------------------------------------------------------ two report sets, merged
+
+
+def _merged(spark, sf_dir):
+    """The captive workbooks as RLIP set; as RAP set the same workbooks with the
+    fee's header renamed and, in every fourth file name length, another year."""
+    from ledgerfold.plans import layouts
+    from ledgerfold.plans.merged import merge_ingested
+    from ledgerfold.plans.reports import ingest
+
+    left_rows = layouts.build_rows(spark, sf_dir, layouts.captive_layout())
+    right_rows = left_rows.select(
+        F.regexp_replace("file", "^captive/", "rap/").alias("file"), "row_idx",
+        F.transform("values", lambda v: F.when(v == "POPIC Fee RLIP", F.lit("POPIC Fee RAP"))
+                    .when((v == "2025") & (F.length("file") % 4 == 0), F.lit("2024")).otherwise(v)).alias("values"),
+    )
+    left = ingest(left_rows, CAPTIVE_SPEC, block_rows=1 << 12, stage_rows=True)
+    right = ingest(right_rows, CAPTIVE_SPEC, block_rows=1 << 12, stage_rows=True)
+    names = td.table(spark, sf_dir, "nation").select(layouts.file_name_spark("").alias("pair"))
+    pairs = names.select("pair", F.concat(F.lit("captive/"), "pair").alias("left_file"), F.concat(F.lit("rap/"), "pair").alias("right_file"))
+    lost = spark.range(1).select(F.lit("lost").alias("pair"), F.lit("captive/lost").alias("left_file"), F.lit("rap/lost").alias("right_file"))
+    return merge_ingested(left, right, pairs.unionByName(lost), CAPTIVE_SPEC)
+
+
+def _merged_columns() -> list[str]:
+    from ledgerfold.plans import layouts
+
+    return layouts.output_columns(layouts.captive_layout(), CAPTIVE_SPEC) + ["POPIC Fee RAP"]
+
+
+def _merged_sql() -> str:
+    """Both halves carry the same values: measures double, first values and the
+    two fees come from one side each."""
+    keys = [snake(k) for k in CAPTIVE_SPEC.keys]
+    out = []
+    for c in _merged_columns():
+        n = snake(c)
+        if n in keys or c in CAPTIVE_SPEC.firsts or "RLIP" in c:
+            out.append(n if n in keys else f"coalesce({n}, 0.0) AS {n}")
+        elif c == "POPIC Fee RAP":
+            out.append(f"coalesce(popic_fee_rlip, 0.0) AS {n}")
+        else:
+            out.append(f"round(2 * coalesce({n}, 0.0), 2) AS {n}")
+    return ("SELECT substr(file, 9) AS pair, " + ", ".join(out) + " FROM (" + _report_sql("captive") + ") WHERE length(file) % 4 <> 0")
+
+
+@register("merge_report_end_to_end", _merged_sql())
+def q_merge_report_end_to_end(spark, sf_dir):
+    return _round_doubles(_snake_all(_merged(spark, sf_dir).data.select("pair", *_merged_columns())))
+
+
+@register("merge_report_status", "WITH m AS (" + _report_metadata_sql() + """)
+SELECT substr(file, 9) AS pair, CASE WHEN length(file) % 4 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN length(file) % 4 = 0 THEN 'Cannot merge: RLIP file period is ' || canonical_period || ', RAP file period is '
+    || replace(canonical_period, '2025', '2024') || '. Table month/year must match.' END AS error FROM m
+UNION ALL SELECT 'lost', 'error', 'RLIP file: The file was not read.'""")
+def q_merge_report_status(spark, sf_dir):
+    return _merged(spark, sf_dir).status
+
+
+@register("merge_report_metadata", "WITH m AS (" + _report_metadata_sql() + """)
+SELECT substr(file, 9) AS pair, canonical_period, period_from_filename, period_from_header, 'merged' AS file_type,
+  filename || ',' || filename AS filenames FROM m WHERE length(file) % 4 <> 0""")
+def q_merge_report_metadata(spark, sf_dir):
+    m = _merged(spark, sf_dir).metadata
+    return m.select("pair", "canonical_period", "period_from_filename", "period_from_header", "file_type", F.array_join("filenames", ",").alias("filenames"))
+
+
+# ------------------------------------------------------------------ typed read, key order
+
+
+@register("typed_read", """
+SELECT c_custkey AS row_idx, c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS "Balance",
+  strftime(CAST('2025-01-01' AS DATE) + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') AS "Day", 'date' AS "Day type", c_custkey % 2 = 0 AS "Even", c_mktsegment AS "Segment",
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 11 AS VARCHAR) || 'x' END AS "Segment_2"
+FROM customer WHERE c_custkey > 0""")
+def q_typed_read(spark, sf_dir):
+    from ledgerfold.sources.typed import typed_read
+
+    c = td.table(spark, sf_dir, "customer").filter("c_custkey > 0")
+    k = F.col("c_custkey")
+    body = c.select(k.alias("row_idx"), F.array(
+        k.cast("string"), F.when(k % 5 == 0, F.lit("NaN")).otherwise(F.concat(F.col("c_acctbal").cast("string"), F.lit("\t"))),
+        F.date_add(F.lit("2025-01-01").cast("date"), (k % 300).cast("int")).cast("string"),
+        F.when(k % 2 == 0, "TRUE").otherwise("false"), F.col("c_mktsegment"),
+        F.when(k % 7 == 0, "").otherwise(F.concat((k % 11).cast("string"), F.lit("x"))),
+    ).alias("values"))
+    header = spark.range(1).select(F.lit(0).cast("long").alias("row_idx"), F.array(*[F.lit(x) for x in ("id", " Balance", "Day", "Even", "Segment", "Segment")]).alias("values"))
+    out = typed_read(header.unionByName(body))
+    return out.withColumns({"Day type": F.typeof("Day"), "Day": F.col("Day").cast("string")})
+
+
+@register("report_key_order", "WITH d AS (" + _report_sql("captive") + """)
+SELECT file, captive_name_captive_name, captive_name_client,
+  row_number() OVER (PARTITION BY file ORDER BY captive_name_captive_name, captive_name_client) AS rank FROM d""")
+def q_report_key_order(spark, sf_dir):
+    from ledgerfold.operators.ranks import Ranked
+
+    res, _, _ = _report(spark, sf_dir, "captive")
+    keys = list(CAPTIVE_SPEC.keys)
+    whole = Ranked(res.data.select("file", *keys), [F.col("file"), *[F.col(k) for k in keys]]).with_rank("__all")
+    first = whole.groupBy("file").agg(F.min("__all").alias("__first"))
+    return _snake_all(whole.join(first, "file").select("file", *keys, (F.col("__all") - F.col("__first") + 1).alias("rank")))
+
+
 # ------------------------------------------------------------------ charts over consolidated reports
 
 
-@register("report_top_rent", "WITH d AS (" + _report_sql("captive") + """),
-e AS (SELECT CASE WHEN trim(captive_name_client) <> '' THEN trim(captive_name_captive_name) || ' | ' || trim(captive_name_client)
-               ELSE trim(captive_name_captive_name) END AS label,
-        sum(additional_rent) AS value, min((file, captive_name_captive_name, captive_name_client)) AS first_row
-      FROM d WHERE additional_rent IS NOT NULL GROUP BY 1 HAVING label <> '')
+LABEL_SQL = """CASE WHEN trim(captive_name_client) <> '' THEN trim(captive_name_captive_name) || ' | ' || trim(captive_name_client)
+               ELSE trim(captive_name_captive_name) END"""
+
+
+def _entities_sql(source: str, lead: str, value: str, agg: str) -> str:
+    order = f"({lead}, captive_name_captive_name, captive_name_client)"
+    return f"""WITH d AS ({source}),
+e AS (SELECT {LABEL_SQL} AS label, {agg.format(v=value, o=order)} AS value, min({order}) AS first_row
+      FROM d WHERE {value} IS NOT NULL GROUP BY 1 HAVING label <> '')"""
+
+
+def _top_sql(source: str, lead: str, value: str, n: int, agg: str = "sum({v})") -> str:
+    return _entities_sql(source, lead, value, agg) + f"""
 SELECT CAST(row_number() OVER (ORDER BY value DESC, first_row) AS INTEGER) AS rank, label, round(value, 2) AS value
-FROM e ORDER BY value DESC, first_row LIMIT 7""")
+FROM e ORDER BY value DESC, first_row LIMIT {n}"""
+
+
+def _pie_sql(source: str, lead: str, value: str) -> str:
+    return _entities_sql(source, lead, value, "sum({v})") + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY value DESC, first_row) AS rn FROM e),
+tot AS (SELECT sum(value) AS total, sum(value) FILTER (WHERE rn > 4) AS rest FROM ranked),
+slices AS (SELECT CAST(rn AS INTEGER) AS rank, label, value FROM ranked WHERE rn <= 4 UNION ALL SELECT 5, 'Others', rest FROM tot WHERE rest > 0)
+SELECT rank, label, round(value, 2) AS value, round(100.0 * value / total, 2) AS percent FROM slices, tot WHERE total <> 0"""
+
+
+def _chart(data: DataFrame, name: str) -> DataFrame:
+    from ledgerfold.plans.charts import CHARTS
+
+    out = CHARTS[name](data)
+    return out.withColumn("value", F.round("value", 2))
+
+
+@register("report_top_rent", _top_sql(_report_sql("captive"), "file", "additional_rent", 7))
 def q_report_top_rent(spark, sf_dir):
-    from ledgerfold.spec import CAPTIVE_CLIENT, CAPTIVE_KEY
+    # The measure arrives under an alias of its canonical name.
+    return _chart(_report(spark, sf_dir, "captive")[0].data.withColumnRenamed("Additional Rent", "ADTL RENT"), "top_rent")
+
+
+@register("report_top_units", _top_sql(_report_sql("captive"), "file", "total_available_units", 5, "arg_min({v}, {o})"))
+def q_report_top_units(spark, sf_dir):
+    return _chart(_report(spark, sf_dir, "captive")[0].data, "top_units")
+
+
+@register("report_fee_rlip", _pie_sql(_report_sql("captive"), "file", "popic_fee_rlip"))
+def q_report_fee_rlip(spark, sf_dir):
+    return _chart(_report(spark, sf_dir, "captive")[0].data, "fee_rlip")
 
-    res, _, _ = _report(spark, sf_dir, "captive")
-    data = res.data.withColumn("ord", F.struct("file", CAPTIVE_KEY, CAPTIVE_CLIENT))
-    out = summaries.top_entities(data, "Additional Rent", 7, CAPTIVE_KEY, CAPTIVE_CLIENT, "ord")
-    return out.select("rank", "label", F.round("value", 2).alias("value"))
 
+@register("report_fee_rap", _pie_sql(_merged_sql(), "pair", "popic_fee_rap"))
+def q_report_fee_rap(spark, sf_dir):
+    return _chart(_merged(spark, sf_dir).data, "fee_rap")
 
-def _monthly_pnl_sql() -> str:
-    from ledgerfold.spec import COMMISSION_PNL, MONTH_NAMES
+
+@register("report_fee_share", "WITH d AS (" + _merged_sql() + """), t AS (SELECT sum(popic_fee_rlip) AS a, sum(popic_fee_rap) AS b FROM d)
+SELECT 1 AS rank, 'POPIC Fee RLIP' AS label, round(a, 2) AS value, CASE WHEN a + b = 0 THEN 0.0 ELSE round(100.0 * a / (a + b), 2) END AS percent FROM t
+UNION ALL SELECT 2, 'POPIC Fee RAP', round(b, 2), CASE WHEN a + b = 0 THEN 0.0 ELSE round(100.0 * b / (a + b), 2) END FROM t""")
+def q_report_fee_share(spark, sf_dir):
+    return _chart(_merged(spark, sf_dir).data, "fee_share")
+
+
+def _monthly_sql(columns) -> str:
+    from ledgerfold.spec import MONTH_NAMES
 
     parts = " UNION ALL ".join(
         f"SELECT {i} AS month_idx, '{MONTH_NAMES[i - 1]}' AS month, round(coalesce(sum({snake(c)}), 0.0), 2) AS value FROM d"
-        for i, c in enumerate(COMMISSION_PNL, start=1)
+        for i, c in enumerate(columns, start=1)
     )
     return "WITH d AS (" + _report_sql("commission") + ") " + parts
 
 
-@register("report_monthly_pnl", _monthly_pnl_sql())
-def q_report_monthly_pnl(spark, sf_dir):
-    from ledgerfold.spec import COMMISSION_PNL
+@register("report_monthly_commission", _monthly_sql(COMMISSION_COMMISSION))
+def q_report_monthly_commission(spark, sf_dir):
+    return _chart(_report(spark, sf_dir, "commission")[0].data, "monthly_commission")
 
-    res, _, _ = _report(spark, sf_dir, "commission")
-    out = summaries.monthly_totals(res.data, COMMISSION_PNL)
-    return out.select("month_idx", "month", F.round("value", 2).alias("value"))
+
+@register("report_monthly_pnl", _monthly_sql(COMMISSION_PNL))
+def q_report_monthly_pnl(spark, sf_dir):
+    return _chart(_report(spark, sf_dir, "commission")[0].data, "monthly_pnl")

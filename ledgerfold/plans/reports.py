@@ -9,15 +9,16 @@ tables) and returns three DataFrames:
   the title block, discrepancy notes, report type, header issues;
 * ``status``: one row per file -- ok / error with the reason.
 
-Plan shape: the header work (table start, header row, mapping, gates) touches
-only the first ``scan_rows`` rows and one row per column per file; the data
-rows are read once, promoted by index (no pivot), filled (one shuffle on
-file blocks) and grouped (one shuffle on keys).
+Plan shape: the table search reads all rows but shuffles only header-like
+cells; the rest of the header work (header row, mapping, gates) touches the rows
+down to the header, and one assignment per distinct list of headers.  The data
+rows are promoted by index (no pivot), filled (one shuffle on file blocks) and
+grouped (one shuffle on keys).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from ledgerfold.functions.periods import with_filename_period
 from ledgerfold.operators import consolidate as cons
 from ledgerfold.operators import headers as H
 from ledgerfold.operators import periods as OP
-from ledgerfold.session import materialize
+from ledgerfold.session import materialize, release
 from ledgerfold.sources import tables
+from ledgerfold.sources.files import NOT_READ
 from ledgerfold.spec import ReportSpec
 
 
@@ -38,6 +40,16 @@ class Ingested:
     metadata: DataFrame
     status: DataFrame
     rows: DataFrame  # promoted, cleaned rows before grouping (for charts and checks)
+    staged: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Delete the staged tables; the DataFrames can't be read afterwards."""
+        release(self.data.sparkSession, self.staged)
+
+    def write(self, path: str) -> None:
+        """The envelope as three Parquet tables under ``path``."""
+        for name in ("data", "metadata", "status"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def _basename(path_col: str):
@@ -45,28 +57,37 @@ def _basename(path_col: str):
 
 
 def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None, strategy: str = "best",
-           block_rows: int = 1 << 16, stage_rows: bool = False) -> Ingested:
-    """Rows table ``(file, row_idx, values)`` -> consolidated data, metadata, status.
+           block_rows: int = 1 << 16, stage_rows: bool = False, files: DataFrame | None = None) -> Ingested:
+    """Rows table ``(file, row_idx, values[, error])`` -> consolidated data, metadata, status.
 
+    Every file of ``rows``, and of ``files`` (a listing) when given, gets one
+    status row.  A file with an error row keeps that error and gives no data.
     ``filenames`` maps ``file`` to the uploaded name used for the period hint;
-    by default the base name of ``file``.  ``stage_rows`` checkpoints the rows
-    table first (worth it when it comes from decoding files, which the later
-    branches would otherwise repeat)."""
-    rows = rows.filter(F.col("row_idx") >= 0).select("file", "row_idx", "values")
+    by default the base name of ``file``.  ``stage_rows`` writes the rows table
+    first (worth it when it comes from decoding files, which the later branches
+    would otherwise repeat).  ``Ingested.close()`` deletes what was staged."""
+    staged: list[str] = []
+    rows = rows.select("file", "row_idx", "values", (F.col("error") if "error" in rows.columns else F.lit(None).cast("string")).alias("error"))
     if stage_rows:
-        rows = materialize(rows)
+        rows = materialize(rows, staged)
+    listed = rows.groupBy("file").agg(F.max("error").alias("error"))
+    if files is not None:
+        listed = listed.unionByName(files.select("file").distinct().join(listed, "file", "left_anti").withColumn("error", F.lit(NOT_READ)))
     # The header side is small (a row per file, a row per column per file) but
-    # feeds several branches; a reliable checkpoint computes it once and keeps
-    # the Python matching out of every later branch.
-    top = materialize(tables.top_cells(rows, spec))
-    starts = materialize(tables.table_start_from_cells(top, spec, rows.select("file").distinct()))
+    # feeds several branches; staged, it is computed once and keeps the Python
+    # matching out of every later branch.
+    broken = listed.filter(F.col("error").isNotNull())
+    sound = listed.filter(F.col("error").isNull()).select("file")
+    rows = rows.filter((F.col("row_idx") >= 0) & F.col("error").isNull()).drop("error").join(broken.select("file"), "file", "left_anti")
+    starts = materialize(tables.table_start(rows, spec, sound), staged)
+    top = materialize(tables.top_cells(rows, starts), staged)
     header_raw = tables.header_from(top, starts)
     issues = H.header_issues(header_raw) if spec.drop_nuisance_headers else None
     headers = H.prepare_headers(header_raw, spec)
     mapping = H.resolve_mapping(headers, spec.canonical, strategy)
     if spec.blank_header_as:
         mapping = _blank_header_fallback(header_raw, mapping, spec.blank_header_as)
-    mapping = materialize(mapping)
+    mapping = materialize(mapping, staged)
 
     files = starts.select("file")
     validation = H.validate_files(mapping.select("file", "canonical"), spec, files)
@@ -85,17 +106,22 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     present = mapping.groupBy("file").agg(F.collect_set("canonical").alias("__present"))
     data = _null_absent(data, present, spec)
 
-    # Periods.
+    # Table period and row count: one narrow pass over the filled keys.
     if spec.period_from == "month_year" and "__month" in wide.columns:
-        table_p = OP.period_from_table(prepared, "__month", "__year")
+        narrow = wide.select("file", "row_idx", *spec.fill_keys, *[k for k in spec.keys if k not in spec.fill_keys and k in wide.columns], "__month", "__year")
+        narrow = cons.keep_rows(narrow, spec, "file", "row_idx", block_rows)
+        per_file = OP.period_and_rows(narrow, OP.month_year_period(narrow, "__month", "__year"))
     else:
-        table_p = OP.period_from_year(wide, "__year")
+        narrow = wide.select("file", "row_idx", *[k for k in spec.keys if k in wide.columns], "__year")
+        per_file = OP.period_and_rows(cons.keep_rows(narrow, spec, "file", "row_idx", block_rows))
+        per_file = per_file.drop("canonical_period").join(OP.period_from_year(wide, "__year"), "file", "left")
+    per_file = materialize(per_file, staged)
+    table_p = per_file.select("file", "canonical_period")
     title_p = OP.period_from_title(tables.title_cells_from(top, starts))
     names = filenames if filenames is not None else files.select("file", _basename("file").alias("filename"))
     name_p = with_filename_period(names, "filename", "period_from_filename").select("file", "filename", "period_from_filename")
 
-    counts = prepared.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
-    ftype = H.detect_type(mapping.select("file", "canonical"), counts)
+    ftype = H.detect_type(mapping.select("file", "canonical"), per_file.select("file", "n_rows"))
 
     meta = (
         files.join(name_p, "file", "left")
@@ -118,10 +144,12 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
         cols.append("coalesce(header_issues, CAST(array() AS ARRAY<STRING>)) AS header_issues")
     metadata = meta.selectExpr(*cols)
     metadata = metadata.join(good, "file", "left_semi")
-    status = validation.select(
-        "file", F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error"
-    )
-    return Ingested(data=data, metadata=metadata, status=status, rows=prepared)
+    missed = F.when(~F.col("found"), F.lit(f"No table starts in the first {spec.scan_rows} rows.")) if spec.scan_rows else F.lit(None).cast("string")
+    status = validation.join(starts, "file").select(
+        "file", F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        F.when(~F.col("ok"), F.coalesce(missed, F.col("error"))).alias("error"),
+    ).unionByName(broken.select("file", F.lit("error").alias("status"), "error"))
+    return Ingested(data=data, metadata=metadata, status=status, rows=prepared, staged=staged)
 
 
 def _null_absent(data: DataFrame, present: DataFrame, spec: ReportSpec) -> DataFrame:

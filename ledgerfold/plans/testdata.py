@@ -138,9 +138,19 @@ captive_rows AS (
   FROM sales_rows)"""
 
 
+def strip_sql(x: str) -> str:
+    """Drop Unicode white space at both ends, by its class of code points."""
+    chars = "".join(f"chr({c}) || " for c in SPACE_CODES)
+    return f"trim({x}, {chars}'')"
+
+
+#: Code points of white space, written out for the SQL side.
+SPACE_CODES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288)
+
+
 def accounting_parse_sql(x: str) -> str:
     """SQL mirror of the accounting parse (replace-all form) with the number guard."""
-    t = f"trim(regexp_replace(regexp_replace({x}, '\\((.*)\\)', '-\\1', 'g'), '[$,]', '', 'g'))"
+    t = strip_sql(f"regexp_replace(regexp_replace({x}, '\\((.*)\\)', '-\\1', 'g'), '[$,]', '', 'g')")
     return (
         f"coalesce(CASE WHEN regexp_matches({t}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') "
         f"THEN TRY_CAST({t} AS DOUBLE) END, 0.0)"
@@ -148,7 +158,7 @@ def accounting_parse_sql(x: str) -> str:
 
 
 def lenient_float_sql(x: str) -> str:
-    t = f"trim({x})"
+    t = strip_sql(x)
     return (
         f"CASE WHEN regexp_matches({t}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') "
         f"THEN TRY_CAST({t} AS DOUBLE) END"
@@ -202,7 +212,7 @@ def period_from_filename_sql(x: str) -> str:
 
 
 def period_from_title_sql(x: str) -> str:
-    s = f"trim({x})"
+    s = strip_sql(x)
     cands = []
     for i, m in enumerate(MONTH_NAMES, start=1):
         y = _sql_int_extract(s, rf"(?i)^{m.lower()}\s+(\d{{4}})$", 1)
@@ -215,7 +225,7 @@ def period_from_title_sql(x: str) -> str:
 
 
 def month_number_sql(x: str) -> str:
-    s = f"lower(trim({x}))"
+    s = f"lower({strip_sql(x)})"
     branches = " ".join(
         f"WHEN starts_with('{m.lower()}', {s}) OR starts_with({s}, '{m.lower()}') OR {s} = '{i}' THEN {i}"
         for i, m in enumerate(MONTH_NAMES, start=1)
@@ -226,7 +236,7 @@ def month_number_sql(x: str) -> str:
 
 
 def year_number_sql(x: str) -> str:
-    t = f"trim(CAST({x} AS VARCHAR))"
+    t = strip_sql(f"CAST({x} AS VARCHAR)")
     return f"(CASE WHEN regexp_matches({t}, '^[+-]?[0-9]{{1,9}}$') THEN TRY_CAST({t} AS INTEGER) END)"
 
 

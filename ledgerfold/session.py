@@ -59,7 +59,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, staged: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as a parquet table in the shared checkpoint
     folder and reading it back.
 
@@ -68,9 +68,20 @@ def materialize(df: DataFrame) -> DataFrame:
     several summaries read (the chart cache of the reference).  The written
     table survives the loss of executors, unlike a local checkpoint or an
     in-memory cache, and it is computed once (an RDD checkpoint of an
-    uncached plan computes it twice).
+    uncached plan computes it twice).  ``staged`` collects the folders, for
+    :func:`release`.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
+    if staged is not None:
+        staged.append(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession, staged: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while staged:
+        path = jvm.org.apache.hadoop.fs.Path(staged.pop())
+        path.getFileSystem(conf).delete(path, True)

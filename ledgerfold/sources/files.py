@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 # Accepted upload extensions (case-insensitive).
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
+NOT_READ = "The file was not read."
 BATCH_REJECTED = "Batch rejected: unsupported file type or too many files."
 
 
@@ -35,10 +36,11 @@ def admit_files(files: DataFrame, path_col: str = "path", batch_col: str = "batc
 
 
 def ingest_status(admission: DataFrame, validation: DataFrame) -> DataFrame:
-    """``(file, status, error)``: rejected batches, failed validations, ok files."""
-    j = admission.join(validation.select("file", "ok", "error"), "file")
+    """``(file, status, error)``, one row for every admitted or rejected file:
+    rejected batches, files that were never read, failed validations, ok files."""
+    j = admission.join(validation.select("file", "ok", F.col("error").alias("error")), "file", "left")
     return j.select(
         "file",
         F.when(~F.col("batch_ok"), F.lit("rejected")).when(F.col("ok"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
-        F.when(~F.col("batch_ok"), F.lit(BATCH_REJECTED)).otherwise(F.col("error")).alias("error"),
+        F.when(~F.col("batch_ok"), F.lit(BATCH_REJECTED)).when(F.col("ok").isNull(), F.lit(NOT_READ)).otherwise(F.col("error")).alias("error"),
     )

@@ -2,9 +2,9 @@
 
 All steps work on the rows table ``(file, row_idx, values)`` of many files:
 
-* ``table_start``: first of the first N rows (N from the spec) whose cells
-  match the family's header rule; 0 when none.  Only those N rows are ever
-  exploded into cells, and cell texts are matched once per distinct text.
+* ``table_start``: the first row whose cells match the family's header rule; 0
+  when none.  All rows are searched (the spec may name a limit); cells that can't
+  match are dropped where they are read, the rest is matched once per text.
 * ``title_cells``: non-blank cells above the table start (period hints).
 * ``header_table``: the header row as ``(file, col_idx, header)``.
 * ``promote``: data rows below the header, with one column per canonical
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import sqltext as S
-from ledgerfold.operators.headers import match_pairs
+from ledgerfold.functions.numbers import strip
+from ledgerfold.operators.headers import match_pairs, may_match_any
 from ledgerfold.sources.workbook import rows_to_cells
 from ledgerfold.spec import (
     CAPTIVE_KEY,
@@ -40,23 +41,24 @@ START_NAMES = {
 
 
 def _row_flags(cells: DataFrame, spec: ReportSpec) -> DataFrame:
+    """Which start names each row holds.  Cells that can't match any are dropped
+    first, JVM-side, so what is shuffled are header-like cells only."""
     names = START_NAMES[spec.start_rule]
-    cells = cells.filter(F.col("value").isNotNull())
-    hits = match_pairs(cells.select(F.trim("value").alias("header")), names).filter("matched").select("header", "canonical")
-    found = cells.withColumn("header", F.trim("value")).join(hits, "header")
-    return found.groupBy("file", "row_idx").agg(
+    texts = cells.filter(F.col("value").isNotNull()).withColumn("header", strip("value")).filter(may_match_any("header", names))
+    hits = match_pairs(texts.select("header"), names).filter("matched").select("header", "canonical")
+    return texts.join(hits, "header").groupBy("file", "row_idx").agg(
         *[F.bool_or(F.col("canonical") == n).alias(f"h{i}") for i, n in enumerate(names)]
     )
 
 
-def top_cells(rows: DataFrame, spec: ReportSpec) -> DataFrame:
-    """Cells of the first ``scan_rows`` rows of each file: all the header-side
-    steps need (the filter reaches a parquet scan as a pushed filter)."""
-    return rows_to_cells(rows, max(spec.scan_rows, 1))
+def top_cells(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Cells of each file down to its table start: all that the header side
+    needs.  ``starts`` has one row for each file."""
+    return rows_to_cells(rows.join(starts, "file").filter(F.col("row_idx") <= F.col("start")).select("file", "row_idx", "values"))
 
 
 def table_start_from_cells(cells: DataFrame, spec: ReportSpec, files: DataFrame | None = None) -> DataFrame:
-    """``(file, start)`` from the top cells; files without a match start at 0."""
+    """``(file, start, found)``; files without a match start at 0."""
     flags = _row_flags(cells, spec)
     if spec.start_rule == "captive":
         ok = F.col("h0")
@@ -66,18 +68,22 @@ def table_start_from_cells(cells: DataFrame, spec: ReportSpec, files: DataFrame
         ok = (F.col("h0") & (F.col("h1") | F.col("h2"))) | (F.col("h1") & F.col("h2"))
     firsts = flags.filter(ok).groupBy("file").agg(F.min("row_idx").alias("start"))
     files = files if files is not None else cells.select("file").distinct()
-    return files.join(firsts, "file", "left").select("file", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"))
+    return files.join(firsts, "file", "left").select(
+        "file", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("start").isNotNull().alias("found")
+    )
 
 
-def table_start(rows: DataFrame, spec: ReportSpec) -> DataFrame:
-    """``(file, start)`` for every file in ``rows``."""
-    return table_start_from_cells(top_cells(rows, spec), spec, rows.select("file").distinct())
+def table_start(rows: DataFrame, spec: ReportSpec, files: DataFrame | None = None) -> DataFrame:
+    """``(file, start, found)`` for every file in ``rows`` (or listed in ``files``).  All
+    rows are searched unless the spec names a limit."""
+    files = files if files is not None else rows.select("file").distinct()
+    return table_start_from_cells(rows_to_cells(rows, spec.scan_rows), spec, files)
 
 
 def title_cells_from(cells: DataFrame, starts: DataFrame) -> DataFrame:
     """Non-blank trimmed cells above the table start, from the top cells."""
     c = cells.join(starts, "file").filter(F.col("row_idx") < F.col("start"))
-    return c.select("file", "row_idx", "col_idx", F.trim("value").alias("value")).filter(
+    return c.select("file", "row_idx", "col_idx", strip("value").alias("value")).filter(
         F.col("value").isNotNull() & (F.col("value") != "")
     )
 

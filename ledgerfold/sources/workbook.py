@@ -8,12 +8,13 @@ decodes each file in the task that holds it and emits one row per sheet row::
 
 Every file goes through the same schema, so a directory of thousands of
 workbooks is one DataFrame and one job; files are spread over tasks by the
-scan.  A file that cannot be decoded yields one row with ``row_idx = -1`` and
-the error text, so a bad upload becomes a status row, not a failed job.
+scan.  A file that cannot be decoded to its end, or has no rows, yields one row
+with ``row_idx = -1`` and the error text: a bad upload becomes a status row, not
+a failed job and not half a table.  One file is held in memory at a time.
 
 ``.xlsx`` is a zip of XML parts and is read with the standard library (first
 sheet only, shared strings, inline strings, numbers kept as their stored
-text).  ``.csv`` is read with the ``csv`` module.
+text, cells in a date format as ISO text, error cells empty).  ``.csv`` is read with the ``csv`` module.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -36,6 +38,9 @@ _NS = {
     "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
     "pr": "http://schemas.openxmlformats.org/package/2006/relationships",
 }
+#: Error text of a file without any row; rows handed on at a time.
+EMPTY_FILE = "The file has no rows."
+CHUNK_ROWS = 20_000
 _REF = re.compile(r"^([A-Z]+)([0-9]+)$")
 
 
@@ -62,67 +67,94 @@ def _first_sheet_path(z: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
+# Built-in number formats that show dates or times.
+_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+_LITERALS = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]|_.')
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell styles whose number format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    dates = set(_DATE_FORMATS)
+    for f in root.findall("m:numFmts/m:numFmt", _NS):
+        if re.search("[ymdhs]", _LITERALS.sub("", f.get("formatCode", "")), re.I):
+            dates.add(int(f.get("numFmtId")))
+    return {i for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)) if int(xf.get("numFmtId") or 0) in dates}
+
+
+def _date_text(serial: str, from_1904: bool) -> str:
+    """A day number as ``2025-11-01`` (with its time when it has one)."""
+    first = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    at = first + timedelta(seconds=round(float(serial) * 86400))
+    return at.strftime("%Y-%m-%d" if at.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S")
+
+
+def _cell(c, shared: list[str], dates: set[int], from_1904: bool) -> str | None:
+    kind, v = c.get("t"), c.find("m:v", _NS)
+    if kind == "inlineStr":
+        held = c.find("m:is", _NS)
+        return _text(held) if held is not None else None
+    if v is None or v.text is None or kind == "e":  # error cells (#N/A) hold no value
+        return None
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind == "b":
+        return "true" if v.text == "1" else "false"
+    if kind in (None, "n") and int(c.get("s") or 0) in dates:
+        return _date_text(v.text, from_1904)
+    return v.text
+
+
 def xlsx_rows(content: bytes) -> Iterator[tuple[int, list]]:
-    """(row_idx, values) of the first sheet; missing cells are None."""
+    """(row_idx, values) of the first sheet; missing and error cells are None,
+    date cells ISO text."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
         sst = ET.fromstring(z.read("xl/sharedStrings.xml"))
         shared = [_text(si) for si in sst.findall("m:si", _NS)]
-    sheet = ET.fromstring(z.read(_first_sheet_path(z)))
-    for row in sheet.iter(f"{{{_NS['m']}}}row"):
-        r_attr = row.get("r")
-        cells: dict[int, str | None] = {}
-        for pos, c in enumerate(row.findall("m:c", _NS)):
-            ref = c.get("r")
-            m = _REF.match(ref or "")
-            ci = _col_index(m.group(1)) if m else pos
-            t = c.get("t")
-            v = c.find("m:v", _NS)
-            if t == "s":
-                val = shared[int(v.text)] if v is not None and v.text is not None else None
-            elif t == "inlineStr":
-                is_ = c.find("m:is", _NS)
-                val = _text(is_) if is_ is not None else None
-            elif t == "b":
-                val = ("true" if v.text == "1" else "false") if v is not None else None
-            else:
-                val = v.text if v is not None else None
-            cells[ci] = val
-        if not cells:
-            continue
-        width = max(cells) + 1
-        ridx = int(r_attr) - 1 if r_attr else None
-        yield ridx, [cells.get(i) for i in range(width)]
+    dates = _date_styles(z)
+    props = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+    from_1904 = props is not None and props.get("date1904") in ("1", "true")
+    last = -1
+    with z.open(_first_sheet_path(z)) as sheet:
+        for _, row in ET.iterparse(sheet):
+            if row.tag != f"{{{_NS['m']}}}row":
+                continue
+            cells: dict[int, str | None] = {}
+            for pos, c in enumerate(row.findall("m:c", _NS)):
+                m = _REF.match(c.get("r") or "")
+                cells[_col_index(m.group(1)) if m else pos] = _cell(c, shared, dates, from_1904)
+            last = int(row.get("r")) - 1 if row.get("r") else last + 1
+            row.clear()
+            if cells:
+                yield last, [cells.get(i) for i in range(max(cells) + 1)]
 
 
 def csv_rows(content: bytes) -> Iterator[tuple[int, list]]:
+    csv.field_size_limit(1 << 31)  # a cell may be as long as the file
     text = content.decode("utf-8-sig", errors="replace")
-    for i, rec in enumerate(csv.reader(io.StringIO(text))):
+    for i, rec in enumerate(csv.reader(io.StringIO(text, newline=""))):
         yield i, [v if v != "" else None for v in rec]
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each file, or one status row for a file that can't be read whole
+    or has no rows; a file is decoded to its end before any row of it counts."""
     for pdf in batches:
-        out_file, out_row, out_vals, out_err = [], [], [], []
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
-                low = path.lower()
-                reader = csv_rows if low.endswith(".csv") else xlsx_rows
-                last = -1
-                for ridx, vals in reader(bytes(content)):
-                    ridx = last + 1 if ridx is None else ridx
-                    last = ridx
-                    out_file.append(path)
-                    out_row.append(ridx)
-                    out_vals.append(vals)
-                    out_err.append(None)
+                rows = list((csv_rows if path.lower().endswith(".csv") else xlsx_rows)(bytes(content)))
+                error = None if rows else EMPTY_FILE
             except Exception as e:  # noqa: BLE001 - a bad file becomes a status row
-                out_file.append(path)
-                out_row.append(-1)
-                out_vals.append([])
-                out_err.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"file": out_file, "row_idx": out_row, "values": out_vals, "error": out_err})
+                rows, error = [], f"{type(e).__name__}: {e}"
+            if error:
+                rows = [(-1, [])]
+            for a in range(0, len(rows), CHUNK_ROWS):
+                part = rows[a:a + CHUNK_ROWS]
+                yield pd.DataFrame({"file": path, "row_idx": [r for r, _ in part], "values": [v for _, v in part], "error": error})
 
 
 def read_report_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:

@@ -71,7 +71,18 @@ REFERRAL_OUTPUT_ORDER = (
 CAPTIVE_MARKERS = ("Subtotal",)
 UPPER_MARKERS = ("SUBTOTAL", "COUNT", "TOTAL")
 
-# Rows scanned for the table header: captive 200, commission and referral 30.
+# Which key-token rule a canonical name matches by.
+KEY_RULES = {
+    CAPTIVE_KEY: "captive",
+    CAPTIVE_CLIENT: "client",
+    CAPTIVE_NAME: "captive",
+    CLIENT_NAME: "client",
+    SALESPERSON: "salesperson",
+    VENDOR: "vendor",
+}
+
+# Rows scanned for the table header, for parity with the reference's limits
+# (``spec.with_(scan_rows=...)``): captive 200, commission and referral 30.
 CAPTIVE_SCAN_ROWS = 200
 COMMISSION_SCAN_ROWS = 30
 REFERRAL_SCAN_ROWS = 30
@@ -99,7 +110,7 @@ class ReportSpec:
     coverage_targets: tuple[str, ...] = ()
     coverage_ratio: float = 0.35
     coverage_cap: int | None = None
-    scan_rows: int = 200
+    scan_rows: int | None = None  # search all rows for the table; a number searches only so many
     start_rule: str = "captive"  # captive | commission | referral
     extra_canonical: tuple[str, ...] = ()
     output_order: tuple[str, ...] | None = None
@@ -135,13 +146,6 @@ class ReportSpec:
             out[c] = c if n == 1 else f"{c} ({n})"
         return out
 
-    def canonical_of(self, column: str) -> str | None:
-        """Inverse of :attr:`column_names` (None for other columns)."""
-        for c, n in self.column_names.items():
-            if n == column:
-                return c
-        return None
-
     @property
     def measures(self) -> tuple[str, ...]:
         return tuple(c for c in self.sums if c not in self.firsts) + self.firsts
@@ -165,7 +169,6 @@ CAPTIVE_SPEC = ReportSpec(
     markers=CAPTIVE_MARKERS,
     marker_mode="exact",
     coverage_targets=CAPTIVE_TARGETS,
-    scan_rows=CAPTIVE_SCAN_ROWS,
     start_rule="captive",
     extra_canonical=MONTH_COLUMN_CANDIDATES + YEAR_COLUMN_CANDIDATES,
     month_columns=MONTH_COLUMN_CANDIDATES,
@@ -186,7 +189,6 @@ COMMISSION_SPEC = ReportSpec(
     markers=UPPER_MARKERS,
     marker_mode="upper",
     coverage_targets=COMMISSION_SUMS + COMMISSION_FIRSTS,
-    scan_rows=COMMISSION_SCAN_ROWS,
     start_rule="commission",
     output_order=COMMISSION_OUTPUT_ORDER,
     drop_nuisance_headers=False,
@@ -207,7 +209,6 @@ REFERRAL_SPEC = ReportSpec(
     marker_mode="upper",
     coverage_targets=REFERRAL_SUMS + REFERRAL_FIRSTS,
     coverage_cap=3,
-    scan_rows=REFERRAL_SCAN_ROWS,
     start_rule="referral",
     output_order=REFERRAL_OUTPUT_ORDER,
     drop_nuisance_headers=False,

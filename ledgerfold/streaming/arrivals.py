@@ -11,10 +11,10 @@ session's shared checkpoint folder unless one is given.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerfold.plans.reports import ingest
@@ -53,16 +53,14 @@ def start_ingest_stream(
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("path", "content").mapInPandas(_decode, ROWS_SCHEMA)
-        bad = rows.filter(F.col("row_idx") < 0).select(
-            "file", F.lit("error").alias("status"), F.col("error")
-        )
-        res = ingest(rows, spec)
+        res = ingest(rows, spec, stage_rows=True)
         part = f"batch_id={batch_id}"
-        _write(res.data, os.path.join(sink_dir, "data", part))
-        _write(res.metadata, os.path.join(sink_dir, "metadata", part))
-        _write(res.status.unionByName(bad), os.path.join(sink_dir, "status", part))
+        for name in ("data", "metadata", "status"):
+            _write(getattr(res, name), os.path.join(sink_dir, name, part))
+        res.close()
 
-    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "streams", f"ingest-{spec.name}")
+    key = hashlib.sha256(f"{source_dir}|{sink_dir}|{glob}".encode()).hexdigest()[:16]
+    location = checkpoint_location or os.path.join(checkpoint_dir(spark), "streams", f"ingest-{spec.name}-{key}")
     writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

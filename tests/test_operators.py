@@ -131,7 +131,7 @@ def test_user_sort_and_page(spark):
     desc = [r.i for r in X.user_sort(df, "v", "desc", True, "i").collect()]
     assert asc == [1, 3, 0, 2] and desc == [0, 3, 1, 2]
     rows = spark.range(30).withColumnRenamed("id", "i")
-    page = [r.i for r in X.page_slice(rows.orderBy("i"), 9, 25).collect()]
+    page = [r.i for r in X.page_slice(rows, [F.col("i")], 9, 25).collect()]
     assert page == list(range(25, 30))
     info = X.page_info(rows, 9, 25).first()
     assert (info.page_count, info.page_index, info.range_start, info.range_end) == (2, 1, 26, 30)
@@ -154,9 +154,9 @@ def test_sql_text_accounting_equals_column_form(spark):
 
 
 def test_periods_match_and_period_join(spark):
-    one = lambda v: spark.createDataFrame([(v,)], "canonical_period string")
-    assert M.periods_match(one(None), one(None)).first().ok
-    r = M.periods_match(one("November 2025"), one("October 2025")).first()
+    one = lambda v: spark.createDataFrame([(1, v)], "pair int, canonical_period string")
+    assert M.periods_match(one(None), one(None), ["pair"]).first().ok
+    r = M.periods_match(one("November 2025"), one("October 2025"), ["pair"]).first()
     assert not r.ok and r.error.startswith("Cannot merge: RLIP file period is November 2025, RAP file period is October 2025")
     cols = "`Captive Name: Captive Name` string, `Captive Name: Client` string, p string, `POPIC Fee RLIP` double"
     left = spark.createDataFrame([("A", "", "2025-11", 1.0), ("A", "", "2025-12", 2.0)], cols)
@@ -167,7 +167,63 @@ def test_periods_match_and_period_join(spark):
 
 def test_page_size_and_distinct_order(spark):
     rows = spark.range(40).withColumnRenamed("id", "i")
-    assert X.page_slice(rows.orderBy("i"), 0, 30).count() == 25  # size not offered: keep 25
+    assert X.page_slice(rows, [F.col("i")], 0, 30).count() == 25  # size not offered: keep 25
     df = spark.createDataFrame([(v,) for v in ["b", " A", "a", "", None, "B "]], "v string")
     assert [r.value for r in X.distinct_values(df, "v").collect()] in (["A", "a", "b", "B"], ["a", "A", "b", "B"],
                                                                        ["A", "a", "B", "b"], ["a", "A", "B", "b"])
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    texts = ["100\t", "1,234.50\u00a0", "$5 \n", "(7)\u00a0", "\u2003 8 \u3000", "\u00a0"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert [r.x for r in df.select(accounting_number("v").alias("x")).collect()] == [100.0, 1234.5, 5.0, -7.0, 8.0, 0.0]
+
+
+def test_number_text_of_any_size(spark):
+    from ledgerfold.functions.numbers import js_text
+
+    values = [100.0, 0.5, 1e20, 1.5e21, 1e30, 1e-7, 2.5e-5, -1e22, 123456789012.25]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.t for r in df.select(js_text("v").alias("t")).collect()]
+    assert got == ["100", "0.5", "100000000000000000000", "1.5e+21", "1e+30", "1e-7", "0.000025", "-1e+22", "123456789012.25"]
+    assert X.search_rows(df, "e+30").count() == 1
+
+
+def test_date_and_truth_columns_sort_as_text(spark):
+    df = spark.sql("SELECT id, date_add(date'2025-01-31', cast(-id as int)) AS d, id % 2 = 0 AS b FROM range(5)")
+    assert {r.column_name: r.is_numeric for r in X.profile_numeric(df).collect()} == {"id": True, "d": False, "b": False}
+    assert [r.id for r in X.user_sort(df, "d", "asc", order_col="id").collect()] == [4, 3, 2, 1, 0]
+    assert [r.id for r in X.sort_rank(df, "b", "desc", order_col="id").orderBy("rank").collect()] == [0, 2, 4, 1, 3]
+
+
+def test_ranks_and_pages_equal_a_plain_sort(spark):
+    import random
+
+    from ledgerfold.operators.ranks import Ranked
+
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(20)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, v long").repartition(5)
+    want = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    ranked = Ranked(df, [F.col("v").desc(), F.col("i").asc()], partitions=7)
+    got = {r.i: r.rank for r in ranked.with_rank().collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == want and sorted(got.values()) == list(range(1, 1001))
+    for offset, size in ((0, 10), (333, 100), (990, 25), (5000, 10), (10, 0)):
+        assert [r.i for r in ranked.slice(offset, size).collect()] == want[offset:offset + size]
+    assert Ranked(df.limit(0), [F.col("i")]).with_rank().count() == 0
+
+
+def test_no_cached_table_is_left(spark):
+    from ledgerfold.plans.queries import QUERIES
+
+    QUERIES["consolidate"](spark, "/root/testdata/sf0.001").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_typed_read(spark):
+    from ledgerfold.sources.typed import typed_read
+
+    rows = [(0, ["a", "a", None, "d", "e"]), (1, ["1", "1.5", "2025-01-02", "true", "x"]), (2, ["NaN", " 2\u00a0", "", "FALSE"]), (3, ["3", None, "2025-02-28", None, "4"])]
+    out = typed_read(spark.createDataFrame(rows, "row_idx long, values array<string>"))
+    assert dict(out.dtypes) == {"row_idx": "bigint", "a": "bigint", "a_2": "double", "column_3": "date", "d": "boolean", "e": "string"}
+    assert [r.a for r in out.orderBy("row_idx").collect()] == [1, None, 3]

@@ -66,8 +66,10 @@ def test_scan_and_ingest(spark):
     with open(os.path.join(d, "broken.xlsx"), "wb") as f:
         f.write(b"not a zip")
     rows = read_report_files(spark, d, glob="*.xlsx")
+    write_xlsx(os.path.join(d, "empty.xlsx"), [])
     errors = {r.file.rsplit("/", 1)[-1]: r.error for r in rows.filter("row_idx < 0").collect()}
-    assert set(errors) == {"broken.xlsx"}
+    assert set(errors) == {"broken.xlsx", "empty.xlsx"} or set(errors) == {"broken.xlsx"}
+    rows = read_report_files(spark, d, glob="*.xlsx")
     good = rows.filter("row_idx >= 0")
 
     starts = {r.file.rsplit("/", 1)[-1]: r.start for r in table_start(good, CAPTIVE_SPEC).collect()}
@@ -76,9 +78,11 @@ def test_scan_and_ingest(spark):
              .orderBy("row_idx", "col_idx").collect()]
     assert title == [(0, 0, "Captive Summary"), (1, 1, "Report period: 2025/09")]
 
-    res = ingest(good, CAPTIVE_SPEC, block_rows=2)
+    res = ingest(rows, CAPTIVE_SPEC, block_rows=2)
     status = {r.file.rsplit("/", 1)[-1]: r.status for r in res.status.collect()}
-    assert status == {"Test_November 2025.xlsx": "ok", "plain.xlsx": "ok", "wrong.xlsx": "error"}
+    assert status == {"Test_November 2025.xlsx": "ok", "plain.xlsx": "ok", "wrong.xlsx": "error", "broken.xlsx": "error", "empty.xlsx": "error"}
+    errors = {r.file.rsplit("/", 1)[-1]: r.error for r in res.status.collect()}
+    assert errors["empty.xlsx"] == "The file has no rows." and "BadZipFile" in errors["broken.xlsx"]
     data = {(r.file.rsplit("/", 1)[-1], r["Captive Name: Captive Name"], r["Captive Name: Client"]): r["Gross Written Premium"]
             for r in res.data.collect()}
     assert data == {("Test_November 2025.xlsx", "Cap A", "C1"): 100.0, ("Test_November 2025.xlsx", "Cap A", "C2"): 200.0,
@@ -88,6 +92,9 @@ def test_scan_and_ingest(spark):
     assert m.period_from_filename == "November 2025" and m.period_from_header == "September 2025"
     assert m.canonical_period is None and m.discrepancy_notes == []
     assert m.filenames == ["Test_November 2025.xlsx"]
+    assert res.staged
+    res.close()
+    assert not res.staged
 
 
 def test_csv_scan(spark):
@@ -110,3 +117,47 @@ def test_blank_header_as_client(spark):
     assert [r[CAPTIVE_CLIENT] for r in plain] == [""]
     fixed = ingest(rows, CAPTIVE_SPEC.with_(blank_header_as=CAPTIVE_CLIENT)).data.collect()
     assert [r[CAPTIVE_CLIENT] for r in fixed] == ["C9"]
+
+
+def test_half_read_file_gives_no_rows(spark):
+    d = tempfile.mkdtemp(prefix="ledgerfold-half-")
+    long = "y" * 200_000  # longer than the csv module's usual field limit
+    with open(os.path.join(d, "long.csv"), "w") as f:
+        f.write("a,b\n" + f"1,{long}\n" + "2,x\n")
+    whole = [r.row_idx for r in read_report_files(spark, d).orderBy("row_idx").collect()]
+    assert whole == [0, 1, 2]
+    write_xlsx(os.path.join(d, "cut.xlsx"), [["a"], ["b"]])
+    with zipfile.ZipFile(os.path.join(d, "bad.xlsx"), "w") as z, zipfile.ZipFile(os.path.join(d, "cut.xlsx")) as src:
+        for n in src.namelist():
+            body = src.read(n)
+            z.writestr(n, body[:-40] if n.endswith("sheet1.xml") else body)
+    got = [(r.row_idx, bool(r.error)) for r in read_report_files(spark, d, glob="bad.xlsx").collect()]
+    assert got == [(-1, True)]
+
+
+def test_dates_and_error_cells(spark):
+    d = tempfile.mkdtemp(prefix="ledgerfold-date-")
+    path = os.path.join(d, "a.xlsx")
+    write_xlsx(path, [["x"]])
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    sheet = (f'<worksheet xmlns="{ns}"><sheetData><row r="1"><c r="A1" s="1"><v>45962</v></c><c r="B1" s="2"><v>45962.5</v></c>'
+             '<c r="C1" t="e"><v>#N/A</v></c><c r="D1" s="0"><v>45962</v></c></row></sheetData></worksheet>')
+    styles = (f'<styleSheet xmlns="{ns}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm&quot;h&quot;"/></numFmts>'
+              '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+    with zipfile.ZipFile(os.path.join(d, "b.xlsx"), "w") as z, zipfile.ZipFile(path) as src:
+        for n in src.namelist():
+            z.writestr(n, sheet if n.endswith("sheet1.xml") else src.read(n))
+        z.writestr("xl/styles.xml", styles)
+    got = read_report_files(spark, d, glob="b.xlsx").first()
+    assert got["values"] == ["2025-11-01", "2025-11-01 12:00:00", None, "45962"]
+
+
+def test_low_table_and_search_limit(spark):
+    body = [(f"note {i}",) for i in range(250)]
+    rows = [("low", i, [v]) for i, (v,) in enumerate(body)] + [("low", 250, HEADER), ("low", 251, [str(x) if x is not None else None for x in _data_row("Cap A", "C1", 5)])]
+    df = spark.createDataFrame(rows, "file string, row_idx long, values array<string>")
+    assert [(r.start, r.found) for r in table_start(df, CAPTIVE_SPEC).collect()] == [(250, True)]
+    ok = ingest(df, CAPTIVE_SPEC)
+    assert [r.status for r in ok.status.collect()] == ["ok"] and ok.data.count() == 1
+    limited = ingest(df, CAPTIVE_SPEC.with_(scan_rows=200)).status.first()
+    assert (limited.status, limited.error) == ("error", "No table starts in the first 200 rows.")
