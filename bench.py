@@ -28,7 +28,7 @@ def main() -> None:
     from ledgerfold.plans.queries import QUERIES
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    cpus = os.environ.get("BENCH_CPUS", "4")
+    cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     spark = local_session(cores=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "8")),
@@ -36,6 +36,7 @@ def main() -> None:
     out = {}
     for name in names:
         def run():
+            spark.catalog.clearCache()  # nothing that an earlier run kept may help
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0

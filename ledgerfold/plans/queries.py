@@ -1055,7 +1055,7 @@ def q_header_similarity(spark, sf_dir):
     from ledgerfold.operators.headers import match_pairs
 
     h = _perturbed_canonical(spark, sf_dir, CAPTIVE_SPEC.canonical, 31)
-    return match_pairs(h, CAPTIVE_SPEC.canonical).select("header", "canonical", "exact", "ratio")
+    return match_pairs(h, CAPTIVE_SPEC.canonical, score_all=True).select("header", "canonical", "exact", "ratio")
 
 
 @register("header_match")
