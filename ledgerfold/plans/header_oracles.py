@@ -56,8 +56,9 @@ pairs AS (SELECT d.header, r.* FROM d JOIN ratios r USING (n_act)),
 matched AS (SELECT * FROM pairs WHERE header <> '' AND n_act <> '' AND (exact OR ratio >= {EXACT_RATIO} OR (ratio >= {TOKEN_RATIO} AND CASE rule
   WHEN 'captive' THEN {_any(CAPTIVE_TOKENS)} AND {_any(NAME_TOKENS)} WHEN 'client' THEN {_any(CLIENT_TOKENS)} ELSE false END)))"""
     # The derived headers are made from the names, one of each in a file, so the
-    # mapping that is meant is known.
-    meant = f"WITH {_headers_sql()} SELECT file, col_idx, trim(replace(header, '↑', '')) AS header, name AS canonical FROM h"
+    # mapping that is meant is known; of equal texts in a file the first counts.
+    meant = f"""WITH {_headers_sql()}, c AS (SELECT file, col_idx, trim(replace(header, '↑', '')) AS header, name AS canonical FROM h)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file, header ORDER BY col_idx) = 1"""
     return {
         "header_similarity": pairs + " SELECT header, canonical, exact, ratio FROM pairs",
         "header_match": pairs + " SELECT header, canonical, ratio FROM matched",

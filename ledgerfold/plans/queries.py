@@ -1380,6 +1380,43 @@ def q_report_metadata(spark, sf_dir):
     )
 
 
+def _year_metadata_sql(family: str) -> str:
+    """Metadata of the families whose period is the first valid year."""
+    from ledgerfold.plans import layouts
+
+    lay = layouts.LAYOUTS[family]()
+    fname = layouts.file_name_sql(lay.file_prefix)
+    year = td.year_number_sql('"Year"')
+    return f"""WITH {layouts.base_sql(lay)},
+tbl AS (SELECT file, arg_min(struct_pack(year := {year}, month := 1), row_idx) AS tp FROM base WHERE {year} BETWEEN 1900 AND 2100 GROUP BY file),
+files AS (SELECT {fname} AS file, regexp_extract({fname}, '([^/\\\\]*)$', 1) AS filename,
+          CASE WHEN n_nationkey % 4 > 1 THEN struct_pack(year := 2025, month := CAST((n_nationkey + 3) % 12 + 1 AS INTEGER)) END AS hp
+          FROM nation),
+p AS (SELECT f.file, f.filename, t.tp, {td.period_from_filename_sql('f.filename')} AS fp, f.hp FROM files f LEFT JOIN tbl t USING (file)),
+n AS (SELECT *, {_notes_sql('tp', 'fp', 'hp')} AS notes FROM p)
+SELECT file, filename, {td.format_period_sql('tp.year', 'tp.month')} AS canonical_period,
+  {td.format_period_sql('fp.year', 'fp.month')} AS period_from_filename,
+  {td.format_period_sql('hp.year', 'hp.month')} AS period_from_header,
+  CAST(len(notes) AS INTEGER) AS n_notes, array_to_string(notes, ' / ') AS notes, 'combined' AS file_type FROM n"""
+
+
+def _year_metadata(spark, sf_dir, family: str):
+    return _report(spark, sf_dir, family)[0].metadata.select(
+        "file", "filename", "canonical_period", "period_from_filename", "period_from_header",
+        F.size("discrepancy_notes").cast("int").alias("n_notes"), F.array_join("discrepancy_notes", " / ").alias("notes"), "file_type",
+    )
+
+
+@register("report_metadata_commission", _year_metadata_sql("commission"))
+def q_report_metadata_commission(spark, sf_dir):
+    return _year_metadata(spark, sf_dir, "commission")
+
+
+@register("report_metadata_referral", _year_metadata_sql("referral"))
+def q_report_metadata_referral(spark, sf_dir):
+    return _year_metadata(spark, sf_dir, "referral")
+
+
 # ------------------------------------------------------------------ three-key consolidation on lineitem
 
 
