@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerfold.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,13 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch (bounded memory: one batch at a time)."""
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder, read it back, and let go of
+    the shuffles behind it.
+
+    Spark drops a finished shuffle's files once the driver's collector has found
+    it unused; jobs of many steps would otherwise hold all of them until the end.
+    """
+    out = materialize(df)
+    spark = df.sparkSession
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
+    """Apply ``fn`` to slices of at most ``rows`` rows of every Arrow batch, so
+    that what ``fn`` makes on the way stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.session import materialize
+from ledgerfold.llm.common import staged
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each component, for every node of
     ``edges`` (a, b).  Loops, repeated and reversed links are allowed."""
-    e = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = staged(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
@@ -39,5 +39,5 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         if not now["n"]:
             break
-        e = materialize(_small_star(_large_star(e)))
+        e = staged(_small_star(_large_star(e)))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -19,7 +19,7 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 #: Texts are worked on in pieces of about this many bytes (whole rows).
-PIECE = 1 << 20
+PIECE = 1 << 19
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
