@@ -22,7 +22,7 @@ reported as one row a node.
 
 Defined cases: null, empty, zero vectors and those with null or non-finite
 components, and rows without a label, link with nothing; vectors of different
-length never link; vectors of up to four components share a single filter, so
+length never link; labels of any type are compared by a 64-bit digest; vectors of up to four components share a single filter, so
 they are compared exactly; repeated rows count as separate rows; a null id never
 names a class unless the class has no other.
 """
@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import map_batches, map_sorted_groups, matrix, usable
+from ledgerfold.llm.common import map_batches, map_sorted_groups, matrix, staged, usable
 from ledgerfold.llm.graph import components
-from ledgerfold.session import materialize
 
 #: Most nodes of one side of a group.
 CHUNK = 512
@@ -111,12 +110,12 @@ def _parts(link: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: float = 16.0, list_rows: int = 64,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
-    rows = materialize(
-        vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("x"))
+    rows = staged(
+        vectors.select(F.col(id_col).alias("vec_id"), F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col)).alias("label"), F.col(vector_col).alias("x"))
         .withColumns({"ok": F.col("label").isNotNull() & usable("x"), "rid": F.monotonically_increasing_id()})
         .withColumns({"h1": F.when(F.col("ok"), F.xxhash64("x")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "x"))})
     )
-    nodes = materialize(
+    nodes = staged(
         rows.where("ok").groupBy("label", "h1", "h2")
         .agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"), F.min_by("x", "rid").alias("x"))
         .withColumn("dim", F.size("x"))
@@ -138,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: flo
                 found[i] = f
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "filters"])
 
-    lists = materialize(map_batches(nodes.select("node", "x", "dim"), filters, "node long, filters array<long>"))
+    lists = staged(map_batches(nodes.select("node", "x", "dim"), filters, "node long, filters array<long>"))
     entry = nodes.select("node", "label", "dim").join(lists, "node").select("node", "label", "dim", F.explode("filters").alias("f"))
     big = entry.groupBy("label", "dim", "f").count().where(F.col("count") > CHUNK).withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
     placed = entry.join(big, ["label", "dim", "f"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -176,7 +175,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: flo
         told = np.flatnonzero((links > 0) | (root != np.arange(len(x))))
         return pa.RecordBatch.from_arrays([pa.array(node[told]), pa.array(links[told]), pa.array(node[root[told]])], names=["node", "links", "root"])
 
-    told = materialize(map_sorted_groups(groups, ["label", "dim", "f", "lo", "hi"], compare, "node long, links long, root long"))
+    told = staged(map_sorted_groups(groups, ["label", "dim", "f", "lo", "hi"], compare, "node long, links long, root long"))
     links = told.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(told.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("label", "h1", "h2", "node", "copies", "least_id").join(links, "node", "left").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

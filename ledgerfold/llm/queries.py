@@ -114,7 +114,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
 , shingles AS (
   SELECT DISTINCT doc_id, sh FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
                           ELSE [array_to_string(w, ' ')] END) AS sh FROM words WHERE len(w) > 0))
 , sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)
 , common AS (
@@ -129,8 +129,8 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN class c ON c.a = d.d
 _OP8 = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0)
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0)
 , links AS (
   SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
   WHERE list_cosine_similarity(p.x, q.x) >= 0.98)
