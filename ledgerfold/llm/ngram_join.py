@@ -38,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import map_batches, mix64
+from ledgerfold.llm.common import map_batches, mix64, staged
 from ledgerfold.llm.graph import components
 from ledgerfold.llm.shingles import shingle_sets, signed
-from ledgerfold.session import materialize
 
 #: Length of the list of frequent shingles (12 bytes each in every task).
 FREQUENT = 1 << 17
-#: A shingle is counted from this many occurrences in one batch of rows.
+#: A shingle is counted from this many occurrences in one batch of up to 8,192 rows.
 SEEN = 4
+#: Bits of the sieve (2 MB in every task): it only saves work, so when more sets
+#: are wanted than it can tell apart, more rows pass and the join drops them.
+SIEVE_BITS = 1 << 24
 
 
 def frequent_shingles(docs: DataFrame, k: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +56,15 @@ def frequent_shingles(docs: DataFrame, k: int, text_col: str = "text") -> tuple[
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         digest, _ = shingle_sets(batch.column(0), k)
-        value, n = np.unique(digest, return_counts=True)
-        keep = n >= SEEN
-        return pa.RecordBatch.from_arrays([pa.array(signed(value[keep])), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
-
-    top = map_batches(docs.select(text_col), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+        place = digest >> np.uint64(61)
+        found = []
+        for part in range(8):  # an eighth at a time takes less memory
+            value, n = np.unique(digest[place == part], return_counts=True)
+            found.append((value[n >= SEEN], n[n >= SEEN]))
+        value, n = (np.concatenate(c) for c in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    top = map_batches(docs.select(text_col), run, "h long, n long", rows=8192).groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     h, n = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -105,22 +111,50 @@ def _describe(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     described = map_batches(rows, run, f"doc_id {kind}, th long, n long, f1 long, f2 long, prefix array<long>")
-    return materialize(described.withColumn("rid", F.monotonically_increasing_id()))
+    return staged(described.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, na, nb, common) of each pair of nodes (a, b)."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    known = needed.join(classes.select("node", "node_id", "th"), "node")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th2", F.xxhash64("text"))
-    # The digest leads, so that null or shared ids don't gather in one task.
-    found = texts.join(known, (F.col("th2") == F.col("th")) & F.col("id").eqNullSafe(F.col("node_id"))).select("node", "text")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sieve(known: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the text digests in ``known``."""
+    place = F.pmod("th", F.lit(SIEVE_BITS)) + 1
+    rows = (
+        known.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
+        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    )
+    bits = np.zeros(SIEVE_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["m"], dtype=np.uint8)
+        bits[(r["b"] - 1) * len(part):r["b"] * len(part)] = part
+    return bits
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, s): the shingle sets of ``nodes``, from whole texts.  A bitmap of
+    the wanted digests sorts out most other rows where they are read."""
+    known = staged(nodes.join(classes.select("node", "node_id", "th"), "node"))
+    bits = _sieve(known)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th2"), F.col(text_col).alias("text"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest, offsets = shingle_sets(batch.column(1), k)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(digest)))], names=["node", "s"])
+        place = np.mod(batch.column(1).to_numpy(), SIEVE_BITS)
+        batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+        digest, offsets = shingle_sets(batch.column(2), k)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(digest)))], names=["id", "th2", "s"],
+        )
 
-    held = materialize(map_batches(found, sets, "node long, s array<long>"))
+    made = map_batches(texts, sets, f"id {kind}, th2 long, s array<long>")
+    # The digest leads, so that null or shared ids don't gather in one task.
+    return staged(made.join(known, (F.col("th2") == F.col("th")) & F.col("id").eqNullSafe(F.col("node_id"))).select("node", "s"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, common) of each pair of nodes (a, b)."""
 
     def overlap(batch: pa.RecordBatch) -> pa.RecordBatch:
         sa, sb = batch.column(2), batch.column(3)
@@ -133,11 +167,11 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_co
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (na, nb, common))], names=["a", "b", "na", "nb", "common"])
 
     both = (
-        pairs.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        .join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
     )
-    return materialize(map_batches(both, overlap, "a long, b long, na long, nb long, common long").distinct())
+    return staged(map_batches(both, overlap, "a long, b long, na long, nb long, common long").distinct())
 
 
 def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +179,7 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
     n_shingles, node (of its set), component (of its class), component_id (the
     class's least id).  ``rid`` numbers the rows of this result only."""
     rows = _describe(docs, k, threshold, id_col, text_col)
-    classes = materialize(
+    classes = staged(
         rows.where("n > 0").groupBy("f1", "f2", "n")
         .agg(F.min(F.struct("rid", "th", "doc_id")).alias("one"), F.min("doc_id").alias("least_id"))
         .select("f1", "f2", "n", F.col("one.rid").alias("node"), F.col("one.th").alias("th"), F.col("one.doc_id").alias("node_id"), "least_id")
@@ -155,24 +189,25 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
         .select(F.col("rid").alias("node"), "n", F.posexplode("prefix").alias("pos", "h"))
     )
     lists = index.groupBy("h").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1").select("h", "pivot")
-    entries = materialize(index.join(lists, "h").where("node != pivot"))
+    entries = staged(index.join(lists, "h").where("node != pivot"))
 
     sizes = classes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
     fits = F.expr(f"100 * least(n, pivot_n) >= {threshold} * greatest(n, pivot_n)")
-    stars = materialize(
+    stars = staged(
         entries.groupBy("node", "pivot").agg(F.min("n").alias("n")).join(sizes, "pivot").where(fits)
         .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     )
     linked = F.expr(f"100 * common >= {threshold} * (na + nb - common)")
-    checked = _verify(stars, classes, docs, k, id_col, text_col)
-    first = materialize(components(checked.where(linked).select("a", "b")))
+    sets = _sets(_ends(stars), classes, docs, k, id_col, text_col)
+    checked = _verify(stars, sets)
+    first = staged(components(checked.where(linked).select("a", "b")))
 
     far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.expr("1 - common / (na + nb - common)").alias("d"))
     of = first.select("node", F.col("component").alias("c"))
     members = entries.join(of, "node", "left").withColumn("c", F.coalesce("c", "node")).join(far, ["pivot", "node"], "left")
     mixed = members.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("h")
     step = math.log(100 / threshold) if threshold < 100 else 1.0
-    rest = materialize(members.join(mixed, "h").select("h", "node", "n", "pos", "c", "d", F.floor(F.log("n") / step).alias("block")))
+    rest = staged(members.join(mixed, "h").select("h", "node", "n", "pos", "c", "d", F.floor(F.log("n") / step).alias("block")))
     x = rest.select("h", "block", *(F.col(v).alias(f"{v}_x") for v in ("node", "n", "pos", "c", "d")))
     y = rest.select("h", F.explode(F.array("block", F.col("block") - 1)).alias("block"), *(F.col(v).alias(f"{v}_y") for v in ("node", "n", "pos", "c", "d")))
     slack = 1 - threshold / 100 + 1e-9
@@ -182,13 +217,17 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
         f"and (100 + {threshold}) * least(n_x - pos_x, n_y - pos_y) >= {threshold} * (n_x + n_y) "
         f"and coalesce(abs(d_x - d_y) <= {slack}, true)"
     )
-    more = materialize(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+    more = staged(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     if more.limit(1).count():
-        again = _verify(more, classes, docs, k, id_col, text_col).where(linked).select("a", "b")
+        # Most of these sets were fetched for the first round.
+        missing = staged(_ends(more).join(sets.select("node"), "node", "left_anti"))
+        if missing.limit(1).count():
+            sets = sets.unionByName(_sets(missing, classes, docs, k, id_col, text_col))
+        again = _verify(more, sets).where(linked).select("a", "b")
         joined = again.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         roots = first.unionByName(joined.select(F.col("a").alias("node"), F.coalesce("ca", "a").alias("component"))).unionByName(joined.select(F.col("b").alias("node"), F.coalesce("cb", "b").alias("component"))).distinct()
-        first = materialize(roots.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        first = staged(roots.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
 
     named = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -205,7 +244,7 @@ def keep_one(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", te
     the one of the least row number.  Rows without words all stay."""
     classes = link_classes(docs, k, threshold, id_col, text_col).where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"), F.col("th"))).alias("one")
-    kept = materialize(classes.groupBy("component").agg(first).select(F.col("one.doc_id").alias("__keep_id"), F.col("one.th").alias("__keep_th")).distinct())
+    kept = staged(classes.groupBy("component").agg(first).select(F.col("one.doc_id").alias("__keep_id"), F.col("one.th").alias("__keep_th")).distinct())
     has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     tagged = docs.withColumn("__th", F.xxhash64(text_col))
     stay = (
