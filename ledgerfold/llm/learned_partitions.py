@@ -12,8 +12,8 @@
   against all rows, and the least number of parts that finds ``target_recall``
   of their true neighbours is taken.
 
-The number of parts grows with the rows (about ``part_rows`` each).  A part may
-still hold a third of all rows: parts are split into blocks of ``BLOCK`` rows
+The number of parts grows with the square root of the rows, so that routing and
+ranking grow alike.  A part may still hold a third of all rows: parts are split into blocks of ``BLOCK`` rows
 and queries into blocks of ``QUERIES``; each pair of blocks is one group.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import map_batches, map_sorted_groups, matrix, usable
-from ledgerfold.session import materialize
+from ledgerfold.llm.common import map_batches, map_sorted_groups, matrix, staged, usable
 
 BLOCK, QUERIES = 4096, 1024
 HIDDEN = 64
@@ -176,11 +175,11 @@ def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -s[at]))][:k]
 
 
-def build(rows: DataFrame, dim: int, total: int, k: int = 20, part_rows: int = 1024, max_parts: int = 256, sample_rows: int = 8192,
+def build(rows: DataFrame, dim: int, total: int, k: int = 20, part_rows: int = 1024, max_parts: int = 1024, sample_rows: int = 8192,
           probe_rows: int = 200, target_recall: float = 0.96) -> Index:
     """``rows``: rid, vec_id, x, all of length ``dim``; ``total`` of them."""
     parts = 1
-    while parts * 2 * part_rows <= total and parts * 2 <= max_parts:
+    while total > part_rows and parts * 2 <= min(max_parts, math.sqrt(total) / 12):
         parts *= 2
     if parts == 1:
         router = Router(np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
@@ -194,7 +193,7 @@ def build(rows: DataFrame, dim: int, total: int, k: int = 20, part_rows: int = 1
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["rid", "vec_id", "x", "part"])
 
     kind = rows.schema["x"].dataType.simpleString()
-    filed = materialize(map_batches(rows.select("rid", "vec_id", "x"), file, f"rid long, vec_id long, x {kind}, part long"))
+    filed = staged(map_batches(rows.select("rid", "vec_id", "x"), file, f"rid long, vec_id long, x {kind}, part long"))
     probes, measured = (1, 1.0) if parts == 1 else _measure(filed, router, dim, k, _sample(rows, probe_rows, 2), target_recall)
     return Index(dim, router, probes, filed, measured)
 
@@ -234,7 +233,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
     queries = queries.select("rid", "vec_id", "x")
     routed = map_batches(queries.select("rid", "x"), route, "rid long, parts array<long>").select("rid", F.explode("parts").alias("part"))
-    routed = materialize(routed.join(queries, "rid"))
+    routed = staged(routed.join(queries, "rid"))
     load = routed.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks"))
     stock = index.filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("x_blocks"))
     # One row for each part: at most the parameter max_parts of build().
@@ -273,7 +272,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     """The ``k`` nearest found rows of every row that ``is_query`` (a condition
     on vec_id) selects; one index for each vector length in the table."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).where(F.col("vec_id").isNotNull() & usable("x"))
-    rows = materialize(rows.withColumns({"rid": F.monotonically_increasing_id(), "dim": F.size("x")}))
+    rows = staged(rows.withColumns({"rid": F.monotonically_increasing_id(), "dim": F.size("x")}))
     out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in rows.groupBy("dim").count().orderBy("dim").collect():
         same = rows.where(F.col("dim") == r["dim"])

@@ -102,7 +102,7 @@ def exact(rows, is_query, k):
     return out
 
 
-@pytest.mark.parametrize("n,options", [(400, {}), (6000, {"part_rows": 512, "sample_rows": 3000})])
+@pytest.mark.parametrize("n,options", [(400, {}), (6000, {"part_rows": 512, "sample_rows": 3000, "target_recall": 0.95})])
 def test_search_recall(spark, n, options):
     rng = np.random.default_rng(n)
     centres = rng.normal(size=(30, 16))
