@@ -36,7 +36,7 @@ from ledgerfold.llm.common import map_batches, texts_of
 
 SHORT = 64
 #: Distinct words kept per task; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _NO_RANK = 1 << 60
 
 #: Fixed: white space as the vocabulary's pattern understands it.

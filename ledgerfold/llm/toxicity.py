@@ -205,7 +205,7 @@ def learn_lexicon(rows: DataFrame, most: int = 2_000, least_share: float = 0.005
     if not toxic:
         return SEED_INSULTS, ()
     least = max(3, math.ceil(least_share * toxic))
-    counted = map_batches(rows.select("text", "toxic"), run, "mark string, neg long, pos long").groupBy("mark").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counted = map_batches(rows.select("text", "toxic"), run, "mark string, neg long, pos long", rows=4096).groupBy("mark").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     good = counted.where((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
     found = {r["mark"]: r["pos"] for r in good.orderBy(F.desc("pos"), "mark").limit(most).collect()}
     stems: list[str] = []
