@@ -8,10 +8,12 @@ The directions form a random product code: after a fixed random rotation a
 vector is cut in two halves, each half has a code book of random directions, and
 a filter is a pair of code words.  Its inner product with a vector is the sum of
 two table entries, so all filters above the threshold are listed from the two
-sorted tables without trying every pair (list decoding).  The threshold is the
-point of the sphere's own distribution that a vector exceeds for ``per_vector``
-filters on average; the number of filters grows with the rows, so lists stay of
-about ``list_rows`` rows.
+sorted tables without trying every pair (list decoding).  ``codes`` such codes
+with rotations and books of their own are used.  The threshold is the point of
+the sphere's own distribution that a vector exceeds for ``per_vector`` filters on
+average over all codes; a vector always has its ``least`` best filters of each
+code as well, even below the threshold, so none is left without.  The number of
+filters grows with the rows, so lists stay of about ``list_rows`` rows.
 
 Equal vectors of a label are one node with a multiplicity.  A list of more than
 ``CHUNK`` nodes is split into chunks, and each pair of chunks is its own group,
@@ -48,8 +50,8 @@ EXACT_DIM = 4
 class ProductCode:
     """Filters of vectors of one length: code words (i, j) of two books."""
 
-    def __init__(self, dim: int, words: int, per_vector: float):
-        rng = np.random.default_rng(1000 + dim)
+    def __init__(self, dim: int, words: int, per_vector: float, number: int = 0):
+        rng = np.random.default_rng([1000 + dim, number] if number else 1000 + dim)
         self.words = words
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.cut = (dim + 1) // 2
@@ -59,8 +61,9 @@ class ProductCode:
             self.books.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt(part / dim))
         self.threshold = cap_height(dim, min(0.5, per_vector / words**2))
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Ascending filter numbers of each row of ``unit``."""
+    def decode(self, unit: np.ndarray, least: int = 0) -> list[np.ndarray]:
+        """Ascending filter numbers of each row of ``unit``: all above the
+        threshold, and the ``least`` best ones in any case."""
         turned = unit @ self.rotation
         s1, s2 = turned[:, :self.cut] @ self.books[0].T, turned[:, self.cut:] @ self.books[1].T
         o2 = np.argsort(-s2, axis=1, kind="stable")
@@ -70,7 +73,13 @@ class ProductCode:
             rows = np.flatnonzero(a + down[0] >= self.threshold)
             # How many words of the second book reach the threshold with each.
             n = np.searchsorted(-down, a[rows] - self.threshold, side="right")
-            out.append(np.sort(np.concatenate([i * self.words + order[:k] for i, k in zip(rows, n)])) if len(rows) else np.zeros(0, np.int64))
+            if n.sum() < least:
+                # The best pairs are made of the best words of each book.
+                first, second = np.argsort(-a, kind="stable")[:least], order[:least]
+                best = np.argsort(-(a[first][:, None] + b[second]).ravel(), kind="stable")[:least]
+                out.append(np.sort(first[best // len(second)] * self.words + second[best % len(second)]))
+            else:
+                out.append(np.sort(np.concatenate([i * self.words + order[:k] for i, k in zip(rows, n)])) if len(rows) else np.zeros(0, np.int64))
         return out
 
 
@@ -87,13 +96,24 @@ def cap_height(dim: int, share: float) -> float:
 _CODES: dict[tuple, ProductCode] = {}
 
 
-def _code(dim: int, words: int, per_vector: float) -> ProductCode:
-    key = (dim, words, per_vector)
+def _code(dim: int, words: int, per_vector: float, number: int) -> ProductCode:
+    key = (dim, words, per_vector, number)
     if key not in _CODES:
         _CODES[key] = ProductCode(*key)
     return _CODES[key]
 
 
+def book_words(most: int, per_vector: float, list_rows: int, codes: int) -> int:
+    """Words of a book for lists of about ``list_rows`` of ``most`` rows."""
+    return max(4, math.ceil(math.sqrt(most * per_vector / codes / list_rows)))
+
+
+def filter_lists(unit: np.ndarray, words: int, per_vector: float, codes: int, least: int) -> list[np.ndarray]:
+    """Ascending filter numbers of each row of ``unit`` in all codes."""
+    found = [_code(unit.shape[1], words, per_vector / codes, k).decode(unit, least) for k in range(codes)]
+    return [np.concatenate([f + k * words**2 for k, f in enumerate(row)]) for row in zip(*found)]
+
+
 def _parts(link: np.ndarray) -> np.ndarray:
     """Least row of each row's connected part in a symmetric boolean matrix."""
     n = len(link)
@@ -107,7 +127,7 @@ def _parts(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: float = 16.0, list_rows: int = 64,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: float = 16.0, list_rows: int = 64, codes: int = 2, least: int = 8,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     rows = staged(
@@ -121,7 +141,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: flo
         .withColumn("dim", F.size("x"))
     )
     most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    words = max(4, math.ceil(math.sqrt(most * per_vector / list_rows)))
+    words = book_words(most, per_vector, list_rows, codes)
 
     def filters(batch: pa.RecordBatch) -> pa.RecordBatch:
         dims = batch.column(2).to_numpy()
@@ -132,7 +152,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, per_vector: flo
                 lists = [np.zeros(1, np.int64)] * len(at)
             else:
                 x = matrix(batch.column(1).take(pa.array(at)), int(dim))
-                lists = _code(int(dim), words, per_vector).decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                lists = filter_lists(x / np.linalg.norm(x, axis=1, keepdims=True), words, per_vector, codes, least)
             for i, f in zip(at, lists):
                 found[i] = f
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "filters"])

@@ -1,5 +1,6 @@
 """Cap filters and learned partitions against brute force."""
 
+import inspect
 import math
 
 import numpy as np
@@ -91,6 +92,21 @@ def test_decoding_lists_all_filters_above_the_threshold():
     assert 4 < many < 14
 
 
+@pytest.mark.parametrize("words", [16, 50, 159, 500])
+def test_isolated_pairs_share_a_filter_at_every_size(words):
+    """Pairs at exactly 0.98 of 64 components, alone in their surroundings."""
+    per, rows_a_list, codes, least = (inspect.signature(C.near_duplicates).parameters[k].default for k in ("per_vector", "list_rows", "codes", "least"))
+    assert C.book_words(round(words**2 * rows_a_list * codes / per), per, rows_a_list, codes) == words
+    rng = np.random.default_rng(words)
+    u, w = rng.normal(size=(2, 1500, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    v = 0.98 * u + math.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    one, two = (C.filter_lists(x, words, per, codes, least) for x in (u, v))
+    assert all(len(np.unique(f)) == len(f) >= codes * least for f in one + two)
+    assert sum(not np.isin(a, b).any() for a, b in zip(one, two)) <= 1
+
+
 def exact(rows, is_query, k):
     ids = np.array([r[0] for r in rows])
     x = np.array([r[1] for r in rows])
