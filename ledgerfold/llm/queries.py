@@ -11,6 +11,8 @@ from ledgerfold.llm.common import LOWER, UPPER, crc_mod, table
 
 #: Vocabulary of op7: a file of the installed public tokenizers.
 BPE_FILE = "word_bpe_49k.json"
+#: Model of op11, likewise.
+PIECE_FILE = "piece_bpe_32k.model"
 #: Key of the pseudonyms; a deployment passes its own.
 PII_KEY = "corpus-pseudonyms-1"
 
@@ -21,6 +23,12 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_FILE)
+
+
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.learned_partitions import nearest
 
@@ -93,11 +101,18 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.piece_bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), piece_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_learned_partitions, op2_ngram_jaccard, op3_secret_scan, op4_temperature_mixing, op5_pii_pseudonyms,
         op6_toxicity, op7_rank_array_bpe, op8_cap_filters, op9_pitman_yor, op10_url_reputation,
+        op11_offset_pieces,
     )
 }
 
