@@ -9,9 +9,10 @@ A model file of the ``sentencepiece`` library (BPE) is read once per task from
    Blanks become the visible blank, a leading one is added, and superfluous ones
    go, as the model says.  Each byte of the normalised text keeps the byte
    offset of the source it came from.
-2. *Merging.*  No piece of the vocabulary crosses from a letter into a blank, so
-   the normalised text is cut there (checked when the model is loaded; otherwise
-   it stays whole).  Each distinct cut is merged once per task and kept in a bounded
+2. *Merging.*  The normalised text is cut where no piece of the vocabulary
+   crosses: before a blank that follows something else, and between letters and
+   other signs.  Which of these cuts hold is checked when the model is loaded;
+   without any the text stays whole.  Each distinct cut is merged once per task and kept in a bounded
    table: short ones by scanning for the best score, long ones from a heap.
    Characters without a piece fall back to byte pieces.
 3. *Projection.*  Pieces are laid end to end over the normalised bytes and read
@@ -30,6 +31,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,13 @@ SHORT = 64
 #: Distinct cuts kept per task; beyond it the table starts anew.
 CACHE_CUTS = 300_000
 _NO_RANK = 1 << 60
+#: Letters, and all else but the blank, for the finer cut.
+_LETTER, _OTHER = "[^\\W\\d_\\xb2\\xb3\\xb9\\xbc-\\xbe]", f"(?:[\\W\\d_\\xb2\\xb3\\xb9\\xbc-\\xbe](?<!{BLANK}))"
+#: (a piece that the cut would break, the cut), finest first.
+_CUTS = (
+    (f"[^{BLANK}]{BLANK}|{_LETTER}{_OTHER}|{_OTHER}{_LETTER}", f"{BLANK}*(?:{_LETTER}+|{_OTHER}+)|{BLANK}+"),
+    (f"[^{BLANK}]{BLANK}", f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+"),
+)
 
 # Fixed: piece types and the model type of the public protocol.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -152,9 +161,10 @@ class Normaliser:
     def _identity(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         """No map: blanks are widened, every byte points at its character's start."""
         byte = np.frombuffer(raw, np.uint8)
-        place = np.arange(len(raw))
-        start = np.maximum.accumulate(np.where((byte & 0xC0) != 0x80, place, 0))
-        origin = np.repeat(start, np.where(byte == 32, len(self.blank), 1))
+        start = np.arange(len(raw), dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
+        if not raw.isascii():
+            start = np.maximum.accumulate(start * ((byte & 0xC0) != 0x80))
+        origin = np.repeat(start, 1 + (len(self.blank) - 1) * (byte == 32).view(np.int8))
         out = raw.replace(b" ", self.blank)
         if self.dummy_prefix:
             around = np.full(len(self.blank), len(raw) if self.blank_last else 0)
@@ -207,7 +217,7 @@ class PieceBpe:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self._read(f.read())
-        self.cuts: dict[str, tuple[bytes, bytes]] = {}
+        self.cuts: dict[str, bytes] = {}
 
     def _read(self, blob: bytes) -> None:
         pieces: list[tuple[str, float, int]] = []
@@ -247,9 +257,9 @@ class PieceBpe:
             self.shown.append(b"" if kind == CONTROL else surface if kind == UNKNOWN
                               else bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(BLANK, " ").encode())
         self.starts_blank = [p.startswith(BLANK) and kind in (NORMAL, USER_DEFINED) for p, _, kind in pieces]
-        self.silent = [kind == CONTROL for *_, kind in pieces]
-        crossing = re.compile(f"[^{BLANK}]{BLANK}")
-        self.cut = None if self.blank_last or any(map(crossing.search, self.id)) else re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        self.silent = np.array([kind == CONTROL for *_, kind in pieces])
+        safe = [cut for broken, cut in _CUTS if not any(map(re.compile(broken).search, self.id))]
+        self.cut = re.compile(safe[0]) if safe and self.byte_id is not None else None
 
     # ------------------------------------------------------------------ merging
 
@@ -264,19 +274,20 @@ class PieceBpe:
         return self._scan(parts) if len(parts) <= SHORT and not frozen else self._heap(parts, frozen)
 
     def _scan(self, parts: list[str]) -> list[str]:
-        rank = self.rank
-        ranks = [rank.get(a + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
+        """Join the best pair, the leftmost of equals, again and again."""
+        rank = self.rank.get
+        ranks = [rank(a + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
             if best == _NO_RANK:
                 break
             i = ranks.index(best)
-            parts[i] += parts.pop(i + 1)
+            here = parts[i] = parts[i] + parts.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], _NO_RANK)
+                ranks[i - 1] = rank(parts[i - 1] + here, _NO_RANK)
             if i < len(ranks):
-                ranks[i] = rank.get(parts[i] + parts[i + 1], _NO_RANK)
+                ranks[i] = rank(here + parts[i + 1], _NO_RANK)
         return parts
 
     def _heap(self, parts: list[str], frozen: set[int] = frozenset()) -> list[str]:
@@ -307,45 +318,45 @@ class PieceBpe:
             offer(i)
         return [p for p in parts if p]
 
-    def _pieces(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of a cut and the normalised bytes that each covers, as packed numbers."""
-        ids: list[int] = []
-        sizes: list[int] = []
+    def _pieces(self, text: str) -> bytes:
+        """Ids of a cut, each with the normalised bytes that it covers, as packed numbers."""
+        out: list[int] = []
         unknown_before = False
         for p in self._merge(text):
             i = self.id.get(p, self.unknown)
             raw = p.encode("utf-8")
             if i == self.unknown and self.byte_id is not None:
-                ids += [self.byte_id[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
+                for b in raw:
+                    out += (self.byte_id[b], 0)
+                out[-1] = len(raw)
             elif i == self.unknown and unknown_before:
-                sizes[-1] += len(raw)
+                out[-1] += len(raw)
             else:
-                ids.append(i)
-                sizes.append(len(raw))
+                out += (i, len(raw))
             unknown_before = i == self.unknown
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+        return array("I", out).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids with begin and end, first source byte, source byte after the last) of a text."""
         normal, origin = self.normalise(text)
         whole = normal.decode("utf-8")
-        ids, sizes, cuts = [], [], self.cuts
-        for cut in self.cut.findall(whole) if self.cut and self.byte_id is not None else [whole] if whole else []:
-            got = cuts.get(cut)
-            if got is None:
-                got = self._pieces(cut)
-                if len(cut) <= SHORT:
-                    if len(cuts) >= CACHE_CUTS:
-                        cuts.clear()
-                    cuts[cut] = got
-            ids.append(got[0])
-            sizes.append(got[1])
-        size = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
-        last = np.cumsum(size)
+        cuts = self.cut.findall(whole) if self.cut else [whole] if whole else []
+        known = self.cuts
+        new = {c for c in cuts if c not in known}
+        if len(known) + len(new) > CACHE_CUTS:
+            known.clear()
+            new = set(cuts)
+        for cut in new:
+            known[cut] = self._pieces(cut)
+        packed = np.frombuffer(b"".join(map(known.__getitem__, cuts)), "<u4").reshape(-1, 2)
+        for cut in new:
+            if len(cut) > SHORT:  # too long to come again
+                del known[cut]
+        ids, size = packed[:, 0], packed[:, 1]
+        last = np.cumsum(size, dtype=np.int64)
         edge = origin[-1:]
         return (
-            np.concatenate([[self.begin], np.frombuffer(b"".join(ids), "<u4"), [self.end]]).astype("<u4"),
+            np.concatenate([[self.begin], ids, [self.end]]).astype("<u4"),
             np.concatenate([[0], origin[last - size], edge]),
             np.concatenate([[0], origin[last], edge]),
         )
@@ -354,21 +365,12 @@ class PieceBpe:
         """Text of ids: byte pieces joined (a byte that is part of no character
         gives U+FFFD; begin and end ids part bytes), the leading blank that
         encoding added taken away."""
-        ids = np.asarray(ids).tolist()
-        texts, run = [], []
-        for i in ids:
-            if self.silent[i]:
-                texts.append(run)
-                run = []
-            else:
-                run.append(self.shown[i])
-        texts.append(run)
-        out = "".join(b"".join(t).decode("utf-8", errors="each_byte") for t in texts)
-        if self.dummy_prefix or self.tidy_blanks:
-            first = next((i for i in ids if not self.silent[i]), None)
-            if first is not None and self.starts_blank[first] and not self.blank_last:
-                out = out[1:]
-        return out
+        ids = np.asarray(ids, dtype=np.int64)
+        parts = np.flatnonzero(self.silent[ids])
+        texts = [ids[a:b].tolist() for a, b in zip([0, *(parts + 1)], [*parts, len(ids)]) if a < b]
+        out = "".join(b"".join(map(self.shown.__getitem__, t)).decode("utf-8", errors="each_byte") for t in texts)
+        added = (self.dummy_prefix or self.tidy_blanks) and not self.blank_last
+        return out[1:] if added and texts and self.starts_blank[texts[0][0]] else out
 
 
 _LOADED: dict[str, PieceBpe] = {}
