@@ -342,16 +342,17 @@ class PieceBpe:
         whole = normal.decode("utf-8")
         cuts = self.cut.findall(whole) if self.cut else [whole] if whole else []
         known = self.cuts
-        new = {c for c in cuts if c not in known}
-        if len(known) + len(new) > CACHE_CUTS:
-            known.clear()
-            new = set(cuts)
-        for cut in new:
-            known[cut] = self._pieces(cut)
-        packed = np.frombuffer(b"".join(map(known.__getitem__, cuts)), "<u4").reshape(-1, 2)
-        for cut in new:
-            if len(cut) > SHORT:  # too long to come again
-                del known[cut]
+        found = list(map(known.get, cuts))
+        if None in found:
+            fresh: dict[str, bytes] = {}
+            for k, cut in enumerate(cuts):
+                if found[k] is None:
+                    found[k] = fresh.get(cut) or fresh.setdefault(cut, self._pieces(cut))
+            if len(known) + len(fresh) > CACHE_CUTS:
+                known.clear()
+            if len(fresh) <= CACHE_CUTS:
+                known.update((cut, p) for cut, p in fresh.items() if len(cut) <= SHORT)
+        packed = np.frombuffer(b"".join(found), "<u4").reshape(-1, 2)
         ids, size = packed[:, 0], packed[:, 1]
         last = np.cumsum(size, dtype=np.int64)
         edge = origin[-1:]
