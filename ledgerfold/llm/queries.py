@@ -107,12 +107,18 @@ def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), piece_path())
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), min_docs=30, add=5, scale=1_000_000_000, top_terms=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_learned_partitions, op2_ngram_jaccard, op3_secret_scan, op4_temperature_mixing, op5_pii_pseudonyms,
         op6_toxicity, op7_rank_array_bpe, op8_cap_filters, op9_pitman_yor, op10_url_reputation,
-        op11_offset_pieces,
+        op11_offset_pieces, op13_source_divergence,
     )
 }
 
@@ -200,4 +206,31 @@ FROM u LEFT JOIN fit f ON f.page_id = u.page_id AND f.place = 1 LEFT JOIN rate r
 """
 
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op8_cap_filters": _OP8, "op10_url_reputation": _op10()}
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+, w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d)
+, c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL)
+, kept AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30)
+, l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang)
+, g AS (SELECT DISTINCT lang, source FROM d)
+, cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS ln FROM g JOIN kept k USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term)
+, total AS (SELECT lang, source, sum(n) AS total FROM cell GROUP BY ALL)
+, p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (t.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (ln + 5)) // (l.total + 5 * l.v) AS q
+  FROM cell JOIN total t USING (lang, source) JOIN l USING (lang))
+, far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)
+, pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0) AS f FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source)
+, every AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY f DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT * FROM (
+    SELECT lang, source, 'term' AS part, term AS item, p - q AS f, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM p WHERE n > 0 AND p > q)
+  WHERE rank <= 50)
+SELECT lang, source, part, item, CAST(f AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM every
+"""
+
+ORACLES: dict[str, str] = {"op13_source_divergence": _OP13, "op2_ngram_jaccard": _OP2, "op8_cap_filters": _OP8, "op10_url_reputation": _op10()}
