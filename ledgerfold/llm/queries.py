@@ -107,6 +107,12 @@ def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), piece_path())
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, noise=199)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.divergence import audit
 
@@ -118,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_learned_partitions, op2_ngram_jaccard, op3_secret_scan, op4_temperature_mixing, op5_pii_pseudonyms,
         op6_toxicity, op7_rank_array_bpe, op8_cap_filters, op9_pitman_yor, op10_url_reputation,
-        op11_offset_pieces, op13_source_divergence,
+        op11_offset_pieces, op12_spelling_variants, op13_source_divergence,
     )
 }
 
@@ -206,6 +212,45 @@ FROM u LEFT JOIN fit f ON f.page_id = u.page_id AND f.place = 1 LEFT JOIN rate r
 """
 
 
+def _crc_nibbles() -> list[int]:
+    """crc32 of the 16 half bytes, by the reflected polynomial."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+# The crc goes over half bytes, the lower one first; near words share a deletion.
+_OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), '{UPPER}', '{LOWER}') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL)
+, coded AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM runs)
+, crc AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(len(hx)), lambda i: (instr('0123456789ABCDEF', hx[xor(i, 1) + 1]) - 1)::BIGINT)),
+    lambda c, x: xor(({_crc_nibbles()}::BIGINT[])[1 + (xor(c, x) & 15)], c >> 4))) AS h FROM coded)
+, counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM crc GROUP BY 1)
+, words AS (SELECT word, CAST(n AS BIGINT) AS n, length(word) AS len FROM counted WHERE length(word) >= 6 AND n >= 5)
+, cut AS (
+  SELECT word, n, len, unnest(list_transform(range(1, len + 1), lambda i: {{'at': i, 'rest': substr(word, 1, i - 1) || substr(word, i + 1)}}), recursive := true) FROM words)
+, near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.at = b.at AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word)
+, ranked AS (SELECT word, near, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM near)
+, led AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 * w.n THEN r.near END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1)
+, follow AS (SELECT word, word AS at FROM led UNION ALL SELECT f.word, l.form FROM follow f JOIN led l ON l.word = f.at WHERE l.form IS NOT NULL)
+, root AS (SELECT f.word, f.at AS root FROM follow f JOIN led l ON l.word = f.at WHERE l.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM led JOIN root USING (word)
+"""
+
 _OP13 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
 , w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d)
@@ -233,4 +278,4 @@ WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(l
 SELECT lang, source, part, item, CAST(f AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM every
 """
 
-ORACLES: dict[str, str] = {"op13_source_divergence": _OP13, "op2_ngram_jaccard": _OP2, "op8_cap_filters": _OP8, "op10_url_reputation": _op10()}
+ORACLES: dict[str, str] = {"op12_spelling_variants": _OP12, "op13_source_divergence": _OP13, "op2_ngram_jaccard": _OP2, "op8_cap_filters": _OP8, "op10_url_reputation": _op10()}
