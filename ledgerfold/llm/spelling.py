@@ -201,7 +201,7 @@ def _roots(forms: DataFrame) -> DataFrame:
             return found
 
 
-def variants(docs: DataFrame, min_length: int = 6, min_count: int = 5, ratio: int = 5, symbols: int = 3, noise: int | None = None,
+def variants(docs: DataFrame, min_length: int = 6, min_count: int = 5, ratio: int = 5, symbols: int = 5, noise: int | None = None,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of ``min_length`` letters
     and ``min_count`` occurrences or more."""
