@@ -292,20 +292,18 @@ def detect_type(mapped: DataFrame, row_counts: DataFrame | None = None,
                 left_tag: str = "RLIP", right_tag: str = "RAP") -> DataFrame:
     """Per file: ``combined`` / ``RLIP-only`` / ``RAP-only`` from which measure
     columns exist (after cleaning every existing measure column holds values
-    whenever the file has rows); no such columns, or no rows -> ``combined``."""
+    whenever the file has rows); no such columns, or no rows -> ``combined``.
+    Further columns of ``row_counts (file, n_rows, ...)`` are passed on."""
     per = mapped.groupBy("file").agg(
         F.bool_or(F.col("canonical").contains(left_tag)).alias("has_l"),
         F.bool_or(F.col("canonical").contains(right_tag)).alias("has_r"),
     )
+    extra: list[str] = []
+    filled = F.lit(True)
     if row_counts is not None:
-        per = per.join(row_counts, "file", "left").select(
-            "file",
-            (F.col("has_l") & (F.coalesce(F.col("n_rows"), F.lit(0)) > 0)).alias("has_l"),
-            (F.col("has_r") & (F.coalesce(F.col("n_rows"), F.lit(0)) > 0)).alias("has_r"),
-        )
-    return per.select(
-        "file",
-        F.when(F.col("has_l") & ~F.col("has_r"), F.lit(f"{left_tag}-only"))
-        .when(F.col("has_r") & ~F.col("has_l"), F.lit(f"{right_tag}-only"))
-        .otherwise(F.lit("combined")).alias("file_type"),
-    )
+        extra = [c for c in row_counts.columns if c not in ("file", "n_rows")]
+        per = per.join(row_counts, "file", "left")
+        filled = F.coalesce(F.col("n_rows"), F.lit(0)) > 0
+    left, right = F.col("has_l") & filled, F.col("has_r") & filled
+    kind = F.when(left & ~right, F.lit(f"{left_tag}-only")).when(right & ~left, F.lit(f"{right_tag}-only")).otherwise(F.lit("combined"))
+    return per.select("file", kind.alias("file_type"), *extra)

@@ -9,8 +9,8 @@ tables) and returns three DataFrames:
   the title block, discrepancy notes, report type, header issues;
 * ``status``: one row per file -- ok / error with the reason.
 
-Plan shape: the table search reads all rows but shuffles only header-like
-cells; the rest of the header work (header row, mapping, gates) touches the rows
+Plan shape: the table search reads windows of rows from the top, only as far as a
+file needs, and shuffles header-like cells; the rest of the header work (header row, mapping, gates) touches the rows
 down to the header, and one assignment per distinct list of headers.  The data
 rows are promoted by index (no pivot), filled (one shuffle on file blocks) and
 grouped (one shuffle on keys).
@@ -73,14 +73,14 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     listed = rows.groupBy("file").agg(F.max("error").alias("error"))
     if files is not None:
         listed = listed.unionByName(files.select("file").distinct().join(listed, "file", "left_anti").withColumn("error", F.lit(NOT_READ)))
-    # The header side is small (a row per file, a row per column per file) but
-    # feeds several branches; staged, it is computed once and keeps the Python
-    # matching out of every later branch.
+    # The header side is small: the starts (a row per file) and the mapping (a row
+    # per column per file).  Both feed several branches; staged, they are computed
+    # once and keep the Python matching out of every later branch.
     broken = listed.filter(F.col("error").isNotNull())
     sound = listed.filter(F.col("error").isNull()).select("file")
     rows = rows.filter((F.col("row_idx") >= 0) & F.col("error").isNull()).drop("error").join(broken.select("file"), "file", "left_anti")
-    starts = materialize(tables.table_start(rows, spec, sound), staged)
-    top = materialize(tables.top_cells(rows, starts), staged)
+    starts = tables.table_start(rows, spec, sound, staged)
+    top = tables.top_cells(rows, starts)
     header_raw = tables.header_from(top, starts)
     issues = H.header_issues(header_raw) if spec.drop_nuisance_headers else None
     headers = H.prepare_headers(header_raw, spec)
@@ -115,17 +115,14 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
         narrow = wide.select("file", "row_idx", *[k for k in spec.keys if k in wide.columns], "__year")
         per_file = OP.period_and_rows(cons.keep_rows(narrow, spec, "file", "row_idx", block_rows))
         per_file = per_file.drop("canonical_period").join(OP.period_from_year(wide, "__year"), "file", "left")
-    per_file = materialize(per_file, staged)
-    table_p = per_file.select("file", "canonical_period")
     title_p = OP.period_from_title(tables.title_cells_from(top, starts))
     names = filenames if filenames is not None else files.select("file", _basename("file").alias("filename"))
     name_p = with_filename_period(names, "filename", "period_from_filename").select("file", "filename", "period_from_filename")
 
-    ftype = H.detect_type(mapping.select("file", "canonical"), per_file.select("file", "n_rows"))
+    ftype = H.detect_type(mapping.select("file", "canonical"), per_file)
 
     meta = (
         files.join(name_p, "file", "left")
-        .join(table_p, "file", "left")
         .join(title_p, "file", "left")
         .join(ftype, "file", "left")
         .join(present, "file", "left")

@@ -3,8 +3,11 @@
 All steps work on the rows table ``(file, row_idx, values)`` of many files:
 
 * ``table_start``: the first row whose cells match the family's header rule; 0
-  when none.  All rows are searched (the spec may name a limit); cells that can't
-  match are dropped where they are read, the rest is matched once per text.
+  when none.  A frontier search: windows of rows that widen downwards, each read
+  only for the files that are still open (nothing found, and rows left), so a table
+  at the top costs one small window however deep the file is, and all rows are
+  searched where none turns up (the spec may name a limit).  Cells that can't match
+  are dropped where they are read, the rest is matched once per text.
 * ``title_cells``: non-blank cells above the table start (period hints).
 * ``header_table``: the header row as ``(file, col_idx, header)``.
 * ``promote``: data rows below the header, with one column per canonical
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions import sqltext as S
 from ledgerfold.functions.numbers import strip
 from ledgerfold.operators.headers import match_pairs, may_match_any
+from ledgerfold.session import materialize, release
 from ledgerfold.sources.workbook import rows_to_cells
 from ledgerfold.spec import (
     CAPTIVE_KEY,
@@ -51,14 +55,22 @@ def _row_flags(cells: DataFrame, spec: ReportSpec) -> DataFrame:
     )
 
 
+def top_rows(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows of each file down to its table start, with ``start``.  The lowest start (one
+    number) limits what is read of a written rows table."""
+    lowest = starts.agg(F.max("start")).first()[0]
+    near = rows.filter(F.col("row_idx") <= (lowest if lowest is not None else -1))
+    return near.join(starts.select("file", "start"), "file").filter(F.col("row_idx") <= F.col("start"))
+
+
 def top_cells(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Cells of each file down to its table start: all that the header side
     needs.  ``starts`` has one row for each file."""
-    return rows_to_cells(rows.join(starts, "file").filter(F.col("row_idx") <= F.col("start")).select("file", "row_idx", "values"))
+    return rows_to_cells(top_rows(rows, starts).select("file", "row_idx", "values"))
 
 
-def table_start_from_cells(cells: DataFrame, spec: ReportSpec, files: DataFrame | None = None) -> DataFrame:
-    """``(file, start, found)``; files without a match start at 0."""
+def _first_match(cells: DataFrame, spec: ReportSpec) -> DataFrame:
+    """``(file, start)``: the first row of each file that meets the start rule."""
     flags = _row_flags(cells, spec)
     if spec.start_rule == "captive":
         ok = F.col("h0")
@@ -66,18 +78,48 @@ def table_start_from_cells(cells: DataFrame, spec: ReportSpec, files: DataFrame
         ok = F.col("h0") & (F.col("h1") | F.col("h2"))
     else:  # (vendor AND (captive OR client)) OR (captive AND client)
         ok = (F.col("h0") & (F.col("h1") | F.col("h2"))) | (F.col("h1") & F.col("h2"))
-    firsts = flags.filter(ok).groupBy("file").agg(F.min("row_idx").alias("start"))
-    files = files if files is not None else cells.select("file").distinct()
-    return files.join(firsts, "file", "left").select(
-        "file", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("start").isNotNull().alias("found")
-    )
+    return flags.filter(ok).groupBy("file").agg(F.min("row_idx").alias("start"))
 
 
-def table_start(rows: DataFrame, spec: ReportSpec, files: DataFrame | None = None) -> DataFrame:
-    """``(file, start, found)`` for every file in ``rows`` (or listed in ``files``).  All
-    rows are searched unless the spec names a limit."""
+#: Rows of the first window, and how much lower each further one ends.
+FIRST_WINDOW, WIDEN = 256, 8
+
+
+def table_start(rows: DataFrame, spec: ReportSpec, files: DataFrame | None = None, staged: list[str] | None = None) -> DataFrame:
+    """``(file, start, found)`` for every file in ``rows`` (or listed in ``files``),
+    as a written table; ``staged`` collects its folder.
+
+    One round a window.  A round's finds are written; the next one reads the rows of
+    the files left that reach below the window, which a written rows table finds by
+    its row groups.  Windows widen ``WIDEN`` times, so a file of n rows is
+    open for log(n) rounds at most and each of its rows is searched once."""
+    spark = rows.sparkSession
     files = files if files is not None else rows.select("file").distinct()
-    return table_start_from_cells(rows_to_cells(rows, spec.scan_rows), spec, files)
+    kept: list[str] = []
+    low, high, limit = 0, FIRST_WINDOW, spec.scan_rows
+    left, found = materialize(files.select("file"), kept), None
+    while True:
+        high = min(high, limit) if limit else high
+        window = rows.filter((F.col("row_idx") >= low) & (F.col("row_idx") < high)).select("file", "row_idx", "values")
+        if low:
+            window = window.join(left, "file", "left_semi")
+        hits = materialize(_first_match(rows_to_cells(window), spec), kept)
+        found = hits if found is None else found.unionByName(hits)
+        left = left.select("file").join(hits, "file", "left_anti")
+        if (limit and high >= limit) or left.isEmpty():
+            break
+        if not low:  # once: how far down the files left go
+            lower = rows.filter(F.col("row_idx") >= high).select("file", "row_idx").join(left, "file", "left_semi")
+            depth = materialize(lower.groupBy("file").agg(F.max("row_idx").alias("last")), kept)
+        low, high = high, high * WIDEN
+        left = materialize(left.join(depth.filter(F.col("last") >= low), "file", "left_semi"), kept)
+        if left.isEmpty():
+            break
+    out = materialize(files.select("file").join(found, "file", "left").select(
+        "file", F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("start").isNotNull().alias("found")
+    ), staged)
+    release(spark, kept)
+    return out
 
 
 def title_cells_from(cells: DataFrame, starts: DataFrame) -> DataFrame:

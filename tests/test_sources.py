@@ -161,3 +161,41 @@ def test_low_table_and_search_limit(spark):
     assert [r.status for r in ok.status.collect()] == ["ok"] and ok.data.count() == 1
     limited = ingest(df, CAPTIVE_SPEC.with_(scan_rows=200)).status.first()
     assert (limited.status, limited.error) == ("error", "No table starts in the first 200 rows.")
+
+
+def test_frontier_search_equals_the_whole_search(spark):
+    """Tables at every edge of the windows, below other tables' windows, and none at all."""
+    from ledgerfold.sources import tables
+
+    edges = [0, 1, 255, 256, 257, 2047, 2048, 2049, 3000]
+    rows = []
+    for s in edges:
+        rows += [(f"f{s}", i, [f"note {i}", None]) for i in range(0, s, 97)]
+        rows += [(f"f{s}", s, HEADER), (f"f{s}", s + 40, HEADER), (f"f{s}", s + 5000, ["1"])]
+    rows += [("none", i, ["x"]) for i in range(0, 20_000, 501)] + [("short", 0, ["Captive Nam"]), ("short", 1, None)]
+    df = spark.createDataFrame(rows, "file string, row_idx long, values array<string>")
+    staged = []
+    got = {r.file: (r.start, r.found) for r in table_start(df, CAPTIVE_SPEC, staged=staged).collect()}
+    whole = {r.file: r.start for r in tables._first_match(tables.rows_to_cells(df), CAPTIVE_SPEC).collect()}
+    assert {f: s for f, (s, found) in got.items() if found} == whole == {f"f{s}": s for s in edges} | {f: 0 for f in whole if f == "short"}
+    assert not got["none"][1] and len(staged) == 1
+    limited = {r.file: r.found for r in table_start(df, CAPTIVE_SPEC.with_(scan_rows=257)).collect()}
+    assert {f for f, found in limited.items() if found} == {f for f, s in whole.items() if s < 257}
+    assert table_start(df.limit(0), CAPTIVE_SPEC).count() == 0
+
+
+def test_later_windows_read_open_files_only(spark, monkeypatch):
+    from ledgerfold.sources import tables
+
+    rows = [("top", 0, HEADER)] + [("top", i, ["1"]) for i in range(1, 6000, 7)] + [("low", 4000, HEADER)]
+    df = spark.createDataFrame(rows, "file string, row_idx long, values array<string>")
+    seen = []
+    plain = tables._first_match
+
+    def watch(cells, spec):
+        seen.append({(r.file, r.row_idx) for r in cells.select("file", "row_idx").distinct().collect()})
+        return plain(cells, spec)
+
+    monkeypatch.setattr(tables, "_first_match", watch)
+    assert {r.file: r.start for r in table_start(df, CAPTIVE_SPEC).collect()} == {"top": 0, "low": 4000}
+    assert {f for part in seen[1:] for f, _ in part} == {"low"} and max(i for _, i in seen[0]) < 256
