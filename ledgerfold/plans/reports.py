@@ -18,7 +18,9 @@ grouped (one shuffle on keys).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,16 @@ from ledgerfold.spec import ReportSpec
 @dataclass
 class Ingested:
     data: DataFrame
-    metadata: DataFrame
     status: DataFrame
     rows: DataFrame  # promoted, cleaned rows before grouping (for charts and checks)
+    describe: Callable[[], DataFrame]
     staged: list[str] = field(default_factory=list)
 
+    @cached_property
+    def metadata(self) -> DataFrame:
+        """One row per sound file; planned when first asked for."""
+        return self.describe()
+
     def close(self) -> None:
         """Delete the staged tables; the DataFrames can't be read afterwards."""
         release(self.data.sparkSession, self.staged)
@@ -82,7 +89,6 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     starts = tables.table_start(rows, spec, sound, staged)
     top = tables.top_cells(rows, starts)
     header_raw = tables.header_from(top, starts)
-    issues = H.header_issues(header_raw) if spec.drop_nuisance_headers else None
     headers = H.prepare_headers(header_raw, spec)
     mapping = H.resolve_mapping(headers, spec.canonical, strategy)
     if spec.blank_header_as:
@@ -106,6 +112,20 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
     present = mapping.groupBy("file").agg(F.collect_set("canonical").alias("__present"))
     data = _null_absent(data, present, spec)
 
+    def describe() -> DataFrame:
+        return _metadata(wide, top, starts, header_raw, mapping, present, good, filenames, spec, block_rows)
+
+    missed = F.when(~F.col("found"), F.lit(f"No table starts in the first {spec.scan_rows} rows.")) if spec.scan_rows else F.lit(None).cast("string")
+    status = validation.join(starts, "file").select(
+        "file", F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        F.when(~F.col("ok"), F.coalesce(missed, F.col("error"))).alias("error"),
+    ).unionByName(broken.select("file", F.lit("error").alias("status"), "error"))
+    return Ingested(data=data, status=status, rows=prepared, describe=describe, staged=staged)
+
+
+def _metadata(wide: DataFrame, top: DataFrame, starts: DataFrame, header_raw: DataFrame, mapping: DataFrame, present: DataFrame,
+              good: DataFrame, filenames: DataFrame | None, spec: ReportSpec, block_rows: int) -> DataFrame:
+    """Periods, notes, type and header issues of every sound file."""
     # Table period and row count: one narrow pass over the filled keys.
     if spec.period_from == "month_year" and "__month" in wide.columns:
         narrow = wide.select("file", "row_idx", *spec.fill_keys, *[k for k in spec.keys if k not in spec.fill_keys and k in wide.columns], "__month", "__year")
@@ -115,6 +135,7 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
         narrow = wide.select("file", "row_idx", *[k for k in spec.keys if k in wide.columns], "__year")
         per_file = OP.period_and_rows(cons.keep_rows(narrow, spec, "file", "row_idx", block_rows))
         per_file = per_file.drop("canonical_period").join(OP.period_from_year(wide, "__year"), "file", "left")
+    files = starts.select("file")
     title_p = OP.period_from_title(tables.title_cells_from(top, starts))
     names = filenames if filenames is not None else files.select("file", _basename("file").alias("filename"))
     name_p = with_filename_period(names, "filename", "period_from_filename").select("file", "filename", "period_from_filename")
@@ -136,17 +157,11 @@ def ingest(rows: DataFrame, spec: ReportSpec, filenames: DataFrame | None = None
         "coalesce(file_type, 'combined') AS file_type",
         "CASE WHEN filename IS NOT NULL THEN array(filename) ELSE CAST(array() AS ARRAY<STRING>) END AS filenames",
     ]
-    if issues is not None:
+    if spec.drop_nuisance_headers:
+        issues = H.header_issues(header_raw)
         meta = meta.join(H.issues_per_file(issues).select("file", "header_issues"), "file", "left")
         cols.append("coalesce(header_issues, CAST(array() AS ARRAY<STRING>)) AS header_issues")
-    metadata = meta.selectExpr(*cols)
-    metadata = metadata.join(good, "file", "left_semi")
-    missed = F.when(~F.col("found"), F.lit(f"No table starts in the first {spec.scan_rows} rows.")) if spec.scan_rows else F.lit(None).cast("string")
-    status = validation.join(starts, "file").select(
-        "file", F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
-        F.when(~F.col("ok"), F.coalesce(missed, F.col("error"))).alias("error"),
-    ).unionByName(broken.select("file", F.lit("error").alias("status"), "error"))
-    return Ingested(data=data, metadata=metadata, status=status, rows=prepared, staged=staged)
+    return meta.selectExpr(*cols).join(good, "file", "left_semi")
 
 
 def _null_absent(data: DataFrame, present: DataFrame, spec: ReportSpec) -> DataFrame:
