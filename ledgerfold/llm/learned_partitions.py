@@ -257,7 +257,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             at = asked[a:a + 256]
             s = x[at] @ x[rows].T
             for i, row in zip(at, s):
-                other = np.flatnonzero(ids[rows] != ids[i])
+                other = np.flatnonzero(rid[rows] != rid[i])  # other rows of the same id stay
                 top = other[_top(row[other], ids[rows[other]], k)]
                 out.append((np.full(len(top), rid[i]), np.full(len(top), ids[i]), ids[rows[top]], row[top]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]

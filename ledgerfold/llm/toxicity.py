@@ -174,20 +174,25 @@ class Matcher:
         return out
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
+def _known(labels: DataFrame, id_col: str) -> DataFrame:
+    """(id, toxic) of the labels that may be learned from: held-out rows have no part in anything."""
+    return labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+
+
+def _training_rows(docs: DataFrame, known: DataFrame, fit_rows: int, id_col: str, text_col: str) -> DataFrame:
     """(text, toxic) of at most ``fit_rows`` rows of each label; one per text."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 5) != 0)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     place = F.xxhash64(F.lit(5), F.col(id_col))
     some = known.where("toxic = 1").orderBy(place, id_col).limit(fit_rows).unionByName(known.where("toxic = 0").orderBy(place, id_col).limit(fit_rows))
     rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), id_col)
     return rows.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("text", "toxic")
 
 
-def learn_lexicon(rows: DataFrame, most: int = 2_000, least_share: float = 0.005, precision: float = 0.95, strong_share: float = 0.03) -> tuple[tuple[str, ...], tuple[str, ...]]:
+def learn_lexicon(rows: DataFrame, clean_weight: float = 1.0, most: int = 2_000, least_share: float = 0.005, precision: float = 0.95, strong_share: float = 0.03) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """(words, stems) found in toxic rows: counted once per row, kept when at
     least ``least_share`` of the toxic rows hold them (3 at least) and rows that
-    hold them are toxic with ``precision``; at most ``most`` of either, and only
-    those that are frequent or needed."""
+    hold them are toxic with ``precision``, where a clean row stands for
+    ``clean_weight`` times the rows that a toxic one stands for; at most ``most`` of
+    either, and only those that are frequent or needed."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[str, list[int]] = {}
@@ -206,7 +211,7 @@ def learn_lexicon(rows: DataFrame, most: int = 2_000, least_share: float = 0.005
         return SEED_INSULTS, ()
     least = max(3, math.ceil(least_share * toxic))
     counted = map_batches(rows.select("text", "toxic"), run, "mark string, neg long, pos long", rows=4096).groupBy("mark").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    good = counted.where((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
+    good = counted.where((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + clean_weight * F.col("neg"))))
     found = {r["mark"]: r["pos"] for r in good.orderBy(F.desc("pos"), "mark").limit(most).collect()}
     stems: list[str] = []
     for s in sorted((m for m in found if not m.endswith("$")), key=lambda m: (len(m), m)):
@@ -253,9 +258,14 @@ def _needed(rows: DataFrame, found: dict[str, int], words: list[str], stems: lis
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn lexicon and arc weights from at most ``2 * fit_rows`` labelled rows
     whose crc32(id) mod 5 is not 0."""
-    rows = _training_rows(docs, labels, fit_rows, id_col, text_col).persist()
+    known = _known(labels, id_col)
+    rows = _training_rows(docs, known, fit_rows, id_col, text_col).persist()
     try:
-        words, stems = learn_lexicon(rows)
+        # The sample is drawn by label; weights bring back the shares of the table.
+        shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+        drawn = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        weight = {k: shares.get(k, 1) / max(1, drawn.get(k, 0)) for k in (0, 1)}
+        words, stems = learn_lexicon(rows, weight[0] / weight[1])
         pandas = _counted(rows.select("toxic", "text"), words, stems, "toxic", "text").toPandas()
     finally:
         rows.unpersist()
@@ -264,9 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, id_col: str
         return model
     x = np.log1p(np.array(pandas["counts"].tolist())) / math.log(2)
     y = pandas["toxic"].to_numpy()
-    # The sample is drawn by label; weights bring back the shares of the table.
-    shares = {r["toxic"]: r["count"] for r in labels.where("toxic IS NOT NULL").groupBy("toxic").count().collect()}
-    w = np.array([shares.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)])[y]
+    w = np.array([weight[0], weight[1]])[y]
     w *= len(y) / w.sum()
     theta, prior = np.append(PRIOR, PRIOR_BIAS), np.append(PRIOR, PRIOR_BIAS)
     x1 = np.column_stack([x, np.ones(len(x))])

@@ -143,7 +143,7 @@ def test_search_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [0.0, 0.0]), (20, None), (40, [math.nan, 1.0]), (60, [1.0, None]), (80, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (4, [2.0, 0.0])]
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "vec_id long, embedding array<double>, rid int, part int")
     got = sorted(map(tuple, L.nearest(df, "vec_id % 20 = 0", 2).collect()))
-    assert got == [(0, 1, 4, 2.0)] * 2 + [(0, 2, 1, 1.0)] * 2
+    assert got == [(0, 1, 4, 2.0)] * 2 + [(0, 2, 0, 1.0)] * 2  # the other row of id 0 counts
     assert L.nearest(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 

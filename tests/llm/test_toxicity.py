@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerfold.llm import toxicity as T
 
@@ -71,6 +72,25 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert not any("zzz" in w for w in (*model.words, *model.stems))
 
 
+def test_scores_do_not_change_with_held_out_labels(spark):
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}" + (" you zzztop" if i % 4 == 0 else "")) for i in range(400)], "doc_id long, text string")
+    scores = []
+    for flip in (False, True):
+        known = spark.createDataFrame([(i, int(i % 4 == 0) ^ int(flip and i in held)) for i in range(400)], "doc_id long, toxic int")
+        scores.append(sorted((r.doc_id, r.score) for r in T.score(docs, T.fit(docs, known)).collect()))
+    assert scores[0] == scores[1]
+
+
+def test_precision_is_that_of_the_table_not_of_the_sample(spark):
+    """200 toxic and 2,000 clean rows; a word in all toxic and a tenth of the clean ones is no insult,
+    also where the sample holds as many rows of either label."""
+    rows = [(i, "zzztop here" if i % 11 == 0 or i % 10 == 1 else f"other words {i % 13}") for i in range(2200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.concat("text", F.lit(" n"), "doc_id"))
+    known = spark.createDataFrame([(i, int(i % 11 == 0)) for i in range(2200)], "doc_id long, toxic int")
+    assert not any("zzz" in w for w in T.fit(docs, known, fit_rows=100).words)
+
+
 def test_empty_tables_and_clashes(spark):
     docs = spark.createDataFrame([(1, "you idiot", 5)], "doc_id long, text string, toxic int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
