@@ -79,23 +79,29 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def sort_keys(df: DataFrame, column: str, direction: str = "asc", numeric: bool = True,
-              order_col: str | None = None) -> list[Column]:
-    """Order for the user sort.  Numeric: numbers (null as 0), NaN/unparseable last
-    in both directions.  Text: case- and accent-insensitive, null as ''.  Ties
-    keep the original order (``order_col``)."""
+def sort_values(df: DataFrame, column: str, direction: str = "asc", numeric: bool | None = None) -> list[tuple[Column, bool]]:
+    """(key, descending) of the user sort, without nulls.  Numeric: numbers (null
+    as 0), NaN/unparseable last in both directions.  Text: case- and
+    accent-insensitive, null as ''.  ``numeric=None`` profiles the column."""
     desc = direction == "desc"
     kind = dict(df.dtypes)[column]
+    if numeric is None:
+        numeric = bool(df.agg(is_numeric_column(df, column)).first()[0])
     if numeric and (kind == "string" or is_number_type(df, column)):
         if kind == "string":
             v = F.when(strip(column) == "", F.lit(0.0)).otherwise(guarded_double(column))
             v = F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(F.coalesce(v, F.lit(float("nan"))))
         else:
             v = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
-        keys = [F.isnan(v).asc(), v.desc() if desc else v.asc()]
-    else:
-        t = F.collate(F.coalesce(F.col(column).cast("string"), F.lit("")), "UNICODE_CI_AI")
-        keys = [t.desc() if desc else t.asc()]
+        return [(F.isnan(v), False), (v, desc)]
+    return [(F.collate(F.coalesce(F.col(column).cast("string"), F.lit("")), "UNICODE_CI_AI"), desc)]
+
+
+def sort_keys(df: DataFrame, column: str, direction: str = "asc", numeric: bool = True,
+              order_col: str | None = None) -> list[Column]:
+    """Order for the user sort (:func:`sort_values`).  Ties keep the original
+    order (``order_col``)."""
+    keys = [v.desc() if desc else v.asc() for v, desc in sort_values(df, column, direction, numeric)]
     if order_col:
         keys.append(F.col(order_col).asc())
     return keys

@@ -764,6 +764,32 @@ def q_explore_table(spark, sf_dir):
                    direction="desc", order_col="c_custkey", page_index=2, page_size=10)
 
 
+@register("stored_order", """
+WITH r AS (SELECT o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders WHERE o_orderstatus IN ('F', 'O')),
+t AS (SELECT row_number() OVER (ORDER BY lower(o_orderpriority) DESC, o_orderkey) AS rn, o_orderkey, o_totalprice FROM orders),
+n AS (SELECT (CAST(ceil(count(*) / 50.0) AS BIGINT) - 1) * 50 AS off FROM r)
+SELECT 'third page' AS request, o_orderkey, o_totalprice FROM r WHERE rn > 100 AND rn <= 150
+UNION ALL SELECT 'after it', o_orderkey, o_totalprice FROM r WHERE rn > 150 AND rn <= 220
+UNION ALL SELECT 'last page', o_orderkey, o_totalprice FROM r, n WHERE rn > off
+UNION ALL SELECT 'text order', o_orderkey, o_totalprice FROM t WHERE rn > 300 AND rn <= 325""")
+def q_stored_order(spark, sf_dir):
+    """Four requests on one view: three share one stored order, by offset and after a row."""
+    from ledgerfold.operators.stored_order import TableView
+
+    o = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    view = TableView(o, "o_orderkey")
+    request = {"facets": {"o_orderstatus": ["F", "O"]}, "sort_column": "o_totalprice", "direction": "desc"}
+    third = view.page(2, 50, **request)
+    order = view.order(**request)
+    last = third.orderBy("o_totalprice", F.desc("o_orderkey")).first()
+    pages = {
+        "third page": third, "after it": order.seek(order.key_of(F.col("o_orderkey") == last["o_orderkey"]), 70),
+        "last page": view.page(10**6, 50, **request), "text order": view.page(12, 25, sort_column="o_orderpriority", direction="desc"),
+    }
+    out = [df.select(F.lit(name).alias("request"), "o_orderkey", "o_totalprice") for name, df in pages.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 DISTINCT_SRC_SQL = """s AS (SELECT CASE c_custkey % 5 WHEN 0 THEN ' ' || c_mktsegment || ' ' WHEN 1 THEN lower(c_mktsegment)
   WHEN 2 THEN c_mktsegment WHEN 3 THEN NULL ELSE '' END AS seg FROM customer)"""
 
