@@ -1663,6 +1663,33 @@ def q_merge_report_metadata(spark, sf_dir):
 # ------------------------------------------------------------------ typed read, key order
 
 
+@register("records_source", """
+WITH c AS (SELECT *, c_custkey // 100 AS body_id, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS row_idx FROM customer),
+b AS (SELECT body_id, count(*) AS n FROM c GROUP BY 1),
+s AS (SELECT body_id, CASE WHEN body_id % 7 IN (1, 2, 5) THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN body_id % 7 IN (1, 2) THEN 'Request body must have ''data'' (array) and ''columns'' (array).' WHEN body_id % 7 = 5 THEN 'Request body must be a JSON object.' END AS error,
+  CASE WHEN body_id % 7 IN (3, 4) THEN 0 WHEN body_id % 7 IN (0, 6) THEN n END AS total_rows, CASE WHEN body_id % 7 IN (0, 3, 4, 6) THEN 3 END AS n_columns FROM b)
+SELECT s.body_id, status, error, total_rows, n_columns, CAST(row_idx AS BIGINT) AS row_idx, c_custkey,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS "Balance $", c_mktsegment AS segment
+FROM s LEFT JOIN c ON c.body_id = s.body_id AND s.body_id % 7 IN (0, 6)""")
+def q_records_source(spark, sf_dir):
+    """Bodies of a hundred customers; some have data or columns of another kind, none, or are no JSON."""
+    from ledgerfold.sources.records import read_records, typed
+
+    c = td.table(spark, sf_dir, "customer").withColumn("body_id", F.floor(F.col("c_custkey") / 100))
+    balance = F.when(F.col("c_custkey") % 3 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
+    record = F.struct("c_custkey", balance.alias("Balance $"), F.struct(F.col("c_mktsegment").alias("segment")).alias("more"))
+    made = c.groupBy("body_id").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("data"))
+    kind, names = F.col("body_id") % 7, F.lit('["c_custkey", "Balance $", "more"]')
+    data = F.when(kind == 1, F.lit('{"a": 1}')).when(kind == 4, F.lit("null")).otherwise(F.col("data"))
+    body = F.concat(F.lit('{"data": '), data, F.lit(', "columns": '), F.when(kind == 2, F.lit('"all"')).otherwise(names), F.lit("}"))
+    body = F.when(kind == 3, F.concat(F.lit('{"columns": '), names, F.lit("}"))).when(kind == 5, F.lit("{data: [")).otherwise(body)
+    read = read_records(made.select("body_id", body.alias("body")))
+    rows = typed(read.rows, {"c_custkey": "bigint", "Balance $": "double", "more": "struct<segment:string>"})
+    rows = rows.select("body_id", "row_idx", "c_custkey", "Balance $", F.col("more.segment").alias("segment"))
+    return read.status.join(rows, "body_id", "left")
+
+
 @register("typed_read", """
 SELECT c_custkey AS row_idx, c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS "Balance",
   strftime(CAST('2025-01-01' AS DATE) + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') AS "Day", 'date' AS "Day type", c_custkey % 2 = 0 AS "Even", c_mktsegment AS "Segment",
