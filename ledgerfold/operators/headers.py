@@ -10,8 +10,8 @@ A bound from the letters that both texts share (JVM-side) must reach 0.72, or
 compares, practically never reach Python.
 
 The one-to-one assignment of headers to canonical names is sequential by
-nature, so it runs with ``applyInPandas`` once for every distinct list of
-headers (at most columns x canonical names rows per group).
+nature: a fold over one array, JVM-side, once for every distinct list of headers
+(at most columns x canonical names pairs).
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ EXACT_RATIO = 0.72
 TOKEN_RATIO = 0.40
 
 HEADER_SCHEMA = "file string, col_idx int, header string"
-MAPPING_SCHEMA = "file string, col_idx int, header string, canonical string"
 
 
 def _any_token(n: Column, tokens: Sequence[str]) -> Column:
@@ -144,33 +143,31 @@ def match_pairs(headers: DataFrame, canonical: Sequence[str], header_col: str =
     return out.select("header", "canon_pos", "canonical", "n_act", "exact", ratio.alias("ratio"), F.coalesce(matched, F.lit(False)).alias("matched"))
 
 
-def _assign(strategy: str):
-    """Per-file one-to-one assignment over plain arrays (one file's pairs)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if strategy == "first":
-            order = pdf.sort_values(["canon_pos", "col_idx"], kind="stable")
-        else:
-            order = pdf.assign(_e=~pdf["exact"]).sort_values(
-                ["_e", "ratio", "canon_pos", "col_idx"], ascending=[True, False, True, True], kind="stable"
-            )
-        cols = order["col_idx"].to_numpy()
-        canon = order["canonical"].to_numpy()
-        taken_cols: set = set()
-        taken_canon: set = set()
-        keep = []
-        for i in range(len(order)):
-            # "first": each name (in list order) takes its first free column;
-            # "best": pairs in score order, each column and name used once.
-            if cols[i] in taken_cols or canon[i] in taken_canon:
-                continue
-            taken_cols.add(cols[i])
-            taken_canon.add(canon[i])
-            keep.append(i)
-        out = order.iloc[keep]
-        return out[["file", "col_idx", "header", "canonical"]]
-
-    return run
+def _assign(pairs: Column, strategy: str) -> Column:
+    """One-to-one assignment of a list's matched pairs (array of structs of col_idx,
+    header, canonical, canon_pos, exact, ratio), as a fold over the pairs in order of
+    preference; the columns and names taken so far are its state.
+
+    ``first``: each name (in list order) takes its first free column; ``best``: pairs in
+    score order, each column and name used once."""
+    best = strategy != "first"
+    zero = F.lit(0.0)
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(
+        (F.when(p["exact"], 0).otherwise(1) if best else F.lit(0)).alias("grade"), (-p["ratio"] if best else zero).alias("order"),
+        p["canon_pos"].alias("canon_pos"), p["col_idx"].alias("col_idx"), p["header"].alias("header"), p["canonical"].alias("canonical"),
+    )))
+    chosen = "array<struct<col_idx:int,header:string,canonical:string>>"
+    start = F.struct(F.array().cast("array<int>").alias("cols"), F.array().cast("array<string>").alias("names"), F.array().cast(chosen).alias("kept"))
+
+    def step(state: Column, p: Column) -> Column:
+        taken = F.array_contains(state["cols"], p["col_idx"]) | F.array_contains(state["names"], p["canonical"])
+        pick = F.struct(p["col_idx"], p["header"], p["canonical"])
+        return F.when(taken, state).otherwise(F.struct(
+            F.array_append(state["cols"], p["col_idx"]).alias("cols"), F.array_append(state["names"], p["canonical"]).alias("names"),
+            F.concat(state["kept"], F.array(pick).cast(chosen)).alias("kept"),
+        ))
+
+    return F.aggregate(ordered, start, step, lambda state: state["kept"])
 
 
 def resolve_mapping(headers: DataFrame, canonical: Sequence[str], strategy: str = "best") -> DataFrame:
@@ -188,8 +185,10 @@ def resolve_mapping(headers: DataFrame, canonical: Sequence[str], strategy: str
     )
     columns = lists.groupBy("sig").agg(F.any_value("cols").alias("cols")).select(F.col("sig").alias("file"), F.inline("cols"))
     pairs = match_pairs(columns, canonical).filter("matched")
-    cand = columns.join(pairs, "header").select("file", "col_idx", "header", "canonical", "canon_pos", "exact", "ratio")
-    mapped = cand.groupBy("file").applyInPandas(_assign(strategy), MAPPING_SCHEMA).withColumnRenamed("file", "sig")
+    pair = F.struct(F.col("col_idx").cast("int").alias("col_idx"), "header", "canonical", "canon_pos", "exact", F.col("ratio").cast("double").alias("ratio"))
+    # At most columns x canonical names pairs in a list.
+    cand = columns.join(pairs, "header").groupBy(F.col("file").alias("sig")).agg(F.collect_list(pair).alias("pairs"))
+    mapped = cand.select("sig", F.inline(_assign(F.col("pairs"), strategy)))
     return lists.select("file", "sig").join(mapped, "sig").select("file", "col_idx", "header", "canonical")
 
 

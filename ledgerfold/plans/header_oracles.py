@@ -59,7 +59,20 @@ matched AS (SELECT * FROM pairs WHERE header <> '' AND n_act <> '' AND (exact OR
     # mapping that is meant is known; of equal texts in a file the first counts.
     meant = f"""WITH {_headers_sql()}, c AS (SELECT file, col_idx, trim(replace(header, '↑', '')) AS header, name AS canonical FROM h)
 SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file, header ORDER BY col_idx) = 1"""
+    # Name by name in list order: the first matching column that is still free.
+    first = pairs.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+c AS (SELECT file, col_idx, trim(replace(header, '↑', '')) AS header FROM h QUALIFY row_number() OVER (PARTITION BY file, trim(replace(header, '↑', '')) ORDER BY col_idx) = 1),
+m AS (SELECT DISTINCT trim(replace(header, '↑', '')) AS header, canonical, canon_pos FROM matched),
+free AS (SELECT file, canon_pos, list(col_idx ORDER BY col_idx) AS cols FROM c JOIN m USING (header) GROUP BY ALL),
+walk AS (
+  SELECT DISTINCT file, 0 AS i, []::INTEGER[] AS picked FROM c
+  UNION ALL
+  SELECT w.file, w.i + 1, list_append(w.picked, list_filter(f.cols, lambda x: NOT list_contains(w.picked, x))[1])
+  FROM walk w LEFT JOIN free f ON f.file = w.file AND f.canon_pos = w.i WHERE w.i < {len(CAPTIVE_SPEC.canonical)}),
+pick AS (SELECT file, unnest(picked) AS col_idx, generate_subscripts(picked, 1) - 1 AS canon_pos FROM walk WHERE i = {len(CAPTIVE_SPEC.canonical)})
+SELECT file, col_idx, c.header, m.canonical FROM pick JOIN c USING (file, col_idx) JOIN m ON m.header = c.header AND m.canon_pos = pick.canon_pos"""
     return {
+        "header_mapping_first": first,
         "header_similarity": pairs + " SELECT header, canonical, exact, ratio FROM pairs",
         "header_match": pairs + " SELECT header, canonical, ratio FROM matched",
         "header_mapping": meant,
