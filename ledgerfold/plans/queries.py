@@ -1092,6 +1092,47 @@ def q_header_match(spark, sf_dir):
     return match_pairs(h, CAPTIVE_SPEC.canonical).filter("matched").select("header", "canonical", "ratio")
 
 
+def _table_headers(spark, sf_dir):
+    """Headers from the tables' own texts: part names and types, names of the report with a
+    part's word before or behind, and misspelt names."""
+    p = _part(spark, sf_dir)
+    names = F.array(*[F.lit(x) for x in CAPTIVE_SPEC.canonical])
+    name = F.element_at(names, (F.col("p_partkey") % len(CAPTIVE_SPEC.canonical) + 1).cast("int"))
+    word = F.split_part("p_type", F.lit(" "), F.lit(3))
+    own = p.select(F.explode(F.array("p_name", "p_type", F.concat(word, F.lit(" "), name), F.concat(name, F.lit(" "), "p_brand"))).alias("header"))
+    return own.unionByName(_perturbed_canonical(spark, sf_dir, CAPTIVE_SPEC.canonical, 31).select("header"))
+
+
+def _candidates_sql() -> str:
+    from ledgerfold.operators.headers import LETTERS
+    from ledgerfold.plans import header_oracles as O
+    from ledgerfold.spec import KEY_RULES
+
+    names = ", ".join(f"({O._quoted(c)}, {O._quoted(KEY_RULES[c]) if c in KEY_RULES else 'NULL'})" for c in CAPTIVE_SPEC.canonical)
+    listed = "[" + ", ".join(O._quoted(c) for c in CAPTIVE_SPEC.canonical) + "]"
+    name = f"{listed}[p_partkey % {len(CAPTIVE_SPEC.canonical)} + 1]"
+    norm = "trim(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+    letters = "[" + ", ".join(O._quoted(c) for c in LETTERS) + "]"
+    times = "(length({t}) - length(replace({t}, c, '')))"
+    shared = f"list_sum(list_transform({letters}, lambda c: least({times.format(t='n_act')}, {times.format(t='n_can')})))"
+    return f"""WITH {O._headers_sql()},
+all_texts AS (SELECT header FROM h UNION ALL SELECT unnest([p_name, p_type, split_part(p_type, ' ', 3) || ' ' || {name}, {name} || ' ' || p_brand]) FROM part),
+d AS (SELECT DISTINCT header, {norm.format(x='header')} AS n_act FROM all_texts),
+r AS (SELECT canonical, rule, {norm.format(x='canonical')} AS n_can FROM (VALUES {names}) AS t(canonical, rule)),
+p AS (SELECT header, canonical, n_act = n_can AS exact, coalesce(CASE rule WHEN 'captive' THEN {O._any(O.CAPTIVE_TOKENS)} AND {O._any(O.NAME_TOKENS)}
+    WHEN 'client' THEN {O._any(O.CLIENT_TOKENS)} END, false) AS token, {shared} * 2.0 / (length(n_act) + length(n_can)) AS bound FROM d, r WHERE n_act <> '')
+SELECT DISTINCT header, canonical, exact, token FROM p WHERE bound >= CASE WHEN token THEN {O.TOKEN_RATIO} ELSE {O.EXACT_RATIO} END"""
+
+
+@register("header_candidates", _candidates_sql())
+def q_header_candidates(spark, sf_dir):
+    from ledgerfold.operators.header_index import candidates
+    from ledgerfold.spec import KEY_RULES
+
+    names = spark.createDataFrame([(c, KEY_RULES.get(c)) for c in CAPTIVE_SPEC.canonical], "canonical string, rule string")
+    return candidates(_table_headers(spark, sf_dir), names).select("header", "canonical", "exact", "token")
+
+
 @register("header_mapping")
 def q_header_mapping(spark, sf_dir):
     from ledgerfold.operators.headers import prepare_headers, resolve_mapping

@@ -100,3 +100,29 @@ def test_gate_and_type(spark):
         [("a", "POPIC Fee RLIP"), ("b", "POPIC Fee RAP"), ("c", "POPIC Fee RLIP"), ("c", "POPIC Fee RAP FOF"), ("d", "Taxes")],
         "file string, canonical string")).collect()}
     assert t == {"a": "RLIP-only", "b": "RAP-only", "c": "combined", "d": "combined"}
+
+
+def test_indexed_matching_equals_all_pairs(spark):
+    """Headers of table texts, misspelt names and odd texts against names with and without token rules."""
+    import random
+
+    from ledgerfold.operators.header_index import candidates, match_names, numbered_letters
+    from ledgerfold.operators.headers import match_pairs
+    from ledgerfold.spec import CAPTIVE_SPEC, COMMISSION_SPEC, KEY_RULES
+
+    rng = random.Random(8)
+    canonical = list(dict.fromkeys([*CAPTIVE_SPEC.canonical, *COMMISSION_SPEC.canonical]))
+
+    def bent(name):
+        i = rng.randrange(len(name))
+        return rng.choice([name[:i] + name[i + 1:], name[:i] + "e" + name[i:], name.upper(), "X " + name, name[: max(2, len(name) // 2)], name[::-1]])
+
+    texts = [bent(rng.choice(canonical)) for _ in range(500)] + canonical + ["", "  ", "#", "a", "client", "captiev nme", "1994", None, "STANDARD TIN", "Sales person " * 9]
+    headers = spark.createDataFrame([(t,) for t in texts], "header string")
+    names = spark.createDataFrame([(c, KEY_RULES.get(c)) for c in canonical], "canonical string, rule string")
+    got = {(r.header, r.canonical, round(r.ratio, 9)) for r in match_names(headers, names).collect()}
+    want = {(r.header, r.canonical, round(r.ratio, 9)) for r in match_pairs(headers, canonical).filter("matched").collect()}
+    assert got == want and len(want) > 300
+    assert candidates(headers, names).count() < len(set(texts)) * len(canonical) / 2
+    assert candidates(headers.limit(0), names).count() == 0
+    assert spark.range(1).select(numbered_letters(F.lit("")).alias("x")).first().x == []
