@@ -1873,6 +1873,72 @@ def q_chart_cache(spark, sf_dir):
     return now.select(*gone.columns).unionByName(gone)
 
 
+_ARRIVED_SQL = """d AS (SELECT n_name AS file, c_mktsegment AS captive, left(c_name, 17) AS client, c_custkey AS k, c_acctbal AS v, c_custkey % 12 + 1 AS m, c_nationkey AS nation
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+now AS (SELECT file, captive, client, k, CASE WHEN nation % 3 = 0 THEN v + 100 ELSE v END AS v, m FROM d WHERE nation % 3 <> 0 OR k % 2 = 0)"""
+
+
+def _arrived(spark, sf_dir):
+    """Customers as report rows: a file for each nation; k is the row's place."""
+    c = td.table(spark, sf_dir, "customer").join(td.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(F.col("n_name").alias("file"), F.col("c_mktsegment").alias("captive"), F.left("c_name", F.lit(17)).alias("client"), F.col("c_custkey").alias("k"),
+                    F.col("c_acctbal").alias("v"), (F.col("c_custkey") % 12 + 1).alias("m"), F.col("c_nationkey").alias("nation"))
+
+
+def _published(spark, sf_dir, tables):
+    """All files are published; then a third of them come again with other rows."""
+    import os
+    import uuid
+
+    from ledgerfold.plans.publish import Publication
+    from ledgerfold.session import checkpoint_dir
+
+    out = Publication(spark, os.path.join(checkpoint_dir(spark), "published", uuid.uuid4().hex))
+    rows = _arrived(spark, sf_dir)
+    out.publish(tables(rows), rows.select("file"))
+    again = rows.filter("nation % 3 = 0 AND k % 2 = 0").withColumn("v", F.col("v") + 100)
+    out.publish(tables(again), rows.filter("nation % 3 = 0").select("file"))
+    return out
+
+
+@register("published_tables", "WITH " + _ARRIVED_SQL + """, s AS (SELECT file, count(*) AS n, round(sum(v), 2) AS v FROM now GROUP BY file)
+SELECT 'data' AS part, file, k AS n, round(v, 2) AS v FROM now UNION ALL SELECT 'status', file, n, v FROM s""")
+def q_published_tables(spark, sf_dir):
+    def tables(rows):
+        return {"data": rows.select("file", "k", "v"), "status": rows.groupBy("file").agg(F.count("*").alias("n"), F.sum("v").alias("v"))}
+
+    out = _published(spark, sf_dir, tables)
+    version = out.version()
+    data = out.read("data", version).select(F.lit("data").alias("part"), "file", F.col("k").alias("n"), F.round("v", 2).alias("v"))
+    return data.unionByName(out.read("status", version).select(F.lit("status").alias("part"), "file", "n", F.round("v", 2).alias("v")))
+
+
+@register("merged_states", "WITH " + _ARRIVED_SQL + """,
+e AS (SELECT captive || ' | ' || trim(client) AS label, sum(v) AS total, arg_min(v, (file, k)) AS first_value, min((file, k)) AS first_row FROM now GROUP BY 1),
+t AS (SELECT 'top' AS chart, row_number() OVER (ORDER BY total DESC, first_row) AS rank, label, round(total, 2) AS value FROM e),
+f AS (SELECT 'first' AS chart, row_number() OVER (ORDER BY first_value DESC, first_row) AS rank, label, round(first_value, 2) AS value FROM e)
+SELECT chart, CAST(rank AS INTEGER) AS rank, label, value FROM t WHERE rank <= 7
+UNION ALL SELECT chart, CAST(rank AS INTEGER), label, value FROM f WHERE rank <= 5
+UNION ALL SELECT 'months', CAST(m AS INTEGER), ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][m], round(sum(v), 2) FROM now GROUP BY m""")
+def q_merged_states(spark, sf_dir):
+    """Charts over all files from their stored states, after a third of the files were replaced."""
+    from ledgerfold.operators import chart_states as C
+
+    months = [f"m{i}" for i in range(1, 13)]
+
+    def tables(rows):
+        wide = rows.withColumns({name: F.when(F.col("m") == i, F.col("v")) for i, name in enumerate(months, 1)})
+        return {"entities": C.entity_states(rows, ["v"], "captive", "client", F.col("k")), "months": C.month_states(wide, months)}
+
+    out = _published(spark, sf_dir, tables)
+    version = out.version()
+    merged = C.merge_entities(out.read("entities", version))
+    top = C.top_of(merged, "v", 7).select(F.lit("top").alias("chart"), "rank", "label", "value")
+    first = C.top_of(merged, "v", 5, take_first=True).select(F.lit("first").alias("chart"), "rank", "label", "value")
+    by_month = C.merge_months(out.read("months", version)).select(F.lit("months").alias("chart"), F.col("month_idx").alias("rank"), F.col("month").alias("label"), "value")
+    return top.unionByName(first).unionByName(by_month).withColumn("value", F.round("value", 2))
+
+
 @register("report_fee_share", "WITH d AS (" + _merged_sql() + """), t AS (SELECT sum(popic_fee_rlip) AS a, sum(popic_fee_rap) AS b FROM d)
 SELECT 1 AS rank, 'POPIC Fee RLIP' AS label, round(a, 2) AS value, CASE WHEN a + b = 0 THEN 0.0 ELSE round(100.0 * a / (a + b), 2) END AS percent FROM t
 UNION ALL SELECT 2, 'POPIC Fee RAP', round(b, 2), CASE WHEN a + b = 0 THEN 0.0 ELSE round(100.0 * b / (a + b), 2) END FROM t""")
