@@ -196,13 +196,19 @@ def resolve_mapping(headers: DataFrame, canonical: Sequence[str], strategy: str
 
 
 def py_repr(s: Column) -> Column:
-    """Python-style quoted text (single quotes) for issue messages."""
-    return F.concat(F.lit("'"), s, F.lit("'"))
+    """Text quoted as Python prints it: single quotes, or double ones around a text with
+    single quotes only; backslashes, line breaks and tabs escaped."""
+    plain = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(raw), F.lit(shown))
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(s.contains("'") & ~s.contains('"'), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
 
 
 def header_issues(headers: DataFrame) -> DataFrame:
     """Per header: cleaned name, and ``issue`` when it is a nuisance column or a
-    later duplicate of a cleaned name in the same file (else null)."""
+    later duplicate of a cleaned name in the same file (else null).  A missing
+    header is printed as the text None."""
     h = headers.withColumn("name", clean_header("header"))
     nuisance = is_nuisance_header(F.col("name"))
     # Nuisance columns do not claim a name, so they rank apart from the rest.
@@ -210,9 +216,10 @@ def header_issues(headers: DataFrame) -> DataFrame:
     h = h.withColumn("nuisance", nuisance).withColumn(
         "dup_rank", F.when(~F.col("nuisance"), F.row_number().over(w))
     )
+    shown = F.when(F.col("header").isNull(), F.lit("None")).otherwise(F.col("name"))
     issue = (
         F.when(F.col("nuisance"), F.concat(F.lit("Omitted nuisance column at index "), F.col("col_idx").cast("string"),
-                                           F.lit(": "), py_repr(F.col("name"))))
+                                           F.lit(": "), py_repr(shown)))
         .when(F.col("dup_rank") > 1, F.concat(F.lit("Omitted duplicate column at index "), F.col("col_idx").cast("string"),
                                               F.lit(": "), py_repr(F.col("name"))))
     )

@@ -162,5 +162,11 @@ def monthly_totals(df: DataFrame, month_cols: Sequence[str], labels: Sequence[st
 
 
 def shuffle_points(df: DataFrame, seed: int = 7) -> DataFrame:
-    """Random display order of chart points (pairs kept together), seedable."""
-    return df.orderBy(F.rand(seed))
+    """Chart points with a random display place (from 1), pairs kept together, in that
+    order.  The order is that of a digest of seed and label, so it depends on neither
+    partitions nor row order.  A chart's points are few: they are numbered inside one aggregate."""
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label")))
+    points = df.agg(F.array_sort(F.collect_list(F.struct(key.alias("__key"), *df.columns))).alias("points"))
+    return points.select(F.posexplode("points").alias("pos", "p")).select(
+        *(F.col(f"p.{c}").alias(c) for c in df.columns), (F.col("pos") + 1).cast("int").alias("place")
+    )

@@ -894,7 +894,7 @@ def q_truncate_label(spark, sf_dir):
                     truncate_middle("label", 26, "...").alias("file_label"))
 
 
-@register("shuffle_points", TOP_ENTITIES_SQL)
+@register("shuffle_points", "SELECT *, CAST(row_number() OVER (ORDER BY md5('11|' || label)) AS INTEGER) AS place FROM (" + TOP_ENTITIES_SQL + ") t")
 def q_shuffle_points(spark, sf_dir):
     return summaries.shuffle_points(q_top_entities(spark, sf_dir), seed=11)
 
@@ -1031,12 +1031,13 @@ def q_uniquify_headers(spark, sf_dir):
 
 ISSUES_SQL = """WITH h AS (SELECT CAST(p_partkey // 20 AS VARCHAR) AS file, CAST(p_partkey % 20 AS INTEGER) AS col_idx,
     CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'Unnamed' WHEN 3 THEN 'NULL' WHEN 4 THEN p_type || ' ↑'
-      ELSE p_type END AS header FROM part),
+      WHEN 5 THEN NULL WHEN 6 THEN split_part(p_type, ' ', 1) || '''s ' || p_brand ELSE p_type END AS header FROM part),
 c AS (SELECT *, coalesce(trim(replace(header, '↑', '')), '') AS name FROM h),
 n AS (SELECT *, (name = '' OR regexp_matches(name, '^[A-Za-z]$') OR lower(name) IN ('unnamed', 'column', 'null', 'none')) AS nuisance FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY file, name, nuisance ORDER BY col_idx) AS k FROM n),
-i AS (SELECT file, col_idx, CASE WHEN nuisance THEN 'Omitted nuisance column at index ' || CAST(col_idx AS VARCHAR) || ': ''' || name || ''''
-     WHEN k > 1 THEN 'Omitted duplicate column at index ' || CAST(col_idx AS VARCHAR) || ': ''' || name || '''' END AS issue FROM r)
+p AS (SELECT *, CASE WHEN header IS NULL THEN '''None''' WHEN contains(name, '''') THEN '"' || name || '"' ELSE '''' || name || '''' END AS shown FROM r),
+i AS (SELECT file, col_idx, CASE WHEN nuisance THEN 'Omitted nuisance column at index ' || CAST(col_idx AS VARCHAR) || ': ' || shown
+     WHEN k > 1 THEN 'Omitted duplicate column at index ' || CAST(col_idx AS VARCHAR) || ': ' || shown END AS issue FROM p)
 SELECT file, count(*) AS n_issues, string_agg(issue, ' | ' ORDER BY col_idx) AS header_issues
 FROM i WHERE issue IS NOT NULL GROUP BY file"""
 
@@ -1048,7 +1049,9 @@ def q_header_issues(spark, sf_dir):
     k = F.col("p_partkey") % 9
     hdr = (
         F.when(k == 0, F.lit("")).when(k == 1, F.lit("x")).when(k == 2, F.lit("Unnamed")).when(k == 3, F.lit("NULL"))
-        .when(k == 4, F.concat("p_type", F.lit(" ↑"))).otherwise(F.col("p_type"))
+        .when(k == 4, F.concat("p_type", F.lit(" ↑")))
+        .when(k == 5, F.lit(None).cast("string")).when(k == 6, F.concat(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("'s "), "p_brand"))
+        .otherwise(F.col("p_type"))
     )
     per = issues_per_file(header_issues(_part_header_table(spark, sf_dir, hdr)))
     return per.select("file", "n_issues", F.array_join("header_issues", " | ").alias("header_issues"))

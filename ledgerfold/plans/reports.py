@@ -30,6 +30,7 @@ from ledgerfold.functions.periods import with_filename_period
 from ledgerfold.operators import consolidate as cons
 from ledgerfold.operators import headers as H
 from ledgerfold.operators import periods as OP
+from ledgerfold.plans.publish import Publication
 from ledgerfold.session import materialize, release
 from ledgerfold.sources import tables
 from ledgerfold.sources.files import NOT_READ
@@ -53,10 +54,12 @@ class Ingested:
         """Delete the staged tables; the DataFrames can't be read afterwards."""
         release(self.data.sparkSession, self.staged)
 
-    def write(self, path: str) -> None:
-        """The envelope as three Parquet tables under ``path``."""
-        for name in ("data", "metadata", "status"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    def write(self, path: str) -> int:
+        """Publish the envelope's tables under ``path``: seen together or not at all; files
+        that were there before are replaced, others stay (:mod:`ledgerfold.plans.publish`).
+        Returns the version."""
+        tables = {name: getattr(self, name) for name in ("data", "metadata", "status")}
+        return Publication(self.status.sparkSession, path).publish(tables, self.status)
 
 
 def _basename(path_col: str):

@@ -2,10 +2,10 @@
 
 Uploads land in a folder; a ``binaryFile`` stream picks up new files, and each
 micro-batch runs the same batch ingestion (:func:`ledgerfold.plans.reports.ingest`)
-over the files of that batch.  Output goes to three parquet tables (data,
-metadata, status), one folder per batch id and written with overwrite, so a
-replayed batch after a failure rewrites the same folder instead of adding
-duplicates.  The stream's progress lives in a checkpoint location under the
+over the files of that batch.  Output is published file by file
+(:class:`ledgerfold.plans.publish.Publication`): a batch's data, metadata and status are
+seen together, a file that comes again replaces its own rows, and a batch replayed after a
+failure replaces itself.  The stream's progress lives in a checkpoint location under the
 session's shared checkpoint folder unless one is given.
 """
 
@@ -26,10 +26,6 @@ from ledgerfold.spec import ReportSpec
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def start_ingest_stream(
     spark: SparkSession,
     source_dir: str,
@@ -54,9 +50,7 @@ def start_ingest_stream(
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("path", "content").mapInPandas(_decode, ROWS_SCHEMA)
         res = ingest(rows, spec, stage_rows=True)
-        part = f"batch_id={batch_id}"
-        for name in ("data", "metadata", "status"):
-            _write(getattr(res, name), os.path.join(sink_dir, name, part))
+        res.write(sink_dir)
         res.close()
 
     key = hashlib.sha256(f"{source_dir}|{sink_dir}|{glob}".encode()).hexdigest()[:16]

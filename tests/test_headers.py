@@ -126,3 +126,11 @@ def test_indexed_matching_equals_all_pairs(spark):
     assert candidates(headers, names).count() < len(set(texts)) * len(canonical) / 2
     assert candidates(headers.limit(0), names).count() == 0
     assert spark.range(1).select(numbered_letters(F.lit("")).alias("x")).first().x == []
+
+
+def test_issue_texts_are_quoted_as_python_does(spark):
+    texts = ["x", "it's", 'say "a"', "it's \"b\"", "back\\slash", "two\nlines\tand"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.py_repr(F.col("t")).alias("r")).collect()
+    assert all(r.r == repr(r.t) for r in got)
+    one = spark.createDataFrame([("f", 0, None), ("f", 1, " ")], "file string, col_idx int, header string")
+    assert [r.issue[-8:] for r in H.header_issues(one).orderBy("col_idx").collect()][0] == ": 'None'"

@@ -5,6 +5,7 @@ import tempfile
 
 from test_sources import HEADER, _data_row, write_xlsx
 
+from ledgerfold.plans.publish import Publication
 from ledgerfold.spec import CAPTIVE_SPEC
 from ledgerfold.streaming.arrivals import start_ingest_stream
 
@@ -16,8 +17,11 @@ def test_stream_ingest(spark):
     write_xlsx(os.path.join(src, "b.xlsx"), [["Title"], HEADER, _data_row("Cap B", None, "$1.50")])
     q = start_ingest_stream(spark, src, sink, CAPTIVE_SPEC, checkpoint_location=os.path.join(sink, "_ckpt"))
     q.awaitTermination(300)
-    data = spark.read.parquet(os.path.join(sink, "data"))
+    out = Publication(spark, sink)
+    data = out.read("data")
     got = {(r["Captive Name: Captive Name"], r["Gross Written Premium"]) for r in data.collect()}
     assert got == {("Cap A", 11.0), ("Cap B", 1.5)}
-    status = spark.read.parquet(os.path.join(sink, "status"))
-    assert {r.status for r in status.collect()} == {"ok"}
+    assert {r.status for r in out.read("status").collect()} == {"ok"} and out.read("metadata").count() == 2
+    write_xlsx(os.path.join(src, "c.xlsx"), [HEADER, _data_row("Cap C", "C1", 2)])
+    start_ingest_stream(spark, src, sink, CAPTIVE_SPEC, checkpoint_location=os.path.join(sink, "_ckpt")).awaitTermination(300)
+    assert {(r["Captive Name: Captive Name"], r["Gross Written Premium"]) for r in out.read("data").collect()} == got | {("Cap C", 2.0)}
