@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from ledgerfold.llm.common import map_batches, mix64, staged
 from ledgerfold.llm.graph import components
 from ledgerfold.llm.shingles import shingle_sets, signed
+from ledgerfold.session import materialize, release
 
 #: Length of the list of frequent shingles (12 bytes each in every task).
 FREQUENT = 1 << 17
@@ -114,13 +115,9 @@ def _describe(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: st
     return staged(described.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-
-
 def _sieve(known: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the text digests in ``known``."""
-    place = F.pmod("th", F.lit(SIEVE_BITS)) + 1
+    """A bitmap of fixed size of the (text digest, id) pairs in ``known``."""
+    place = F.pmod(F.xxhash64("th", "node_id"), F.lit(SIEVE_BITS)) + 1
     rows = (
         known.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p"))
         .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
@@ -132,28 +129,30 @@ def _sieve(known: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, s): the shingle sets of ``nodes``, from whole texts.  A bitmap of
-    the wanted digests sorts out most other rows where they are read."""
-    known = staged(nodes.join(classes.select("node", "node_id", "th"), "node"))
-    bits = _sieve(known)
+def _sets(known: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, folder: list[str]) -> DataFrame:
+    """(id, th2, is_a, is_b, s): the shingle sets of the rows that ``known`` (node_id, th,
+    is_a, is_b) wants as left or right side, from whole texts, written where they are
+    read: a bitmap for each side tells wanted rows, and the few that pass by chance
+    meet no pair."""
+    left, right = (_sieve(known.where(side)) for side in ("is_a", "is_b"))
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th2"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th2"), F.col(text_col).alias("text")).withColumn("place", F.pmod(F.xxhash64("th2", "id"), F.lit(SIEVE_BITS)))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        place = np.mod(batch.column(1).to_numpy(), SIEVE_BITS)
-        batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+        place = batch.column(3).to_numpy()
+        is_a, is_b = ((bits[place >> 3] >> (place & 7) & 1).astype(bool) for bits in (left, right))
+        wanted = is_a | is_b
+        batch = batch.filter(pa.array(wanted))
         digest, offsets = shingle_sets(batch.column(2), k)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(digest)))], names=["id", "th2", "s"],
+            [batch.column(0), batch.column(1), pa.array(is_a[wanted]), pa.array(is_b[wanted]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(signed(digest)))],
+            names=["id", "th2", "is_a", "is_b", "s"],
         )
 
-    made = map_batches(texts, sets, f"id {kind}, th2 long, s array<long>")
-    # The digest leads, so that null or shared ids don't gather in one task.
-    return staged(made.join(known, (F.col("th2") == F.col("th")) & F.col("id").eqNullSafe(F.col("node_id"))).select("node", "s"))
+    return materialize(map_batches(texts, sets, f"id {kind}, th2 long, is_a boolean, is_b boolean, s array<long>"), folder)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, na, nb, common) of each pair of nodes (a, b)."""
 
     def overlap(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,12 +165,25 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             common.append(len(np.intersect1d(x, y, assume_unique=True)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (na, nb, common))], names=["a", "b", "na", "nb", "common"])
 
-    both = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        .select("a", "b", "sa", "sb")
-    )
-    return staged(map_batches(both, overlap, "a long, b long, na long, nb long, common long").distinct())
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(True).alias("is_a")), F.struct(F.col("b").alias("node"), F.lit(False).alias("is_a"))
+    )).alias("x")).select("x.*")
+    ends = sides.groupBy("node").agg(F.bool_or("is_a").alias("is_a"), F.bool_or(~F.col("is_a")).alias("is_b"))
+    known = staged(ends.join(classes.select("node", "node_id", "th"), "node"))
+    folder: list[str] = []
+    sets = _sets(known, docs, k, id_col, text_col, folder)
+    both = pairs
+    for side in ("b", "a"):
+        # Pairs learn the text and id that name a side's set; the digest leads, so
+        # that null or shared ids don't gather in one task.
+        own = known.select(F.col("node").alias(side), F.col("th").alias(f"th_{side}"), F.col("node_id").alias(f"id_{side}"))
+        both = both.join(own, side)
+    for side in ("b", "a"):
+        named = sets.where(f"is_{side}").select("id", "th2", F.col("s").alias(f"s{side}"))
+        both = both.join(named, (F.col("th2") == F.col(f"th_{side}")) & F.col("id").eqNullSafe(F.col(f"id_{side}"))).drop("id", "th2", f"th_{side}", f"id_{side}")
+    out = staged(map_batches(both.select("a", "b", "sa", "sb"), overlap, "a long, b long, na long, nb long, common long").distinct())
+    release(docs.sparkSession, folder)
+    return out
 
 
 def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +210,7 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
         .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     )
     linked = F.expr(f"100 * common >= {threshold} * (na + nb - common)")
-    sets = _sets(_ends(stars), classes, docs, k, id_col, text_col)
-    checked = _verify(stars, sets)
+    checked = _verify(stars, classes, docs, k, id_col, text_col)
     first = staged(components(checked.where(linked).select("a", "b")))
 
     far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.expr("1 - common / (na + nb - common)").alias("d"))
@@ -219,11 +230,7 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
     )
     more = staged(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     if more.limit(1).count():
-        # Most of these sets were fetched for the first round.
-        missing = staged(_ends(more).join(sets.select("node"), "node", "left_anti"))
-        if missing.limit(1).count():
-            sets = sets.unionByName(_sets(missing, classes, docs, k, id_col, text_col))
-        again = _verify(more, sets).where(linked).select("a", "b")
+        again = _verify(more, classes, docs, k, id_col, text_col).where(linked).select("a", "b")
         joined = again.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         roots = first.unionByName(joined.select(F.col("a").alias("node"), F.coalesce("ca", "a").alias("component"))).unionByName(joined.select(F.col("b").alias("node"), F.coalesce("cb", "b").alias("component"))).distinct()
