@@ -9,15 +9,19 @@ with its surrounding characters by a small convolutional network in numpy:
   the window is read in windows that cover it whole, and its best one counts;
 * one convolution (width 5) over symbol weights, rectified; its maximum and mean
   over places; one dense layer; logistic loss, Adam, fixed seed;
-* training set: candidates labelled by the exact patterns, at most
-  ``max_per_class`` of each label by a digest; found ones come from all documents,
-  others from a bounded sample (``fit_docs``, by a digest).  Found ones also
-  enter with the context of a place ``AWAY`` characters further out, so that the
-  shape of the key itself is learned as well.  A found assignment enters by its
-  value; its name is in neither label;
-* a held-out fifth calibrates the scores (Platt scaling) and sets the threshold:
-  the highest one that keeps ``min_recall`` of the held-out findings and has a
-  probability of at least ``min_probability``.
+* training set: the candidates of all documents, labelled by the exact patterns.
+  Found ones also enter with the context of a place ``AWAY`` characters further
+  out, so that the shape of the key itself is learned as well.  A found assignment
+  enters by its value; its name is in neither label;
+* training begins with at most ``max_per_class`` windows of each label (by a
+  digest; others than found ones from about ``fit_docs`` documents): they only
+  give the weights to start from.  Then documents are dealt by a digest to shards
+  of about ``SHARD`` characters.  Each goes on from the start over all its distinct
+  windows, and the network's weights are the mean of all shards';
+* a fifth of the windows, by a digest, trains nothing.  All of it calibrates the
+  scores (Platt scaling) and sets the threshold: the highest one that keeps
+  ``min_recall`` of the held-out findings and has a probability of at least
+  ``min_probability``.  Scores are counted there by steps of 1 / ``STEPS``.
 
 The fitted model is a few thousand numbers; it travels with the tasks' closure.
 
@@ -41,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import map_batches, texts_of
+from ledgerfold.llm.common import map_batches, map_sorted_groups, mix64, texts_of
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -57,6 +61,12 @@ LEAST = 8
 #: Candidates of a text that are scored at a time.
 PIECE = 4096
 AWAY = 40
+#: Characters of a shard; windows of a training step, and found ones beside them; least steps of a shard.
+SHARD, BATCH, BESIDE, LEAST_STEPS = 4 << 20, 512, 64, 200
+#: A fifth of the windows is held out.
+FOLDS = 5
+#: Steps of a raw score in the calibration, and weights as whole numbers.
+STEPS, UNIT = 256, 2.0**30
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -142,67 +152,163 @@ class CharCnn:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -40, 40)))
 
 
+#: The network's weights.
+PARTS = ("conv", "bias", "dense", "offset")
+
+
+def _gradient(net: CharCnn, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the weighted logistic losses' sum; padding at the windows' ends
+    is taken together, as in ``raw``."""
+    places = x.shape[1] - WIDTH + 1
+    n = min(places, x.shape[1] - int((x[:, ::-1] != 0).any(0).argmax()))
+    blank = np.maximum(net.bias, 0)
+    h = net._hidden(x[:, :n + WIDTH - 1])
+    at, top = h.argmax(1), h.max(1)
+    ahead = top >= blank if n < places else np.ones_like(top, dtype=bool)
+    pooled = np.concatenate([np.where(ahead, top, blank), (h.sum(1) + (places - n) * blank) / places], 1)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.dense + net.offset, -40, 40)))
+    g = ((p - y) * weight).astype(np.float32)
+    gp = g[:, None] * net.dense[None, :].astype(np.float32)
+    most, mean = gp[:, :FILTERS], gp[:, FILTERS:] / np.float32(places)
+    gh = np.repeat(mean[:, None, :], n, 1)
+    rows, cols = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
+    gh[rows, at, cols] += most * ahead
+    gh *= h > 0
+    conv = np.zeros_like(net.conv, dtype=np.float32)
+    flat = gh.reshape(-1, FILTERS)
+    for k in range(WIDTH):
+        codes = x[:, k:k + n].reshape(-1)
+        sort = np.argsort(codes, kind="stable")
+        first = np.searchsorted(codes[sort], seen := np.unique(codes))
+        conv[k, seen] = np.add.reduceat(flat[sort], first, axis=0)
+    conv[:, 0, :] = 0
+    bias = gh.sum((0, 1)) + (blank > 0) * ((places - n) * mean.sum(0) + (most * ~ahead).sum(0))
+    return {"conv": conv, "bias": bias, "dense": pooled.T @ g, "offset": np.float32(g.sum())}
+
+
+class _Adam:
+    def __init__(self, net: CharCnn, rate: float):
+        self.rate, self.step = rate, 0
+        self.state = {k: [np.zeros_like(getattr(net, k), dtype=np.float32) for _ in range(2)] for k in PARTS}
+
+    def __call__(self, net: CharCnn, grad: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        grad = grad | {"conv": grad["conv"] + 1e-4 * net.conv, "dense": grad["dense"] + 1e-3 * net.dense}
+        for name in PARTS:
+            m, v = self.state[name]
+            m[...] = 0.9 * m + 0.1 * grad[name]
+            v[...] = 0.999 * v + 0.001 * grad[name] * grad[name]
+            move = self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+            setattr(net, name, getattr(net, name) - move)
+
+
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> CharCnn:
     """Logistic loss with class weights, Adam; x: codes, y: 0 or 1."""
     rng = np.random.default_rng(seed)
     net = CharCnn(rng.normal(0, 0.1, (WIDTH, SYMBOLS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32), 0.0)
     net.conv[:, 0, :] = 0  # padding
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-    state = {k: [np.zeros_like(getattr(net, k), dtype=np.float32), np.zeros_like(getattr(net, k), dtype=np.float32)] for k in ("conv", "bias", "dense", "offset")}
-    step = 0
-    places = x.shape[1] - WIDTH + 1
+    adam = _Adam(net, rate)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(x), batch):
             at = order[i:i + batch]
-            xb, yb = x[at], y[at]
-            h = net._hidden(xb)
-            top = h.argmax(1)
-            pooled = np.concatenate([h.max(1), h.mean(1)], 1)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.dense + net.offset, -40, 40)))
-            g = ((p - yb) * weight[at] / len(at)).astype(np.float32)
-            gp = g[:, None] * net.dense[None, :]
-            gh = np.repeat(gp[:, None, FILTERS:] / places, places, 1)
-            rows, cols = np.arange(len(at))[:, None], np.arange(FILTERS)[None, :]
-            gh[rows, top, cols] += gp[:, :FILTERS]
-            gh *= h > 0
-            conv = np.zeros_like(net.conv)
-            flat = gh.reshape(-1, FILTERS)
-            for k in range(WIDTH):
-                codes = xb[:, k:k + places].reshape(-1)
-                sort = np.argsort(codes, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(codes[sort].astype(int)) != 0])
-                conv[k, codes[sort][first]] = np.add.reduceat(flat[sort], first, axis=0)
-            conv[:, 0, :] = 0
-            step += 1
-            for name, grad in (("conv", conv + 1e-4 * net.conv), ("bias", gh.sum((0, 1))), ("dense", pooled.T @ g + 1e-3 * net.dense), ("offset", np.float32(g.sum()))):
-                m, v = state[name]
-                m[...] = 0.9 * m + 0.1 * grad
-                v[...] = 0.999 * v + 0.001 * grad * grad
-                move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                setattr(net, name, getattr(net, name) - move)
+            adam(net, _gradient(net, x[at], y[at], weight[at] / len(at)))
     return net
 
 
-def calibrate(net: CharCnn, x: np.ndarray, y: np.ndarray, min_recall: float, min_probability: float) -> CharCnn:
-    """Platt scaling by Newton steps, then the recall-constrained threshold."""
-    raw = net.raw(x)
+def train_on(start: CharCnn, others: np.ndarray, found: np.ndarray, rate: float = 1e-3) -> CharCnn:
+    """``start`` after all of ``others`` (label 0) and ``found`` (label 1), each at
+    least once; a step takes both labels in equal weight."""
+    net = CharCnn(*(np.float32(getattr(start, k)).copy() for k in PARTS))
+    if not (len(others) and len(found)):
+        return net
+    # Windows of like length share a step, which then skips their padding.
+    used = others.shape[1] - (others[:, ::-1] != 0).argmax(1)
+    others = others[np.argsort(used, kind="stable")]
+    steps = max(1, -(-len(others) // BATCH), -(-len(found) // BESIDE))
+    rounds = -(-LEAST_STEPS // steps)
+    adam, rng = _Adam(net, rate), np.random.default_rng(7)
+    cut = np.linspace(0, len(others), steps + 1).astype(np.int64)
+    turn = 0
+    for _ in range(rounds):
+        for i in rng.permutation(steps):
+            none = others[cut[i]:cut[i + 1]] if cut[i] < cut[i + 1] else others[rng.integers(0, len(others), BATCH)]
+            some = found[(turn + np.arange(min(BESIDE, len(found)))) % len(found)]
+            turn += BESIDE
+            a = _gradient(net, none, np.zeros(len(none)), np.full(len(none), 0.5 / len(none)))
+            b = _gradient(net, some, np.ones(len(some)), np.full(len(some), 0.5 / len(some)))
+            adam(net, {k: a[k] + b[k] for k in PARTS})
+    return net
+
+
+def calibrate(net: CharCnn, raw: np.ndarray, y: np.ndarray, n: np.ndarray, min_recall: float, min_probability: float) -> CharCnn:
+    """Platt scaling by Newton steps, then the recall-constrained threshold; ``n``
+    windows have the raw score ``raw`` and the label ``y``."""
     a, b = 1.0, 0.0
-    goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    ones, zeros = n[y == 1].sum(), n[y == 0].sum()
+    goal = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
-        w = p * (1 - p) + 1e-9
-        grad = np.array([((p - goal) * raw).sum() + 1e-3 * (a - 1), (p - goal).sum()])
+        w = n * (p * (1 - p) + 1e-9)
+        grad = np.array([(n * (p - goal) * raw).sum() + 1e-3 * (a - 1), (n * (p - goal)).sum()])
         hess = np.array([[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]])
         move = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = max(1e-3, a - move[0]), b - move[1]
     net.scale, net.shift = float(a), float(b)
-    positive = np.sort(net.probability(x[y == 1]))
-    lost = int(np.floor((1 - min_recall) * len(positive)))
-    net.threshold = max(min_probability, float(positive[lost]) if len(positive) else 1.0)
+    order = np.flatnonzero(y == 1)[np.argsort(raw[y == 1], kind="stable")]
+    if len(order):
+        lowest = raw[order[np.searchsorted(np.cumsum(n[order]), int(np.floor((1 - min_recall) * ones)), side="right")]]
+        net.threshold = max(min_probability, float(1 / (1 + np.exp(-np.clip(a * lowest + b, -40, 40)))))
+    else:
+        net.threshold = max(min_probability, 1.0)
     return net
 
 
+def digest(codes: np.ndarray) -> np.ndarray:
+    """64-bit digests of windows."""
+    out = np.zeros(len(codes), np.uint64)
+    for k in range(0, codes.shape[1], 8):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + np.ascontiguousarray(codes[:, k:k + 8]).view(np.uint64)[:, 0] + np.uint64(k))
+    return out
+
+
+def labelled(text: str, others: bool = True):
+    """(windows, label) of a text's candidates, piece by piece; without ``others``
+    only those that the exact patterns found."""
+    base = base_spans(text)
+    if not (base or others):
+        return
+    values = sorted((value_start(text, b), b[1]) for b in base)
+    named: tuple[list, list] = ([], [])
+    for s, e in candidates(text):
+        y = int(_overlaps(s, e, values))
+        if y or (others and not _overlaps(s, e, base)):
+            named[y].append((s, e))
+    symbols = _symbols(text)
+    for i in range(0, len(named[0]), PIECE):
+        yield _windows(symbols, named[0][i:i + PIECE])[0], 0
+    for i in range(0, len(named[1]), PIECE):
+        for away in (0, AWAY):
+            codes, first = _windows(symbols, named[1][i:i + PIECE], away)
+            yield codes[first], 1
+
+
+def _distinct(texts: list[str], held: bool | None) -> list[np.ndarray]:
+    """Distinct windows of each label, by their digest: held-out ones, others (False) or all (None)."""
+    out = []
+    parts: tuple[list, list] = ([], [])
+    for t in texts:
+        for codes, y in labelled(t):
+            if held is not None:
+                codes = codes[(digest(codes) % np.uint64(FOLDS) == 0) == held]
+            parts[y].append(codes)
+    for part in parts:
+        codes = np.concatenate([np.zeros((0, LEFT + BODY + RIGHT), np.uint8), *part])
+        out.append(codes[np.unique(digest(codes), return_index=True)[1]])
+    return out
+
+
 def _overlaps(start: int, end: int, spans: list[tuple]) -> bool:
     """Whether one of ``spans``, ordered by start, overlaps start to end."""
     at = bisect.bisect_left(spans, (end,))
@@ -220,33 +326,19 @@ def _keep(least: dict[str, bytes], codes: np.ndarray, most: int) -> None:
 
 
 def fit(docs: DataFrame, fit_docs: int = 40_000, max_per_class: int = 4_000, min_recall: float = 0.95, min_probability: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> CharCnn | None:
-    """Fit on findings of all documents and other candidates of about
-    ``fit_docs`` of them, at most ``max_per_class`` of each label; None when there
-    is too little to learn."""
-    total = docs.count()
-    share = min(1.0, fit_docs / max(1, total))
+    """Fit on the candidates of all documents; training starts from at most
+    ``max_per_class`` of each label, others than found ones from about ``fit_docs``
+    documents.  None when there is too little to learn."""
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.length(text_col).cast("long")).alias("chars")).first()
+    share = min(1.0, fit_docs / max(1, size["rows"]))
     place = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)), F.lit(1_000_000))
     rows = docs.select(F.col(text_col).alias("text"), (place < math.ceil(share * 1_000_000)).alias("others"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         least: dict[int, dict[str, bytes]] = {0: {}, 1: {}}
         for t, others in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-            base = base_spans(t)
-            if not (base or others):
-                continue
-            values = sorted((value_start(t, b), b[1]) for b in base)
-            named: tuple[list, list] = ([], [])
-            for s, e in candidates(t):
-                y = int(_overlaps(s, e, values))
-                if y or (others and not _overlaps(s, e, base)):
-                    named[y].append((s, e))
-            symbols = _symbols(t)
-            for i in range(0, len(named[0]), PIECE):
-                _keep(least[0], _windows(symbols, named[0][i:i + PIECE])[0], max_per_class)
-            for i in range(0, len(named[1]), PIECE):
-                for away in (0, AWAY):
-                    codes, first = _windows(symbols, named[1][i:i + PIECE], away)
-                    _keep(least[1], codes[first], max_per_class)
+            for codes, y in labelled(t, others):
+                _keep(least[y], codes, max_per_class)
         out = [(c, y, m) for y in (0, 1) for m, c in sorted(least[y].items())[:max_per_class]]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.binary(), pa.int32(), pa.string()))], names=["code", "y", "mark"])
 
@@ -265,33 +357,104 @@ def fit(docs: DataFrame, fit_docs: int = 40_000, max_per_class: int = 4_000, min
     if min((y == 0).sum(), (y == 1).sum()) < LEAST:
         return None
     x = np.array([np.frombuffer(r["code"], dtype=np.uint8) for r in rows])
-    held = np.array([int(r["mark"], 16) % 5 == 0 for r in rows])
-    if min((y[held] == 0).sum(), (y[held] == 1).sum()) < 2:
-        held = np.ones(len(y), dtype=bool)
-        return calibrate(train(x, y), x, y, min_recall, min_probability)
-    return calibrate(train(x[~held], y[~held]), x[held], y[held], min_recall, min_probability)
+    held = digest(x) % np.uint64(FOLDS) == 0
+    # With too few held-out windows of a label all train, and all calibrate.
+    apart = min((y[held] == 0).sum(), (y[held] == 1).sum()) >= 2
+    learn = ~held if apart else np.ones(len(y), dtype=bool)
+    start = train(x[learn], y[learn])
+    net = _train_on_all(docs, start, x[learn & (y == 1)], False if apart else None, 1 + (size["chars"] or 0) // SHARD, id_col, text_col)
+    return calibrate(net, *_scores(docs, net, True if apart else None, text_col), min_recall, min_probability)
+
+
+def _train_on_all(docs: DataFrame, start: CharCnn, known: np.ndarray, held: bool | None, shards: int, id_col: str, text_col: str) -> CharCnn:
+    """The mean of the networks that the shards make of ``start``; ``known``: some
+    found windows, for shards that have few."""
+    shard = F.pmod(F.xxhash64(F.lit(13), F.col(id_col), F.col(text_col)), F.lit(shards))
+    texts = docs.where(F.length(text_col) >= SHORTEST).select(shard.alias("shard"), F.col(text_col).alias("text"))
+
+    def learn(group: pa.Table) -> pa.RecordBatch:
+        others, found = _distinct(group.column("text").to_pylist(), held)
+        found = np.concatenate([found, known])
+        net = train_on(start, others, found[np.argsort(digest(found), kind="stable")])
+        # Whole numbers add up to the same in any order.
+        flat = np.rint(np.concatenate([np.ravel(getattr(net, k)).astype(float) for k in PARTS]) * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.int64()))], names=["weights"])
+
+    each = map_sorted_groups(texts, ["shard"], learn, "weights array<long>")
+    # One row for each weight of the network.
+    total = each.select(F.posexplode("weights").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"), F.count("*").alias("n")).toPandas().sort_values("at")
+    flat = total["v"].to_numpy(dtype=float) / total["n"].to_numpy(dtype=float) / UNIT
+    net = CharCnn(start.conv, start.bias, start.dense, start.offset)
+    at = 0
+    for k in PARTS:
+        shape = np.shape(getattr(start, k))
+        many = int(np.prod(shape, dtype=np.int64))
+        part = flat[at:at + many].reshape(shape).astype(np.float32)
+        setattr(net, k, part if shape else float(part))
+        at += many
+    return net
+
+
+def _scores(docs: DataFrame, net: CharCnn, held: bool | None, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(raw score rounded down, label, number of windows) of all held-out windows, or all windows."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [np.unique(np.floor(np.clip(net.raw(codes), -100, 100) * STEPS).astype(np.int64), return_counts=True) for codes in _distinct(texts_of(batch.column(0)), held)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([o[0] for o in out])), pa.array(np.repeat([0, 1], [len(o[0]) for o in out]).astype(np.int32)), pa.array(np.concatenate([o[1] for o in out]))],
+            names=["step", "y", "n"],
+        )
+
+    # At most 200 * STEPS rows of each label.
+    rows = map_batches(docs.select(text_col), run, "step long, y int, n long").groupBy("step", "y").agg(F.sum("n").alias("n")).toPandas().sort_values(["y", "step"])
+    return rows["step"].to_numpy(dtype=float) / STEPS, rows["y"].to_numpy(), rows["n"].to_numpy(dtype=float)
 
 
 def scan_text(text: str, net: CharCnn | None) -> list[tuple[int, int, str]]:
     """Base findings and, by the network, further ones that overlap none of them."""
-    base = base_spans(text)
+    return scan_texts([text], net)[0]
+
+
+def scan_texts(texts: list[str], net: CharCnn | None) -> list[list[tuple[int, int, str]]]:
+    """The findings of each text; windows of many texts are scored at a time."""
+    out = [base_spans(t) for t in texts]
     if net is None:
-        return base
-    more = [(s, e) for s, e in candidates(text) if not _overlaps(s, e, base)]
-    symbols, added = _symbols(text), []
-    for i in range(0, len(more), PIECE):
-        piece = more[i:i + PIECE]
-        codes, first = _windows(symbols, piece)
-        best = np.maximum.reduceat(net.probability(codes), first)
-        added += [(s, e, "model") for (s, e), p in zip(piece, best) if p >= net.threshold]
-    return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+        return out
+    waiting: list[tuple[int, list, np.ndarray, np.ndarray]] = []
+    added: list[list] = [[] for _ in texts]
+
+    def score() -> None:
+        if not waiting:
+            return
+        p = net.probability(np.concatenate([codes for _, _, codes, _ in waiting]))
+        at = 0
+        for row, piece, codes, first in waiting:
+            best = np.maximum.reduceat(p[at:at + len(codes)], first)
+            added[row] += [(*piece[k], "model") for k in np.flatnonzero(best >= net.threshold)]
+            at += len(codes)
+        waiting.clear()
+
+    held = 0
+    for row, text in enumerate(texts):
+        base = out[row]
+        more = [(s, e) for s, e in candidates(text) if not _overlaps(s, e, base)]
+        symbols = _symbols(text)
+        for i in range(0, len(more), PIECE):
+            piece = more[i:i + PIECE]
+            waiting.append((row, piece, *_windows(symbols, piece)))
+            held += len(waiting[-1][2])
+            if held >= PIECE:
+                score()
+                held = 0
+    score()
+    return [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]))) for b, m in zip(out, added)]
 
 
 def scan(docs: DataFrame, net: CharCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<start, end, kind>>) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [[{"start": s, "end": e, "kind": k} for s, e, k in scan_text(t, net)] for t in texts_of(batch.column(1))]
+        spans = [[{"start": s, "end": e, "kind": k} for s, e, k in found] for found in scan_texts(texts_of(batch.column(1)), net)]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_col, "spans"])
 

@@ -72,6 +72,41 @@ def test_rare_findings_are_learned_from_a_large_table(spark):
     assert S.fit(spark.createDataFrame(rows, "doc_id long, text string"), fit_docs=100) is not None
 
 
+def test_all_documents_train_and_calibrate(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, hexes = _corpus(1200)
+    code = lambda: "".join(rng.choice("0123456789") for _ in range(4)) + "".join("-" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(4)) for _ in range(4))
+    rows = [(i, f"{t} {code()} and more" if i % 10 == 1 else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    calibrate = S.calibrate
+    monkeypatch.setattr(S, "calibrate", lambda net, *rest: seen.append(rest) or calibrate(net, *rest))
+    net = S.fit(docs, fit_docs=12, max_per_class=100)
+    # Windows are told apart within a batch of rows only; these texts share none.
+    want = [len(w) for w in S._distinct([t for _, t in rows], True)]
+    raw, y, n = seen[0][:3]
+    assert [n[y == k].sum() for k in (0, 1)] == want and min(want) > 50
+    positive = np.repeat(raw[y == 1], n[y == 1].astype(int))
+    assert (1 / (1 + np.exp(-(net.scale * positive + net.shift))) >= net.threshold).mean() >= 0.95 or net.threshold == 0.5
+    # Codes like these are in few documents, not in those that training starts from.
+    flagged = np.mean([any(k == "model" for _, _, k in S.scan_text(f"some plain words {code()} and more", net)) for _ in range(100)])
+    keys = np.mean([any(k == "model" for _, _, k in S.scan_text(f"look here {hexes(28)} now", net)) for _ in range(100)])
+    assert flagged < 0.1 and keys > 0.8
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(_corpus(400)[0], "doc_id long, text string")
+    a, b = (S.fit(docs.repartition(n)) for n in (1, 5))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in S.PARTS) and a.threshold == pytest.approx(b.threshold)
+
+
+def test_texts_are_scored_together_as_alone():
+    rng = np.random.default_rng(4)
+    net = S.CharCnn(rng.normal(size=(S.WIDTH, S.SYMBOLS, S.FILTERS)), rng.normal(size=S.FILTERS), rng.normal(size=2 * S.FILTERS), 0.1)
+    texts = [t or "" for t in TEXTS] + [t for _, t in _corpus(60)[0]]
+    assert S.scan_texts(texts, net) == [S.scan_text(t, net) for t in texts]
+
+
 def test_short_values_and_those_without_a_digit_are_candidates():
     text = "pwd: xK29fLq7 or Bearer abCDefGHijKLmnOPqr"
     assert [text[s:e] for s, e in S.candidates(text)] == ["xK29fLq7", "abCDefGHijKLmnOPqr"]
