@@ -128,7 +128,11 @@ class CharCnn:
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         n = x.shape[1] - WIDTH + 1
-        return np.maximum(sum(self.conv[k][x[:, k:k + n]] for k in range(WIDTH)) + self.bias, 0)
+        out = np.take(self.conv[0], x[:, :n], axis=0)
+        for k in range(1, WIDTH):
+            out += np.take(self.conv[k], x[:, k:k + n], axis=0)
+        out += self.bias
+        return np.maximum(out, 0, out=out)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Scores; the padding at a window's end is the same at every place, so
@@ -163,7 +167,9 @@ def _gradient(net: CharCnn, x: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
     n = min(places, x.shape[1] - int((x[:, ::-1] != 0).any(0).argmax()))
     blank = np.maximum(net.bias, 0)
     h = net._hidden(x[:, :n + WIDTH - 1])
-    at, top = h.argmax(1), h.max(1)
+    at = h.argmax(1)
+    rows, cols = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
+    top = h[rows, at, cols]
     ahead = top >= blank if n < places else np.ones_like(top, dtype=bool)
     pooled = np.concatenate([np.where(ahead, top, blank), (h.sum(1) + (places - n) * blank) / places], 1)
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.dense + net.offset, -40, 40)))
@@ -171,18 +177,18 @@ def _gradient(net: CharCnn, x: np.ndarray, y: np.ndarray, weight: np.ndarray) ->
     gp = g[:, None] * net.dense[None, :].astype(np.float32)
     most, mean = gp[:, :FILTERS], gp[:, FILTERS:] / np.float32(places)
     gh = np.repeat(mean[:, None, :], n, 1)
-    rows, cols = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
     gh[rows, at, cols] += most * ahead
     gh *= h > 0
     conv = np.zeros_like(net.conv, dtype=np.float32)
     flat = gh.reshape(-1, FILTERS)
     for k in range(WIDTH):
         codes = x[:, k:k + n].reshape(-1)
-        sort = np.argsort(codes, kind="stable")
-        first = np.searchsorted(codes[sort], seen := np.unique(codes))
-        conv[k, seen] = np.add.reduceat(flat[sort], first, axis=0)
+        many = np.bincount(codes, minlength=SYMBOLS)
+        seen = np.flatnonzero(many)
+        conv[k, seen] = np.add.reduceat(np.take(flat, np.argsort(codes, kind="stable"), axis=0), (np.cumsum(many) - many)[seen], axis=0)
+    every = conv[0].sum(0)
     conv[:, 0, :] = 0
-    bias = gh.sum((0, 1)) + (blank > 0) * ((places - n) * mean.sum(0) + (most * ~ahead).sum(0))
+    bias = every + (blank > 0) * ((places - n) * mean.sum(0) + (most * ~ahead).sum(0))
     return {"conv": conv, "bias": bias, "dense": pooled.T @ g, "offset": np.float32(g.sum())}
 
 
@@ -227,7 +233,7 @@ def train_on(start: CharCnn, others: np.ndarray, found: np.ndarray, rate: float
     used = others.shape[1] - (others[:, ::-1] != 0).argmax(1)
     others = others[np.argsort(used, kind="stable")]
     steps = max(1, -(-len(others) // BATCH), -(-len(found) // BESIDE))
-    rounds = -(-LEAST_STEPS // steps)
+    rounds = max(1, LEAST_STEPS // steps)
     adam, rng = _Adam(net, rate), np.random.default_rng(7)
     cut = np.linspace(0, len(others), steps + 1).astype(np.int64)
     turn = 0
@@ -281,7 +287,9 @@ def labelled(text: str, others: bool = True):
         return
     values = sorted((value_start(text, b), b[1]) for b in base)
     named: tuple[list, list] = ([], [])
-    for s, e in candidates(text):
+    if not base:
+        named[0].extend(candidates(text))
+    for s, e in candidates(text) if base else ():
         y = int(_overlaps(s, e, values))
         if y or (others and not _overlaps(s, e, base)):
             named[y].append((s, e))
@@ -296,16 +304,15 @@ def labelled(text: str, others: bool = True):
 
 def _distinct(texts: list[str], held: bool | None) -> list[np.ndarray]:
     """Distinct windows of each label, by their digest: held-out ones, others (False) or all (None)."""
-    out = []
     parts: tuple[list, list] = ([], [])
     for t in texts:
         for codes, y in labelled(t):
-            if held is not None:
-                codes = codes[(digest(codes) % np.uint64(FOLDS) == 0) == held]
             parts[y].append(codes)
+    out = []
     for part in parts:
         codes = np.concatenate([np.zeros((0, LEFT + BODY + RIGHT), np.uint8), *part])
-        out.append(codes[np.unique(digest(codes), return_index=True)[1]])
+        mark, at = np.unique(digest(codes), return_index=True)
+        out.append(codes[at if held is None else at[(mark % np.uint64(FOLDS) == 0) == held]])
     return out
 
 
@@ -437,7 +444,7 @@ def scan_texts(texts: list[str], net: CharCnn | None) -> list[list[tuple[int, in
     held = 0
     for row, text in enumerate(texts):
         base = out[row]
-        more = [(s, e) for s, e in candidates(text) if not _overlaps(s, e, base)]
+        more = [(s, e) for s, e in candidates(text) if not (base and _overlaps(s, e, base))]
         symbols = _symbols(text)
         for i in range(0, len(more), PIECE):
             piece = more[i:i + PIECE]
