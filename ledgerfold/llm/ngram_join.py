@@ -12,14 +12,21 @@ least ``threshold`` per cent are linked; the result is each document's class.
    First only (pivot, member) pairs are verified, never all pairs of a list: in
    a group of copies this finds every class with one comparison a member.
    A member that is linked to the pivot takes over its class; of its answers
-   only those outside that class are still to be found.
+   only those outside that class are still to be found.  While lists hold far
+   more pairs of different classes than members, as a group of near copies does
+   whose least node links few, other pivots follow: some members of a list's
+   largest class meet those outside it, ever one comparison a member and pivot.
 4. What is left are members of one list in different classes.  A list is cut
    into blocks by set size, and a block meets only its own and the next one;
-   positions in the lists bound the overlap; and the verified distances to the
-   pivot bound the distance of two members from below (Jaccard distance is a
-   metric): |d(x, pivot) - d(y, pivot)| > 1 - t rules the pair out.  The rest is
-   verified.  A linked pair shares a list, so it is either in one class by then
-   or verified here: no link between classes is lost.
+   positions in the lists bound the overlap; and the distances to the pivot,
+   verified or bounded by sketches, bound the distance of two members from below
+   (Jaccard distance is a metric): d(x, pivot) - d(y, pivot) > 1 - t rules the
+   pair out.  The rest is verified.  A linked pair shares a list, so it is either
+   in one class by then or verified here: no link between classes is lost.
+5. Before any verification sketches are compared.  A sketch has about a bit or
+   two a shingle, each the parity of the shingles that fall on it; two sets
+   differ in at least as many shingles as their sketches differ in bits.  Only a
+   pair whose bits leave room for a link is verified.
 
 Verification counts common shingles of whole texts.
 
@@ -31,6 +38,7 @@ never names a class unless the class has no other); other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -50,6 +58,10 @@ SEEN = 4
 #: Bits of the sieve (2 MB in every task): it only saves work, so when more sets
 #: are wanted than it can tell apart, more rows pass and the join drops them.
 SIEVE_BITS = 1 << 24
+#: Least words of a sketch.
+SKETCH = 4
+#: Further pivots of a list at a time, and the pairs a member from which they are tried.
+PIVOTS, CROWDED = 4, 8
 
 
 def frequent_shingles(docs: DataFrame, k: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +92,41 @@ def _set_digest(digest: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
+def _sketches(digest: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """Parities of each set's shingles by the low bits of their digests, as words: a
+    power of two that gives at least a bit a shingle."""
+    size = np.diff(offsets)
+    words = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(words)])
+    bit = digest & np.repeat(64 * words - 1, size).astype(np.uint64)
+    flat = np.zeros(first[-1], np.uint64)
+    np.bitwise_xor.at(flat, np.repeat(first[:-1], size) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(flat)))
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the sizes na and nb of their sets and ``apart``: a number
+    of shingles in which they differ at least, by sizes and sketches."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    # A sketch of twice the words folds to the smaller one.
+    fold = "if(size(s{0}) > least(size(sa), size(sb)), s{0}[i] ^ s{0}[i + least(size(sa), size(sb))], s{0}[i])"
+    bits = f"aggregate(sequence(0, least(size(sa), size(sb)) - 1), 0, (v, i) -> v + bit_count({fold.format('a')} ^ {fold.format('b')}))"
+    near = "greatest(size(sa), size(sb)) <= 2 * least(size(sa), size(sb))"
+    return pairs.withColumn("apart", F.expr(f"greatest(abs(na - nb), if({near}, {bits}, 0))")).drop("sa", "sb")
+
+
+def _merge(first: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes ``first`` (node, component) joined by links (a, b) of nodes."""
+    joined = links.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    roots = first.unionByName(joined.select(F.col("a").alias("node"), F.coalesce("ca", "a").alias("component"))).unionByName(joined.select(F.col("b").alias("node"), F.coalesce("cb", "b").alias("component"))).distinct()
+    return staged(roots.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+
+
 def _describe(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, text digest th, set size n, set
-    digests f1 and f2, and its index entries (prefix), rarest first."""
+    digests f1 and f2, sketch, and its index entries (prefix), rarest first."""
     frequent, weight = frequent_shingles(docs, k, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,13 +149,13 @@ def _describe(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: st
         flat = signed(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(signed(f1)), pa.array(signed(f2)), prefix],
-            names=["doc_id", "th", "n", "f1", "f2", "prefix"],
+            [batch.column(0), batch.column(1), pa.array(size.astype(np.int64)), pa.array(signed(f1)), pa.array(signed(f2)), _sketches(digest, offsets), prefix],
+            names=["doc_id", "th", "n", "f1", "f2", "sketch", "prefix"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    described = map_batches(rows, run, f"doc_id {kind}, th long, n long, f1 long, f2 long, prefix array<long>")
+    described = map_batches(rows, run, f"doc_id {kind}, th long, n long, f1 long, f2 long, sketch array<long>, prefix array<long>")
     return staged(described.withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -193,8 +237,8 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
     rows = _describe(docs, k, threshold, id_col, text_col)
     classes = staged(
         rows.where("n > 0").groupBy("f1", "f2", "n")
-        .agg(F.min(F.struct("rid", "th", "doc_id")).alias("one"), F.min("doc_id").alias("least_id"))
-        .select("f1", "f2", "n", F.col("one.rid").alias("node"), F.col("one.th").alias("th"), F.col("one.doc_id").alias("node_id"), "least_id")
+        .agg(F.min(F.struct("rid", "th", "doc_id", "sketch")).alias("one"), F.min("doc_id").alias("least_id"))
+        .select("f1", "f2", "n", F.col("one.rid").alias("node"), F.col("one.th").alias("th"), F.col("one.doc_id").alias("node_id"), F.col("one.sketch").alias("sketch"), "least_id")
     )
     index = (
         rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
@@ -203,38 +247,60 @@ def link_classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id"
     lists = index.groupBy("h").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1").select("h", "pivot")
     entries = staged(index.join(lists, "h").where("node != pivot"))
 
-    sizes = classes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
-    fits = F.expr(f"100 * least(n, pivot_n) >= {threshold} * greatest(n, pivot_n)")
-    stars = staged(
-        entries.groupBy("node", "pivot").agg(F.min("n").alias("n")).join(sizes, "pivot").where(fits)
-        .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    )
+    may_link = f"100 * (na + nb - apart) >= {threshold} * (na + nb + apart)"
     linked = F.expr(f"100 * common >= {threshold} * (na + nb - common)")
-    checked = _verify(stars, classes, docs, k, id_col, text_col)
+    stars = staged(_apart(entries.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), classes))
+    checked = _verify(stars.where(may_link).select("a", "b"), classes, docs, k, id_col, text_col)
     first = staged(components(checked.where(linked).select("a", "b")))
 
-    far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.expr("1 - common / (na + nb - common)").alias("d"))
-    of = first.select("node", F.col("component").alias("c"))
-    members = entries.join(of, "node", "left").withColumn("c", F.coalesce("c", "node")).join(far, ["pivot", "node"], "left")
-    mixed = members.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("h")
+    # Distances to the pivot: verified ones, else from the sketches' bound up.
+    distance = F.expr("1 - common / (na + nb - common)")
+    far = checked.select("a", "b", distance.alias("d"))
+    far = stars.join(far, ["a", "b"], "left").select(
+        F.col("a").alias("pivot"), F.col("b").alias("node"), F.expr("coalesce(d, 2 * apart / (na + nb + apart))").alias("d"), F.expr("coalesce(d, 1D)").alias("e")
+    )
     step = math.log(100 / threshold) if threshold < 100 else 1.0
-    rest = staged(members.join(mixed, "h").select("h", "node", "n", "pos", "c", "d", F.floor(F.log("n") / step).alias("block")))
-    x = rest.select("h", "block", *(F.col(v).alias(f"{v}_x") for v in ("node", "n", "pos", "c", "d")))
-    y = rest.select("h", F.explode(F.array("block", F.col("block") - 1)).alias("block"), *(F.col(v).alias(f"{v}_y") for v in ("node", "n", "pos", "c", "d")))
     slack = 1 - threshold / 100 + 1e-9
-    # Of two sets x is the smaller one, so y lies in its block or the next.
-    across = x.join(y, ["h", "block"]).where(
-        f"(n_x < n_y or (n_x = n_y and node_x < node_y)) and c_x != c_y and 100 * n_x >= {threshold} * n_y "
+    # Members of one list are compared by sketches of the least size.
+    words = [f"w{i}" for i in range(SKETCH)]
+    folded = classes.select("node", *(F.expr(f"aggregate(sequence(0, size(sketch) div {SKETCH} - 1), 0L, (v, j) -> v ^ sketch[{SKETCH} * j + {i}])").alias(w) for i, w in enumerate(words)))
+    bits = "(" + " + ".join(f"bit_count({w}_x ^ {w}_y)" for w in words) + ")"
+    fits = (
+        f"c_x != c_y and 100 * least(n_x, n_y) >= {threshold} * greatest(n_x, n_y) "
         f"and (100 + {threshold}) * least(n_x - pos_x, n_y - pos_y) >= {threshold} * (n_x + n_y) "
-        f"and coalesce(abs(d_x - d_y) <= {slack}, true)"
+        f"and coalesce(d_x - e_y <= {slack} and d_y - e_x <= {slack}, true) "
+        f"and 100 * (n_x + n_y - {bits}) >= {threshold} * (n_x + n_y + {bits})"
     )
-    more = staged(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+    own = ("node", "n", "pos", "c", "d", "e", *words)
+    before = None
+    for turn in itertools.count():
+        members = entries.join(first.select("node", F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node")).join(far, ["pivot", "node"], "left")
+        mixed = members.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("h")
+        rest = staged(members.join(mixed, "h").join(folded, "node").select("h", *own, F.floor(F.log("n") / step).alias("block")))
+        parts = rest.groupBy("h", "c").agg(F.count("*").alias("m"))
+        lists = parts.groupBy("h").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        crowd = lists.agg(F.sum("m").alias("members"), F.expr("sum((m * m - same) / 2)").alias("pairs")).first()
+        if not crowd["members"] or crowd["pairs"] <= CROWDED * crowd["members"] or (before and crowd["pairs"] > 0.75 * before):
+            break
+        before = crowd["pairs"]
+        chosen = rest.join(lists.select("h", F.col("most.c").alias("c")), ["h", "c"]).groupBy("h").agg(
+            F.array(*(F.max(F.struct(F.xxhash64("node", F.lit(PIVOTS * turn + i)).alias("by"), *own)) for i in range(PIVOTS))).alias("p")
+        )
+        x = chosen.select("h", F.explode(F.array_distinct("p")).alias("p")).select("h", *(F.col(f"p.{v}").alias(f"{v}_x") for v in own)).distinct()
+        y = rest.select("h", *(F.col(v).alias(f"{v}_y") for v in own))
+        spokes = x.join(y, "h").where(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+        likely = staged(_apart(spokes, classes).where(may_link).select("a", "b"))
+        if not likely.limit(1).count():
+            break
+        first = _merge(first, _verify(likely, classes, docs, k, id_col, text_col).where(linked).select("a", "b"))
+
+    x = rest.select("h", "block", *(F.col(v).alias(f"{v}_x") for v in own))
+    y = rest.select("h", F.explode(F.array("block", F.col("block") - 1)).alias("block"), *(F.col(v).alias(f"{v}_y") for v in own))
+    # Of two sets x is the smaller one, so y lies in its block or the next.
+    across = x.join(y, ["h", "block"]).where(f"(n_x < n_y or (n_x = n_y and node_x < node_y)) and {fits}")
+    more = staged(_apart(across.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), classes).where(may_link).select("a", "b"))
     if more.limit(1).count():
-        again = _verify(more, classes, docs, k, id_col, text_col).where(linked).select("a", "b")
-        joined = again.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        merged = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        roots = first.unionByName(joined.select(F.col("a").alias("node"), F.coalesce("ca", "a").alias("component"))).unionByName(joined.select(F.col("b").alias("node"), F.coalesce("cb", "b").alias("component"))).distinct()
-        first = staged(roots.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        first = _merge(first, _verify(more, classes, docs, k, id_col, text_col).where(linked).select("a", "b"))
 
     named = classes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

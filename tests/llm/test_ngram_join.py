@@ -95,6 +95,47 @@ def test_one_large_group_makes_no_pairs(spark):
     assert {r.component_id for r in out} == {0}
 
 
+def test_near_copies_without_a_common_pivot_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(300):  # linked with the last row, not with each other
+        t = list(base)
+        t[rng.randrange(10, 55)], t[rng.randrange(65, 110)] = f"u{i}", f"v{i}"
+        rows.append((i, " ".join(t)))
+    rows.append((300, " ".join(base)))
+    met, verify = [], ngram_join._verify
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_classes(df, 4, 85).collect())
+    assert got == brute(rows, 4, 85) and {c for _, _, c in got} == {0}
+    assert sum(met) < 20 * len(rows), met
+
+
+@pytest.mark.parametrize("sizes", [(0, 1, 255, 256), (257, 300, 700, 5000)])
+def test_sketches_never_differ_in_more_bits_than_the_sets(spark, sizes):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in sizes:
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for lost in (0, 1, 20):
+            sets.append(np.concatenate([one[lost:], rng.integers(0, 1 << 63, lost // 2).astype(np.uint64)]))
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sketches = ngram_join._sketches(np.concatenate(sets), offsets).to_pylist()
+    classes = spark.createDataFrame([(i, len(s), w) for i, (s, w) in enumerate(zip(sets, sketches))], "node long, n long, sketch array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i)], "a long, b long")
+    for r in ngram_join._apart(pairs, classes).collect():
+        apart = len(np.setxor1d(sets[r.a], sets[r.b]))
+        assert r.apart <= apart and (apart > 60 or r.apart >= apart / 2 or r.apart >= apart - 8), (r, apart)
+
+
 def test_components(spark):
     rng = random.Random(2)
     for edges in ([(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 100)] + [(500, 501)], [(rng.randrange(300), rng.randrange(300)) for _ in range(220)], [(1, 1)]):
