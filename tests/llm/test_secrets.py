@@ -173,3 +173,18 @@ def test_query(spark, sf_small, name):
         base = ",".join(f"{k}:{a}:{b}" for a, b, k in plain(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_windows_meet_the_network_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.where(np.arange(72) < rng.integers(20, 73, 700)[:, None], rng.integers(33, 256, (700, 72)), 0).astype(np.uint8)
+    net = S.train(x[:80], (np.arange(80) % 2).astype(float), epochs=1)
+    whole = S._gradient(net, x, np.zeros(700), np.full(700, 0.5 / 700))
+    rows, hidden = [], S.CharCnn._hidden
+    monkeypatch.setattr(S.CharCnn, "_hidden", lambda self, part: rows.append(len(part)) or hidden(self, part))
+    parts = S._label_gradient(net, x, 0)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-6) for k in S.PARTS)
+    one = np.concatenate([net.raw(x[i:i + 1]) for i in range(700)])
+    assert np.allclose(net.raw(x), one, atol=1e-4)
+    S.train_on(net, x[:600], x[600:])
+    assert max(rows) <= 128
