@@ -188,3 +188,36 @@ def test_windows_meet_the_network_in_small_parts(monkeypatch):
     assert np.allclose(net.raw(x), one, atol=1e-4)
     S.train_on(net, x[:600], x[600:])
     assert max(rows) <= 128
+
+
+def test_places_lie_first_and_add_up_by_symbol():
+    """Maxima and sums over places run along whole rows, and a gradient is that of plain loops."""
+    rng = np.random.default_rng(6)
+    net = S.CharCnn(*(rng.normal(0, 0.3, size).astype(np.float32) for size in ((S.WIDTH, S.SYMBOLS, S.FILTERS), S.FILTERS, 2 * S.FILTERS)), 0.1)
+    x = rng.integers(1, 9, (20, S.LEFT + S.BODY + S.RIGHT)).astype(np.uint8)
+    x[:, 30:50] = 7  # equal places: the first one has the maximum
+    x[5:, 55:] = 0
+    h = net._hidden(x)
+    assert h.strides[1] == max(h.strides)
+    places, y, weight = h.shape[1], np.arange(20) % 2, np.full(20, 0.05)
+    plain = np.array([[sum(net.conv[k, row[p + k]] for k in range(S.WIDTH)) + net.bias for p in range(places)] for row in x]).clip(0)
+    assert np.allclose(h, plain, atol=1e-5)
+    out = S._gradient(net, x, y, weight)
+    conv, bias = np.zeros(net.conv.shape), np.zeros(S.FILTERS)
+    for row, a, label, w in zip(x, plain, y, weight):
+        g = (1 / (1 + np.exp(-(np.concatenate([a.max(0), a.mean(0)]) @ net.dense + net.offset))) - label) * w
+        for p in range(places):
+            gh = g * (net.dense[:S.FILTERS] * (a.argmax(0) == p) + net.dense[S.FILTERS:] / places) * (a[p] > 0)
+            bias += gh
+            for k in range(S.WIDTH):
+                conv[k, row[p + k]] += gh
+    conv[:, 0] = 0
+    assert np.allclose(out["conv"], conv, atol=1e-5) and np.allclose(out["bias"], bias, atol=1e-5)
+
+
+def test_runs_of_symbols_are_the_pattern_matches():
+    texts = [t or "" for t in TEXTS] + [t for _, t in _corpus(30)[0]] + ["\0abcdefgh\0", "é" * 9, "abcdefgé", "x" * 97 + " y"]
+    for t in texts:
+        runs = S._runs(S._symbols(t))
+        assert list(map(tuple, runs.tolist())) == [m.span() for m in S._CANDIDATE.finditer(t)]
+        assert S.base_spans(t, S._longest(runs)) == plain(t)
