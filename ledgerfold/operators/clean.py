@@ -5,12 +5,14 @@ puts a whole file on one task; a single file may hold a third of all rows, so th
 fill here runs in two steps over fixed-size blocks of the row index:
 
 1. fill inside each ``(file, block)`` with ``last(ignorenulls)``;
-2. take the last value of every block (a narrow aggregate, one row per block), carry it forward across blocks with a window partitioned by
-   file over that small table, and patch the rows still null at the head of
-   each block by a join on ``(file, block)``.
+2. take the last non-null value of every block (a narrow aggregate, partial before its shuffle, one row per block), carry it forward
+   across blocks with a window partitioned by file over that small table, and
+   patch the rows still null at the head of each block by a join on ``(file, block)``.
 
 The big side is shuffled once, on ``(file, block)``, and the join back reuses
-that partitioning; the block table is small.  Nothing is cached.
+that partitioning; the block table is small.  Nothing is cached.  Most files lie
+in one block: ``fill_blocks`` says which, and those need no further shuffle to be
+grouped by file.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ledgerfold.functions.numbers import nan_to_null as _nan_to_null
 from ledgerfold.spec import ReportSpec
 
 DEFAULT_BLOCK_ROWS = 1 << 16
+#: Columns of ``fill_blocks``: a row's block, and whether its partition has several.
+BLOCK, SPREAD = "__ff_block", "__ff_spread"
 
 
 def forward_fill(
@@ -41,11 +45,23 @@ def forward_fill(
     The input is read twice: in full for the fill, and narrow (file, row index,
     filled columns) for the block tails; an input that is expensive to compute
     is best written to a table first."""
-    columns = list(columns)
     if not columns:
         return df
+    return fill_blocks(df, columns, partition_col, order_col, block_rows).select(*df.columns)
+
+
+def fill_blocks(
+    df: DataFrame,
+    columns: Sequence[str],
+    partition_col: str | None = "file",
+    order_col: str = "row_idx",
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+) -> DataFrame:
+    """``forward_fill`` with each row's ``BLOCK`` and ``SPREAD`` (null where the
+    partition is).  The rows come out dealt by ``(partition_col, BLOCK)``."""
+    columns = list(columns)
     part = [partition_col] if partition_col else []
-    blk = "__ff_block"
+    blk = BLOCK
     d = df.withColumn(blk, F.floor(F.col(order_col) / F.lit(block_rows)).cast("long"))
     w_local = (
         Window.partitionBy(*part, blk)
@@ -56,9 +72,9 @@ def forward_fill(
         *[c for c in d.columns if c not in columns],
         *[F.last(c, ignorenulls=True).over(w_local).alias(c) for c in columns],
     )
-    # The block's last row holds the last non-null value of every column.
-    tails = local.groupBy(*part, blk).agg(
-        *[F.max_by(F.col(c), F.col(order_col)).alias(f"__tail_{i}") for i, c in enumerate(columns)]
+    # Straight from the input: only one row per task and block is shuffled.
+    tails = d.groupBy(*part, blk).agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"__tail_{i}") for i, c in enumerate(columns)]
     )
     w_blocks = (
         Window.partitionBy(*part)
@@ -68,6 +84,7 @@ def forward_fill(
     carry = tails.select(
         *part,
         blk,
+        (F.count("*").over(Window.partitionBy(*part)) > 1).alias(SPREAD),
         *[F.last(f"__tail_{i}", ignorenulls=True).over(w_blocks).alias(f"__carry_{i}") for i in range(len(columns))],
     )
     joined = local.join(carry, on=[*part, blk], how="left")
@@ -78,7 +95,7 @@ def forward_fill(
             out_cols.append(F.coalesce(F.col(c), F.col(f"__carry_{i}")).alias(c))
         else:
             out_cols.append(F.col(c))
-    return joined.select(*out_cols)
+    return joined.select(*out_cols, blk, SPREAD)
 
 
 def summary_row_filter(key: str, markers: Sequence[str], mode: str = "exact") -> Column:

@@ -1491,15 +1491,21 @@ def q_report_metadata_referral(spark, sf_dir):
 
 
 def _supplier_rows(spark, sf_dir):
+    from ledgerfold.llm.common import staged
     from ledgerfold.spec import MONTH_NAMES
 
     li = td.lineitem_rows(spark, sf_dir)
     sup = td.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     part = td.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     nation = F.broadcast(td.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    j = (li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-         .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    # The larger table first: if that join shuffles, rows have no names yet.
+    j = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+         .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+         .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+    # The fill reads its input twice: the lines and their names are written once, which also
+    # lets go of the numbering's and the joins' shuffles before the wide rows are shuffled.
+    j = staged(j.select("l_orderkey", "row_idx", "s_name", "n_name", "p_brand", "p_name", "l_shipdate", "l_extendedprice",
+                        "l_quantity", "l_returnflag", "l_discount"), compression="zstd")
     k = F.col("row_idx")
     month = F.month("l_shipdate")
     cols = [

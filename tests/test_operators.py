@@ -227,3 +227,77 @@ def test_typed_read(spark):
     out = typed_read(spark.createDataFrame(rows, "row_idx long, values array<string>"))
     assert dict(out.dtypes) == {"row_idx": "bigint", "a": "bigint", "a_2": "double", "column_3": "date", "d": "boolean", "e": "string"}
     assert [r.a for r in out.orderBy("row_idx").collect()] == [1, None, 3]
+
+
+def _shuffled(df):
+    """Rows that the last run of ``df``'s plan moved through shuffles, and the kinds of its nodes."""
+    rows, kinds = 0, []
+
+    def walk(node):
+        nonlocal rows
+        name = node.getClass().getSimpleName()
+        kinds.append(name)
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "ShuffleExchangeExec":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        if name == "ReusedExchangeExec":
+            return
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return rows, kinds
+
+
+def _wide_rows(files, lines):
+    rnd = random.Random(3)
+    return [(f, i, rnd.choice([None, None, "A", "b", "Subtotal"]), rnd.choice([None, "C1", "C2"]), rnd.choice(["$1.50", "(2)", None]), rnd.choice([None, 3.0, float(i)]))
+            for f in files for i in range(lines)]
+
+
+WIDE = "file string, row_idx long, `Captive Name: Captive Name` string, `Captive Name: Client` string, `Gross Written Premium` string, `Total Available Units` double"
+
+
+@pytest.mark.parametrize("block_rows", [7, 40, 1000])
+def test_consolidate_of_files_in_one_and_in_several_blocks(spark, block_rows):
+    """Groups within blocks, put together for files of several, are those of plain loops."""
+    rows = _wide_rows(["f1", "f2", "f3"], 60) + _wide_rows(["short"], 5) + [(None, i, "A", "C1", "4", float(i)) for i in range(3)]
+    want, last = {}, {}
+    for f, i, cap, client, gwp, units in rows:
+        cap = last[f] = last.get(f) if cap is None else cap
+        if cap in (None, "Subtotal"):
+            continue
+        money = {"$1.50": 1.5, "(2)": -2.0, "4": 4.0, None: 0.0}[gwp]
+        key = (f, cap, client or "")
+        want[key] = (want[key][0] + money, want[key][1]) if key in want else (money, 0.0 if units is None else units)
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), WIDE).repartition(3)
+    got = cons.consolidate(df, CAPTIVE_SPEC, block_rows=block_rows).collect()
+    assert len(got) == len(want)
+    assert {(r[0], r[1], r[2]): (r["Gross Written Premium"], r["Total Available Units"]) for r in got} == want
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.createDataFrame(_wide_rows([f"f{i}" for i in range(40)], 50), WIDE)
+    tails = 40 * df.rdd.getNumPartitions()
+    out = cons.consolidate(df, CAPTIVE_SPEC)
+    groups = len(out.collect())
+    # The rows themselves, and for the fill at most a row a file and task, then a row a file.
+    assert groups > 200 and 2000 <= _shuffled(out)[0] <= 2000 + tails + 40
+    # Files of several blocks: their groups too, from the rows' one shuffle.
+    out = cons.consolidate(df, CAPTIVE_SPEC, block_rows=20)
+    assert len(out.collect()) == groups
+    moved, kinds = _shuffled(out)
+    assert moved < 4000 and "ReusedExchangeExec" in kinds
+
+
+def test_three_key_rows_are_written_before_the_fill(spark, sf_small):
+    """The numbering and the joins are not done again, nor their shuffles kept, beside the wide rows' shuffle."""
+    from ledgerfold.plans.queries import _supplier_rows
+
+    rows = _supplier_rows(spark, sf_small)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and not any("lineitem" in f for f in rows.inputFiles())
